@@ -20,6 +20,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, also inside nested lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def replace_chars(c: Column, mapping: Mapping[str, str]) -> Column:
     return F.translate(c, "".join(mapping), "".join(mapping.values()))
 
@@ -66,7 +71,8 @@ def matching_part(name: Column, answer: Column) -> Column:
     """First comma part of the answer that contains a word of the name, words tried in order; null without one."""
     words = F.filter(F.split(plain_lower(name), " "), lambda w: strip(w) != "")
     parts = F.transform(F.split(answer, ","), lambda p: F.struct(p.alias("raw"), plain_lower(p).alias("plain")))
-    hits = F.flatten(F.transform(words, lambda w: F.filter(parts, lambda p: F.contains(p["plain"], strip(w)))))
+    hits = let(parts, lambda ps: F.flatten(
+        F.transform(words, lambda w: F.filter(ps, lambda p: F.contains(p["plain"], strip(w))))))
     return strip(F.try_element_at(hits, F.lit(1))["raw"])
 
 
@@ -83,16 +89,17 @@ def strip_prefixes(c: Column, prefixes: Iterable[str] = config.NAME_PREFIXES) ->
 
 def title_case(c: Column) -> Column:
     """Capitalised words; particles stay in lower case except at the ends."""
-    words = F.split(strip(c), r"\s+")
     particles = F.array(*[F.lit(p) for p in config.TITLE_PARTICLES])
 
-    def shape(word: Column, i: Column) -> Column:
-        inner = (i > 0) & (i < F.size(words) - 1)
-        small = F.array_contains(particles, F.lower(word)) & inner
-        head = F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.length(word))))
-        return F.when(small, F.lower(word)).otherwise(head)
+    def shape(word: Column, i: Column, n: Column) -> Column:
+        small = F.array_contains(particles, F.lower(word)) & (i > 0) & (i < n - 1)
+        # A first letter may grow in upper case (ß becomes SS): only the first of the two stays large
+        first = F.upper(F.substring(word, 1, 1))
+        rest = F.concat(F.substring(first, 2, 2), F.substring(word, F.lit(2), F.length(word)))
+        return F.when(small, F.lower(word)).otherwise(F.concat(F.substring(first, 1, 1), F.lower(rest)))
 
-    return F.array_join(F.transform(words, shape), " ")
+    return let(F.split(strip(c), r"\s+"), lambda words: F.array_join(
+        F.transform(words, lambda word, i: shape(word, i, F.size(words))), " "))
 
 
 def spelling_variants(c: Column) -> Column:
@@ -113,19 +120,25 @@ def spelling_variants(c: Column) -> Column:
 
 def word_queries(c: Column) -> Column:
     """Search texts for a long name: single words by length, then ordered word groups by size; one word gives none."""
-    words = F.split(strip(c), r"\s+")
-    n = F.size(words)
-
-    def pick(mask: Column) -> Column:
-        chosen = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.getbit(mask, i) == 1)
-        size = F.size(chosen)
-        rank = F.when(size == 1, F.array(-F.length(F.get(words, F.get(chosen, F.lit(0)))), F.get(chosen, F.lit(0))))
-        return F.struct(size.alias("size"), rank.otherwise(chosen).alias("rank"),
-                        F.array_join(F.transform(chosen, lambda i: F.get(words, i)), " ").alias("query"))
-
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2.0), n).cast("int") - 1)
-    ordered = F.transform(F.sort_array(F.transform(masks, pick)), lambda q: q["query"])
-    return F.when(n > 1, ordered).otherwise(F.array().cast("array<string>"))
+    def pick(words: Column, mask: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.getbit(mask, i) == 1)
+
+        def describe(chosen: Column) -> Column:
+            first = F.get(chosen, F.lit(0))
+            alone = F.array(-F.length(F.get(words, first)), first)
+            return F.struct(F.size(chosen).alias("size"),
+                            F.when(F.size(chosen) == 1, alone).otherwise(chosen).alias("rank"),
+                            F.array_join(F.transform(chosen, lambda i: F.get(words, i)), " ").alias("query"))
+
+        return let(places, describe)
+
+    def combine(words: Column) -> Column:
+        masks = F.sequence(F.lit(1), F.pow(F.lit(2.0), F.size(words)).cast("int") - 1)
+        ordered = F.sort_array(F.transform(masks, lambda mask: pick(words, mask)))
+        none = F.array().cast("array<string>")
+        return F.when(F.size(words) > 1, F.transform(ordered, lambda q: q["query"])).otherwise(none)
+
+    return let(F.split(strip(c), r"\s+"), combine)
 
 
 def expand_templates(c: Column, templates: Iterable[str]) -> Column:

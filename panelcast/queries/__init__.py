@@ -1,6 +1,7 @@
 """Registered queries, one module per operator family."""
 
 from panelcast.queries import (  # noqa: F401  (importing registers)
+    q_text,
     q_windows,
 )
 from panelcast.queries.registry import ORACLES, QUERIES
