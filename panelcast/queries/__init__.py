@@ -1,6 +1,8 @@
 """Registered queries, one module per operator family."""
 
 from panelcast.queries import (  # noqa: F401  (importing registers)
+    q_joins,
+    q_profile,
     q_text,
     q_windows,
 )
