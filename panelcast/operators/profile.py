@@ -27,7 +27,8 @@ def describe(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     quarters = exact_quantiles(df, keys, column, QUARTILES)
     if keys:
         return base.join(quarters, keys, "left")
-    return base.withColumns({q: quarters.select(q).scalar() for q in QUARTILES})
+    row = quarters.select(F.struct(*QUARTILES)).scalar()
+    return base.withColumn("_q", row).select("*", "_q.*").drop("_q")
 
 
 def five_numbers(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelcast.functions import geo
+from panelcast.session import cut_lineage
 
 # Cube sides halve per level: level 0 holds the whole sphere, level 13 is about 3 km
 TOP_SIDE = 4.0
@@ -121,31 +122,29 @@ def within_radius(df: DataFrame, latitude: float, longitude: float, radius_km: f
     return df.filter(box).filter(km <= radius_km)
 
 
-def diameter_km(df: DataFrame, on: Sequence[str], steps: Sequence[int] = (4, 7, 10, 13)) -> DataFrame:
+def diameter_km(df: DataFrame, on: Sequence[str], levels: Sequence[int] = (5, 9)) -> DataFrame:
     """Largest distance between two points of each group, exact, without forming all pairs of points.
 
-    Points are gathered into cubes. A pair of cubes can hold the farthest pair only if the distance of its centres
-    plus one diagonal reaches the best distance between cube members seen so far. Surviving cubes are split into
-    finer ones; their number is bounded by the geometry of the sphere, not by the number of points.
+    Points are gathered into cubes. A pair of cubes can hold the farthest pair only if the distance of two members
+    plus both diagonals reaches the best distance seen so far. Surviving cubes are split into finer ones; their
+    number is bounded by the geometry of the sphere, not by the number of points.
     """
     on = list(on)
-    points = df.select(*on, "latitude", "longitude").distinct()
-    alive = points
-    for level in steps:
+    alive = df.select(*on, "latitude", "longitude").distinct()
+    for level in levels:
         diagonal = math.sqrt(3.0) * TOP_SIDE / 2 ** level
-        cubes = (alive.withColumn("_cell", _cell(F.col("latitude"), F.col("longitude"), F.lit(level)))
-                 .groupBy(*on, "_cell").agg(F.min(F.struct("latitude", "longitude")).alias("_p")))
+        placed = alive.withColumn("_cell", _cell(F.col("latitude"), F.col("longitude"), F.lit(level)))
+        cubes = cut_lineage(placed.groupBy(*on, "_cell").agg(F.min(F.struct("latitude", "longitude")).alias("_p")))
         a = cubes.select(*on, F.col("_cell").alias("_ca"), F.col("_p").alias("_pa"))
         b = cubes.select(*on, F.col("_cell").alias("_cb"), F.col("_p").alias("_pb"))
         span = geo.chord_column(geo.haversine_km(F.col("_pa.latitude"), F.col("_pa.longitude"),
                                                  F.col("_pb.latitude"), F.col("_pb.longitude")))
-        far = a.join(b, on).filter(F.col("_ca") <= F.col("_cb")).withColumn("_span", span)
+        far = a.join(b, on).withColumn("_span", span)
         best = far.groupBy(*on).agg(F.max("_span").alias("_best"))
-        # Any two members are at most one diagonal farther from their representatives on each side
-        keep = far.join(best, on).filter(F.col("_span") + 2 * diagonal >= F.col("_best"))
-        cells = (keep.select(*on, F.explode(F.array("_ca", "_cb")).alias("_cell"))).distinct()
-        alive = (alive.withColumn("_cell", _cell(F.col("latitude"), F.col("longitude"), F.lit(level)))
-                 .join(cells, [*on, "_cell"], "left_semi").drop("_cell"))
+        reach = far.groupBy(*on, F.col("_ca").alias("_cell")).agg(F.max("_span").alias("_span"))
+        cells = cut_lineage(reach.join(best, on).filter(F.col("_span") + 2 * diagonal >= F.col("_best"))
+                            .select(*on, "_cell"))
+        alive = placed.join(cells, [*on, "_cell"], "left_semi").drop("_cell")
     a = alive.select(*on, F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"))
     b = alive.select(*on, F.col("latitude").alias("_lb"), F.col("longitude").alias("_lp"))
     km = geo.haversine_km(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_lp"))

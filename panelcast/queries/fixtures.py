@@ -44,6 +44,11 @@ def capacity(spark: SparkSession, sf: str, factor: float = 1.1, gaps: bool = Tru
     return peak.withColumn("capacity", F.when(F.col("id") % 7 != 0, F.col("capacity"))) if gaps else peak
 
 
+def no_capacity(spark: SparkSession, sf: str) -> DataFrame:
+    """An empty capacity table: forecasts stay unbounded."""
+    return capacity(spark, sf).filter(F.lit(False))
+
+
 def raw_text(spark: SparkSession, sf: str) -> DataFrame:
     marked = (F.col("id") + F.weekofyear("date")) % 97 == 0
     return readings(spark, sf).select(
