@@ -2,6 +2,9 @@
 
 A point on the unit sphere is put in a cube of side ``s``. Two points whose straight-line (chord) distance is
 at most ``s`` lie in the same or in touching cubes, with no special case for the poles or the date line.
+
+Arguments that name values are SQL text (a column name or a literal): one parsed expression per formula is much
+cheaper to build from Python than dozens of nested function calls.
 """
 
 from __future__ import annotations
@@ -12,12 +15,15 @@ from pyspark.sql import Column, functions as F
 
 from panelcast.config import EARTH_RADIUS_KM
 
+# Cube sides halve per level: level 0 holds the whole sphere, level 13 is about 3 km
+TOP_SIDE = 4.0
+FINEST = 13
+
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
     """Great-circle distance in kilometres."""
-    dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
-    a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return F.expr(f"""{2 * EARTH_RADIUS_KM}D * asin(sqrt(least(1D, pow(sin(radians({lat2} - {lat1}) / 2), 2)
+        + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))""")
 
 
 def chord(km: float) -> float:
@@ -25,40 +31,49 @@ def chord(km: float) -> float:
     return 2 * math.sin(min(km / (2 * EARTH_RADIUS_KM), math.pi / 2))
 
 
-def chord_column(km: Column) -> Column:
-    return F.lit(2.0) * F.sin(F.least(km / F.lit(2 * EARTH_RADIUS_KM), F.lit(math.pi / 2)))
+def chord_sql(km: str) -> str:
+    return f"(2D * sin(least({km} / {2 * EARTH_RADIUS_KM}D, {math.pi / 2}D)))"
 
 
-def valid_point(lat: Column, lon: Column) -> Column:
+def valid_point() -> Column:
     """Both coordinates present and inside the globe's ranges."""
-    return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
+    return F.expr("coalesce(latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180, false)")
+
 
+def cell(lat: str, lon: str, level: str) -> Column:
+    """Cube of the level that holds the point. The shift keeps coordinates positive, so level 0 is a single cube."""
+    side = f"({TOP_SIDE}D / pow(2D, {level}))"
+    x, y, z = f"cos(radians({lat})) * cos(radians({lon}))", f"cos(radians({lat})) * sin(radians({lon}))", \
+        f"sin(radians({lat}))"
+    return F.expr(f"""named_struct('x', floor(({x} + 1.5D) / {side}), 'y', floor(({y} + 1.5D) / {side}),
+        'z', floor(({z} + 1.5D) / {side}))""")
 
-def unit_vector(lat: Column, lon: Column) -> list[Column]:
-    la, lo = F.radians(lat), F.radians(lon)
-    return [F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)]
 
+def touching_cells(cell_column: str) -> Column:
+    """The cube and its 26 neighbours."""
+    c = cell_column
+    return F.expr(f"""flatten(flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> transform(
+        array(-1, 0, 1), k -> named_struct('x', {c}.x + i, 'y', {c}.y + j, 'z', {c}.z + k))))))""")
 
-def cell(lat: Column, lon: Column, side: Column) -> Column:
-    """Cube of the given side that holds the point, as a struct of three integers."""
-    x, y, z = [F.floor(v / side) for v in unit_vector(lat, lon)]
-    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
 
+def level_for(km: float) -> int:
+    """Finest level whose cube side still covers the distance."""
+    return max(0, min(FINEST, int(math.floor(math.log2(TOP_SIDE / max(chord(km), 1e-12))))))
 
-def touching_cells(c: Column) -> Column:
-    """The cube and its 26 neighbours."""
-    steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    return F.flatten(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.transform(
-        steps, lambda k: F.struct((c["x"] + i).alias("x"), (c["y"] + j).alias("y"), (c["z"] + k).alias("z")))))))
+
+def level_sql(km: str) -> Column:
+    """The same for a column of distances."""
+    return F.expr(f"""least({FINEST}, greatest(0, CAST(floor(log2({TOP_SIDE}D / greatest({chord_sql(km)}, 1e-12D)))
+        AS INT)))""")
 
 
-def bounding_box(lat: Column, lon: Column, lat0: float, lon0: float, radius_km: float) -> Column:
+def bounding_box(lat0: float, lon0: float, radius_km: float) -> Column:
     """Cheap latitude/longitude pre-filter that no point inside the radius fails; pushed down to the scan."""
     angle = math.degrees(radius_km / EARTH_RADIUS_KM)
-    box = lat.between(lat0 - angle, lat0 + angle)
-    reach = math.radians(angle)
+    box = F.col("latitude").between(lat0 - angle, lat0 + angle)
     if abs(lat0) + angle < 90:
-        width = math.degrees(math.asin(min(1.0, math.sin(min(reach, math.pi / 2)) / math.cos(math.radians(lat0)))))
+        ratio = math.sin(math.radians(angle)) / math.cos(math.radians(lat0))
+        width = math.degrees(math.asin(min(1.0, ratio)))
         if lon0 - width >= -180 and lon0 + width <= 180:
-            box = box & lon.between(lon0 - width, lon0 + width)
+            box = box & F.col("longitude").between(lon0 - width, lon0 + width)
     return box

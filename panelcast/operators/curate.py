@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelcast import config
 from panelcast.functions.columns import map_value
-from panelcast.functions.geo import valid_point
 from panelcast.operators.clean import best_row_per_key, cap_at_capacity, community_of, unify_province
 from panelcast.operators.quality import require_columns
 from panelcast.operators.spatial import fill_from_nearest
@@ -133,7 +132,4 @@ def curate(panel: DataFrame, entities: DataFrame, details: DataFrame, provinces:
 
 def invalid_points(df: DataFrame) -> DataFrame:
     """Rows with a coordinate outside the globe's ranges; missing coordinates are allowed."""
-    lat, lon = F.col("latitude"), F.col("longitude")
-    known = lat.isNotNull() & lon.isNotNull()
-    return df.filter((known & ~valid_point(lat, lon)) | ~F.coalesce(lat.between(-90, 90), F.lit(True))
-                     | ~F.coalesce(lon.between(-180, 180), F.lit(True)))
+    return df.filter("NOT coalesce(latitude BETWEEN -90 AND 90, true) OR NOT coalesce(longitude BETWEEN -180 AND 180, true)")

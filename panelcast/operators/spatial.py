@@ -10,28 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelcast.functions import geo
 from panelcast.session import cut_lineage
 
-# Cube sides halve per level: level 0 holds the whole sphere, level 13 is about 3 km
-TOP_SIDE = 4.0
-FINEST = 13
+EVERY_LEVEL = f"sequence(0, {geo.FINEST})"
 
 
-def _side(level: Column) -> Column:
-    return F.lit(TOP_SIDE) / F.pow(F.lit(2.0), level)
-
-
-def _cell(lat: Column, lon: Column, level: Column) -> Column:
-    # The shift keeps every coordinate positive, so that level 0 is a single cube
-    x, y, z = [F.floor((v + 1.5) / _side(level)) for v in geo.unit_vector(lat, lon)]
-    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
-
-
-def _at_levels(df: DataFrame, levels: Column) -> DataFrame:
-    return (df.withColumn("_level", F.explode(levels))
-            .withColumn("_cell", _cell(F.col("latitude"), F.col("longitude"), F.col("_level"))))
-
-
-def _every_level() -> Column:
-    return F.sequence(F.lit(0), F.lit(FINEST))
+def _at_levels(df: DataFrame, levels: str) -> DataFrame:
+    return (df.withColumn("_level", F.explode(F.expr(levels)))
+            .withColumn("_cell", geo.cell("latitude", "longitude", "_level")))
 
 
 def nearest(targets: DataFrame, candidates: DataFrame, value: str, id_col: str = "id") -> DataFrame:
@@ -44,15 +28,15 @@ def nearest(targets: DataFrame, candidates: DataFrame, value: str, id_col: str =
     points = targets.select("latitude", "longitude").distinct()
     best_of_point = (candidates.groupBy("latitude", "longitude")
                      .agg(F.min(F.struct(F.col(id_col).alias("id"), F.col(value).alias("value"))).alias("_hit")))
-    placed = _at_levels(best_of_point, _every_level())
+    placed = _at_levels(best_of_point, EVERY_LEVEL)
     occupied = placed.select("_level", "_cell").distinct()
-    finest = (_at_levels(points, _every_level()).join(occupied, ["_level", "_cell"])
+    finest = (_at_levels(points, EVERY_LEVEL).join(occupied, ["_level", "_cell"])
               .groupBy("latitude", "longitude").agg(F.max("_level").alias("_found")))
-    search = (finest.withColumn("_level", F.greatest(F.col("_found") - 1, F.lit(0)))
-              .withColumn("_cell", F.explode(geo.touching_cells(
-                  _cell(F.col("latitude"), F.col("longitude"), F.col("_level")))))
-              .select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), "_level", "_cell"))
-    km = F.round(geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude")), 6)
+    search = (finest.withColumn("_level", F.expr("greatest(_found - 1, 0)"))
+              .withColumn("_own", geo.cell("latitude", "longitude", "_level"))
+              .select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), "_level",
+                      F.explode(geo.touching_cells("_own")).alias("_cell")))
+    km = F.round(geo.haversine_km("_lat", "_lon", "latitude", "longitude"), 6)
     return (search.join(placed, ["_level", "_cell"])
             .select("_lat", "_lon", F.struct(km.alias("km"), F.col("_hit.id").alias("id"),
                                              F.col("_hit.value").alias("value")).alias("_near"))
@@ -65,32 +49,25 @@ def fill_from_nearest(df: DataFrame, column: str, id_col: str = "id") -> DataFra
 
     Rows without valid coordinates are neither filled nor copied from. ``require_candidates`` is the matching check.
     """
-    valid = geo.valid_point(F.col("latitude"), F.col("longitude"))
-    missing = F.col(column).isNull()
-    near = nearest(df.filter(missing & valid), df.filter(~missing & valid), column, id_col)
+    fillable = F.col(column).isNull() & geo.valid_point()
+    near = nearest(df.filter(fillable), df.filter(F.col(column).isNotNull() & geo.valid_point()), column, id_col)
     patch = near.select("latitude", "longitude", F.col("value").alias("_near"))
     # Only rows to fill take part in the join; the rest pass through
-    filled = (df.filter(missing & valid).join(patch, ["latitude", "longitude"], "left")
+    filled = (df.filter(fillable).join(patch, ["latitude", "longitude"], "left")
               .withColumn(column, F.col("_near")).withColumn(f"{column}_imputed", F.col("_near").isNotNull()))
-    kept = df.filter(~(missing & valid)).withColumn(f"{column}_imputed", F.lit(False))
+    kept = df.filter(~fillable).withColumn(f"{column}_imputed", F.lit(False))
     order = [*df.columns, f"{column}_imputed"]
     return kept.select(order).unionByName(filled.select(order))
 
 
 def require_candidates(df: DataFrame, column: str) -> None:
     """Raise when something is missing but nothing can be copied."""
-    valid = geo.valid_point(F.col("latitude"), F.col("longitude"))
     row = df.agg(F.max(F.col(column).isNull()).alias("missing"),
-                 F.max(F.col(column).isNotNull() & valid).alias("usable")).first()
+                 F.max(F.col(column).isNotNull() & geo.valid_point()).alias("usable")).first()
     if row["missing"] and not row["usable"]:
         raise ValueError(f"cannot impute {column}: no valid candidate coordinates")
 
 
-def level_for(km: float) -> int:
-    """Finest level whose cube side still covers the distance."""
-    return max(0, min(FINEST, int(math.floor(math.log2(TOP_SIDE / max(geo.chord(km), 1e-12))))))
-
-
 def pairs_within(left: DataFrame, right: DataFrame, reach_km: float | Column, on: Sequence[str] = ()) -> DataFrame:
     """Pairs (left, right) no farther apart than the left row's reach, with their distance ``km``.
 
@@ -100,26 +77,22 @@ def pairs_within(left: DataFrame, right: DataFrame, reach_km: float | Column, on
     on = list(on)
     fixed = not isinstance(reach_km, Column)
     reach = F.lit(float(reach_km)) if fixed else reach_km
-    level = F.floor(F.log2(F.lit(TOP_SIDE) / F.greatest(geo.chord_column(reach), F.lit(1e-12)))).cast("int")
-    level = F.least(F.greatest(level, F.lit(0)), F.lit(FINEST))
-    levels = F.array(F.lit(level_for(reach_km))) if fixed else _every_level()
-    probe = (left.withColumn("_reach", reach).filter(F.col("_reach") >= 0)
-             .withColumn("_level", F.lit(level_for(reach_km)) if fixed else level)
-             .withColumn("_cell", F.explode(geo.touching_cells(
-                 _cell(F.col("latitude"), F.col("longitude"), F.col("_level"))))))
-    build = _at_levels(right, levels)
-    lhs = probe.select(*on, "_level", "_cell", "_reach", *[F.col(c).alias(f"l_{c}") for c in left.columns])
+    probe = left.withColumn("_reach", reach).filter("_reach >= 0")
+    probe = probe.withColumn("_level", F.lit(geo.level_for(reach_km)) if fixed else geo.level_sql("_reach"))
+    probe = probe.withColumn("_own", geo.cell("latitude", "longitude", "_level"))
+    build = _at_levels(right, f"array({geo.level_for(reach_km)})" if fixed else EVERY_LEVEL)
+    lhs = probe.select(*on, "_level", "_reach", F.explode(geo.touching_cells("_own")).alias("_cell"),
+                       *[F.col(c).alias(f"l_{c}") for c in left.columns])
     rhs = build.select(*on, "_level", "_cell", *[F.col(c).alias(f"r_{c}") for c in right.columns])
-    km = geo.haversine_km(F.col("l_latitude"), F.col("l_longitude"), F.col("r_latitude"), F.col("r_longitude"))
+    km = geo.haversine_km("l_latitude", "l_longitude", "r_latitude", "r_longitude")
     return (lhs.join(rhs, [*on, "_level", "_cell"]).withColumn("km", km)
-            .filter(F.col("km") <= F.col("_reach")).drop("_level", "_cell", "_reach"))
+            .filter("km <= _reach").drop("_level", "_cell", "_reach"))
 
 
 def within_radius(df: DataFrame, latitude: float, longitude: float, radius_km: float) -> DataFrame:
     """Rows no farther than the radius from a point, with a box pre-filter."""
-    box = geo.bounding_box(F.col("latitude"), F.col("longitude"), latitude, longitude, radius_km)
-    km = geo.haversine_km(F.lit(latitude), F.lit(longitude), F.col("latitude"), F.col("longitude"))
-    return df.filter(box).filter(km <= radius_km)
+    km = geo.haversine_km(f"{float(latitude)}D", f"{float(longitude)}D", "latitude", "longitude")
+    return df.filter(geo.bounding_box(latitude, longitude, radius_km)).filter(km <= radius_km)
 
 
 def diameter_km(df: DataFrame, on: Sequence[str], levels: Sequence[int] = (5, 9)) -> DataFrame:
@@ -132,14 +105,13 @@ def diameter_km(df: DataFrame, on: Sequence[str], levels: Sequence[int] = (5, 9)
     on = list(on)
     alive = df.select(*on, "latitude", "longitude").distinct()
     for level in levels:
-        diagonal = math.sqrt(3.0) * TOP_SIDE / 2 ** level
-        placed = alive.withColumn("_cell", _cell(F.col("latitude"), F.col("longitude"), F.lit(level)))
+        diagonal = math.sqrt(3.0) * geo.TOP_SIDE / 2 ** level
+        placed = alive.withColumn("_cell", geo.cell("latitude", "longitude", str(level)))
         cubes = cut_lineage(placed.groupBy(*on, "_cell").agg(F.min(F.struct("latitude", "longitude")).alias("_p")))
         a = cubes.select(*on, F.col("_cell").alias("_ca"), F.col("_p").alias("_pa"))
         b = cubes.select(*on, F.col("_cell").alias("_cb"), F.col("_p").alias("_pb"))
-        span = geo.chord_column(geo.haversine_km(F.col("_pa.latitude"), F.col("_pa.longitude"),
-                                                 F.col("_pb.latitude"), F.col("_pb.longitude")))
-        far = a.join(b, on).withColumn("_span", span)
+        km = geo.haversine_km("_pa.latitude", "_pa.longitude", "_pb.latitude", "_pb.longitude")
+        far = a.join(b, on).withColumn("_km", km).withColumn("_span", F.expr(geo.chord_sql("_km")))
         best = far.groupBy(*on).agg(F.max("_span").alias("_best"))
         reach = far.groupBy(*on, F.col("_ca").alias("_cell")).agg(F.max("_span").alias("_span"))
         cells = cut_lineage(reach.join(best, on).filter(F.col("_span") + 2 * diagonal >= F.col("_best"))
@@ -147,5 +119,5 @@ def diameter_km(df: DataFrame, on: Sequence[str], levels: Sequence[int] = (5, 9)
         alive = placed.join(cells, [*on, "_cell"], "left_semi").drop("_cell")
     a = alive.select(*on, F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"))
     b = alive.select(*on, F.col("latitude").alias("_lb"), F.col("longitude").alias("_lp"))
-    km = geo.haversine_km(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_lp"))
+    km = geo.haversine_km("_la", "_lo", "_lb", "_lp")
     return a.join(b, on).groupBy(*on).agg(F.max(km).alias("diameter_km"))

@@ -151,8 +151,7 @@ def _(spark, sf):
  {fx.km_sql('home', 'x')} AS km FROM dims x, (SELECT 40.4168::DOUBLE AS latitude, -3.7038::DOUBLE AS longitude) home""",
                                     d="km"))
 def _(spark, sf):
-    return fx.dims(spark, sf).select("id", haversine_km(
-        F.lit(40.4168), F.lit(-3.7038), F.col("latitude"), F.col("longitude")).alias("km"))
+    return fx.dims(spark, sf).select("id", haversine_km("40.4168D", "-3.7038D", "latitude", "longitude").alias("km"))
 
 
 @query("mth02_cyclic", with_ctes([fx.WK], """SELECT id, date, sin(2 * pi() * week(date) / 52.0) AS week_sin,
