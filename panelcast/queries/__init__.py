@@ -4,6 +4,7 @@ from panelcast.queries import (  # noqa: F401  (importing registers)
     q_forecast,
     q_joins,
     q_profile,
+    q_runs,
     q_text,
     q_transfer,
     q_windows,
