@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast import config
@@ -137,30 +137,35 @@ def _fitted(series: DataFrame, horizon: int, keys: Sequence[str], solve) -> Data
 
     One task gets one series at a time: at most one row per week of one entity, whatever the data volume.
     """
-    keys = list(keys)
+    keys, grid = list(keys), config.GRID_DAYS
     types = {f.name: f.dataType.simpleString() for f in series.schema.fields}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["h int", "prediction double", "error string",
                                                             "_end date", "_last double"])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["storage"]).sort_values("date")
-        labels = dict(zip(keys, key))
+    def run(key: tuple, series_table: pa.Table) -> pa.Table:
+        days = series_table.column("date").cast(pa.int32()).to_numpy()
+        values = series_table.column("storage").to_numpy()
+        known = np.flatnonzero(~np.isnan(values))
+        order = known[np.argsort(days[known])]
+        days, values = days[order].astype(float), values[order]
         try:
-            if pdf.empty:
+            if not len(values):
                 raise ValueError("empty series")
-            values = pdf["storage"].to_numpy(float)
-            days = pd.to_datetime(pdf["date"]).to_numpy("datetime64[D]").astype(float)
-            curve = solve(days, values, days[-1] + config.GRID_DAYS * np.arange(1, horizon + 1))
+            curve = solve(days, values, days[-1] + grid * np.arange(1, horizon + 1))
             if not np.isfinite(curve).all():
                 raise ValueError("the fitted curve is not finite")
-            return pd.DataFrame({**labels, "h": np.arange(1, horizon + 1, dtype="int32"), "prediction": curve,
-                                 "error": None, "_end": pdf["date"].iloc[-1], "_last": values[-1]})
+            rows, end, error = len(curve), int(days[-1]), None
+            columns = [np.arange(1, rows + 1, dtype="int32"), curve, [error] * rows,
+                       pa.array([end] * rows, pa.int32()).cast(pa.date32()), [values[-1]] * rows]
         except (ValueError, np.linalg.LinAlgError) as exc:
-            return pd.DataFrame({**labels, "h": [None], "prediction": [None], "error": [str(exc)],
-                                 "_end": [None], "_last": [None]})
+            rows, columns = 1, [[None], [None], [str(exc)], [None], [None]]
+        tail = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.string(), pa.date32(),
+                                                         pa.float64()))]
+        heads = [pa.array([k.as_py()] * rows, k.type) for k in key]
+        return pa.Table.from_arrays(heads + tail, names=[*keys, "h", "prediction", "error", "_end", "_last"])
 
     raw = series.select(*keys, "date", F.col("storage").cast("double").alias("storage"))
-    fitted = raw.groupBy(*keys).applyInPandas(run, schema)
+    fitted = raw.groupBy(*keys).applyInArrow(run, schema)
     anchored = fitted.withColumn("prediction", anchor("prediction", "_last", keys))
     lifted = anchored.withColumn("prediction", F.when(F.col("error").isNull(), lift_negatives("prediction", keys)))
     return lifted.select(*keys, "h", F.date_add("_end", F.col("h") * config.GRID_DAYS).alias("date"), "prediction",
