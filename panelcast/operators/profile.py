@@ -42,8 +42,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Counts of equal-width bins between the smallest and the largest value; the last bin is closed."""
     v = F.col(column)
     known = df.filter(v.isNotNull())
-    low, high = known.agg(F.min(column)).scalar(), known.agg(F.max(column)).scalar()
-    width = F.nullif(high - low, F.lit(0.0))
+    ends = known.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
+    low, width = ends["low"], F.nullif(ends["high"] - ends["low"], F.lit(0.0))
     bucket = F.coalesce(F.least(F.lit(bins - 1), F.floor((v - low) * bins / width)), F.lit(0))
     return known.groupBy(bucket.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
 

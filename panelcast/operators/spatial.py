@@ -11,6 +11,10 @@ from panelcast.functions import geo
 from panelcast.session import cut_lineage
 
 EVERY_LEVEL = f"sequence(0, {geo.FINEST})"
+# Levels up to COARSE (cubes of 25 km and more) are salted in the search for occupied cubes
+COARSE = 10
+SALTS = 32
+FEW_POINTS = 2000
 
 
 def _at_levels(df: DataFrame, levels: str) -> DataFrame:
@@ -29,8 +33,12 @@ def nearest(targets: DataFrame, candidates: DataFrame, value: str, id_col: str =
     best_of_point = (candidates.groupBy("latitude", "longitude")
                      .agg(F.min(F.struct(F.col(id_col).alias("id"), F.col(value).alias("value"))).alias("_hit")))
     placed = _at_levels(best_of_point, EVERY_LEVEL)
-    occupied = placed.select("_level", "_cell").distinct()
-    finest = (_at_levels(points, EVERY_LEVEL).join(occupied, ["_level", "_cell"])
+    # A coarse cube holds most targets, so its single row is copied once per salt and its targets are spread
+    salts = F.expr(f"IF(_level <= {COARSE}, sequence(0, {SALTS - 1}), array(0))")
+    occupied = placed.select("_level", "_cell").distinct().withColumn("_salt", F.explode(salts))
+    probe = _at_levels(points, EVERY_LEVEL).withColumn("_salt", F.expr(
+        f"IF(_level <= {COARSE}, CAST(pmod(xxhash64(latitude, longitude), {SALTS}) AS INT), 0)"))
+    finest = (probe.join(occupied, ["_level", "_cell", "_salt"])
               .groupBy("latitude", "longitude").agg(F.max("_level").alias("_found")))
     search = (finest.withColumn("_level", F.expr("greatest(_found - 1, 0)"))
               .withColumn("_own", geo.cell("latitude", "longitude", "_level"))
@@ -95,29 +103,31 @@ def within_radius(df: DataFrame, latitude: float, longitude: float, radius_km: f
     return df.filter(geo.bounding_box(latitude, longitude, radius_km)).filter(km <= radius_km)
 
 
-def diameter_km(df: DataFrame, on: Sequence[str], levels: Sequence[int] = (5, 9)) -> DataFrame:
+def diameter_km(df: DataFrame, on: Sequence[str], levels: Sequence[int] = (5, 9, 13, 17)) -> DataFrame:
     """Largest distance between two points of each group, exact, without forming all pairs of points.
 
-    Points are gathered into cubes. A pair of cubes can hold the farthest pair only if the distance of two members
-    plus both diagonals reaches the best distance seen so far. Surviving cubes are split into finer ones; their
-    number is bounded by the geometry of the sphere, not by the number of points.
+    Points are gathered into cubes. A cube can hold an end of the farthest pair only if its longest distance to
+    another cube plus both diagonals reaches the best distance seen so far. Surviving cubes are split into finer
+    ones until few points are left; the number of cubes is bounded by the geometry of the sphere, not by the data.
     """
     on = list(on)
     alive = df.select(*on, "latitude", "longitude").distinct()
     for level in levels:
         diagonal = math.sqrt(3.0) * geo.TOP_SIDE / 2 ** level
         placed = alive.withColumn("_cell", geo.cell("latitude", "longitude", str(level)))
-        cubes = cut_lineage(placed.groupBy(*on, "_cell").agg(F.min(F.struct("latitude", "longitude")).alias("_p")))
-        a = cubes.select(*on, F.col("_cell").alias("_ca"), F.col("_p").alias("_pa"))
-        b = cubes.select(*on, F.col("_cell").alias("_cb"), F.col("_p").alias("_pb"))
+        cubes = cut_lineage(placed.groupBy(*on, "_cell").agg(
+            F.min(F.struct("latitude", "longitude")).alias("_p"), F.count(F.lit(1)).alias("_n")))
+        a = cubes.select(*on, F.col("_cell").alias("_ca"), F.col("_n").alias("_n"), F.col("_p").alias("_pa"))
+        b = cubes.select(*on, F.col("_p").alias("_pb"))
         km = geo.haversine_km("_pa.latitude", "_pa.longitude", "_pb.latitude", "_pb.longitude")
         far = a.join(b, on).withColumn("_km", km).withColumn("_span", F.expr(geo.chord_sql("_km")))
-        best = far.groupBy(*on).agg(F.max("_span").alias("_best"))
-        reach = far.groupBy(*on, F.col("_ca").alias("_cell")).agg(F.max("_span").alias("_span"))
-        cells = cut_lineage(reach.join(best, on).filter(F.col("_span") + 2 * diagonal >= F.col("_best"))
-                            .select(*on, "_cell"))
-        alive = placed.join(cells, [*on, "_cell"], "left_semi").drop("_cell")
+        reach = cut_lineage(far.groupBy(*on, "_ca").agg(F.max("_span").alias("_span"), F.max("_n").alias("_n")))
+        best = reach.groupBy(*on).agg(F.max("_span").alias("_best"))
+        cells = (reach.join(best, on).filter(F.col("_span") + 2 * diagonal >= F.col("_best"))
+                 .select(*on, F.col("_ca").alias("_cell"), "_n"))
+        alive = placed.join(cells.drop("_n"), [*on, "_cell"], "left_semi").drop("_cell")
+        if (cells.agg(F.sum("_n")).first()[0] or 0) <= FEW_POINTS:
+            break
     a = alive.select(*on, F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"))
     b = alive.select(*on, F.col("latitude").alias("_lb"), F.col("longitude").alias("_lp"))
-    km = geo.haversine_km("_la", "_lo", "_lb", "_lp")
-    return a.join(b, on).groupBy(*on).agg(F.max(km).alias("diameter_km"))
+    return a.join(b, on).groupBy(*on).agg(F.max(geo.haversine_km("_la", "_lo", "_lb", "_lp")).alias("diameter_km"))
