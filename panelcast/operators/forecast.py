@@ -96,33 +96,38 @@ def lagged(values: np.ndarray, lags: Sequence[int], start: int) -> np.ndarray:
     return np.column_stack([values[start - lag:len(values) - lag] for lag in lags])
 
 
-def fit_arima(values: np.ndarray, horizon: int, season: int = config.SEASONAL_LAG) -> np.ndarray:
-    """Two-stage least squares for a seasonal ARIMA(1,1,1)(1,1,1).
+def estimate_arima(w: np.ndarray, season: int) -> tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]:
+    """Two-stage least squares on a differenced series: lags, AR and shock weights, estimated shocks.
 
-    The series is differenced once and once per season. A long autoregression estimates the shocks; a second
-    regression uses one, season and season-plus-one lags of the differences and of the shocks.
+    A long autoregression estimates the shocks; a second regression uses one, season and season-plus-one lags of
+    the differences and of the shocks. A series too short for seasonal lags keeps the first lag only.
     """
-    w = values[season + 1:] - values[season:-1] - values[1:-season] + values[:-season - 1]
-    if len(values) < season + 1 + MIN_DIFFERENCED_ROWS:
-        raise ValueError(f"at least {season + 1 + MIN_DIFFERENCED_ROWS} observations are needed")
-    # Short series cannot feed a season-long autoregression; a quarter of a year is kept then
     long_lags = range(1, min(LONG_AR, len(w) // 4) + 1)
-    stage_one = lagged(w, long_lags, len(long_lags))
-    ar = np.linalg.lstsq(stage_one, w[len(long_lags):], rcond=None)[0]
-    shocks = np.r_[np.zeros(len(long_lags)), w[len(long_lags):] - stage_one @ ar]
-    lags = (1, season, season + 1)
-    if len(w) > season + 1 + 4 * 2 * len(lags):
-        start = season + 1
-    else:
-        lags, start = (1,), len(long_lags) + 1
+    first = len(long_lags)
+    stage_one = lagged(w, long_lags, first)
+    ar = np.linalg.lstsq(stage_one, w[first:], rcond=None)[0]
+    shocks = np.r_[np.zeros(first), w[first:] - stage_one @ ar]
+    lags: tuple[int, ...] = (1, season, season + 1)
+    start = season + 1
+    if len(w) <= start + 8 * len(lags):
+        lags, start = (1,), first + 1
     x = np.column_stack([lagged(w, lags, start), lagged(shocks, lags, start)])
     gram = x.T @ x
-    coefficients = np.linalg.lstsq(gram + np.eye(len(gram)) * 1e-6 * max(np.trace(gram), 1e-12), x.T @ w[start:],
-                                   rcond=None)[0]
+    ridge = 1e-6 * max(np.trace(gram), 1e-12) * np.eye(len(gram))
+    coefficients = np.linalg.lstsq(gram + ridge, x.T @ w[start:], rcond=None)[0]
     # Roots outside the unit circle would make a year of recursion explode; the cross term is their product
     phi, theta = np.clip(coefficients[:len(lags)], -0.98, 0.98), coefficients[len(lags):]
     if len(lags) == 3:
         phi[2] = -phi[0] * phi[1]
+    return lags, phi, theta, shocks
+
+
+def fit_arima(values: np.ndarray, horizon: int, season: int = config.SEASONAL_LAG) -> np.ndarray:
+    """Seasonal ARIMA(1,1,1)(1,1,1): difference once and once per season, estimate, roll forward, undo both."""
+    if len(values) < season + 1 + MIN_DIFFERENCED_ROWS:
+        raise ValueError(f"at least {season + 1 + MIN_DIFFERENCED_ROWS} observations are needed")
+    w = values[season + 1:] - values[season:-1] - values[1:-season] + values[:-season - 1]
+    lags, phi, theta, shocks = estimate_arima(w, season)
     diffs, errors, level = list(w), list(shocks), list(values)
     for _ in range(horizon):
         step = sum(p * diffs[-lag] for p, lag in zip(phi, lags)) + sum(t * errors[-lag] for t, lag in zip(theta, lags))

@@ -64,7 +64,7 @@ def fill_from_nearest(df: DataFrame, column: str, id_col: str = "id") -> DataFra
     filled = (df.filter(fillable).join(patch, ["latitude", "longitude"], "left")
               .withColumn(column, F.col("_near")).withColumn(f"{column}_imputed", F.col("_near").isNotNull()))
     kept = df.filter(~fillable).withColumn(f"{column}_imputed", F.lit(False))
-    order = [*df.columns, f"{column}_imputed"]
+    order = list(dict.fromkeys([*df.columns, f"{column}_imputed"]))
     return kept.select(order).unionByName(filled.select(order))
 
 

@@ -334,6 +334,13 @@ def _(spark, sf):
     return ids.orderBy(F.xxhash64("id", F.lit(27)), "id").limit(10)
 
 
+@query("dq01_required_columns", with_ctes([fx.WK], "SELECT id, date, storage FROM wk", t="date"))
+def _(spark, sf):
+    readings = fx.readings(spark, sf)
+    dq.require_columns(readings, ["id", "date", "storage"], "readings")
+    return readings
+
+
 @query("dq02_panel_violations", """SELECT count(*) FILTER (id IS NULL) AS null_keys,
  count(*) FILTER (storage < 0) AS negative_values, count(*) FILTER (id IS NOT NULL) - count(DISTINCT CASE WHEN id IS NOT NULL
  THEN id * 100000000 + year(date) * 10000 + month(date) * 100 + day(date) END) AS duplicate_rows FROM (SELECT

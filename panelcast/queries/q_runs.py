@@ -78,6 +78,13 @@ def _(spark, sf):
     return readers.sample_panel(fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
+@query("snk01_write_csv", with_ctes([fx.PANEL], "SELECT id, date, storage FROM panel", t="date"))
+def _(spark, sf):
+    path = scratch_path(spark, "csv")
+    writers.write_csv(fx.panel(spark, sf).select("id", "date", "storage"), f"{path}/tables/panel")
+    return readers.read_csv(spark, f"{path}/tables/panel", "id long, date date, storage double")
+
+
 @query("snk02_replace_table", with_ctes([fx.WK], "SELECT id, date, storage * 2 AS storage FROM wk", t="date"))
 def _(spark, sf):
     path = scratch_path(spark, "replaced")

@@ -188,6 +188,31 @@ def weekly_features(spark, sf):
     return ft.build_features(fx.panel(spark, sf), fx.capacity(spark, sf, gaps=False))
 
 
-@query("extended_features")
+def extended_sql() -> str:
+    lags = (1, 2, 3, 4, 8, 12, 13, 26, 39, 52)
+    made = [lag_sql(lags), lag_sql(lags, "fraction"), rolling_sql(PARTIAL, full=False), EXTREMES, CHANGES]
+    made += [f"CASE WHEN count(storage) {frame(n)} = {n} THEN regr_slope(storage, t) {frame(n)} END AS storage_trend_{n}w, "
+             f"CASE WHEN count(storage) {frame(n)} = {n} THEN stddev_samp(storage) {frame(n)} / nullif(avg(storage) {frame(n)}, 0) "
+             f"END AS storage_volatility_{n}w" for n in (4, 12)]
+    made += [f"storage - avg(storage) {frame(n)} AS storage_vs_{n}w_mean" for n in PARTIAL]
+    fresh = ([f"{v}_lag_{n}w" for v in ("storage", "fraction") for n in lags]
+             + [f"storage_{k}_{n}w" for k in ("mean", "std", "min", "max") for n in PARTIAL]
+             + [f"storage_change_{n}w" for n in (1, 4, 12)] + [f"fraction_change_{n}w" for n in (1, 4)]
+             + [f"storage_{k}_{n}w" for k in ("trend", "volatility") for n in (4, 12)]
+             + [f"storage_vs_{n}w_mean" for n in PARTIAL])
+    filled = ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER past, first_value({c} IGNORE NULLS) OVER future) AS {c}"
+                       for c in fresh)
+    ctes = [FRACTION, """base AS (SELECT fr.*, p.storage_imputed, c.capacity, CAST(row_number() OVER (PARTITION BY fr.id
+ ORDER BY fr.date) AS DOUBLE) AS t FROM fr JOIN panel p ON p.id = fr.id AND p.date = fr.date JOIN fullcap c ON c.id = fr.id)""",
+            f"wide AS (SELECT id, date, storage, storage_imputed, capacity, fraction, {', '.join(made)} FROM base)"]
+    body = f"""SELECT id, date, storage, storage_imputed, capacity, fraction, week(date) AS week_of_year, year(date) AS year,
+ month(date) AS month, dayofyear(date) AS day_of_year, CAST(month(date) BETWEEN 6 AND 9 AS BIGINT) AS is_summer,
+ CAST(month(date) IN (12, 1, 2) AS BIGINT) AS is_winter, {filled} FROM wide
+ WINDOW past AS (PARTITION BY id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+ future AS (PARTITION BY id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+    return with_ctes(ctes, body, t="date", d="capacity fraction " + " ".join(fresh))
+
+
+@query("extended_features", extended_sql())
 def _(spark, sf):
     return ft.extended_features(fx.panel(spark, sf), fx.capacity(spark, sf, gaps=False))
