@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelcast.session import cut_lineage
+
 BINS = 256
 SALTS = 16
 
@@ -19,8 +21,9 @@ SALTS = 16
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """One row per group with a linearly interpolated quantile per named probability."""
     keys = list(keys)
-    pairs = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
-             .agg(F.count(F.lit(1)).alias("_n")))
+    # Stored once: the three passes below read the reduced pairs, never the input again
+    pairs = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
+                        .agg(F.count(F.lit(1)).alias("_n")))
     grid = [i / BINS for i in range(1, BINS)]
     cuts = pairs.groupBy(*keys).agg(F.percentile_approx("_v", grid, 10 * BINS).alias("_cuts"))
     if keys:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelcast.functions.dates import week_start
 from panelcast.operators.clean import weekly_panel
 from panelcast.operators.features import last_rows, trailing
+from panelcast.session import cut_lineage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -44,6 +45,16 @@ def capacity(spark: SparkSession, sf: str, factor: float = 1.1, gaps: bool = Tru
     return peak.withColumn("capacity", F.when(F.col("id") % 7 != 0, F.col("capacity"))) if gaps else peak
 
 
+def stored_panel(spark: SparkSession, sf: str, gaps: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The panel, written once for queries that read it along several branches, and the capacities from it.
+
+    Back-fills copy known values, so the peak of the panel is the peak of the readings.
+    """
+    weeks = cut_lineage(panel(spark, sf))
+    cap = weeks.groupBy("id").agg((F.max("storage") * F.lit(1.1)).alias("capacity"))
+    return weeks, cap.withColumn("capacity", F.when(F.col("id") % 7 != 0, F.col("capacity"))) if gaps else cap
+
+
 def no_capacity(spark: SparkSession, sf: str) -> DataFrame:
     """An empty capacity table: forecasts stay unbounded."""
     return capacity(spark, sf).filter(F.lit(False))
@@ -88,18 +99,18 @@ def level(spark: SparkSession, sf: str) -> DataFrame:
             .filter(F.col("storage").isNotNull()))
 
 
-def plan_capacity(spark: SparkSession, sf: str) -> DataFrame:
-    return level(spark, sf).groupBy("id").agg(
+def plan_capacity(levels: DataFrame) -> DataFrame:
+    return levels.groupBy("id").agg(
         (F.max("storage") * (F.lit(1.05) + (F.col("id") * 13 % 40) / F.lit(2.0))).alias("capacity"))
 
 
-def plan_curves(spark: SparkSession, sf: str) -> DataFrame:
+def plan_curves(levels: DataFrame) -> DataFrame:
     """The last 52 levels of each entity, used as its forecast curve."""
-    return last_rows(level(spark, sf), 52)
+    return last_rows(levels, 52)
 
 
-def plan_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return (dims(spark, sf).join(plan_capacity(spark, sf), "id")
+def plan_entities(spark: SparkSession, sf: str, levels: DataFrame) -> DataFrame:
+    return (dims(spark, sf).join(plan_capacity(levels), "id")
             .select("id", "name", "province", "community", "capacity", "latitude", "longitude"))
 
 

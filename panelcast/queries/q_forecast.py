@@ -72,7 +72,8 @@ TWO = """two AS (SELECT id, h, date, 'seasonal_naive' AS model, prediction FROM
 
 
 def two_forecasts(spark, sf):
-    return fc.run_models(fx.panel(spark, sf), fx.no_capacity(spark, sf), TWO_MODELS, config.HORIZON)
+    panel, capacity = fx.stored_panel(spark, sf)
+    return fc.run_models(panel, capacity.filter(F.lit(False)), TWO_MODELS, config.HORIZON)
 
 
 ENSEMBLE_SQL = """SELECT id, h, date, 'ensemble' AS model, sum(prediction * CASE model WHEN 'seasonal_naive' THEN 0.2::DOUBLE
@@ -118,12 +119,13 @@ BACKTEST = f"""{fx.PANEL}, {NUMBERED}, {SPLITS}, {fx.CAP}, naive_bt AS (SELECT t
 
 
 def backtested(spark, sf):
-    return bt.backtest(fx.panel(spark, sf), fx.capacity(spark, sf), TWO_MODELS)[0]
+    return bt.backtest(*fx.stored_panel(spark, sf), TWO_MODELS)[0]
 
 
 def metrics(spark, sf):
     """Backtest metrics, stored once: the summaries below read them several times."""
-    return cut_lineage(ev.error_metrics(backtested(spark, sf), fx.capacity(spark, sf)))
+    panel, capacity = fx.stored_panel(spark, sf)
+    return cut_lineage(ev.error_metrics(bt.backtest(panel, capacity, TWO_MODELS)[0], capacity))
 
 
 @query("fc06_rolling_splits", with_ctes([fx.PANEL, NUMBERED, SPLITS], 'SELECT id, origin, e AS "end" FROM splits'))
@@ -143,7 +145,8 @@ FOUR = "mae rmse nmae_capacity nrmse_capacity"
 
 @query("agg02_error_metrics", with_ctes([BACKTEST], "SELECT * FROM metrics", t="test_start", d=METRIC_COLUMNS))
 def _(spark, sf):
-    return ev.error_metrics(backtested(spark, sf), fx.capacity(spark, sf))
+    panel, capacity = fx.stored_panel(spark, sf)
+    return ev.error_metrics(bt.backtest(panel, capacity, TWO_MODELS)[0], capacity)
 
 
 FOLDS = """folds AS (SELECT DISTINCT id, n, i, n - 52 * (n // 52) + 52 * (i + 4) AS e FROM numbered,
@@ -154,8 +157,9 @@ FOLDS = """folds AS (SELECT DISTINCT id, n, i, n - 52 * (n // 52) + 52 * (i + 4)
  t.storage AS actual, p.storage AS prediction FROM folds f JOIN numbered t ON t.id = f.id AND t.rn > f.e AND t.rn <= f.e + 52
  JOIN numbered p ON p.id = f.id AND p.rn = t.rn - 52""", t="date"))
 def _(spark, sf):
-    train, test = bt.fold_blocks(fx.panel(spark, sf))
-    return bt.score(train, test, fx.no_capacity(spark, sf), {"seasonal_naive": fc.seasonal_naive},
+    panel, capacity = fx.stored_panel(spark, sf)
+    train, test = bt.fold_blocks(panel)
+    return bt.score(train, test, capacity.filter(F.lit(False)), {"seasonal_naive": fc.seasonal_naive},
                     include_ensemble=False)[0].drop("model")
 
 
@@ -229,7 +233,8 @@ LAST = "last AS (SELECT id, arg_max(storage, date) AS last_known_value FROM leve
  quantile_cont(storage, 0.1) AS low_forecasted_value, median(storage) AS median_forecasted_value
  FROM curves c JOIN last ON last.id = c.id GROUP BY c.id""", d="last_known_value low_forecasted_value median_forecasted_value"))
 def _(spark, sf):
-    return ev.forecast_summary(fx.level(spark, sf), fx.plan_curves(spark, sf), "storage")
+    levels = cut_lineage(fx.level(spark, sf))
+    return ev.forecast_summary(levels, fx.plan_curves(levels), "storage")
 
 
 @query("agg11_order_statistics", with_ctes([fx.LEVEL, LAST, "v AS (SELECT id, list_sort(list(storage)) AS v FROM curves GROUP BY id)"],
@@ -237,7 +242,8 @@ def _(spark, sf):
  v[27] AS median_forecasted_value FROM v JOIN last ON last.id = v.id""",
                                            d="last_known_value low_forecasted_value high_forecasted_value median_forecasted_value"))
 def _(spark, sf):
-    return ev.order_statistics(fx.level(spark, sf), fx.plan_curves(spark, sf), "storage")
+    levels = cut_lineage(fx.level(spark, sf))
+    return ev.order_statistics(levels, fx.plan_curves(levels), "storage")
 
 
 @query("dq05_coverage", with_ctes([BACKTEST, """kept AS (SELECT * FROM metrics WHERE NOT (id % 4 = 1 AND origin = 2)),
@@ -270,17 +276,19 @@ def _(spark, sf):
 
 @query("fc02_trend_seasonal")
 def _(spark, sf):
-    return fc.bounded(fc.trend_seasonal(fx.panel(spark, sf)), fx.capacity(spark, sf))
+    panel, capacity = fx.stored_panel(spark, sf)
+    return fc.bounded(fc.trend_seasonal(panel), capacity)
 
 
 @query("fc03_sarima")
 def _(spark, sf):
-    return fc.bounded(fc.sarima(fx.panel(spark, sf)), fx.capacity(spark, sf))
+    panel, capacity = fx.stored_panel(spark, sf)
+    return fc.bounded(fc.sarima(panel), capacity)
 
 
 @query("fc05_forecast_panel")
 def _(spark, sf):
-    return fc.forecast_panel(fx.panel(spark, sf), fx.capacity(spark, sf))[0]
+    return fc.forecast_panel(*fx.stored_panel(spark, sf))[0]
 
 
 @query("fc05_forecast_failures", with_ctes([fx.ORDERS_WK], """SELECT id, 'sarima' AS model,
@@ -297,8 +305,8 @@ def _(spark, sf):
 
 @query("fc07_backtest_all_models")
 def _(spark, sf):
-    predictions, _ = bt.backtest(fx.panel(spark, sf), fx.capacity(spark, sf, gaps=False), fc.MODELS)
-    return ev.rank_models(ev.error_metrics(predictions, fx.capacity(spark, sf, gaps=False)))
+    panel, capacity = fx.stored_panel(spark, sf, gaps=False)
+    return ev.rank_models(ev.error_metrics(bt.backtest(panel, capacity, fc.MODELS)[0], capacity))
 
 
 @query("snk04_decision_record")

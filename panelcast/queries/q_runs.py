@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelcast import config
 from panelcast.operators import backtest as bt, features as ft, forecast as fc, incremental as inc, learn
 from panelcast.queries import fixtures as fx
-from panelcast.queries.q_forecast import BACKTEST, NAIVE, NUMBERED, backtested, metrics
+from panelcast.queries.q_forecast import BACKTEST, NAIVE, NUMBERED, TWO_MODELS, metrics
 from panelcast.queries.registry import query, with_ctes
 from panelcast.session import scratch_path
 from panelcast.sources import readers, writers
@@ -130,7 +130,8 @@ def _(spark, sf):
                                           t="date"))
 def _(spark, sf):
     path = scratch_path(spark, "ledger")
-    panel, cap = fx.panel(spark, sf), fx.no_capacity(spark, sf)
+    panel, cap = fx.stored_panel(spark, sf)
+    cap = cap.filter(F.lit(False))
     inc.forecast_with_ledger(spark, panel.filter("id % 3 <> 0"), cap, path, ["seasonal_naive"])
     forecasts, _ = inc.forecast_with_ledger(spark, panel, cap, path, ["seasonal_naive"])
     return forecasts.drop("digest")
@@ -148,7 +149,7 @@ def _(spark, sf):
 @query("inc03_resumed_evaluation")
 def _(spark, sf):
     path = scratch_path(spark, "metrics")
-    panel, cap = fx.panel(spark, sf), fx.capacity(spark, sf, gaps=False)
+    panel, cap = fx.stored_panel(spark, sf, gaps=False)
     ids = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("position"))
     half = fx.table(spark, sf, "supplier").count() // 2
     inc.evaluate_with_ledger(spark, panel, cap, ids, "validation", ["seasonal_naive"], path, limit=half)
@@ -210,7 +211,8 @@ def _(spark, sf):
  GROUP BY id)"""], """SELECT p.id, p.date, 'observed' AS series, storage AS value FROM panel p JOIN span s ON s.id = p.id
  AND p.date >= s.f - INTERVAL 48 MONTH AND p.date <= s.t UNION ALL SELECT id, date, model, prediction FROM latest""", t="date", d="value"))
 def _(spark, sf):
-    return inc.validation_report(fx.panel(spark, sf), backtested(spark, sf))
+    panel, capacity = fx.stored_panel(spark, sf)
+    return inc.validation_report(panel, bt.backtest(panel, capacity, TWO_MODELS)[0])
 
 
 @query("win16_report_window", with_ctes([BACKTEST, """span AS (SELECT id, min(date) AS f, max(date) AS t FROM (SELECT b.* FROM
@@ -218,7 +220,8 @@ def _(spark, sf):
                                         """SELECT p.id, count(*) AS rows, min(p.date) AS first_date, max(p.date) AS last_date FROM panel p JOIN span s ON s.id = p.id
  AND p.date >= s.f - INTERVAL 48 MONTH AND p.date <= s.t GROUP BY p.id""", t="first_date last_date"))
 def _(spark, sf):
-    report = inc.validation_report(fx.panel(spark, sf), backtested(spark, sf)).filter("series = 'observed'")
+    panel, capacity = fx.stored_panel(spark, sf)
+    report = inc.validation_report(panel, bt.backtest(panel, capacity, TWO_MODELS)[0]).filter("series = 'observed'")
     return report.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"),
                                     F.max("date").alias("last_date"))
 
@@ -267,7 +270,7 @@ def _(spark, sf):
 
 @query("fc09_boosted_trees")
 def _(spark, sf):
-    return learn.boosted(fx.panel(spark, sf), fx.capacity(spark, sf, gaps=False), trees=10, depth=4)
+    return learn.boosted(*fx.stored_panel(spark, sf, gaps=False), trees=10, depth=4)
 
 
 TRAIN = "fold AS (SELECT *, id % 5 = 0 AS held FROM points)"

@@ -15,15 +15,16 @@ NEAR = TransferConfig(max_distance_km=250.0)
 
 
 def state(spark, sf):
-    curves = fx.plan_curves(spark, sf)
-    summary = ev.forecast_summary(fx.level(spark, sf), curves, "storage")
-    entities = fx.plan_entities(spark, sf).withColumnRenamed("community", "region")
+    levels = cut_lineage(fx.level(spark, sf))
+    summary = ev.forecast_summary(levels, fx.plan_curves(levels), "storage")
+    entities = fx.plan_entities(spark, sf, levels).withColumnRenamed("community", "region")
     return cut_lineage(tp.prepare_state(entities, summary, NEAR))
 
 
 def balanced(spark, sf):
-    summary = ev.order_statistics(fx.level(spark, sf), fx.plan_curves(spark, sf), "storage")
-    entities = fx.plan_entities(spark, sf).withColumnRenamed("community", "region")
+    levels = cut_lineage(fx.level(spark, sf))
+    summary = ev.order_statistics(levels, fx.plan_curves(levels), "storage")
+    entities = fx.plan_entities(spark, sf, levels).withColumnRenamed("community", "region")
     return cut_lineage(tp.balanced_state(entities, summary, NEAR))
 
 
@@ -174,7 +175,7 @@ def _(spark, sf):
                                      t="date", d="fraction"))
 def _(spark, sf):
     s = balanced(spark, sf)
-    return tp.curves_after(fx.plan_curves(spark, sf), tp.best_acceptable(s, NEAR), s, "storage")
+    return tp.curves_after(fx.plan_curves(fx.level(spark, sf)), tp.best_acceptable(s, NEAR), s, "storage")
 
 
 @query("tp12_balanced_plan")
