@@ -15,9 +15,9 @@ from pyspark.sql import Column, functions as F
 
 from panelcast.config import EARTH_RADIUS_KM
 
-# Cube sides halve per level: level 0 holds the whole sphere, level 18 is about 100 m
+# Cube sides halve per level: level 0 holds the whole sphere, level 22 is about 6 m
 TOP_SIDE = 4.0
-FINEST = 18
+FINEST = 22
 
 
 def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:

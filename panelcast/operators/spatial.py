@@ -1,4 +1,8 @@
-"""Nearest neighbour, range join and diameter over points, blocked by cube cells instead of cross joins."""
+"""Nearest neighbour, range join and diameter over points, blocked by cube cells instead of cross joins.
+
+Both sides of a cube join are exploded copies of their input. Spark's size estimate does not see that growth, so
+these joins ask for a merge join rather than risk a broadcast many times the allowed size.
+"""
 
 from __future__ import annotations
 
@@ -38,14 +42,14 @@ def nearest(targets: DataFrame, candidates: DataFrame, value: str, id_col: str =
     occupied = placed.select("_level", "_cell").distinct().withColumn("_salt", F.explode(salts))
     probe = _at_levels(points, EVERY_LEVEL).withColumn("_salt", F.expr(
         f"IF(_level <= {COARSE}, CAST(pmod(xxhash64(latitude, longitude), {SALTS}) AS INT), 0)"))
-    finest = (probe.join(occupied, ["_level", "_cell", "_salt"])
+    finest = (probe.join(occupied.hint("merge"), ["_level", "_cell", "_salt"])
               .groupBy("latitude", "longitude").agg(F.max("_level").alias("_found")))
     search = (finest.withColumn("_level", F.expr("greatest(_found - 1, 0)"))
               .withColumn("_own", geo.cell("latitude", "longitude", "_level"))
               .select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), "_level",
                       F.explode(geo.touching_cells("_own")).alias("_cell")))
     km = F.round(geo.haversine_km("_lat", "_lon", "latitude", "longitude"), 6)
-    return (search.join(placed, ["_level", "_cell"])
+    return (search.join(placed.hint("merge"), ["_level", "_cell"])
             .select("_lat", "_lon", F.struct(km.alias("km"), F.col("_hit.id").alias("id"),
                                              F.col("_hit.value").alias("value")).alias("_near"))
             .groupBy("_lat", "_lon").agg(F.min("_near").alias("_near"))
@@ -93,7 +97,7 @@ def pairs_within(left: DataFrame, right: DataFrame, reach_km: float | Column, on
                        *[F.col(c).alias(f"l_{c}") for c in left.columns])
     rhs = build.select(*on, "_level", "_cell", *[F.col(c).alias(f"r_{c}") for c in right.columns])
     km = geo.haversine_km("l_latitude", "l_longitude", "r_latitude", "r_longitude")
-    return (lhs.join(rhs, [*on, "_level", "_cell"]).withColumn("km", km)
+    return (lhs.join(rhs.hint("merge"), [*on, "_level", "_cell"]).withColumn("km", km)
             .filter("km <= _reach").drop("_level", "_cell", "_reach"))
 
 

@@ -25,6 +25,9 @@ def build_session(app: str = "panelcast", master: str | None = None, shuffle_par
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # Driver and executors share one JVM here; a cluster sets its own sizes
+            builder = builder.config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
