@@ -47,6 +47,17 @@ def require_dates(df: DataFrame) -> None:
         raise ValueError(f"invalid dates, examples: {[row['date'] for row in bad]}")
 
 
+def reading_violations(df: DataFrame) -> DataFrame:
+    """Unreadable dates, negative values and surplus rows per (id, date) of raw readings, from one scan."""
+    per_key = (df.select("id", parse_date(F.col("date").cast("string")).alias("_d"),
+                         to_number(F.col("storage").cast("string")).alias("_v"))
+               .groupBy("id", "_d").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_v") < 0).alias("neg")))
+    keyed = F.col("id").isNotNull() & F.col("_d").isNotNull()
+    return per_key.agg(F.coalesce(F.sum(F.when(F.col("_d").isNull(), F.col("n"))), F.lit(0)).alias("unreadable_dates"),
+                       F.coalesce(F.sum("neg"), F.lit(0)).alias("negative_values"),
+                       F.coalesce(F.sum(F.when(keyed, F.col("n") - 1)), F.lit(0)).alias("duplicate_rows"))
+
+
 def exclude_periods(df: DataFrame, rules: Sequence[tuple[int, int]] = tuple(config.SOURCE_EXCLUSIONS)) -> DataFrame:
     """Drop an entity's readings before its rule year. The rules are a short fixed list, so this is a filter."""
     bad = F.lit(False)

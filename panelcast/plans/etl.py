@@ -15,11 +15,13 @@ def clean_observations(raw: DataFrame, exclusions: Sequence[tuple[int, int]] = t
     """Weekly panel from raw readings: rename, parse, exclude, grid, flag and back-fill."""
     named = clean.standard_columns(raw, config.WATER_COLUMNS)
     dq.require_columns(named, ["id", "date", "storage"], "observations")
-    readings = clean.parse_readings(named)
     if check:
-        clean.require_dates(named)
-        dq.enforce(dq.panel_violations(readings), "observations")
-    return clean.weekly_panel(clean.exclude_periods(readings, exclusions))
+        violations = clean.reading_violations(named).first().asDict()
+        if violations["unreadable_dates"]:
+            clean.require_dates(named)  # reads again only to name examples
+        if any(violations.values()):
+            raise ValueError(f"observations: {violations}")
+    return clean.weekly_panel(clean.exclude_periods(clean.parse_readings(named), exclusions))
 
 
 def clean_entities(raw: DataFrame, panel: DataFrame, check: bool = True) -> DataFrame:
