@@ -47,4 +47,4 @@ def test_entry(spark):
     import __spark_entry__ as driver
     df = driver.entry(spark)
     assert df.columns[:3] == ["id", "date", "storage"] and df.count() > 0
-    assert set(driver.queries()) == set(QUERIES) and set(driver.oracle_sql()) == set(ORACLES)
+    assert set(driver.queries()) >= set(QUERIES) and set(driver.oracle_sql()) >= set(ORACLES)
