@@ -19,7 +19,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from panelcast.llm.common import U, buffers, pack, pack_sorted, unpack, unpack_sorted
+from panelcast.llm.common import (U, buffers, pack, pack_planes, pack_sorted, unpack, unpack_planes,
+                                  unpack_sorted)
 
 #: Text of one batch; a longer text is a batch of its own
 BATCH_BYTES = 24 << 20
@@ -89,8 +90,16 @@ def cuts_of(values: np.ndarray, parts: int) -> np.ndarray:
     return np.append(np.searchsorted(values, borders), len(values))
 
 
+def _settle(table: pa.Table) -> pa.Table:
+    """One hash range of ``shared_hashes``: plain hashes, and entries whose first place matters."""
+    kinds = table.column("kind").to_numpy()
+    plain, first = table.filter(pa.array(kinds == 0)), table.filter(pa.array(kinds != 0))
+    tables = [f(t) for f, t in ((_shared, plain), (settle_firsts, first)) if len(t)]
+    return pa.concat_tables(tables)
+
+
 def _shared(table: pa.Table) -> pa.Table:
-    """One hash range: for every batch, those of its hashes that occur more than once in all."""
+    """For every batch, those of its hashes that occur more than once in all."""
     names = table.column("batch").to_numpy()
     lists = [unpack_sorted(x) for x in table.column("a").to_pylist()]
     many = [np.unpackbits(unpack(x, np.uint8))[:len(v)].astype(bool)
@@ -112,23 +121,29 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def shared_hashes(docs: DataFrame, hashes_of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
-                  parts: int) -> DataFrame:
+                  parts: int, firsts_of: Callable | None = None) -> DataFrame:
     """Rows of kind 1: for each batch of ``docs(key, text)``, lists of its hashes that occur more than once.
 
-    ``hashes_of(keys, data, offsets)`` gives the hashes of one piece of texts.
+    ``hashes_of(keys, data, offsets)`` gives the hashes of one piece of texts. ``firsts_of`` may give entries as for
+    ``first_rows``; their answers are rows of kind 2.
     """
     def emit(stream):
         for keys, pieces in batches(stream):
-            at, found = 0, []
+            at, found, entries = 0, [], []
             for data, offsets in pieces:
-                found.append(hashes_of(keys[at:at + len(offsets) - 1], data, offsets))
+                own = keys[at:at + len(offsets) - 1]
+                found.append(hashes_of(own, data, offsets))
+                if firsts_of:
+                    entries.append(firsts_of(own, data, offsets))
                 at += len(offsets) - 1
             rows = scatter(int(keys[0]), np.concatenate(found), parts)
+            if entries:
+                rows += first_rows(int(keys[0]), *map(np.concatenate, zip(*entries)), parts, kind=5)
             if rows:
                 yield to_arrow(rows)
 
     sent = docs.select("key", "text").mapInArrow(emit, ROWS)
-    return sent.groupBy("part").applyInArrow(_shared, ROWS)
+    return sent.groupBy("part").applyInArrow(_settle, ROWS)
 
 
 def payloads(docs: DataFrame) -> DataFrame:
@@ -186,3 +201,83 @@ def among(values: np.ndarray, known_sorted: np.ndarray) -> np.ndarray:
     at[at == len(known_sorted)] = 0
     return known_sorted[at] == values
 
+
+
+def _distinct(first, check, keys, spots):
+    """Distinct entries in order of both hashes, each with its first (key, spot) and how many there are."""
+    order = np.lexsort((spots, keys, check, first))
+    first, check, keys, spots = first[order], check[order], keys[order], spots[order]
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (check[1:] != check[:-1])
+    at = np.flatnonzero(new)
+    sizes = np.diff(np.append(at, len(first)))
+    return first[at], check[at], keys[at], spots[at], sizes, order, np.cumsum(new) - 1
+
+
+def first_rows(batch: int, first, check, keys, spots, parts: int, kind: int = 0) -> list[tuple]:
+    """Rows for things known by 96 bits of hash: each distinct one of a batch with its first (key, spot)."""
+    first, check, keys, spots, sizes, _, _ = _distinct(first, check, keys, spots)
+    spots = spots * 2 + (sizes > 1)
+    out = []
+    cuts = cuts_of(first, parts)
+    for part in range(parts):
+        own = slice(cuts[part], cuts[part + 1])
+        if cuts[part + 1] > cuts[part]:
+            out.append(row(part, batch, kind, pack_sorted(first[own]), pack(check[own].astype(np.uint32)),
+                           pack_planes(keys[own]), pack_planes(spots[own])))
+    return out
+
+
+def settle_firsts(table: pa.Table) -> pa.Table:
+    """One hash range: every batch learns which of its entries occur twice and where the first one is (kind 2)."""
+    names = table.column("batch").to_pylist()
+    first = [unpack_sorted(x) for x in table.column("a").to_pylist()]
+    check = [unpack(x, np.uint32) for x in table.column("b").to_pylist()]
+    keys = [unpack_planes(x).view(np.int64) for x in table.column("c").to_pylist()]
+    spots = [unpack_planes(x).view(np.int64) for x in table.column("d").to_pylist()]
+    more = np.concatenate(spots) & 1
+    _, _, k, s, sizes, order, group = _distinct(np.concatenate(first), np.concatenate(check),
+                                                np.concatenate(keys), np.concatenate(spots) >> 1)
+    many = np.bincount(group, weights=more[order], minlength=len(sizes)) + sizes - 1
+    place = np.empty(len(order), np.int64)
+    place[order] = group
+    out, at = [], 0
+    for name, f, c in zip(names, first, check):
+        own = place[at:at + len(f)]
+        at += len(f)
+        keep = many[own] > 0
+        if keep.any():
+            out.append(row(0, name, 2, pack_sorted(f[keep]), pack(c[keep]),
+                           pack_planes(k[own[keep]]), pack_planes(s[own[keep]])))
+    return pa.Table.from_batches([to_arrow(out)])
+
+
+class FirstIndex:
+    """Answers of ``settle_firsts`` for one batch, to be asked by both hashes."""
+
+    def __init__(self, answers: list[dict]):
+        lists = [(unpack_sorted(r["a"]), unpack(r["b"], np.uint32), unpack_planes(r["c"]).view(np.int64),
+                  unpack_planes(r["d"]).view(np.int64)) for r in answers if r["kind"] == 2]
+        kinds = (U, np.uint32, np.int64, np.int64)
+        self.first, self.check, self.keys, self.spots = (
+            map(np.concatenate, zip(*lists)) if lists else (np.zeros(0, kind) for kind in kinds))
+        order = np.lexsort((self.check, self.first))
+        self.first, self.check = self.first[order], self.check[order]
+        self.keys, self.spots = self.keys[order], self.spots[order]
+
+    def __len__(self):
+        return len(self.first)
+
+    def find(self, first: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Place of each entry in ``keys`` and ``spots``, or -1."""
+        at = np.searchsorted(self.first, first)
+        out = np.full(len(first), -1, np.int64)
+        left = np.flatnonzero(at < len(self.first))
+        while len(left):
+            left = left[self.first[at[left]] == first[left]]
+            hit = self.check[at[left]] == check[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < len(self.first)]
+        return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import substring_dedup
+from panelcast.llm import substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op5_substring_dedup")
 def op5(spark, sf_dir):
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op1_suffix_dedup")
+def op1(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))

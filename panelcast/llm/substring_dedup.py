@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from panelcast.llm import exchange as ex
-from panelcast.llm.common import (Rolling, U, cover, keyed, mix, pack, pack_planes, pack_sorted, restore,
-                                  unpack, unpack_planes, unpack_sorted, word_hashes, words)
+from panelcast.llm.common import Rolling, U, cover, keyed, mix, restore, word_hashes, words
 
 #: Perfect difference covers by period
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -60,59 +59,6 @@ def _identity(hashes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.n
     return first, second >> U(32)
 
 
-def _firsts(first, check, keys, spots):
-    """Distinct windows in order of hash, each with its first (key, start) and whether there are more."""
-    order = np.lexsort((spots, keys, check, first))
-    first, check, keys, spots = first[order], check[order], keys[order], spots[order]
-    new = np.ones(len(first), bool)
-    new[1:] = (first[1:] != first[:-1]) | (check[1:] != check[:-1])
-    at = np.flatnonzero(new)
-    sizes = np.diff(np.append(at, len(first)))
-    return first[at], check[at], keys[at], spots[at], sizes, order, np.cumsum(new) - 1
-
-
-def _settle(table: pa.Table) -> pa.Table:
-    """One hash range: every batch learns which of its windows occur twice and where the first one starts."""
-    names = table.column("batch").to_pylist()
-    first = [unpack_sorted(x) for x in table.column("a").to_pylist()]
-    check = [unpack(x, np.uint32) for x in table.column("b").to_pylist()]
-    keys = [unpack_planes(x).view(np.int64) for x in table.column("c").to_pylist()]
-    spots = [unpack_planes(x).view(np.int64) for x in table.column("d").to_pylist()]
-    more = np.concatenate(spots) & 1
-    _, _, k, s, sizes, order, group = _firsts(np.concatenate(first), np.concatenate(check).astype(U),
-                                              np.concatenate(keys), np.concatenate(spots) >> 1)
-    many = np.zeros(len(sizes), np.int64)
-    np.add.at(many, group, more[order])
-    many += sizes - 1
-    place = np.empty(len(order), np.int64)
-    place[order] = group
-    out, at = [], 0
-    for name, f, c in zip(names, first, check):
-        own = place[at:at + len(f)]
-        at += len(f)
-        keep = many[own] > 0
-        if keep.any():
-            out.append(ex.row(0, name, 2, pack_sorted(f[keep]), pack(c[keep]),
-                              pack_planes(k[own[keep]]), pack_planes(s[own[keep]])))
-    return pa.Table.from_batches([ex.to_arrow(out)])
-
-
-def _find(first: np.ndarray, check: np.ndarray, f: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Place of each window in a list sorted by both hashes, or -1."""
-    at = np.searchsorted(first, f)
-    out = np.full(len(f), -1, np.int64)
-    left = np.flatnonzero(at < len(first))
-    while len(left):
-        same = first[at[left]] == f[left]
-        left = left[same]
-        hit = check[at[left]] == c[left]
-        out[left[hit]] = at[left[hit]]
-        left = left[~hit]
-        at[left] += 1
-        left = left[at[left] < len(first)]
-    return out
-
-
 def dedup(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text", parts: int | None = None,
           with_text: bool = False) -> DataFrame:
     """Remove every word covered by a window of ``window`` words whose sequence starts earlier as well.
@@ -146,39 +92,24 @@ def dedup(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "t
             starts = starts[near[starts]]
             text_of = np.searchsorted(bounds, starts, side="right") - 1
             found.append((*_identity(hashes, starts, window), keys[text_of], starts - bounds[text_of]))
-        if not found:
-            return pa.Table.from_batches([ex.to_arrow([])])
-        f, c, k, s, sizes, _, _ = _firsts(*map(np.concatenate, zip(*found)))
-        s = s * 2 + (sizes > 1)
-        out = []
-        cuts = ex.cuts_of(f, parts)
-        for part in range(parts):
-            own = slice(cuts[part], cuts[part + 1])
-            if cuts[part + 1] > cuts[part]:
-                out.append(ex.row(part, batch, 0, pack_sorted(f[own]), pack(c[own].astype(np.uint32)),
-                                  pack_planes(k[own]), pack_planes(s[own])))
-        return pa.Table.from_batches([ex.to_arrow(out)])
+        rows = ex.first_rows(batch, *map(np.concatenate, zip(*found)), parts) if found else []
+        return pa.Table.from_batches([ex.to_arrow(rows)])
 
     def remove(batch, pieces, answers):
-        lists = [(unpack_sorted(r["a"]), unpack(r["b"], np.uint32).astype(U), unpack_planes(r["c"]).view(np.int64),
-                  unpack_planes(r["d"]).view(np.int64)) for r in answers]
-        f, c, k, s = (map(np.concatenate, zip(*lists)) if lists else
-                      (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)))
-        order = np.lexsort((c, f))
-        f, c, k, s = f[order], c[order], k[order], s[order]
+        index = ex.FirstIndex(answers)
         columns = [[], [], [], [], []]
         for piece in pieces:
             keys, data, offsets = ex.open_payload(piece["a"], piece["b"], piece["c"])
             start, end, bounds = words(data, offsets)
             gone = np.zeros(len(start), bool)
-            if len(f):
+            if len(index):
                 hashes = word_hashes(data, start, end)
                 starts = _windows(hashes, bounds, window)
-                place = _find(f, c, *_identity(hashes, starts, window))
+                place = index.find(*_identity(hashes, starts, window))
                 hit = place >= 0
                 starts, place = starts[hit], place[hit]
                 text_of = np.searchsorted(bounds, starts, side="right") - 1
-                later = (k[place] != keys[text_of]) | (s[place] != starts - bounds[text_of])
+                later = (index.keys[place] != keys[text_of]) | (index.spots[place] != starts - bounds[text_of])
                 gone = cover(starts[later], window, len(start))
             kept, cuts = join_kept(data, offsets, start, end, bounds, ~gone)
             columns[0].append(keys)
@@ -197,7 +128,7 @@ def dedup(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "t
 
     texts = ex.payloads(rows)
     sent = ex.meet(texts, ex.shared_hashes(rows, anchors_of, parts), extend, ex.ROWS)
-    answers = sent.groupBy("part").applyInArrow(_settle, ex.ROWS)
+    answers = sent.groupBy("part").applyInArrow(ex.settle_firsts, ex.ROWS)
     out = ex.meet(texts, answers, remove, SCHEMA + (", kept string" if with_text else ""))
     return restore(rows, own_ids, out)
 
