@@ -94,11 +94,11 @@ def _settle(table: pa.Table) -> pa.Table:
     """One hash range of ``shared_hashes``: plain hashes, and entries whose first place matters."""
     kinds = table.column("kind").to_numpy()
     plain, first = table.filter(pa.array(kinds == 0)), table.filter(pa.array(kinds != 0))
-    tables = [f(t) for f, t in ((_shared, plain), (settle_firsts, first)) if len(t)]
+    tables = [f(t) for f, t in ((shared_of, plain), (settle_firsts, first)) if len(t)]
     return pa.concat_tables(tables)
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def shared_of(table: pa.Table) -> pa.Table:
     """For every batch, those of its hashes that occur more than once in all."""
     names = table.column("batch").to_numpy()
     lists = [unpack_sorted(x) for x in table.column("a").to_pylist()]
@@ -153,7 +153,7 @@ def payloads(docs: DataFrame) -> DataFrame:
             at = 0
             for number, (data, offsets) in enumerate(pieces):
                 n = len(offsets) - 1
-                text = zstandard.ZstdCompressor(level=1).compress(data.tobytes())
+                text = zstandard.ZstdCompressor(level=3).compress(data.tobytes())
                 yield to_arrow([row(number, int(keys[0]), 0, text, pack(np.diff(offsets)), pack(keys[at:at + n]))])
                 at += n
 

@@ -3,7 +3,7 @@
 Sorting all suffixes of a corpus would move each byte hundreds of times, so three exact reductions come first:
 
 1. Copies of a whole text are told by their digest; only the first one goes on, standing for all.
-2. Hashes of 64-byte strings at content-chosen places (one in 48) are counted over the corpus. A long string that holds
+2. Hashes of 64-byte strings at content-chosen places (one in 12) are counted over the corpus. A long string that holds
    one occurring once can't repeat, so only the stretches between such places go on.
 3. In these stretches suffixes are taken at content-chosen cuts only (about one in 256 bytes), in both directions: a
    suffix that starts at a cut and a reversed prefix that ends there.
@@ -14,8 +14,9 @@ length of the known common prefix of each loser with the last winner and compare
 prefix of neighbours in the merged order tells, for each cut, how far the best match reaches.
 
 A match that holds a cut reaches over all its windows right of it (forward) or left of it (backward); a cut whose best
-match ends early rules windows out. Windows that neither proves nor rules out (matches barely longer than a window)
-are sorted and merged themselves, in the same way. The result is exact.
+match ends early rules windows out. Of the windows that neither proves nor rules out (matches barely longer than a
+window, or made of parts of several texts) those whose hash occurs twice are sorted and merged themselves, in the same
+way. The result is exact: hashes only rule out, strings decide.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ from panelcast.llm import exchange as ex
 from panelcast.llm.common import Rolling, byte_values, buffers, keyed, materialise, pack, restore, runs_of, unpack
 
 #: Bytes of an anchor, and one place in so many has one
-GRAM, EVERY = 64, 48
+GRAM, EVERY = 64, 12
 #: Bytes that decide on a cut, and one place in so many is one
 CUT_GRAM, CUT_EVERY = 16, 256
 #: Sampled strings per range, from which the borders of the ranges are chosen; they decide on balance, not on results
 SAMPLES = 40
 SCHEMA = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-RUN, RANGES, WHOLE, REACH, PROVEN, OPEN, REPEATED = 10, 11, 12, 20, 30, 31, 40
+RUN, RANGES, WHOLE, REACH, PROVEN, LEFT, OPEN, REPEATED = 10, 11, 12, 20, 30, 31, 32, 40
 
 
 # Sorted runs and their merge
@@ -192,11 +193,25 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, hashes[at]
 
 
-def _cuts(data: np.ndarray) -> np.ndarray:
-    hashes = Rolling(byte_values(data)).windows(CUT_GRAM)
+def _cuts(hashes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hashes % np.uint64(CUT_EVERY) == 1)
 
 
+def _fill(hashes: np.ndarray, cuts: np.ndarray, start: int, end: int) -> list[int]:
+    """More cuts where the next one is far: each time the last place of the least hash among the next ones.
+
+    Text that repeats itself with a period may hold no cut at all. These places only serve to prove matches.
+    """
+    out, at = [], start
+    for stop in [*cuts.tolist(), end]:
+        while stop - at > 2 * CUT_EVERY:
+            ahead = hashes[at + 1:min(at + 1 + CUT_EVERY, stop)]
+            at += len(ahead) - int(np.argmin(ahead[::-1]))
+            out.append(at)
+        at = stop
+    return out
+
+
 def _stretches(offsets, unique, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end) of the maximal stretches whose windows hold no anchor that occurs once."""
     starts = np.sort(np.concatenate([offsets[:-1], unique + 1]))
@@ -206,18 +221,19 @@ def _stretches(offsets, unique, length) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.searchsorted(offsets, starts, side="right") - 1, starts, ends
 
 
-def stretch_strings(text: bytes, cuts: list[int], length: int):
+def stretch_strings(text: bytes, cuts: list[int], more: list[int], length: int):
     """(place, direction, whether a cut, string) of one stretch: cut to next cut and a window, both ways."""
     n = len(text)
-    back = text[::-1]
-    places = [0, *[c for c in cuts if c > 0]]
+    back, sure = text[::-1], set(cuts)
+    inner = sorted({c for c in (*cuts, *more) if 0 < c < n})
+    places = [0, *inner]
     for i, c in enumerate(places):
         stop = places[i + 1] + length if i + 1 < len(places) else n
-        yield c, 0, c in (cuts[0] if cuts else -1,) or c > 0, b"\0" + text[c:stop]
-    ends = [*[c for c in cuts if 0 < c < n], n]
+        yield c, 0, c in sure, b"\0" + text[c:stop]
+    ends = [*inner, n]
     for i, c in enumerate(ends):
         start = max(ends[i - 1] - length, 0) if i else 0
-        yield c, 1, c < n, b"\1" + back[n - c:n - start]
+        yield c, 1, c in sure, b"\1" + back[n - c:n - start]
 
 
 def _sample(docs: DataFrame, parts: int, length: int) -> list[bytes]:
@@ -278,7 +294,8 @@ def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
             passed_on = set(long[at >= 0][copies.keys[at[at >= 0]] != long[at >= 0]].tolist())
             anchors, hashes = _anchors(data, offsets)
             text_of, starts, ends = _stretches(offsets, anchors[~ex.among(hashes, shared)], length)
-            cuts = _cuts(data) if len(starts) else np.zeros(0, np.int64)
+            grams = Rolling(byte_values(data)).windows(CUT_GRAM) if len(starts) else np.zeros(0, np.uint64)
+            cuts = _cuts(grams)
             raw = data.tobytes()
             for t, s, e in zip(text_of.tolist(), starts.tolist(), ends.tolist()):
                 if int(keys[t]) in passed_on:
@@ -288,7 +305,9 @@ def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
                 number = len(places)
                 places.append((int(keys[t]), s - int(offsets[t]), e - s))
                 kept.append(body)
-                for at_, way, sure, string in stretch_strings(body, (inside - s).tolist(), length):
+                more = _fill(grams, inside, s, e - CUT_GRAM)
+                for at_, way, sure, string in stretch_strings(body, (inside - s).tolist(), [c - s for c in more],
+                                                              length):
                     have = strings.setdefault(string, [len(strings), 0])
                     have[1] += 1
                     entries.append((number, at_, way * 2 + sure, have[0]))
@@ -300,7 +319,7 @@ def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
         return pa.Table.from_batches([ex.to_arrow(out)])
 
     def weigh(table):
-        """Windows proven by the reach of a match, and the strings of those left open."""
+        """Windows proven by the reach of a match, and the hashes of those left open."""
         rows_ = table.to_pylist()
         batch = rows_[0]["batch"]
         ranges = [r for r in rows_ if r["kind"] == RANGES]
@@ -315,21 +334,37 @@ def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
                 # The first byte of a string only tells its direction
                 reach[unpack(r["a"], np.int64)] = np.stack([unpack(r["b"], np.int64), unpack(r["c"], np.int64)], 1) - 1
         bounds = np.searchsorted(entries[:, 0], np.arange(len(places) + 1))
-        proven, strings, open_at, at = [], {}, [], 0
+        proven, left, hashes, at = [], [], [], 0
         for number, (doc, start, n) in enumerate(places.tolist()):
-            own = entries[bounds[number]:bounds[number + 1]]
-            yes, no = decide(n, own, reach, length)
-            body = text[at:at + n]
-            at += n
+            yes, no = decide(n, entries[bounds[number]:bounds[number + 1]], reach, length)
             for a, b in zip(*runs_of(yes)):
                 proven.append((doc, start + a, start + b))
-            for w in np.flatnonzero(~yes & ~no).tolist():
-                have = strings.setdefault(body[w:w + length], [len(strings), 0])
+            for a, b in zip(*runs_of(~yes & ~no)):
+                left.append((doc, start + a, at + a, b - a))
+                hashes.append(window_hashes(text, at + a, b - a, length))
+            at += n
+        out = ex.scatter(batch, np.concatenate(hashes), parts) if hashes else []
+        out.append(ex.row(-1, batch, PROVEN, pack(np.array(proven, np.int64))))
+        if left:
+            out.append(ex.row(-1, batch, LEFT, pack(np.array(left, np.int64))))
+        return pa.Table.from_batches([ex.to_arrow(out)])
+
+    def line_up(table):
+        """Of the open windows, the strings of those whose hash occurs twice, as a sorted run."""
+        by = {kind: [r for r in table.to_pylist() if r["kind"] == kind] for kind in (RANGES, LEFT, 1)}
+        if not by[LEFT] or not by[1]:
+            return pa.Table.from_batches([ex.to_arrow([])])
+        batch = by[LEFT][0]["batch"]
+        text = zstandard.ZstdDecompressor().decompress(by[RANGES][0]["a"])
+        twice = ex.known(by[1])
+        strings, open_at = {}, []
+        for doc, place, at, n in unpack(by[LEFT][0]["a"], np.int64).reshape(-1, 4).tolist():
+            for i in np.flatnonzero(ex.among(window_hashes(text, at, n, length), twice)).tolist():
+                have = strings.setdefault(text[at + i:at + i + length], [len(strings), 0])
                 have[1] += 1
-                open_at.append((doc, start + w, have[0]))
+                open_at.append((doc, place + i, have[0]))
         out = run_rows(batch, strings, plain_borders)
-        out.append(ex.row(0, batch, PROVEN, pack(np.array(proven, np.int64))))
-        out.append(ex.row(0, batch, OPEN, pack(np.array(open_at, np.int64))))
+        out.append(ex.row(-1, batch, OPEN, pack(np.array(open_at, np.int64))))
         return pa.Table.from_batches([ex.to_arrow(out)])
 
     def merge_open(table):
@@ -379,15 +414,23 @@ def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
     sent = materialise(ex.meet(texts, answers, cut_up, ex.ROWS), "suffix-runs")
     reach = (sent.filter(F.col("kind") == RUN).groupBy("part")
              .applyInArrow(lambda table: merge_range(table, borders), ex.ROWS))
-    weighed = materialise(sent.filter(F.col("kind") == RANGES).unionByName(reach)
-                          .groupBy("batch").applyInArrow(weigh, ex.ROWS), "suffix-open")
-    repeated = weighed.filter(F.col("kind") == RUN).groupBy("part").applyInArrow(merge_open, ex.ROWS)
-    facts = (weighed.filter(F.col("kind") != RUN).unionByName(sent.filter(F.col("kind") == WHOLE))
-             .unionByName(repeated))
+    stretches = sent.filter(F.col("kind") == RANGES)
+    weighed = materialise(stretches.unionByName(reach).groupBy("batch").applyInArrow(weigh, ex.ROWS), "suffix-open")
+    twice = weighed.filter("part >= 0").groupBy("part").applyInArrow(ex.shared_of, ex.ROWS)
+    left = weighed.filter(F.col("kind") == LEFT).unionByName(stretches).unionByName(twice)
+    lined = materialise(left.groupBy("batch").applyInArrow(line_up, ex.ROWS), "suffix-windows")
+    repeated = lined.filter(F.col("kind") == RUN).groupBy("part").applyInArrow(merge_open, ex.ROWS)
+    facts = (weighed.filter(F.col("kind") == PROVEN).unionByName(sent.filter(F.col("kind") == WHOLE))
+             .unionByName(lined.filter(F.col("kind") == OPEN)).unionByName(repeated))
     out = ex.meet(texts, facts, remove, SCHEMA + (", kept binary" if with_text else ""))
     return restore(rows, own_ids, out)
 
 
+def window_hashes(text: bytes, at: int, n: int, length: int) -> np.ndarray:
+    """Hashes of n windows of a text from one place on."""
+    return Rolling(byte_values(np.frombuffer(text, np.uint8, n + length - 1, at))).windows(length)
+
+
 def decide(n: int, entries: np.ndarray, reach: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows of a stretch of n bytes that are proven to repeat, and those that are ruled out."""
     windows = n - length + 1
