@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import substring_dedup, suffix_dedup
+from panelcast.llm import decontaminate, line_dedup, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,25 @@ def op5(spark, sf_dir):
 @query("op1_suffix_dedup")
 def op1(spark, sf_dir):
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_line_dedup", "WITH " + line_dedup.SQL.format(source="documents") + """
+SELECT doc_id, n_lines, n_removed, n_chunks_removed, sha256(kept) AS kept_sha256 FROM deduped""")
+def op3(spark, sf_dir):
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_decontamination")
+def op4(spark, sf_dir):
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
