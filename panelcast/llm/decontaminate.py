@@ -15,10 +15,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from panelcast.llm.common import Rolling, blocks, buffers, byte_values, fold_case
-from panelcast.llm.common import U, mix
+from panelcast.llm.common import Rolling, U, blocks, buffers, byte_values, mix
 
 #: The masks
 MASKS = ("111111", "11101011", "110100111", "1011010101", "11001010011")
@@ -32,8 +32,7 @@ IN_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
 
 def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a block, A-Z lower-cased and without punctuation, and where each text's words begin."""
-    data = fold_case(data)
+    """Hashes of the words of a block, without punctuation, and where each text's words begin."""
     inside = np.concatenate([[False], IN_WORD[data], [False]])
     begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     filled = offsets[:-1] < offsets[1:]
@@ -68,7 +67,7 @@ class Block:
     """Words and sorted seeds of a part of the benchmark."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        column = pa.array([t for _, t in items], pa.string())
+        column = pc.utf8_lower(pa.array([t for _, t in items], pa.string()))
         self.ids = [i for i, _ in items]
         self.values, self.bounds = word_values(*buffers(column))
         found = []
@@ -119,7 +118,7 @@ class Block:
 def find(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, item_id, start, n_words, n_equal, n_hits``: the best match of each benchmark item in each text.
 
-    Words are runs of letters and digits (and characters beyond ASCII), A-Z lower-cased. ``start`` counts words. Whole
+    Words are runs of letters and digits (and characters beyond ASCII), lower-cased. ``start`` counts words. Whole
     texts are searched; null and empty ones match nothing. Items with fewer words than the shortest mask (6) carry no
     seed and can't be found; null ids are kept as null. Repeated rows give repeated results. Up to 4 of 20 words may
     differ as far as some mask finds six equal ones.
@@ -142,8 +141,8 @@ def _search(block):
     def search(stream):
         seeds_of = Block(block.value)
         for rows in stream:
-            ids, column = rows.column("doc_id").to_pylist(), rows.column("text")
-            data, offsets = buffers(column)
+            ids = rows.column("doc_id").to_pylist()
+            data, offsets = buffers(pc.utf8_lower(rows.column("text")))
             out = []
             for first, last in blocks(offsets):
                 values, bounds = word_values(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])

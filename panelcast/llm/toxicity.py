@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from panelcast.llm import labelled, logistic
-from panelcast.llm.common import Rolling, blocks, buffers, byte_values, fold_case, word_hashes
+from panelcast.llm.common import Rolling, blocks, buffers, byte_values, word_hashes
 
 #: Bounds of the learning sample: rows by label, and the learned words and word beginnings
 ROWS, LEXICON = {1: 4000, 0: 16000}, 5000
@@ -133,8 +134,8 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> tuple[np
     def occurrences(stream):
         """Texts of each label that hold a word or beginning, per task."""
         for rows in stream:
-            data, offsets = buffers(rows.column("text"))
-            data, label = fold_case(data), rows.column("label").to_numpy()
+            data, offsets = buffers(pc.utf8_lower(rows.column("text")))
+            label = rows.column("label").to_numpy()
             start, end, bounds = _tokens(data, offsets)
             text_of = np.repeat(np.arange(len(label)), np.diff(bounds))
             pairs = np.concatenate([np.stack([f, text_of.astype(np.uint64)], 1)[f != 0]
@@ -187,7 +188,6 @@ def _measure(hashes: np.ndarray, odds: np.ndarray):
 
     def block(data, offsets):
         out = np.zeros((len(offsets) - 1, 2))
-        data = fold_case(data)
         start, end, bounds = _tokens(data, offsets)
         if not len(start):
             return out
@@ -223,7 +223,7 @@ def _measure(hashes: np.ndarray, odds: np.ndarray):
         return out
 
     def measured(column) -> np.ndarray:
-        data, offsets = buffers(column)
+        data, offsets = buffers(pc.utf8_lower(column))
         parts = [block(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in blocks(offsets)]
         return np.concatenate(parts) if parts else np.zeros((0, 2))
 
