@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import decontaminate, line_dedup, quality, substring_dedup, suffix_dedup, toxicity
+from panelcast.llm import decontaminate, line_dedup, minhash, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,8 @@ def op3(spark, sf_dir):
 @query("op4_decontamination")
 def op4(spark, sf_dir):
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_minhash_near_dedup")
+def op2(spark, sf_dir):
+    return minhash.dedup(table(spark, sf_dir, "documents"))
