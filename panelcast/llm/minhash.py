@@ -173,23 +173,48 @@ def _propose(least):
     return propose
 
 
-def _sweep(least):
-    """Surviving pairs of the strays of one block with the members of another, across components."""
+def _sweep(least, percent):
+    """Links between components, of the strays of one block with the members of another.
+
+    A pair that shares several buckets is looked at in the first of them only. A surviving pair is checked on the full
+    sets right here, unless links found before have joined its components.
+    """
     def sweep(table: pa.Table) -> pa.Table:
-        keys, roots = table.column("key").to_numpy(), table.column("root").to_numpy()
+        keys, roots = table.column("key").to_numpy(), table.column("root").to_numpy().tolist()
         stray = table.column("stray").to_numpy(zero_copy_only=False)
         outside = table.column("outside").to_numpy(zero_copy_only=False)
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, MINIMA)
-        members = np.flatnonzero(~stray)
-        a, b = [], []
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        earlier = int(np.argmax(bands[0] == table.column("bucket")[0].as_py()))
+        data, offsets = buffers(table.column("text"))
+        sets = []
+        for first, last in blocks(offsets):
+            sets += shingles(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
+        joined = {r: r for r in roots}
+
+        def find(r):
+            while joined[r] != r:
+                r = joined[r]
+            return r
+
+        members, out = np.flatnonzero(~stray), []
+        root_of = np.array(roots)
         for i in np.flatnonzero(stray).tolist():
             # Of two texts outside the main component both look for the other: the smaller one counts
-            own = members[(roots[members] != roots[i]) & (~outside[members] | (keys[members] > keys[i]))]
-            at, _ = survivors(signature[i], signature[own], least)
-            a.append(np.full(len(at), keys[i]))
-            b.append(keys[own[at]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            own = members[(root_of[members] != roots[i]) & (~outside[members] | (keys[members] > keys[i]))]
+            own = own[~(bands[own, :earlier] == bands[i, :earlier]).any(1)]
+            at, matches = survivors(signature[i], signature[own], least)
+            for j in own[at[np.argsort(-matches)]].tolist():
+                x, y = sets[i], sets[j]
+                a, b = find(roots[i]), find(roots[j])
+                if a == b or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    joined[a] = b
+                    out.append((int(keys[i]), int(keys[j])))
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs.min(1), "b": pairs.max(1)})
 
     return sweep
 
@@ -225,13 +250,14 @@ def links(rows: DataFrame, reps: DataFrame, threshold: float, block: int = BLOCK
               .filter("size > 1").withColumn("n_blocks", F.ceil(F.col("size") / block).cast("int")))
     places = materialise(reps.select("key", F.explode("bands").alias("bucket")).join(shared, "bucket"), "near-places")
     texts = materialise(rows.select("key", "text").join(places.select("key").distinct(), "key", "left_semi"), "near-texts")
-    marks = reps.select("key", "signature").join(places.select("key").distinct(), "key", "left_semi")
+    marks = reps.select("key", "signature", "bands").join(places.select("key").distinct(), "key", "left_semi")
     marks = materialise(marks, "near-signatures")
     members = places.withColumn("block", F.pmod(F.xxhash64("key", "bucket"), F.col("n_blocks")).cast("int"))
     # The first text of a bucket takes part in each of its blocks and so ties them together
     leaders = (places.filter("key = leader and n_blocks > 1")
                .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))))
-    blocked = members.unionByName(leaders).select("key", "bucket", "block").join(marks, "key")
+    blocked = (members.unionByName(leaders).select("key", "bucket", "block")
+               .join(marks.select("key", "signature"), "key"))
     pairs = blocked.groupBy("bucket", "block").applyInArrow(_propose(least), "a long, b long").distinct()
     found = materialise(_verify(pairs, texts, percent), "near-links")
     roots = components(found)
@@ -243,17 +269,17 @@ def links(rows: DataFrame, reps: DataFrame, threshold: float, block: int = BLOCK
     main = (main.withColumn("stray_blocks", F.ceil((F.col("size") - F.col("most")) / block).cast("int"))
             .withColumn("blocks", F.ceil(F.col("size") / block).cast("int")))
     open_ = (rooted.join(main, "bucket").withColumn("outside", F.col("root") != F.col("main"))
-             .join(marks, "key"))
+             .join(marks, "key").join(texts, "key"))
     spread = F.xxhash64("key", "bucket")
     copies = open_.withColumn("stray", F.lit(False)).withColumn("block", F.pmod(spread, F.col("blocks")).cast("int"))
     copies = copies.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)))
     strays = open_.filter("outside").withColumn("stray", F.lit(True))
     strays = strays.withColumn("other", F.pmod(spread, F.col("stray_blocks")).cast("int"))
     strays = strays.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["bucket", "block", "other", "key", "root", "stray", "outside", "signature"]
+    columns = ["bucket", "block", "other", "key", "root", "stray", "outside", "signature", "bands", "text"]
     swept = (copies.select(columns).unionByName(strays.select(columns)).groupBy("bucket", "block", "other")
-             .applyInArrow(_sweep(least), "a long, b long").distinct())
-    return found.unionByName(_verify(swept, texts, percent))
+             .applyInArrow(_sweep(least, percent), "a long, b long"))
+    return found.unionByName(swept)
 
 
 def dedup(docs: DataFrame, threshold: float = 0.75, key: str = "doc_id", text: str = "text",
