@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import decontaminate, line_dedup, minhash, quality, substring_dedup, suffix_dedup, toxicity
+from panelcast.llm import (decontaminate, fingerprint, line_dedup, minhash, quality, segment, substring_dedup,
+                           suffix_dedup, toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +61,23 @@ def op4(spark, sf_dir):
 @query("op2_minhash_near_dedup")
 def op2(spark, sf_dir):
     return minhash.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op6_sentencepiece")
+def op6(spark, sf_dir):
+    return segment.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+#: The rules of the URL query
+URL_RULES = [("block", ("net", "/")), ("allow", ("example.net", "/en/")), ("block", ("example.com", "/de/")),
+             ("allow", ("org", "/fr/"))]
+
+
+@query("op7_url_filter")
+def op7(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op8_fingerprints")
+def op8(spark, sf_dir):
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
