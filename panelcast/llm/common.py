@@ -28,21 +28,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> tuple[DataFrame, bool]:
     """``(key, doc_id, text)`` with a distinct, ordered ``key`` per row, nulls read as empty texts.
 
     The key is the id itself when ids are distinct. Rows that repeat an id, or have none, are ordered by (id, text)
     with nulls first and numbered in that order, so each row stays a document of its own; equal rows are
     interchangeable, hence the order among them does not matter. The second value says whether the key is the id.
+    ``carry`` adds the whole row as a struct ``row``, so that no name of the input can clash with one used here.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *whole)
+    extra = ["row"] if carry else []
     # Only the id column is read for this check; one row per id and task is exchanged
     worst = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(
         F.max("n").alias("n"), F.max(F.col("doc_id").isNull()).alias("null")).first()
     if worst["n"] is None or (worst["n"] == 1 and not worst["null"]):
-        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text"), True
+        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text", *extra), True
     ordered = rows.orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    numbered = ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
+    numbered = ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", *extra)
     return materialise(numbered, "keyed"), False
 
 

@@ -123,20 +123,48 @@ def find(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     seed and can't be found; null ids are kept as null. Repeated rows give repeated results. Up to 4 of 20 words may
     differ as far as some mask finds six equal ones.
     """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = [texts.mapInArrow(_search(block), SCHEMA) for block in _blocks(benchmark, block_words)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` whose text matches no benchmark item; all columns pass through unchanged."""
+    for block in _blocks(benchmark, block_words):
+        docs = docs.mapInArrow(_without(block, docs.columns.index(text)), docs.schema)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, block_words: int) -> list:
+    """The items in blocks of about so many words, each sent to all tasks."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+"))).alias("n")).first()["n"] or 0
-    n_blocks = max(1, math.ceil(size / block_words))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    out = None
-    for b in range(n_blocks):
-        own = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
-        block = docs.sparkSession.sparkContext.broadcast(
-            sorted(((r["item_id"], r["text"]) for r in own.toLocalIterator()), key=str))
-        found = texts.mapInArrow(_search(block), SCHEMA)
-        out = found if out is None else out.unionByName(found)
+    n = max(1, math.ceil(size / block_words))
+    out = []
+    for b in range(n):
+        own = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+        rows = sorted(((r["item_id"], r["text"]) for r in own.toLocalIterator()), key=str)
+        out.append(benchmark.sparkSession.sparkContext.broadcast(rows))
     return out
 
 
+def _without(block, position):
+    def keep(stream):
+        seeds_of = Block(block.value)
+        for rows in stream:
+            data, offsets = buffers(pc.utf8_lower(rows.column(position)))
+            clear = []
+            for first, last in blocks(offsets):
+                values, bounds = word_values(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
+                clear += [not seeds_of.matches(values[bounds[i]:bounds[i + 1]]) for i in range(last - first)]
+            yield rows.filter(pa.array(clear, pa.bool_()))
+
+    return keep
+
+
 def _search(block):
     def search(stream):
         seeds_of = Block(block.value)

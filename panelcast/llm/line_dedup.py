@@ -72,17 +72,34 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     ordered by (id, text), nulls first. Other columns of the input are not read.
     """
     rows, _ = keyed(docs, key, text)
+    return _removed(rows).drop("key")
+
+
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with their repeated chunks taken out of the text; rows that lose all of it go.
+
+    A row whose text was empty or null from the start stays. Other columns pass through unchanged.
+    """
+    rows, _ = keyed(docs, key, text, carry=True)
+    kept = _removed(rows.select("key", "doc_id", "text")).filter("n_removed > 0").select("key", "kept")
+    out = rows.select("key", "row").join(kept, "key", "left").filter("kept is null or kept <> ''")
+    row = [F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col(f"row.`{c}`")).alias(c) if c == text
+           else F.col(f"row.`{c}`") for c in docs.columns]
+    return out.select(*row)
+
+
+def _removed(rows: DataFrame) -> DataFrame:
     gone = repeats(rows).groupBy("key").agg(F.collect_set("chunk").alias("gone"))
     df = rows.join(gone, "key", "left")
     touched = _chunks(df.filter("gone is not null").select("key", "doc_id", "text")).join(gone, "key")
     kept = F.expr("filter(chunks, c -> not array_contains(gone, c.chunk))")
     touched = _settled(touched, "left", kept).select(
-        "doc_id", F.expr("aggregate(chunks, 0L, (a, c) -> a + c.n)").alias("n_lines"),
+        "key", "doc_id", F.expr("aggregate(chunks, 0L, (a, c) -> a + c.n)").alias("n_lines"),
         F.expr("aggregate(filter(chunks, c -> array_contains(gone, c.chunk)), 0L, (a, c) -> a + c.n)").alias("n_removed"),
         F.size("gone").cast("long").alias("n_chunks_removed"),
         F.expr("array_join(transform(left, c -> c.body), '\\n')").alias("kept"))
     untouched = df.filter("gone is null").select(
-        "doc_id", (F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + 1).cast("long").alias("n_lines"),
+        "key", "doc_id", (F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + 1).cast("long").alias("n_lines"),
         F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_chunks_removed"),
         F.col("text").alias("kept"))
     return untouched.unionByName(touched)

@@ -293,6 +293,21 @@ def dedup(docs: DataFrame, threshold: float = 0.75, key: str = "doc_id", text: s
     ``component_id`` is the id of the component's first row. Other columns of the input are not read.
     """
     rows, own_ids = keyed(docs, key, text)
+    out = _grouped(rows, threshold, block)
+    if not own_ids:
+        names = rows.select(F.col("key").alias("component_id"), F.col("doc_id").alias("_name"))
+        out = out.join(names, "component_id").select("key", "n_shingles", F.col("_name").alias("component_id"), "kept")
+    return restore(rows, own_ids, out)
+
+
+def keep_first(docs: DataFrame, threshold: float = 0.75, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are the first of their component; all columns pass through unchanged."""
+    rows, _ = keyed(docs, key, text, carry=True)
+    first = _grouped(rows.select("key", "doc_id", "text"), threshold, BLOCK).filter("kept").select("key")
+    return rows.select("key", "row").join(first, "key", "left_semi").select("row.*")
+
+
+def _grouped(rows: DataFrame, threshold: float, block: int) -> DataFrame:
     profiled = materialise(profiles(rows), "near-profiles")
     classes = profiled.filter("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("rep"))
     classes = materialise(classes, "near-classes")
@@ -302,7 +317,4 @@ def dedup(docs: DataFrame, threshold: float = 0.75, key: str = "doc_id", text: s
     out = (profiled.select("key", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")
            .select("key", F.col("n").alias("n_shingles"), F.coalesce("root", "key").alias("component_id"))
            .withColumn("kept", F.col("key") == F.col("component_id")))
-    if not own_ids:
-        names = rows.select(F.col("key").alias("component_id"), F.col("doc_id").alias("_name"))
-        out = out.join(names, "component_id").select("key", "n_shingles", F.col("_name").alias("component_id"), "kept")
-    return restore(rows, own_ids, out)
+    return out

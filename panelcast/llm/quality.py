@@ -104,3 +104,9 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold
             .withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)))
 
 
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are predicted to have label 1; all columns pass through unchanged."""
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return score(rows, labels, target, threshold, keep=("row",)).filter("predicted = 1").select("row.*")
