@@ -23,27 +23,23 @@ def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """``key, doc_id, lines, ends``: the lines of each text and the last line number of each chunk."""
-    df = _settled(rows, "lines", F.split("text", "\n")).drop("text")
+def _chunks(rows: DataFrame, text: Column) -> DataFrame:
+    """Add ``chunks``: number, line count and body of each chunk of a text; null for a null text."""
+    df = _settled(rows, "lines", F.split(text, "\n"))
     df = _settled(df, "h", F.expr("transform(lines, x -> cast(conv(substring(md5(x), 1, 7), 16, 10) as bigint))"))
     rolled = " + ".join(f"{5 ** i} * coalesce(get(h, i - {i}), 0)" for i in range(REACH))
-    ends = F.expr(f"filter(sequence(0, size(h) - 1), i -> i = size(h) - 1 or ({rolled}) % {EVERY} = 0)")
-    return _settled(df, "ends", ends).drop("h")
-
-
-def _chunks(rows: DataFrame) -> DataFrame:
-    """``key, doc_id, chunks``: number, line count and body of each chunk."""
+    df = _settled(df, "ends", F.expr(f"if(h is null, null, filter(sequence(0, size(h) - 1), "
+                                     f"i -> i = size(h) - 1 or ({rolled}) % {EVERY} = 0))"))
     start = "if(k = 0, 0, get(ends, k - 1) + 1)"
     body = f"array_join(slice(lines, {start} + 1, get(ends, k) + 1 - ({start})), '\\n')"
-    chunk = (f"transform(sequence(0, size(ends) - 1), k -> named_struct('chunk', k, "
-             f"'n', get(ends, k) + 1 - ({start}), 'body', {body}))")
-    return _settled(_lines(rows), "chunks", F.expr(chunk)).select("key", "doc_id", "chunks")
+    chunk = (f"if(ends is null, null, transform(sequence(0, size(ends) - 1), k -> named_struct('chunk', k, "
+             f"'n', get(ends, k) + 1 - ({start}), 'body', {body})))")
+    return _settled(df, "chunks", F.expr(chunk)).drop("lines", "h", "ends")
 
 
 def _listed(rows: DataFrame) -> DataFrame:
     """One row per chunk that may be removed."""
-    return (_chunks(rows).select("key", F.inline("chunks"))
+    return (_chunks(rows, F.col("text")).select("key", F.inline("chunks"))
             .filter((F.col("n") >= MIN_LINES) & (F.length("body") >= MIN_CHARS)))
 
 
@@ -57,8 +53,9 @@ def repeats(rows: DataFrame) -> DataFrame:
                                                             (F.struct("key", "chunk") == F.col("first")).alias("lead")),
                          "line-places")
     wanted = places.groupBy("key").agg(F.collect_list(F.struct("chunk", "digest", "lead")).alias("wanted"))
-    bodies = (_chunks(rows.join(wanted.select("key"), "key", "left_semi")).join(wanted, "key")
-              .select("key", F.explode("wanted").alias("w"), "chunks")
+    # Merge joins throughout: the texts move once for each, whatever the other side's size
+    held = _chunks(rows.select("key", "text").join(wanted.hint("merge"), "key"), F.col("text"))
+    bodies = (held.select("key", F.explode("wanted").alias("w"), "chunks")
               .select("key", "w.*", F.expr("get(chunks, w.chunk).body").alias("body")))
     lead = bodies.filter("lead").select("digest", F.col("body").alias("lead_body"))
     return (bodies.filter("not lead").join(lead, "digest").filter("body = lead_body").select("key", "chunk"))
@@ -90,19 +87,16 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def _removed(rows: DataFrame) -> DataFrame:
     gone = repeats(rows).groupBy("key").agg(F.collect_set("chunk").alias("gone"))
-    df = rows.join(gone, "key", "left")
-    touched = _chunks(df.filter("gone is not null").select("key", "doc_id", "text")).join(gone, "key")
-    kept = F.expr("filter(chunks, c -> not array_contains(gone, c.chunk))")
-    touched = _settled(touched, "left", kept).select(
-        "key", "doc_id", F.expr("aggregate(chunks, 0L, (a, c) -> a + c.n)").alias("n_lines"),
-        F.expr("aggregate(filter(chunks, c -> array_contains(gone, c.chunk)), 0L, (a, c) -> a + c.n)").alias("n_removed"),
-        F.size("gone").cast("long").alias("n_chunks_removed"),
-        F.expr("array_join(transform(left, c -> c.body), '\\n')").alias("kept"))
-    untouched = df.filter("gone is null").select(
-        "key", "doc_id", (F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + 1).cast("long").alias("n_lines"),
-        F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_chunks_removed"),
-        F.col("text").alias("kept"))
-    return untouched.unionByName(touched)
+    df = rows.select("key", "doc_id", "text").join(gone.hint("merge"), "key", "left")
+    df = _chunks(df, F.when(F.col("gone").isNotNull(), F.col("text")))
+    plain = F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + 1
+    lines = "aggregate({}, 0L, (a, c) -> a + c.n)"
+    cut = "filter(chunks, c -> array_contains(gone, c.chunk))"
+    left = "array_join(transform(filter(chunks, c -> not array_contains(gone, c.chunk)), c -> c.body), '\\n')"
+    return df.select("key", "doc_id", F.coalesce(F.expr(lines.format("chunks")), plain.cast("long")).alias("n_lines"),
+                     F.coalesce(F.expr(lines.format(cut)), F.lit(0).cast("long")).alias("n_removed"),
+                     F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_chunks_removed"),
+                     F.coalesce(F.expr(left), "text").alias("kept"))
 
 
 #: The same in DuckDB SQL, over ``documents`` with distinct ids; ``{source}`` gives doc_id and text
