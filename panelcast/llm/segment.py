@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Weight of a byte of a character that the vocabulary lacks
 BYTE_LOG = -12.0
 #: Characters of one block
-BLOCK = 4 << 20
+BLOCK = 3 << 19
 #: No draw is smaller than exp(-37)
 SMALLEST = -37.0
 
@@ -52,6 +52,14 @@ class Vocabulary:
         self.slot = np.full(1 << 20, -1, np.int32)
         self.slot[first] = np.arange(len(first))
         self.slot[first[1:][first[1:] == first[:-1]]] = -2
+        #: By length, the first bits of the hashes of all beginnings of longer pieces
+        self.begins = np.zeros((self.longest + 1, 1 << 18), bool)
+        joined = Rolling(mix(_codes("".join(pieces[i] for i in known)).astype(U)))
+        lengths = np.array([len(pieces[i]) for i in known])
+        start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        for size in range(1, self.longest):
+            own = start[lengths > size]
+            self.begins[size, (joined.slices(own, own + size) >> U(46)).astype(np.int64)] = True
         self.sizes = np.array([len(r) for r in self.raw])
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.data = np.frombuffer(b"".join(self.raw), np.uint8)
@@ -97,11 +105,13 @@ class Lattice:
         rolling = Rolling(mix(codes.astype(U)))
         src, dst, ids, logs = [], [], [], []
         single = np.zeros(len(codes), bool)
+        alive = place
         for size in range(1, vocabulary.longest + 1):
-            at = np.flatnonzero(left >= size)
+            at = alive[left[alive] >= size]
             if not len(at):
                 break
             h = rolling.slices(at, at + size)
+            alive = at[vocabulary.begins[size, (h >> U(46)).astype(np.int64)]]
             k = vocabulary.slot[(h >> U(44)).astype(np.int64)]
             maybe = k != -1
             at, h, k = at[maybe], h[maybe], k[maybe].astype(np.int64)
@@ -148,8 +158,9 @@ class Lattice:
         self.upto[self.ptr[1:][self.ptr[1:] > self.ptr[:-1]] - 1] = 2.0  # the last arc takes what is left
 
     def walk(self, states: np.ndarray, ends: np.ndarray, seeds: np.ndarray):
-        """Draw a path from each state to its end: (walker, step, arc) in the order of walkers and steps."""
-        walkers, step, found = np.arange(len(states)), 0, []
+        """Draw a path from each state to its end: arcs per walker, and all arcs in order."""
+        n = len(states)
+        walkers, step, found = np.arange(n), 0, []
         active = states < ends
         walkers, states, seeds = walkers[active], states[active], seeds[active]
         ends = ends[active]
@@ -166,10 +177,13 @@ class Lattice:
             walkers, states, ends, seeds = walkers[on], states[on], ends[on], seeds[on]
             step += 1
         if not found:
-            return tuple(np.zeros(0, np.int64) for _ in range(3))
+            return np.zeros(n, np.int64), np.zeros(0, np.int64)
         walkers, steps, arcs = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((steps, walkers))
-        return walkers[order], steps[order], arcs[order]
+        taken = np.bincount(walkers, minlength=n)
+        at = (np.cumsum(taken) - taken)[walkers] + steps
+        out = np.empty(len(arcs), arcs.dtype)
+        out[at] = arcs
+        return taken, out
 
 
 def split(texts: list[str], vocabulary: Vocabulary):
@@ -201,19 +215,16 @@ def uniform(seeds: np.ndarray) -> np.ndarray:
     return ((mix(seeds) >> U(12)).astype(np.float64) + 0.5) * 2.0 ** -52
 
 
-def _children(lattice, text_of, place, arcs, logp_before, arrival_log, salt):
-    """Other children along the paths, with the log of their arrival time, where it can matter."""
-    near = np.flatnonzero(logp_before > 2 * SMALLEST)
-    src_arc = arcs[near]
-    state = lattice.src[src_arc]
+def _children(lattice, arcs, text_of, step, logp_before, arrival_log, salt):
+    """Other children beside the given steps of paths: (step's place, arc, log probability, log arrival)."""
+    state = lattice.src[arcs]
     counts = lattice.ptr[state + 1] - lattice.ptr[state]
-    owner = np.repeat(near, counts)
-    other = np.repeat(lattice.ptr[state] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(
-        int(counts.sum()))
-    real = other != np.repeat(src_arc, counts)
+    owner = np.repeat(np.arange(len(arcs)), counts)
+    other = np.repeat(lattice.ptr[state] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    real = other != arcs[owner]
     owner, other = owner[real], other[real]
     logp = logp_before[owner] + lattice.logp[other]
-    seeds = salt[text_of[owner]] + place[owner].astype(U) * U(0xD1342543DE82EF95) + other_rank(lattice, other)
+    seeds = salt[text_of[owner]] + step[owner].astype(U) * U(0xD1342543DE82EF95) + other_rank(lattice, other)
     late = np.log(-np.log(uniform(mix(seeds)))) - logp
     return owner, other, logp, np.logaddexp(arrival_log[text_of[owner]], late)
 
@@ -238,35 +249,39 @@ def sample_block(keys: np.ndarray, texts: list[str], samples: int, vocabulary: V
     live = np.ones(n, bool)
     for rank in range(samples):
         salt = mix(seed + U((rank + 2) * 0x9E3779B97F4A7C15 % 2 ** 64))
-        todo = np.flatnonzero(live)
-        begun = live[text_of_word] & (np.arange(len(flat)) >= start_word[text_of_word])
-        wanted = np.flatnonzero(begun)
+        wanted = np.flatnonzero(live[text_of_word] & (np.arange(len(flat)) >= start_word[text_of_word]))
+        arcs, cut = np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
         if len(wanted):
             states = lattice.base[flat[wanted]]
             resumed = np.flatnonzero((start_state[text_of_word[wanted]] >= 0)
                                      & (wanted == start_word[text_of_word[wanted]]))
             states[resumed] = start_state[text_of_word[wanted[resumed]]]
             seeds = mix(salt[text_of_word[wanted]] + order_in_text[wanted].astype(U) * U(0x94D049BB133111EB))
-            walker, _, arcs = lattice.walk(states, lattice.last[flat[wanted]], seeds)
-            word = wanted[walker]
-            text_of = text_of_word[word]
-            cut = np.searchsorted(text_of, np.arange(n + 1))
-            logs = lattice.logp[arcs]
-            running = np.concatenate([[0.0], np.cumsum(logs)])
+            taken, arcs = lattice.walk(states, lattice.last[flat[wanted]], seeds)
+            ends_of = np.concatenate([[0], np.cumsum(taken)])
+            cut = ends_of[np.searchsorted(wanted, bounds)]
+        base = np.array([h[2] if h else 0.0 for h in heads])
+        offset = np.array([len(h[0]) if h else 0 for h in heads])
+        running = np.concatenate([[0.0], np.cumsum(lattice.logp[arcs])]) if len(arcs) else np.zeros(1)
+        total = base + running[cut[1:]] - running[cut[:-1]]
+        # Steps whose other children can matter: the path up to there isn't too improbable
+        far = np.searchsorted(-running, 2 * -SMALLEST + base - running[cut[:-1]], side="left")
+        sizes = np.clip(np.minimum(far, cut[1:]) - cut[:-1], 0, None)
+        text_of = np.repeat(np.arange(n), sizes)
+        inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        near = cut[:-1][text_of] + inner
+        word = wanted[np.searchsorted(ends_of, near, side="right") - 1] if len(near) else near
+        begin = np.cumsum(sizes) - sizes
+        todo = np.flatnonzero(live)
         for t in todo.tolist():
-            prefix, words_before, base = heads[t] if heads[t] else (np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0)
-            if len(wanted):
-                own = slice(cut[t], cut[t + 1])
-                paths[t].append((np.concatenate([prefix, arcs[own]]), np.concatenate([words_before, word[own]]),
-                                 base + float(logs[own].sum()), arrival[t], len(prefix)))
-            else:
-                paths[t].append((prefix, words_before, base, arrival[t], len(prefix)))
-        if len(wanted):
-            base = np.array([h[2] if h else 0.0 for h in heads])
-            before = running[:-1] - running[cut[:-1]][text_of] + base[text_of]
-            offset = np.array([len(h[0]) if h else 0 for h in heads])
-            step = np.arange(len(arcs)) - cut[:-1][text_of] + offset[text_of]
-            owner, other, logp, when = _children(lattice, text_of, step, arcs, before, arrival, salt)
+            prefix, words_before = heads[t][:2] if heads[t] else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            own_words = word[begin[t]:begin[t] + sizes[t]]
+            paths[t].append((np.concatenate([prefix, arcs[cut[t]:cut[t + 1]]]),
+                             np.concatenate([words_before, own_words]), total[t], arrival[t]))
+        if len(near):
+            step = inner + offset[text_of]
+            owner, other, logp, when = _children(lattice, arcs[near], text_of, step, base[text_of] + running[near]
+                                                 - running[cut[:-1]][text_of], arrival, salt)
             # More than the samples still to come are never needed
             order = np.lexsort((when, text_of[owner]))
             owner, other, logp, when = owner[order], other[order], logp[order], when[order]
@@ -290,7 +305,7 @@ def sample_block(keys: np.ndarray, texts: list[str], samples: int, vocabulary: V
     for t in range(n):
         # The arrival of the first path that is not in the sample; none if these are all
         limit = open_[t][0][0] if open_[t] else np.inf
-        for rank, (arcs, _, logp, when, _) in enumerate(paths[t]):
+        for rank, (arcs, _, logp, when) in enumerate(paths[t]):
             inclusion = 0.0 if limit == np.inf else _log_inclusion(logp + limit)
             out.append((t, rank + 1, arcs, logp, when, inclusion))
     return lattice, out

@@ -15,8 +15,8 @@ prefix of neighbours in the merged order tells, for each cut, how far the best m
 
 A match that holds a cut reaches over all its windows right of it (forward) or left of it (backward); a cut whose best
 match ends early rules windows out. Of the windows that neither proves nor rules out (matches barely longer than a
-window, or made of parts of several texts) those whose hash occurs twice are sorted and merged themselves, in the same
-way. The result is exact: hashes only rule out, strings decide.
+window, or made of parts of several texts) those whose hash occurs twice, be it in a proven window, are sorted and
+merged themselves, in the same way. The result is exact: hashes only rule out, strings decide.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from panelcast.llm import exchange as ex
-from panelcast.llm.common import Rolling, byte_values, buffers, keyed, materialise, pack, restore, runs_of, unpack
+from panelcast.llm.common import (Rolling, buffers, byte_values, keyed, materialise, pack, pack_sorted, restore, runs_of,
+                                  unpack, unpack_sorted)
 
 #: Bytes of an anchor, and one place in so many has one
 GRAM, EVERY = 64, 12
@@ -319,7 +320,7 @@ def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
         return pa.Table.from_batches([ex.to_arrow(out)])
 
     def weigh(table):
-        """Windows proven by the reach of a match, and the hashes of those left open."""
+        """Windows proven by the reach of a match, those left open, and the hashes of both."""
         rows_ = table.to_pylist()
         batch = rows_[0]["batch"]
         ranges = [r for r in rows_ if r["kind"] == RANGES]
@@ -334,35 +335,39 @@ def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
                 # The first byte of a string only tells its direction
                 reach[unpack(r["a"], np.int64)] = np.stack([unpack(r["b"], np.int64), unpack(r["c"], np.int64)], 1) - 1
         bounds = np.searchsorted(entries[:, 0], np.arange(len(places) + 1))
-        proven, left, hashes, at = [], [], [], 0
+        proven, left, hashes, at = [], [], {True: [], False: []}, 0
         for number, (doc, start, n) in enumerate(places.tolist()):
             yes, no = decide(n, entries[bounds[number]:bounds[number + 1]], reach, length)
-            for a, b in zip(*runs_of(yes)):
-                proven.append((doc, start + a, start + b))
-            for a, b in zip(*runs_of(~yes & ~no)):
-                left.append((doc, start + a, at + a, b - a))
-                hashes.append(window_hashes(text, at + a, b - a, length))
+            for found, mask in ((proven, yes), (left, ~yes & ~no)):
+                for a, b in zip(*runs_of(mask)):
+                    found.append((doc, start + a, b - a, at + a))
+                    hashes[found is left].append(window_hashes(text, at + a, b - a, length))
             at += n
-        out = ex.scatter(batch, np.concatenate(hashes), parts) if hashes else []
-        out.append(ex.row(-1, batch, PROVEN, pack(np.array(proven, np.int64))))
-        if left:
-            out.append(ex.row(-1, batch, LEFT, pack(np.array(left, np.int64))))
+        out = []
+        for open_, found in hashes.items():
+            for r in ex.scatter(batch, np.concatenate(found), parts) if found else []:
+                out.append(ex.row(r[0], batch, LEFT if open_ else PROVEN, *r[3:]))
+        for kind, found in ((PROVEN, proven), (LEFT, left)):
+            if found:
+                out.append(ex.row(-1, batch, kind, pack(np.array(found, np.int64))))
         return pa.Table.from_batches([ex.to_arrow(out)])
 
     def line_up(table):
-        """Of the open windows, the strings of those whose hash occurs twice, as a sorted run."""
-        by = {kind: [r for r in table.to_pylist() if r["kind"] == kind] for kind in (RANGES, LEFT, 1)}
-        if not by[LEFT] or not by[1]:
+        """Of the open windows, and the proven ones like them, those whose hash occurs twice, as a sorted run."""
+        by = {kind: [r for r in table.to_pylist() if r["kind"] == kind] for kind in (RANGES, PROVEN, LEFT, 1)}
+        if not by[1]:
             return pa.Table.from_batches([ex.to_arrow([])])
-        batch = by[LEFT][0]["batch"]
+        batch = by[1][0]["batch"]
         text = zstandard.ZstdDecompressor().decompress(by[RANGES][0]["a"])
         twice = ex.known(by[1])
         strings, open_at = {}, []
-        for doc, place, at, n in unpack(by[LEFT][0]["a"], np.int64).reshape(-1, 4).tolist():
-            for i in np.flatnonzero(ex.among(window_hashes(text, at, n, length), twice)).tolist():
-                have = strings.setdefault(text[at + i:at + i + length], [len(strings), 0])
-                have[1] += 1
-                open_at.append((doc, place + i, have[0]))
+        for kind in (LEFT, PROVEN):
+            for doc, place, n, at in unpack(by[kind][0]["a"], np.int64).reshape(-1, 4).tolist() if by[kind] else []:
+                for i in np.flatnonzero(ex.among(window_hashes(text, at, n, length), twice)).tolist():
+                    have = strings.setdefault(text[at + i:at + i + length], [len(strings), 0])
+                    have[1] += 1
+                    if kind == LEFT:
+                        open_at.append((doc, place + i, have[0]))
         out = run_rows(batch, strings, plain_borders)
         out.append(ex.row(-1, batch, OPEN, pack(np.array(open_at, np.int64))))
         return pa.Table.from_batches([ex.to_arrow(out)])
@@ -376,7 +381,8 @@ def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
     def remove(batch, pieces, answers):
         by = {kind: [r for r in answers if r["kind"] == kind] for kind in (WHOLE, PROVEN, OPEN, REPEATED)}
         whole = set(np.concatenate([unpack(r["a"], np.int64) for r in by[WHOLE]] or [np.zeros(0)]).tolist())
-        found = [unpack(r["a"], np.int64).reshape(-1, 3) for r in by[PROVEN]]
+        found = [unpack(r["a"], np.int64).reshape(-1, 4)[:, :3] for r in by[PROVEN]]
+        found = [np.stack([f[:, 0], f[:, 1], f[:, 1] + f[:, 2]], 1) for f in found]
         if by[OPEN]:
             repeated = np.concatenate([unpack(r["a"], np.int64) for r in by[REPEATED]] or [np.zeros(0, np.int64)])
             left = unpack(by[OPEN][0]["a"], np.int64).reshape(-1, 3)
@@ -416,16 +422,34 @@ def dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "
              .applyInArrow(lambda table: merge_range(table, borders), ex.ROWS))
     stretches = sent.filter(F.col("kind") == RANGES)
     weighed = materialise(stretches.unionByName(reach).groupBy("batch").applyInArrow(weigh, ex.ROWS), "suffix-open")
-    twice = weighed.filter("part >= 0").groupBy("part").applyInArrow(ex.shared_of, ex.ROWS)
-    left = weighed.filter(F.col("kind") == LEFT).unionByName(stretches).unionByName(twice)
+    twice = weighed.filter("part >= 0").groupBy("part").applyInArrow(settle_open, ex.ROWS)
+    left = weighed.filter("part < 0").unionByName(stretches).unionByName(twice)
     lined = materialise(left.groupBy("batch").applyInArrow(line_up, ex.ROWS), "suffix-windows")
     repeated = lined.filter(F.col("kind") == RUN).groupBy("part").applyInArrow(merge_open, ex.ROWS)
-    facts = (weighed.filter(F.col("kind") == PROVEN).unionByName(sent.filter(F.col("kind") == WHOLE))
+    facts = (weighed.filter((F.col("kind") == PROVEN) & (F.col("part") < 0)).unionByName(sent.filter(F.col("kind") == WHOLE))
              .unionByName(lined.filter(F.col("kind") == OPEN)).unionByName(repeated))
     out = ex.meet(texts, facts, remove, SCHEMA + (", kept binary" if with_text else ""))
     return restore(rows, own_ids, out)
 
 
+def settle_open(table: pa.Table) -> pa.Table:
+    """One hash range of windows: for every batch, its hashes that occur twice and are open somewhere."""
+    names, kinds = table.column("batch").to_pylist(), table.column("kind").to_numpy()
+    lists = [unpack_sorted(x) for x in table.column("a").to_pylist()]
+    many = np.concatenate([np.unpackbits(unpack(x, np.uint8))[:len(v)] for x, v in
+                           zip(table.column("b").to_pylist(), lists)])
+    _, group = np.unique(np.concatenate(lists), return_inverse=True)
+    open_ = np.repeat(kinds == LEFT, [len(v) for v in lists])
+    wanted = (np.bincount(group, weights=open_) > 0) & (np.bincount(group, weights=many + 1) > 1)
+    out, at = [], 0
+    for name, own in zip(names, lists):
+        found = own[wanted[group[at:at + len(own)]]]
+        at += len(own)
+        if len(found):
+            out.append(ex.row(0, name, 1, pack_sorted(found)))
+    return pa.Table.from_batches([ex.to_arrow(out)])
+
+
 def window_hashes(text: bytes, at: int, n: int, length: int) -> np.ndarray:
     """Hashes of n windows of a text from one place on."""
     return Rolling(byte_values(np.frombuffer(text, np.uint8, n + length - 1, at))).windows(length)
