@@ -191,9 +191,12 @@ MODELS: dict[str, Forecaster] = {"seasonal_naive": seasonal_naive, "sarima": sar
 
 
 def pick_models(names: Sequence[str]) -> dict[str, Forecaster]:
-    """The known models among the names, in the given order."""
+    """The models of the names, in the given order; an unknown name is an error."""
     asked = [config.MODEL_ALIASES.get(name, name) for name in names]
-    return {name: MODELS[name] for name in asked if name in MODELS}
+    unknown = [name for name in asked if name not in MODELS]
+    if unknown:
+        raise ValueError(f"no such forecasting model: {', '.join(unknown)}")
+    return {name: MODELS[name] for name in asked}
 
 
 def bounded(forecasts: DataFrame, capacity: DataFrame) -> DataFrame:

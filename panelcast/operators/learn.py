@@ -115,11 +115,11 @@ def horizon_rows(panel: DataFrame, capacity: DataFrame, horizon: int, step: int)
     arrays = (level.select("id", "date", "level", F.collect_list("level").over(ahead).alias("_ahead"),
                            F.collect_list("level").over(behind).alias("_behind"))
               .filter(F.size("_behind") == season + 1))
-    # Any horizon up to the season has its seasonal value already observed
-    steps = arrays.withColumn("h", F.explode(F.sequence(F.lit(step), F.lit(min(horizon, season)), F.lit(step))))
+    # Beyond a season ahead, the seasonal value is that of the same week in the season last observed
+    steps = arrays.withColumn("h", F.explode(F.sequence(F.lit(step), F.lit(horizon), F.lit(step))))
     return steps.select(
         "id", "date", "level", "h", F.get("_behind", F.lit(0)).alias("level_year_ago"),
-        F.get("_behind", F.col("h")).alias("seasonal"),
+        F.get("_behind", F.pmod(F.col("h") - 1, F.lit(season)) + 1).alias("seasonal"),
         F.weekofyear(F.date_add("date", F.col("h") * 7)).cast("double").alias("week"),
         F.get("_ahead", F.col("h") - 1).alias("target"))
 

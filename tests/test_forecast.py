@@ -79,7 +79,9 @@ def test_fitted_models_start_at_the_last_value_and_stay_bounded(spark):
     assert {(r.id, r.model) for r in rows} == {(1, "seasonal_naive"), (1, "sarima"), (1, "trend_seasonal"), (1, "ensemble"),
                                               (2, "seasonal_naive"), (2, "trend_seasonal"), (2, "ensemble")}
     assert [(r.id, r.model) for r in failures.collect()] == [(2, "sarima")]
-    assert list(fc.pick_models(["prophet", "unknown", "seasonal_naive"])) == ["trend_seasonal", "seasonal_naive"]
+    assert list(fc.pick_models(["prophet", "seasonal_naive"])) == ["trend_seasonal", "seasonal_naive"]
+    with pytest.raises(ValueError, match="unknown"):
+        fc.pick_models(["prophet", "unknown", "seasonal_naive"])
     wide = fc.wide(forecasts, ["seasonal_naive", "ensemble"])
     assert wide.count() == 104 and wide.columns == ["id", "date", "seasonal_naive", "ensemble"]
 

@@ -105,3 +105,10 @@ def test_boosted_forecast(spark):
     assert len(rows) == 104
     truth = 100 + 50 * np.sin(2 * np.pi * (t[-1] + np.arange(1, 53)) / 52)
     assert np.abs(np.array([rows[1, h] for h in range(1, 53)]) - truth).mean() < 10
+
+
+def test_boosted_beyond_a_season(spark):
+    t = np.arange(180)
+    panel = weekly(spark, {1: 100 + 50 * np.sin(2 * np.pi * t / 52)})
+    made = learn.boosted(panel, capacities(spark, {1: 200}), horizon=60, trees=3, depth=3, step=20)
+    assert sorted(r.h for r in made.collect()) == list(range(1, 61))
