@@ -77,3 +77,9 @@ def bounding_box(lat0: float, lon0: float, radius_km: float) -> Column:
         if lon0 - width >= -180 and lon0 + width <= 180:
             box = box & F.col("longitude").between(lon0 - width, lon0 + width)
     return box
+
+
+def in_disc(lat0: float, lon0: float, radius_km: float) -> Column:
+    """No farther than the radius from a point, with the box first."""
+    km = haversine_km(f"{float(lat0)}D", f"{float(lon0)}D", "latitude", "longitude")
+    return bounding_box(lat0, lon0, radius_km) & (km <= radius_km)

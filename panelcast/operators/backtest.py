@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast import config
 from panelcast.operators.forecast import Forecaster, bounded, run_models, with_ensemble
+from panelcast.session import cut_lineage
 
 KEYS = ("id", "origin")
 
@@ -80,9 +81,13 @@ def fold_blocks(panel: DataFrame, train_years: int = 4, period: int = config.HOR
 
 def score(train: DataFrame, test: DataFrame, capacity: DataFrame, models: Mapping[str, Forecaster],
           horizon: int = config.HORIZON, include_ensemble: bool = True,
-          weights: Mapping[str, float] = config.ENSEMBLE_WEIGHTS) -> tuple[DataFrame, DataFrame]:
-    """Predictions beside actual values, aligned by step, and the failures."""
+          weights: Mapping[str, float] = config.ENSEMBLE_WEIGHTS, store: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Predictions beside actual values, aligned by step, and the failures.
+
+    ``store`` keeps the fitted curves, for callers that read both tables.
+    """
     every = run_models(train, capacity, models, horizon, KEYS)
+    every = cut_lineage(every) if store else every
     failures = every.filter(F.col("error").isNotNull()).select("id", "model", "origin", "error")
     good = every.filter(F.col("error").isNull()).select(*KEYS, "model", "h", "date", "prediction")
     if include_ensemble:
@@ -92,7 +97,14 @@ def score(train: DataFrame, test: DataFrame, capacity: DataFrame, models: Mappin
 
 def backtest(panel: DataFrame, capacity: DataFrame, models: Mapping[str, Forecaster],
              horizon: int = config.HORIZON, origins: int = config.ORIGINS, step: int = config.ORIGIN_STEP,
-             min_history: int = config.MIN_HISTORY, include_ensemble: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Rolling-origin backtest: ``id, origin, model, h, date, actual, prediction`` and the failures."""
+             min_history: int = config.MIN_HISTORY, include_ensemble: bool = True, only: DataFrame | None = None,
+             store: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rolling-origin backtest: ``id, origin, model, h, date, actual, prediction`` and the failures.
+
+    ``only`` names the (id, origin) pairs to fit; all by default.
+    """
     size = dict(horizon=horizon, origins=origins, step=step, min_history=min_history)
-    return score(training_sets(panel, **size), test_sets(panel, **size), capacity, models, horizon, include_ensemble)
+    train, test = training_sets(panel, **size), test_sets(panel, **size)
+    if only is not None:
+        train, test = (t.join(only.select(*KEYS), list(KEYS), "left_semi") for t in (train, test))
+    return score(train, test, capacity, models, horizon, include_ensemble, store=store)

@@ -169,8 +169,8 @@ def clean_details(raw: DataFrame, tie: str = "id") -> DataFrame:
 
 
 def cap_at_capacity(panel: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Storage limited to the entity's capacity."""
-    return (panel.join(capacity.select("id", "capacity"), "id")
+    """Storage limited to the entity's capacity; a reading without a known capacity stays as it is."""
+    return (panel.join(capacity.select("id", "capacity"), "id", "left")
             .withColumn("storage", F.least("storage", "capacity")).drop("capacity"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelcast import config
 from panelcast.functions.columns import map_value
 from panelcast.operators.clean import best_row_per_key, cap_at_capacity, community_of, unify_province
-from panelcast.operators.quality import require_columns
+from panelcast.operators.quality import duplicate_keys, enforce_empty, require_columns
 from panelcast.operators.spatial import fill_from_nearest
 
 
@@ -32,6 +32,15 @@ def join_details(entities: DataFrame, details: DataFrame, names: Mapping[str, st
     return left.join(right.drop(*extra), "name", "left")
 
 
+def name_collisions(entities: DataFrame, details: DataFrame, names: Mapping[str, str] = config.DETAIL_NAME_OF,
+                    aliases: Mapping[str, str] = config.NAME_ALIASES) -> DataFrame:
+    """``side, name, rows``: names that several rows of one side share in ``join_details``; empty when it is one-to-one."""
+    known = first_per_key(entities.withColumn("name", map_value(F.col("name"), names, keep=True)), "name")
+    sides = [df.select(F.lit(side).alias("side"), map_value(F.col("name"), aliases, keep=True).alias("name"))
+             for side, df in (("entities", known), ("details", details))]
+    return duplicate_keys(sides[0].unionByName(sides[1]).filter(F.col("name").isNotNull()), ["side", "name"])
+
+
 def fill_missing(df: DataFrame, column: str, table: DataFrame, key: str = "name") -> DataFrame:
     """Fill nulls of a column from a lookup table with a unique key; known values stay."""
     t = table.select(key, F.col(column).alias("_known"))
@@ -114,7 +123,13 @@ def curate(panel: DataFrame, entities: DataFrame, details: DataFrame, provinces:
            coordinates: DataFrame, manual_coordinates: DataFrame, real_names: DataFrame,
            manual_provinces: Mapping[str, str] = config.MANUAL_PROVINCES,
            communities: Mapping[str, str] = config.PROVINCE_TO_COMMUNITY) -> dict[str, DataFrame]:
-    """The curated tables: ``panel``, ``entities``, ``details`` and ``merged``."""
+    """The curated tables: ``panel``, ``entities``, ``details`` and ``merged``.
+
+    Raises when two rows of a side end up under one name, when readings have no entity, or when a value is missing
+    that no row can give.
+    """
+    enforce_empty(name_collisions(entities, details), "names that are not unique after aliasing")
+    enforce_empty(missing_members(panel.select("id").distinct(), entities), "readings without an entity")
     fresh = fresh_ids(panel)
     merged = keep_listed(join_details(entities, details), fresh)
     merged = fill_missing(merged, "province", provinces)
@@ -124,7 +139,7 @@ def curate(panel: DataFrame, entities: DataFrame, details: DataFrame, provinces:
     merged = patch_coordinates(merged, manual_coordinates, coordinates)
     for column in ("crest_elevation", "riverbed", "basin"):
         if column in merged.columns:
-            merged = fill_from_nearest(merged, column)
+            merged = fill_from_nearest(merged, column, required=True)
     merged = join_lookup(merged, real_names, "name", ["real_name"])
     return {"panel": keep_listed(cap_at_capacity(panel, entities), fresh),
             "entities": keep_listed(entities, fresh), "details": details, "merged": merged}

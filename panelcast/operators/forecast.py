@@ -21,7 +21,6 @@ YEAR_DAYS = 365.25
 HARMONICS = 10
 SEASONAL_RIDGE = 0.1
 LONG_AR = 13
-MIN_DIFFERENCED_ROWS = 60
 
 
 def steps_ahead(keys: Sequence[str]):
@@ -92,43 +91,45 @@ def fit_harmonic(days: np.ndarray, values: np.ndarray, future: np.ndarray) -> np
     return harmonic_design(future, days[0], span) @ weights
 
 
-def lagged(values: np.ndarray, lags: Sequence[int], start: int) -> np.ndarray:
-    return np.column_stack([values[start - lag:len(values) - lag] for lag in lags])
+def past(values: np.ndarray, lags: Sequence[int]) -> np.ndarray:
+    """A column of earlier values per lag; what lies before the first value counts as zero."""
+    reach = max(lags)
+    padded = np.r_[np.zeros(reach), values]
+    return np.column_stack([padded[reach - lag:len(padded) - lag] for lag in lags])
 
 
 def estimate_arima(w: np.ndarray, season: int) -> tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]:
     """Two-stage least squares on a differenced series: lags, AR and shock weights, estimated shocks.
 
-    A long autoregression estimates the shocks; a second regression uses one, season and season-plus-one lags of
-    the differences and of the shocks. A series too short for seasonal lags keeps the first lag only.
+    A long autoregression that spans the season estimates the shocks; a second regression uses one, season and
+    season-plus-one lags of the differences and of the shocks. The model has the same form at every length: values
+    before the first difference count as zero, their expectation.
     """
-    long_lags = range(1, min(LONG_AR, len(w) // 4) + 1)
-    first = len(long_lags)
-    stage_one = lagged(w, long_lags, first)
-    ar = np.linalg.lstsq(stage_one, w[first:], rcond=None)[0]
-    shocks = np.r_[np.zeros(first), w[first:] - stage_one @ ar]
-    lags: tuple[int, ...] = (1, season, season + 1)
-    start = season + 1
-    if len(w) <= start + 8 * len(lags):
-        lags, start = (1,), first + 1
-    x = np.column_stack([lagged(w, lags, start), lagged(shocks, lags, start)])
+    long_lags = sorted({*range(1, LONG_AR + 1), season, season + 1})
+    stage_one = past(w, long_lags)
+    shocks = w - stage_one @ np.linalg.lstsq(stage_one, w, rcond=None)[0]
+    lags = (1, season, season + 1)
+    x = np.column_stack([past(w, lags), past(shocks, lags)])
     gram = x.T @ x
     ridge = 1e-6 * max(np.trace(gram), 1e-12) * np.eye(len(gram))
-    coefficients = np.linalg.lstsq(gram + ridge, x.T @ w[start:], rcond=None)[0]
+    coefficients = np.linalg.lstsq(gram + ridge, x.T @ w, rcond=None)[0]
     # Roots outside the unit circle would make a year of recursion explode; the cross term is their product
     phi, theta = np.clip(coefficients[:len(lags)], -0.98, 0.98), coefficients[len(lags):]
-    if len(lags) == 3:
-        phi[2] = -phi[0] * phi[1]
+    phi[2] = -phi[0] * phi[1]
     return lags, phi, theta, shocks
 
 
 def fit_arima(values: np.ndarray, horizon: int, season: int = config.SEASONAL_LAG) -> np.ndarray:
-    """Seasonal ARIMA(1,1,1)(1,1,1): difference once and once per season, estimate, roll forward, undo both."""
-    if len(values) < season + 1 + MIN_DIFFERENCED_ROWS:
-        raise ValueError(f"at least {season + 1 + MIN_DIFFERENCED_ROWS} observations are needed")
+    """Seasonal ARIMA(1,1,1)(1,1,1): difference once and once per season, estimate, roll forward, undo both.
+
+    Two seasons of values are needed, the shortest history that a backtest origin may have.
+    """
+    if len(values) < 2 * season:
+        raise ValueError(f"at least {2 * season} observations are needed")
     w = values[season + 1:] - values[season:-1] - values[1:-season] + values[:-season - 1]
     lags, phi, theta, shocks = estimate_arima(w, season)
-    diffs, errors, level = list(w), list(shocks), list(values)
+    before = [0.0] * (season + 1)
+    diffs, errors, level = before + list(w), before + list(shocks), list(values)
     for _ in range(horizon):
         step = sum(p * diffs[-lag] for p, lag in zip(phi, lags)) + sum(t * errors[-lag] for t, lag in zip(theta, lags))
         diffs.append(step)
@@ -241,15 +242,19 @@ def with_ensemble(forecasts: DataFrame, weights: Mapping[str, float] = config.EN
     return grouped.select(*keys, "h", "date", F.inline(every))
 
 
-def forecast_panel(panel: DataFrame, capacity: DataFrame, models: Sequence[str] = tuple(MODELS),
-                   horizon: int = config.HORIZON) -> tuple[DataFrame, DataFrame]:
-    """Forecasts of every entity (models and ensemble) and the table of skipped entities with their errors."""
-    every = run_models(panel, capacity, pick_models(models), horizon)
+def split_failures(every: DataFrame, capacity: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Forecasts with their ensemble, and the skipped (id, model) with their errors. ``every`` is read twice."""
     failures = every.filter(F.col("error").isNotNull()).select("id", "model", "error")
     forecasts = with_ensemble(every.filter(F.col("error").isNull()).drop("error"))
     return bounded(forecasts, capacity), failures
 
 
+def forecast_panel(panel: DataFrame, capacity: DataFrame, models: Sequence[str] = tuple(MODELS),
+                   horizon: int = config.HORIZON) -> tuple[DataFrame, DataFrame]:
+    """Forecasts of every entity (models and ensemble) and the table of skipped entities with their errors."""
+    return split_failures(run_models(panel, capacity, pick_models(models), horizon), capacity)
+
+
 def wide(forecasts: DataFrame, models: Sequence[str]) -> DataFrame:
     """One row per entity and date with a column per model."""
     return forecasts.groupBy("id", "date").pivot("model", list(models)).agg(F.first("prediction"))

@@ -13,7 +13,8 @@ from panelcast import config
 from panelcast.operators.backtest import backtest, origin_ends
 from panelcast.operators.evaluation import error_metrics
 from panelcast.operators.features import last_rows
-from panelcast.operators.forecast import forecast_panel, pick_models
+from panelcast.operators.forecast import pick_models, run_models, split_failures
+from panelcast.operators.quality import enforce_empty
 from panelcast.session import cut_lineage
 from panelcast.sources import schemas
 from panelcast.sources.readers import read_or_empty
@@ -25,14 +26,14 @@ MANIFEST_JSON = ("status string, failure_recorded boolean, models array<string>,
 
 def fingerprints(panel: DataFrame, capacity: DataFrame, models: Sequence[str],
                  horizon: int = config.HORIZON) -> DataFrame:
-    """SHA-256 per entity over its ordered series, capacity, models and horizon.
+    """SHA-256 per entity over its ordered series, capacity, models and horizon, numbers at full precision.
 
     The text of one entity holds at most one reading per week, so its list is bounded by the calendar.
     """
-    reading = F.concat_ws(":", F.date_format("date", "yyyy-MM-dd"), F.format_string("%.6f", "storage"))
+    reading = F.concat_ws(":", F.date_format("date", "yyyy-MM-dd"), F.col("storage").cast("string"))
     texts = panel.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(reading)), "|").alias("_text"))
     tail = f"{','.join(models)}|{horizon}"
-    known = F.when(F.col("capacity").isNull(), "none").otherwise(F.format_string("%.6f", "capacity"))
+    known = F.when(F.col("capacity").isNull(), "none").otherwise(F.col("capacity").cast("string"))
     return (texts.join(capacity.select("id", "capacity"), "id", "left")
             .select("id", F.sha2(F.concat_ws("|", "_text", known, F.lit(tail)), 256).alias("digest")))
 
@@ -52,16 +53,32 @@ def forecast_with_ledger(spark: SparkSession, panel: DataFrame, capacity: DataFr
                          horizon: int = config.HORIZON) -> tuple[DataFrame, DataFrame]:
     """Forecast only changed entities, append them to the ledger and return all valid forecasts.
 
-    The second table counts entities served from the ledger and entities computed now.
+    Models that fail are appended to ``forecast_failures``, so an entity none of whose models works isn't fitted again
+    before its series, capacity or models change. The second table counts entities served from the ledger, entities
+    computed now, and entities without any forecast.
     """
     digests = cut_lineage(fingerprints(panel, capacity, models, horizon))
-    ledger = read_or_empty(spark, path, schemas.FORECASTS)
-    pending = cut_lineage(work_list(digests, ledger))
-    fresh, _ = forecast_panel(panel.join(pending, "id", "left_semi"), capacity, models, horizon)
+    failed = read_or_empty(spark, f"{path}-failures", schemas.FORECAST_FAILURES)
+    seen = read_or_empty(spark, path, schemas.FORECASTS).select("id", "digest").unionByName(failed.select("id", "digest"))
+    pending = cut_lineage(work_list(digests, seen))
+    every = cut_lineage(run_models(panel.join(pending, "id", "left_semi"), capacity, pick_models(models), horizon))
+    fresh, failures = split_failures(every, capacity)
+    # Failures first: a run that breaks off between the two is simply repeated
+    append_parquet(failures.join(pending, "id").select("id", "digest", "model", "error"), f"{path}-failures")
     append_parquet(fresh.join(pending, "id").select("id", "digest", "model", "h", "date", "prediction"), path)
+    valid = stored(digests, read_or_empty(spark, path, schemas.FORECASTS))
+    served = valid.select("id").distinct()
     total = digests.agg(F.count(F.lit(1))).scalar()
-    counts = pending.agg(F.count(F.lit(1)).alias("computed")).withColumn("from_ledger", total - F.col("computed"))
-    return stored(digests, read_or_empty(spark, path, schemas.FORECASTS)), counts
+    skipped = digests.join(served, "id", "left_anti").agg(F.count(F.lit(1))).scalar()
+    counts = pending.agg(F.count(F.lit(1)).alias("computed")).withColumns(
+        {"from_ledger": total - F.col("computed"), "skipped": skipped})
+    return valid, counts
+
+
+def forecast_failures(spark: SparkSession, digests: DataFrame, path: str) -> DataFrame:
+    """``id, digest, model, error`` of the models that failed on the present state of an entity."""
+    failed = read_or_empty(spark, f"{path}-failures", schemas.FORECAST_FAILURES)
+    return stored(digests, failed).dropDuplicates(["id", "digest", "model"])
 
 
 def is_complete(manifest: Column, models: Sequence[str], horizon: int, origins: int,
@@ -79,11 +96,18 @@ def parse_manifest(text: Column) -> Column:
     return F.from_json(text, MANIFEST_JSON)
 
 
-def pending_origins(ids: DataFrame, ledger: DataFrame, configuration: str, origins: int) -> DataFrame:
-    """(id, origin) pairs of the split that the ledger does not hold under this configuration."""
+def pending_origins(ids: DataFrame, ledger: DataFrame, configuration: str, origins: int,
+                    models: Sequence[str] = ()) -> DataFrame:
+    """(id, origin) pairs of the split that the ledger does not hold under this configuration.
+
+    With ``models`` a pair is held only if each of them has a row, be it metrics or a recorded failure.
+    """
     wanted = ids.select("id").distinct().withColumn("origin", F.explode(F.sequence(F.lit(0), F.lit(origins - 1))))
-    done = ledger.filter(F.col("configuration") == configuration).select("id", "origin")
-    return wanted.join(done, ["id", "origin"], "left_anti")
+    done = ledger.filter(F.col("configuration") == configuration)
+    if not models:
+        return wanted.join(done.select("id", "origin"), ["id", "origin"], "left_anti")
+    each = wanted.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    return each.join(done.select("id", "origin", "model"), ["id", "origin", "model"], "left_anti").select("id", "origin").distinct()
 
 
 def next_entities(pending: DataFrame, positions: DataFrame, limit: int) -> DataFrame:
@@ -117,27 +141,76 @@ def configuration_name(models: Sequence[str], horizon: int, origins: int, includ
 def evaluate_with_ledger(spark: SparkSession, panel: DataFrame, capacity: DataFrame, split_ids: DataFrame, split: str,
                          models: Sequence[str], path: str, limit: int = 0, horizon: int = config.HORIZON,
                          origins: int = config.ORIGINS, include_ensemble: bool = True) -> DataFrame:
-    """Backtest the next pending entities of a split and append their metrics; returns all metrics of the split.
+    """Backtest the next pending entities of a split and append their results; returns all metrics of the split.
 
-    ``split_ids`` has ``id`` and ``position``. Entities whose history gives no split are left out beforehand.
+    ``split_ids`` has ``id`` and ``position``; an id whose history gives no origin is an error. Only pending
+    (id, origin) pairs are fitted. Predictions, failures and manifests lie beside the metrics, in ``<path>-predictions``,
+    ``<path>-failures`` and ``<path>-manifests``; metrics come last but one, so a run that breaks off is repeated.
     """
     name = configuration_name(models, horizon, origins, include_ensemble)
-    ledger = read_or_empty(spark, path, schemas.METRICS)
+    chosen_models = pick_models(models)
+    tag = {"configuration": F.lit(name), "split": F.lit(split)}
     sizes = panel.filter(F.col("storage").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    splits = sizes.select("id", F.inline(origin_ends(F.col("_n"), horizon, origins, config.ORIGIN_STEP,
-                                                     config.MIN_HISTORY)))
-    pending = pending_origins(split_ids, ledger, name, origins).join(splits, ["id", "origin"], "left_semi")
-    chosen = cut_lineage(next_entities(pending, split_ids, limit))
-    predictions, _ = backtest(panel.join(chosen, "id", "left_semi"), capacity, pick_models(models), horizon, origins,
-                              include_ensemble=include_ensemble)
-    fresh = (error_metrics(predictions, capacity).join(pending, ["id", "origin"], "left_semi")
-             .withColumns({"configuration": F.lit(name), "split": F.lit(split)}))
-    columns = [c.split()[0] for c in schemas.METRICS.split(", ")]
-    append_parquet(fresh.select(*[F.col(c) for c in columns]).withColumn("origin", F.col("origin").cast("int")), path)
-    return read_or_empty(spark, path, schemas.METRICS).filter(
+    splits = cut_lineage(sizes.join(split_ids.select("id"), "id", "left_semi").select("id", F.inline(origin_ends(
+        F.col("_n"), horizon, origins, config.ORIGIN_STEP, config.MIN_HISTORY))).select("id", "origin"))
+    enforce_empty(split_ids.select("id").join(splits, "id", "left_anti"), f"{split} ids without enough history")
+    done = results(spark, path, "metrics", schemas.METRICS).select("id", "origin", "model", "configuration").unionByName(
+        results(spark, path, "failures", schemas.FAILURES).select("id", "origin", "model", "configuration"))
+    pending = pending_origins(split_ids, done, name, origins, list(chosen_models)).join(splits, ["id", "origin"], "left_semi")
+    pending = cut_lineage(pending)
+    chosen = next_entities(pending, split_ids, limit).select("id")
+    now = cut_lineage(pending.join(chosen, "id", "left_semi"))
+    predictions, failures = backtest(panel.join(now, "id", "left_semi"), capacity, chosen_models, horizon, origins,
+                                     include_ensemble=include_ensemble, only=now, store=True)
+    predictions = cut_lineage(predictions)
+    tables = {"predictions": (predictions, schemas.PREDICTIONS), "failures": (failures, schemas.FAILURES),
+              "metrics": (error_metrics(predictions, capacity), schemas.METRICS)}
+    for kind, (rows, schema) in tables.items():
+        typed = [F.col(c).cast(t).alias(c) for c, t in (field.split() for field in schema.split(", "))]
+        append_parquet(rows.withColumns(tag).select(*typed), result_path(path, kind))
+    written = write_manifests(spark, now, split, name, models, path, horizon, origins, include_ensemble)
+    append_parquet(written, result_path(path, "manifests"))
+    return results(spark, path, "metrics", schemas.METRICS).filter(
         (F.col("split") == split) & (F.col("configuration") == name))
 
 
+def result_path(path: str, kind: str) -> str:
+    return path if kind == "metrics" else f"{path}-{kind}"
+
+
+def results(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
+    """A result table of evaluations; a run that broke off and was repeated counts once."""
+    keys = [c for c in ("id", "origin", "model", "h", "configuration", "split") if f"{c} " in schema]
+    return read_or_empty(spark, result_path(path, kind), schema).dropDuplicates(keys)
+
+
+def write_manifests(spark: SparkSession, now: DataFrame, split: str, name: str, models: Sequence[str], path: str,
+                    horizon: int, origins: int, include_ensemble: bool) -> DataFrame:
+    """One manifest per entity just evaluated. Its lists hold at most models times origins items."""
+    ids = now.select("id").distinct()
+    mine = (F.col("configuration") == name) & (F.col("split") == split)
+    kept = results(spark, path, "metrics", schemas.METRICS).filter(mine).select("id", "origin", "model",
+                                                                               F.lit(None).cast("string").alias("error"))
+    lost = results(spark, path, "failures", schemas.FAILURES).filter(mine).select("id", "origin", "model", "error")
+    told = F.struct("model", "origin", "error")
+    every = kept.unionByName(lost).join(ids, "id", "left_semi").groupBy("id").agg(
+        F.sort_array(F.collect_set("origin")).alias("completed_origins"),
+        F.sort_array(F.collect_list(F.when(F.col("error").isNotNull(), told))).alias("failures"))
+    status = F.when(F.size("completed_origins") == origins, "complete").otherwise("in_progress")
+    return every.select(
+        F.lit(split).alias("split"), "id", F.lit(name).alias("configuration"), status.alias("status"),
+        F.array(*[F.lit(m) for m in models]).alias("models"), F.lit(horizon).alias("horizon"),
+        F.lit(origins).alias("origins"), F.lit(include_ensemble).alias("include_ensemble"), "completed_origins",
+        "failures", F.lit(True).alias("failure_recorded"), F.current_timestamp().alias("generated_at_utc"))
+
+
+def latest_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """The newest manifest of each entity and configuration."""
+    every = read_or_empty(spark, result_path(path, "manifests"), schemas.MANIFESTS)
+    row = F.max_by(F.struct(*every.columns), "generated_at_utc").alias("_m")
+    return every.groupBy("split", "configuration", "id").agg(row).select("_m.*")
+
+
 def forecast_report(panel: DataFrame, forecasts: DataFrame, weeks: int = 104) -> DataFrame:
     """Recent history and forecasts in one long table: ``id, date, series, value``."""
     history = last_rows(panel, weeks).select("id", "date", F.lit("observed").alias("series"),

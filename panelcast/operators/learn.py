@@ -128,27 +128,39 @@ BOOST_INPUTS = ("level", "seasonal", "h", "week")
 
 
 def boosted(panel: DataFrame, capacity: DataFrame, horizon: int = config.HORIZON, trees: int = 100, depth: int = 6,
-            rate: float = 0.1, step: int = 4) -> DataFrame:
+            rate: float = 0.1, step: int = 1) -> DataFrame:
     """Boosted trees over all entities with the horizon as an input, forecasting from each entity's last week.
 
     The last week is shifted to last year's level before prediction and the shift is taken off afterwards. Training
-    uses every week at every ``step``-th horizon; the trees interpolate between them.
+    uses every week at every horizon; a ``step`` above 1 trains on each such horizon only. An entity that cannot be
+    forecast gives one row with an ``error`` and no prediction.
     """
     vector = VectorAssembler(inputCols=list(BOOST_INPUTS), outputCol="features")
     train = horizon_rows(panel, capacity, horizon, step).filter(F.col("target").isNotNull())
-    frame = vector.transform(train.withColumn("h", F.col("h").cast("double"))).select("features", "target")
-    model = GBTRegressor(labelCol="target", maxIter=trees, maxDepth=depth, stepSize=rate, seed=27,
-                         checkpointInterval=10).fit(frame)
     last = F.max("date").over(Window.partitionBy("id"))
     ask = (horizon_rows(panel, capacity, horizon, 1).withColumn("_end", last)
            .filter(F.col("date") == F.col("_end")).withColumn("shift", F.col("level_year_ago") - F.col("level")))
+    ends = panel.groupBy("id").agg(F.count("storage").alias("_n"), F.max("date").alias("date"))
+    known = ends.join(capacity.select("id", "capacity"), "id", "left")
+    why = (F.when(~F.coalesce(F.col("capacity") > 0, F.lit(False)), "capacity is missing or zero")
+           .when(F.col("_n") <= config.SEASONAL_LAG, f"more than {config.SEASONAL_LAG} observations are needed")
+           .otherwise("the last season has a gap"))
+    failed = known.join(ask.select("id", "date").distinct(), ["id", "date"], "left_anti").select(
+        "id", F.lit(None).cast("int").alias("h"), F.lit(None).cast("date").alias("date"),
+        F.lit(None).cast("double").alias("prediction"), F.lit("boosted").alias("model"), why.alias("error"))
+    frame = vector.transform(train.withColumn("h", F.col("h").cast("double"))).select("features", "target")
+    if frame.isEmpty():
+        return failed
+    model = GBTRegressor(labelCol="target", maxIter=trees, maxDepth=depth, stepSize=rate, seed=27,
+                         checkpointInterval=10).fit(frame)
     shifted = ask.withColumns({"level": F.col("level") + F.col("shift"), "seasonal": F.col("seasonal") + F.col("shift"),
                                "_h": F.col("h"), "h": F.col("h").cast("double")})
     made = model.transform(vector.transform(shifted)).join(capacity.select("id", "capacity"), "id")
     value = (F.col("prediction") - F.col("shift")) * F.col("capacity")
-    return made.select("id", F.col("_h").alias("h"), F.date_add("_end", F.col("_h") * 7).alias("date"),
-                       F.least(value, F.col("capacity")).alias("prediction"),
-                       F.lit("boosted").alias("model"))
+    done = made.select("id", F.col("_h").alias("h"), F.date_add("_end", F.col("_h") * 7).alias("date"),
+                       F.least(value, F.col("capacity")).alias("prediction"), F.lit("boosted").alias("model"),
+                       F.lit(None).cast("string").alias("error"))
+    return done.unionByName(failed)
 
 
 def assign_folds(df: DataFrame, key: str, folds: int, seed: int = 27) -> DataFrame:

@@ -56,11 +56,14 @@ def nearest(targets: DataFrame, candidates: DataFrame, value: str, id_col: str =
             .select(F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"), "_near.*"))
 
 
-def fill_from_nearest(df: DataFrame, column: str, id_col: str = "id") -> DataFrame:
+def fill_from_nearest(df: DataFrame, column: str, id_col: str = "id", required: bool = False) -> DataFrame:
     """Fill nulls of a column from the nearest row that has it, flagged in ``<column>_imputed``.
 
-    Rows without valid coordinates are neither filled nor copied from. ``require_candidates`` is the matching check.
+    Rows without valid coordinates are neither filled nor copied from. ``required`` makes it an error if values are
+    missing and no row can give any.
     """
+    if required:
+        require_candidates(df, column)
     fillable = F.col(column).isNull() & geo.valid_point()
     near = nearest(df.filter(fillable), df.filter(F.col(column).isNotNull() & geo.valid_point()), column, id_col)
     patch = near.select("latitude", "longitude", F.col("value").alias("_near"))
@@ -77,7 +80,7 @@ def require_candidates(df: DataFrame, column: str) -> None:
     row = df.agg(F.max(F.col(column).isNull()).alias("missing"),
                  F.max(F.col(column).isNotNull() & geo.valid_point()).alias("usable")).first()
     if row["missing"] and not row["usable"]:
-        raise ValueError(f"cannot impute {column}: no valid candidate coordinates")
+        raise ValueError(f"{column} has gaps, but no row with a value and a place to copy it from")
 
 
 def pairs_within(left: DataFrame, right: DataFrame, reach_km: float | Column, on: Sequence[str] = ()) -> DataFrame:
@@ -103,8 +106,7 @@ def pairs_within(left: DataFrame, right: DataFrame, reach_km: float | Column, on
 
 def within_radius(df: DataFrame, latitude: float, longitude: float, radius_km: float) -> DataFrame:
     """Rows no farther than the radius from a point, with a box pre-filter."""
-    km = geo.haversine_km(f"{float(latitude)}D", f"{float(longitude)}D", "latitude", "longitude")
-    return df.filter(geo.bounding_box(latitude, longitude, radius_km)).filter(km <= radius_km)
+    return df.filter(geo.in_disc(latitude, longitude, radius_km))
 
 
 def diameter_km(df: DataFrame, on: Sequence[str], levels: Sequence[int] = (5, 9, 13, 17)) -> DataFrame:

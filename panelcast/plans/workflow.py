@@ -76,9 +76,11 @@ def run_forecast(spark: SparkSession, root: str, community: str | None = "andalu
                  models: Sequence[str] = ("seasonal_naive", "trend_seasonal")) -> DataFrame:
     """Forecast a community's entities, reusing stored forecasts; returns the computed and reused counts."""
     panel, entities = load_curated(spark, root)
-    chosen = tp.select_region(entities, community)
+    chosen = entities.filter(tp.Area(community).holds())
     forecasts, counts = inc.forecast_with_ledger(spark, curate.keep_listed(panel, chosen), chosen,
                                                  f"{root}/ledger/forecasts", models)
+    if forecasts.isEmpty():
+        raise ValueError("no entity could be forecast; the forecast ledger's failures say why")
     replace_parquet(forecasts.drop("digest"), f"{root}/outputs/forecasts")
     return counts
 
@@ -115,17 +117,16 @@ def analyze_test(spark: SparkSession, root: str, split_ids: DataFrame, model: st
             "worst_entities": ev.worst_entities(metrics), "validation_comparison": ev.compare_splits(both)}
 
 
-def run_plan(spark: SparkSession, root: str, community: str | None = None, latitude: float | None = None,
-             longitude: float | None = None, radius_km: float | None = None, settings: TransferConfig = TransferConfig(),
+def run_plan(spark: SparkSession, root: str, area: tp.Area = tp.Area(), settings: TransferConfig = TransferConfig(),
              models: Sequence[str] = ("seasonal_naive", "trend_seasonal"), max_iterations: int = 10) -> None:
-    """Select a region first, forecast it through the ledger, then plan transfers inside it."""
+    """Select the area first, forecast it through the ledger, then plan transfers inside it."""
     panel, entities = load_curated(spark, root)
-    chosen = cut_lineage(tp.select_region(entities, community, latitude, longitude, radius_km))
+    chosen = cut_lineage(entities.filter(area.holds()))
     panel = curate.keep_listed(panel, chosen)
     forecasts, _ = inc.forecast_with_ledger(spark, panel, chosen, f"{root}/ledger/forecasts", models)
     summary = ev.forecast_summary(panel, forecasts.filter(F.col("model") == config.ENSEMBLE_MODEL))
-    area = chosen.withColumn("region", F.lit("selected"))
-    state, log = tp.plan_transfers(tp.prepare_state(area, summary, settings), settings, max_iterations)
+    whole = chosen.withColumn("region", F.lit("selected"))
+    state, log = tp.plan_transfers(tp.prepare_state(whole, summary, settings), settings, max_iterations)
     replace_parquet(state, f"{root}/outputs/transfer_final_state")
     replace_parquet(log, f"{root}/outputs/transfer_log")
 

@@ -292,7 +292,7 @@ def _(spark, sf):
 
 
 @query("fc05_forecast_failures", with_ctes([fx.ORDERS_WK], """SELECT id, 'sarima' AS model,
- 'at least 113 observations are needed' AS error FROM orders_wk GROUP BY id HAVING count(*) < 113"""))
+ 'at least 104 observations are needed' AS error FROM orders_wk GROUP BY id HAVING count(*) < 104"""))
 def _(spark, sf):
     return fc.forecast_panel(fx.order_readings(spark, sf), fx.no_capacity(spark, sf), ["seasonal_naive", "sarima"])[1]
 

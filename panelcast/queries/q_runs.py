@@ -108,7 +108,7 @@ MODELS = "['seasonal_naive', 'sarima', 'trend_seasonal']"
 
 
 @query("inc01_fingerprint", with_ctes([fx.PANEL, fx.CAP], """SELECT p.id, sha256(string_agg(strftime(date, '%Y-%m-%d') || ':' ||
- printf('%.6f', storage), '|' ORDER BY date) || '|' || coalesce(printf('%.6f', any_value(capacity)), 'none')
+ CAST(storage AS VARCHAR), '|' ORDER BY date) || '|' || coalesce(CAST(any_value(capacity) AS VARCHAR), 'none')
  || '|seasonal_naive,sarima|52') AS digest FROM panel p JOIN cap ON cap.id = p.id GROUP BY p.id"""))
 def _(spark, sf):
     return inc.fingerprints(fx.panel(spark, sf), fx.capacity(spark, sf), ["seasonal_naive", "sarima"])
@@ -270,7 +270,7 @@ def _(spark, sf):
 
 @query("fc09_boosted_trees")
 def _(spark, sf):
-    return learn.boosted(*fx.stored_panel(spark, sf, gaps=False), trees=10, depth=4)
+    return learn.boosted(*fx.stored_panel(spark, sf, gaps=False))
 
 
 TRAIN = "fold AS (SELECT *, id % 5 = 0 AS held FROM points)"

@@ -81,6 +81,12 @@ def _(spark, sf):
     return tp.candidate_pairs(state(spark, sf), NEAR)
 
 
+@query("tp04_candidate_pairs_any_distance", with_ctes([STATE, RECEIVERS, PAIRS.replace("AND distance_km <= 250 ", "")],
+                                                      "SELECT * FROM pairs", d="volume distance_km cost"))
+def _(spark, sf):
+    return tp.candidate_pairs(state(spark, sf))
+
+
 @query("srt03_cheapest_pair", with_ctes([STATE, RECEIVERS, PAIRS], """SELECT * FROM pairs QUALIFY row_number() OVER (
  PARTITION BY region ORDER BY cost, donor, receiver) = 1""", d="volume distance_km cost"))
 def _(spark, sf):
@@ -107,7 +113,7 @@ def _(spark, sf):
 @query("tp06_select_region", with_ctes([fx.DIMS], f"""SELECT x.id, name, community FROM dims x, (SELECT 38.5::DOUBLE AS latitude,
  -4.0::DOUBLE AS longitude) home WHERE lower(community) = 'asia' AND {fx.km_sql('home', 'x')} <= 350"""))
 def _(spark, sf):
-    chosen = tp.select_region(fx.dims(spark, sf), "ASIA", 38.5, -4.0, 350.0, column="community")
+    chosen = fx.dims(spark, sf).filter(tp.Area("ASIA", (38.5, -4.0), 350.0).holds("community"))
     return chosen.select("id", "name", "community")
 
 
@@ -147,6 +153,13 @@ def _(spark, sf):
         "region", F.col("l_id").alias("donor"), F.col("r_id").alias("receiver"), "cost")
 
 
+@query("tp07_factor_costs_any_distance", with_ctes([BALANCED, FACTORS.replace(" AND km <= 250", "")],
+                                                   "SELECT region, donor, receiver, cost FROM cheap", d="cost"))
+def _(spark, sf):
+    return tp.factor_costs(balanced(spark, sf)).select(
+        "region", F.col("l_id").alias("donor"), F.col("r_id").alias("receiver"), "cost")
+
+
 @query("tp08_ranked_candidates", with_ctes([BALANCED, FACTORS], """SELECT region, tier, donor, receiver, difference, cost, critical,
  worrying, give_if_critical, give_if_worrying, able_to_donate FROM cheap""", d="difference cost"))
 def _(spark, sf):

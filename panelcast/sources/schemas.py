@@ -7,8 +7,12 @@ DETAILS_RAW = ("CODE string, NAME string, RESERVOIR string, X string, Y string,
                "TYPE string, CREST_ELEVATION string, DAM_HEIGHT string, REPORT string")
 PANEL = "id long, date date, storage double, storage_imputed int"
 FORECASTS = "id long, digest string, model string, h int, date date, prediction double"
+FORECAST_FAILURES = "id long, digest string, model string, error string"
 METRICS = ("id long, origin int, model string, test_start date, mae double, rmse double, mape double, "
            "nmae_capacity double, nrmse_capacity double, configuration string, split string")
+PREDICTIONS = ("id long, origin int, model string, h int, date date, actual double, prediction double, "
+               "configuration string, split string")
+FAILURES = "id long, origin int, model string, error string, configuration string, split string"
 MANIFESTS = ("split string, id long, configuration string, status string, models array<string>, horizon int, "
              "origins int, include_ensemble boolean, completed_origins array<int>, "
              "failures array<struct<model: string, origin: int, error: string>>, failure_recorded boolean, "

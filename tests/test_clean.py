@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import capacities, weekly
-from panelcast.operators import clean, features as ft, quality as dq
+from panelcast.operators import clean, curate, features as ft, quality as dq
 from panelcast.operators.spatial import fill_from_nearest, require_candidates
 from panelcast.plans import etl
 
@@ -44,7 +44,7 @@ def test_duplicates_and_bad_dates_are_rejected(spark):
     bad = spark.createDataFrame([("not a date", 1, "1")], "DATE string, ID long, CURRENT_WATER string")
     with pytest.raises(ValueError, match="not a date"):
         etl.clean_observations(bad)
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="no column storage"):
         dq.require_columns(bad, ["storage"], "observations")
 
 
@@ -102,6 +102,19 @@ def test_fill_without_candidates(spark):
     assert {r.id: r.v for r in fill_from_nearest(df, "v").collect()} == {1: None, 2: "x"}
 
 
+def test_readings_are_never_lost_with_their_entity(spark):
+    panel = weekly(spark, {1: [5, 60], 2: [7]})
+    got = sorted((r.id, r.storage) for r in clean.cap_at_capacity(panel, capacities(spark, {1: 50})).collect())
+    assert got == [(1, 5.0), (1, 50.0), (2, 7.0)]
+
+
+def test_names_that_meet_after_aliasing(spark):
+    entities = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
+    details = spark.createDataFrame([("a",), ("b",), ("d",)], "name string")
+    got = sorted(map(tuple, curate.name_collisions(entities, details, {}, {"b": "a"}).collect()))
+    assert got == [("details", "a", 2), ("entities", "a", 2)]
+
+
 def test_hot_key_keeps_one_row(spark):
     df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
         F.concat(F.lit("n"), (F.col("id") % 50).cast("string"))).alias("name"), (F.col("id") % 97).cast("double").alias("dam_height"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from helpers import capacities, weekly
 from panelcast.operators import incremental as inc, learn
 from panelcast.session import scratch_path
-from panelcast.sources import readers, writers
+from panelcast.sources import readers, schemas, writers
 
 
 def test_only_changed_entities_are_forecast_again(spark):
@@ -34,6 +34,43 @@ def test_evaluation_resumes_entity_by_entity(spark):
     assert inc.evaluate_with_ledger(*args).count() == 12
 
 
+def test_tiny_changes_are_seen(spark):
+    panel, cap = weekly(spark, {1: range(60)}), capacities(spark, {1: 500})
+    changed = panel.withColumn("storage", F.when(F.col("storage") == 7, 7 + 1e-9).otherwise(F.col("storage")))
+    one, other = (inc.fingerprints(p, cap, ["seasonal_naive"]).first().digest for p in (panel, changed))
+    assert one != other
+
+
+def test_failed_forecasts_are_kept_and_not_repeated(spark):
+    path = scratch_path(spark, "ledger")
+    panel, cap = weekly(spark, {1: range(120), 2: range(20)}), capacities(spark, {1: 500, 2: 500})
+    _, counts = inc.forecast_with_ledger(spark, panel, cap, path, ["sarima"])
+    assert (counts.first().computed, counts.first().skipped) == (2, 1)
+    digests = inc.fingerprints(panel, cap, ["sarima"])
+    assert [(r.id, r.model) for r in inc.forecast_failures(spark, digests, path).collect()] == [(2, "sarima")]
+    _, counts = inc.forecast_with_ledger(spark, panel, cap, path, ["sarima"])
+    assert (counts.first().computed, counts.first().from_ledger) == (0, 2)
+
+
+def test_evaluation_keeps_predictions_failures_and_manifests(spark):
+    path = scratch_path(spark, "metrics")
+    panel, cap = weekly(spark, {1: range(260), 2: range(156)}), capacities(spark, {1: 500, 2: 500})
+    ids = spark.createDataFrame([(1, 0), (2, 1)], "id long, position int")
+    args = (spark, panel, cap, ids, "test", ["seasonal_naive", "sarima"], path)
+    made = inc.evaluate_with_ledger(*args)
+    assert made.filter("model = 'sarima'").count() == 4  # three origins of 1 and the only one of 2, from 104 rows on
+    predictions = inc.results(spark, path, "predictions", schemas.PREDICTIONS)
+    assert predictions.count() == 4 * 3 * 52
+    manifests = {r.id: r for r in inc.latest_manifests(spark, path).collect()}
+    assert manifests[1].status == "complete" and manifests[2].status == "in_progress" and manifests[2].completed_origins == [0]
+    assert inc.assemble(made, inc.latest_manifests(spark, path)).select("id").distinct().collect()[0].id == 1
+    # A further model finds the pairs pending again and nothing is counted twice
+    assert inc.evaluate_with_ledger(*args).count() == made.count()
+    with pytest.raises(ValueError, match="without enough history"):
+        inc.evaluate_with_ledger(spark, panel, cap, spark.createDataFrame([(9, 0)], "id long, position int"), "test",
+                                 ["seasonal_naive"], path)
+
+
 def test_manifests_without_failure_field_are_ignored(spark):
     texts = ['{"status": "complete", "models": ["a"], "horizon": 52, "origins": 3, "completed_origins": [0, 1, 2]}',
              '{"status": "complete", "failure_recorded": true, "models": ["a"], "horizon": 52, "origins": 3, "completed_origins": [0, 1, 2]}',
@@ -112,3 +149,13 @@ def test_boosted_beyond_a_season(spark):
     panel = weekly(spark, {1: 100 + 50 * np.sin(2 * np.pi * t / 52)})
     made = learn.boosted(panel, capacities(spark, {1: 200}), horizon=60, trees=3, depth=3, step=20)
     assert sorted(r.h for r in made.collect()) == list(range(1, 61))
+
+
+def test_boosted_reports_what_it_cannot_forecast(spark):
+    t = np.arange(180)
+    wave = 100 + 50 * np.sin(2 * np.pi * t / 52)
+    panel = weekly(spark, {1: wave, 2: wave, 3: wave[:40], 4: wave[:52]})
+    made = learn.boosted(panel, capacities(spark, {1: 200, 2: None, 3: 200}), horizon=4, trees=2, depth=2)
+    errors = {r.id: r.error for r in made.filter("error IS NOT NULL").collect()}
+    assert errors == {2: "capacity is missing or zero", 3: "more than 52 observations are needed", 4: "capacity is missing or zero"}
+    assert made.filter("error IS NULL").count() == 4

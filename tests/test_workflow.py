@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from panelcast.operators.transfer import Area
 from panelcast.plans import workflow as wf
 from panelcast.session import scratch_path
 from panelcast.sources import readers, schemas, writers
@@ -24,7 +25,7 @@ def root(spark):
     for name, x, y, province, crest in [("El Norte", "-4,5", "37,2", "Jaén", "100,5"), ("Sur", "-4,2", "37,4", "Jaén", None),
                                         ("Este", "-4,0", "37,1", None, None), ("Lejos", "-0,5", "41,5", "Zaragoza", "300")]:
         row = dict.fromkeys(columns)
-        row.update(NAME=name, RESERVOIR=name, X=x, Y=y, PROVINCE=province, CREST_ELEVATION=crest, RIVERBED="Río", CODE="c")
+        row.update(NAME=name, RESERVOIR=name, X=x, Y=y, PROVINCE=province, CREST_ELEVATION=crest, RIVERBED="Río", BASIN="Sur", CODE="c")
         made.append(tuple(row[c] for c in columns))
     writers.write_csv(spark.createDataFrame(made, schemas.DETAILS_RAW), f"{folder}/raw/details.tsv", sep="\t")
     provinces = spark.createDataFrame([("este", "granada")], "name string, province string")
@@ -49,7 +50,7 @@ def test_features_forecast_and_plan(spark, root):
     assert wf.run_forecast(spark, root).first().computed == 3
     # The plan needs the same three entities, so nothing is fitted again
     before = spark.read.parquet(f"{root}/ledger/forecasts").count()
-    wf.run_plan(spark, root, community="Andalucia", max_iterations=3)
+    wf.run_plan(spark, root, Area("Andalucia"), max_iterations=3)
     assert spark.read.parquet(f"{root}/ledger/forecasts").count() == before == 3 * 3 * 52
     state = spark.read.parquet(f"{root}/outputs/transfer_final_state")
     log = spark.read.parquet(f"{root}/outputs/transfer_log")
