@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Weight of a byte of a character that the vocabulary lacks
 BYTE_LOG = -12.0
 #: Characters of one block
-BLOCK = 3 << 19
+BLOCK = 3 << 17
 #: No draw is smaller than exp(-37)
 SMALLEST = -37.0
 
@@ -350,37 +350,42 @@ def _pieces_of_rows(stream, limit):
             yield keys[first:], texts[first:]
 
 
+def _batch(keys: np.ndarray, texts: list[str], samples: int, vocabulary: Vocabulary, with_ids: bool) -> pa.RecordBatch:
+    """The result rows of one block; its lattice is gone before the next block begins."""
+    lattice, found = sample_block(keys, texts, samples, vocabulary)
+    columns = [[] for _ in range(9)]
+    for t, rank, arcs, logp, when, inclusion in found:
+        ids = spell(lattice.ids[arcs], vocabulary) if len(arcs) else np.zeros(0, np.int64)
+        ids = ids.astype(np.int32)
+        exact = decode_ids(ids, vocabulary) == texts[t].encode()
+        digest = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
+        for column, value in zip(columns, (int(keys[t]), rank, len(ids), logp, float(when), inclusion, digest,
+                                           exact, ids)):
+            column.append(value)
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(),
+             pa.bool_(), pa.list_(pa.int32())]
+    size = 9 if with_ids else 8
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:size], kinds)], names=NAMES[:size])
+
+
 def encode(docs: DataFrame, samples: int = 2, model: str = MODEL, key: str = "doc_id", text: str = "text",
-           with_ids: bool = True) -> DataFrame:
+           with_ids: bool = True, block: int = BLOCK) -> DataFrame:
     """``doc_id, rank, n_pieces, log_prob, log_arrival, log_inclusion, ids_sha256, exact`` and, on request, ``ids``.
 
     ``samples`` distinct segmentations of each whole text in the order of their perturbed probability, fewer where a
     text has fewer. ``log_prob`` is the log probability of the segmentation under the lattice, ``log_inclusion`` the log of
     the probability that a segmentation as likely as it gets into the sample. ``exact`` says that the ids decode to the
     text. Null texts are empty; an empty text has one segmentation, of no pieces. The draws depend on the row's id
-    only: rows that repeat an id or have none are numbered by (id, text) first. Other columns are not read.
+    only: rows that repeat an id or have none are numbered by (id, text) first. Other columns are not read. About
+    ``block`` characters are searched at a time, which bounds the memory of a task but for a single longer text.
     """
     rows, own_ids = keyed(docs, key, text)
     content = load(model)
 
     def sampled(stream):
         vocabulary = Vocabulary(*content)
-        for keys, texts in _pieces_of_rows(stream, BLOCK):
-            lattice, found = sample_block(keys, texts, samples, vocabulary)
-            columns = [[] for _ in range(9)]
-            for t, rank, arcs, logp, when, inclusion in found:
-                ids = spell(lattice.ids[arcs], vocabulary) if len(arcs) else np.zeros(0, np.int64)
-                ids = ids.astype(np.int32)
-                exact = decode_ids(ids, vocabulary) == texts[t].encode()
-                digest = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
-                for column, value in zip(columns, (int(keys[t]), rank, len(ids), logp, float(when), inclusion, digest,
-                                                   exact, ids)):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(),
-                     pa.bool_(), pa.list_(pa.int32())]
-            size = 9 if with_ids else 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:size], kinds)],
-                                             names=NAMES[:size])
+        for keys, texts in _pieces_of_rows(stream, block):
+            yield _batch(keys, texts, samples, vocabulary, with_ids)
 
     schema = ", ".join(SCHEMA if with_ids else SCHEMA[:-1])
     return restore(rows, own_ids, rows.select("key", "text").mapInArrow(sampled, schema))
