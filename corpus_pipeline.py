@@ -19,7 +19,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out multi-line chunks that occurred earlier; ``n_chars`` follows, documents left without text go."""
-    out = line_dedup.clean(docs)
+    out = line_dedup.clean(docs, paired=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -4,6 +4,10 @@ A text is cut into chunks of lines where a rolling hash over the last three line
 end. The places follow the content, so lines inserted before a passage shift its chunks but leave them as they are.
 Chunks of two lines and more are told apart by digest; of each digest the first place in order (id, chunk) stays, and
 a later chunk goes only after its bytes were compared with those of the first.
+
+Ends may follow each other directly, and a chunk of one line is never removed. With ``paired`` an end counts only once
+its chunk has two lines, and a last single line joins the chunk before it, so every line of a text of two lines and
+more can go. The registered query keeps the cut of ``SQL``, which knows no pairs; the pipeline uses pairs.
 """
 
 from __future__ import annotations
@@ -23,13 +27,26 @@ def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _chunks(rows: DataFrame, text: Column) -> DataFrame:
+def _paired(ends: str) -> str:
+    """Of these ends (the last line among them) those that leave at least two lines to each chunk of a longer text."""
+    far = f"aggregate({ends}, cast(array() as array<int>), (a, i) -> if(i - coalesce(get(a, size(a) - 1), -1) >= 2, " \
+          "array_append(a, i), a))"
+    last = "size(h) - 1"
+    # A single line is left behind the last end: that chunk ends with it instead
+    return (f"transform(array({far}), a -> if(get(a, size(a) - 1) = {last}, a, "
+            f"array_append(if(size(a) > 0, slice(a, 1, size(a) - 1), a), {last})))[0]")
+
+
+def _chunks(rows: DataFrame, text: Column, paired: bool) -> DataFrame:
     """Add ``chunks``: number, line count and body of each chunk of a text; null for a null text."""
     df = _settled(rows, "lines", F.split(text, "\n"))
     df = _settled(df, "h", F.expr("transform(lines, x -> cast(conv(substring(md5(x), 1, 7), 16, 10) as bigint))"))
     rolled = " + ".join(f"{5 ** i} * coalesce(get(h, i - {i}), 0)" for i in range(REACH))
     df = _settled(df, "ends", F.expr(f"if(h is null, null, filter(sequence(0, size(h) - 1), "
                                      f"i -> i = size(h) - 1 or ({rolled}) % {EVERY} = 0))"))
+    if paired:
+        df = _settled(df.withColumnRenamed("ends", "all_ends"), "ends",
+                      F.expr(f"if(all_ends is null, null, {_paired('all_ends')})")).drop("all_ends")
     start = "if(k = 0, 0, get(ends, k - 1) + 1)"
     body = f"array_join(slice(lines, {start} + 1, get(ends, k) + 1 - ({start})), '\\n')"
     chunk = (f"if(ends is null, null, transform(sequence(0, size(ends) - 1), k -> named_struct('chunk', k, "
@@ -37,15 +54,15 @@ def _chunks(rows: DataFrame, text: Column) -> DataFrame:
     return _settled(df, "chunks", F.expr(chunk)).drop("lines", "h", "ends")
 
 
-def _listed(rows: DataFrame) -> DataFrame:
+def _listed(rows: DataFrame, paired: bool) -> DataFrame:
     """One row per chunk that may be removed."""
-    return (_chunks(rows, F.col("text")).select("key", F.inline("chunks"))
+    return (_chunks(rows, F.col("text"), paired).select("key", F.inline("chunks"))
             .filter((F.col("n") >= MIN_LINES) & (F.length("body") >= MIN_CHARS)))
 
 
-def repeats(rows: DataFrame) -> DataFrame:
+def repeats(rows: DataFrame, paired: bool = False) -> DataFrame:
     """``key, chunk`` of the chunks whose bytes occur at an earlier place."""
-    named = _listed(rows).select("key", "chunk", F.md5("body").alias("digest"))
+    named = _listed(rows, paired).select("key", "chunk", F.md5("body").alias("digest"))
     first = (named.groupBy("digest").agg(F.min(F.struct("key", "chunk")).alias("first"), F.count(F.lit(1)).alias("n"))
              .filter("n > 1").select("digest", "first"))
     # Every place of a repeated digest; the smallest one is what the others are compared with
@@ -54,14 +71,14 @@ def repeats(rows: DataFrame) -> DataFrame:
                          "line-places")
     wanted = places.groupBy("key").agg(F.collect_list(F.struct("chunk", "digest", "lead")).alias("wanted"))
     # Merge joins throughout: the texts move once for each, whatever the other side's size
-    held = _chunks(rows.select("key", "text").join(wanted.hint("merge"), "key"), F.col("text"))
+    held = _chunks(rows.select("key", "text").join(wanted.hint("merge"), "key"), F.col("text"), paired)
     bodies = (held.select("key", F.explode("wanted").alias("w"), "chunks")
               .select("key", "w.*", F.expr("get(chunks, w.chunk).body").alias("body")))
     lead = bodies.filter("lead").select("digest", F.col("body").alias("lead_body"))
     return (bodies.filter("not lead").join(lead, "digest").filter("body = lead_body").select("key", "chunk"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", paired: bool = False) -> DataFrame:
     """``doc_id, n_lines, n_removed, n_chunks_removed, kept``: texts without chunks that occurred earlier.
 
     Lines are parted by line feeds and joined again by them; an empty or null text is one empty line. Earlier means a
@@ -69,26 +86,26 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     ordered by (id, text), nulls first. Other columns of the input are not read.
     """
     rows, _ = keyed(docs, key, text)
-    return _removed(rows).drop("key")
+    return _removed(rows, paired).drop("key")
 
 
-def clean(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", paired: bool = False) -> DataFrame:
     """The rows of ``docs`` with their repeated chunks taken out of the text; rows that lose all of it go.
 
     A row whose text was empty or null from the start stays. Other columns pass through unchanged.
     """
     rows, _ = keyed(docs, key, text, carry=True)
-    kept = _removed(rows.select("key", "doc_id", "text")).filter("n_removed > 0").select("key", "kept")
+    kept = _removed(rows.select("key", "doc_id", "text"), paired).filter("n_removed > 0").select("key", "kept")
     out = rows.select("key", "row").join(kept, "key", "left").filter("kept is null or kept <> ''")
     row = [F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col(f"row.`{c}`")).alias(c) if c == text
            else F.col(f"row.`{c}`") for c in docs.columns]
     return out.select(*row)
 
 
-def _removed(rows: DataFrame) -> DataFrame:
-    gone = repeats(rows).groupBy("key").agg(F.collect_set("chunk").alias("gone"))
+def _removed(rows: DataFrame, paired: bool) -> DataFrame:
+    gone = repeats(rows, paired).groupBy("key").agg(F.collect_set("chunk").alias("gone"))
     df = rows.select("key", "doc_id", "text").join(gone.hint("merge"), "key", "left")
-    df = _chunks(df, F.when(F.col("gone").isNotNull(), F.col("text")))
+    df = _chunks(df, F.when(F.col("gone").isNotNull(), F.col("text")), paired)
     plain = F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + 1
     lines = "aggregate({}, 0L, (a, c) -> a + c.n)"
     cut = "filter(chunks, c -> array_contains(gone, c.chunk))"
