@@ -1,23 +1,34 @@
 """Filter URLs by rules and, where none fits, by two character language models.
 
 The longest rule that fits decides. URLs decided by a rule are the examples of accepted and rejected ones: all of them
-are counted, by their last four characters at each place, and two variable-order Markov models (orders 0 to 3,
-each smoothed with the next lower one by the number of distinct followers) are made of the counts. An undecided URL
-is rejected when the difference of its log likelihoods per character exceeds a threshold calibrated on examples that the
-models have not seen.
-
-Characters are folded to an alphabet of 41, so a model is a table of 41 ** 4 numbers whatever the input.
+are counted, each byte behind contexts of variable length up to everything before it, and two variable-order Markov
+models (each length smoothed with the next shorter one by the number of distinct followers) are made of the counts. An
+undecided URL is rejected when the difference of its log likelihoods per byte exceeds a threshold calibrated on examples
+that the models have not seen.
+
+The model is a table in Spark, one row per context that the examples hold twice: it grows with the pages, takes in all
+bytes as they are, and never passes the driver. URLs are dealt into batches by hash; a batch asks the table for its
+distinct contexts only. Contexts are told apart by 64 bits of hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: The alphabet; any other character counts as the last symbol, and the first stands for the begin
+from panelcast.llm.common import Rolling, U, blocks, buffers, byte_values, materialise
+
+#: Stands for the begin of a URL in a context; no byte has this value
+BEGIN = U(0xD1B54A32D192ED03)
+#: A context counts once the examples hold it so often; else the next shorter one is used alone
+SUPPORT = 2
+#: Bytes of distinct URLs in a batch, on average
+BATCH_BYTES = 1 << 19
+#: Fixed values of ``cells`` and ``model``, the models of four folded symbols as closed tables; queries don't use them.
+#: The alphabet; any other character counts as the last symbol, and the first stands for the begin
 ALPHABET = "\0abcdefghijklmnopqrstuvwxyz0123456789-./"
 A = len(ALPHABET) + 1
 ORDER = 3
@@ -82,37 +93,146 @@ def model(counts: np.ndarray) -> np.ndarray:
     return np.log(p).ravel()
 
 
-def learn(decided: DataFrame) -> tuple[np.ndarray, float]:
-    """Difference table (rejected minus accepted) and threshold from ``url, verdict`` of all rule-decided rows.
+def lengths(longest: int) -> Iterator[int]:
+    """Context lengths 0, 1, 2, 3, 4, 6, 8, 12, 16, 24, ... up to ``longest``."""
+    yield from range(min(longest, 1) + 1)
+    n = 2
+    while n <= longest:
+        yield n
+        if n + n // 2 <= longest:
+            yield n + n // 2
+        n *= 2
+
 
-    The counts of a cell are summed in Spark; at most 2 * 41 ** 4 sums, by construction, reach the driver.
+def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, hashes of their contexts, and hashes of context and byte, for each context length from 0 on.
+
+    The begin mark is part of a context, so a place has contexts up to its number in the text plus 1.
+    """
+    sizes = np.diff(offsets)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    depth = np.arange(len(data)) - offsets[own] + 1
+    rolling = Rolling(np.insert(byte_values(data), offsets[:-1], BEGIN))
+    for n in lengths(int(depth.max(initial=0))):
+        at = np.flatnonzero(depth >= n)
+        end = at + own[at] + 1
+        yield at, rolling.slices(end - n, end), rolling.slices(end - n, end + 1)
+
+
+def _counted(stream):
+    """Sums of each context and byte over a block of examples."""
+    for rows in stream:
+        data, offsets = buffers(rows.column("url"))
+        n = rows.column("n").to_numpy(zero_copy_only=False)
+        bad = rows.column("bad").to_numpy(zero_copy_only=False)
+        for first, last in blocks(offsets):
+            part, cuts = data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first]
+            own = np.repeat(np.arange(first, last), np.diff(cuts))
+            for at, context, gram in contexts(part, cuts):
+                _, index, inverse = np.unique(gram, return_index=True, return_inverse=True)
+                weight, block = n[own[at]], bad[own[at]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(context[index].view(np.int64)), pa.array(part[at[index]].astype(np.int16)),
+                     *[pa.array(np.bincount(inverse, weight * is_own, len(index)).astype(np.int64))
+                       for is_own in (~block, block)]], names=["context", "byte", "allow", "block"])
+
+
+def _wanted(table: pa.Table) -> pa.Table:
+    """The distinct contexts of a batch."""
+    data, offsets = buffers(table.column("url"))
+    found = [np.unique(np.concatenate([np.unique(context) for _, context, _ in contexts(
+        data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])])) for a, b in blocks(offsets) if offsets[a] < offsets[b]]
+    distinct = np.unique(np.concatenate(found)) if found else np.zeros(0, U)
+    batch = pa.array(np.full(len(distinct), table.column("batch")[0].as_py()), pa.int32())
+    return pa.table({"batch": batch, "context": pa.array(distinct.view(np.int64))})
+
+
+class Table:
+    """The rows of the model that a batch asked for."""
+
+    def __init__(self, rows: pa.Table):
+        context = rows.column("context").to_numpy().view(U)
+        order = np.argsort(context)
+        followers = rows.column("followers").combine_chunks().take(pa.array(order))
+        size = np.diff(followers.offsets.to_numpy())
+        flat = followers.flatten()
+        self.context = context[order]
+        row = np.repeat(np.arange(len(order)), size)
+        byte = flat.field("byte").to_numpy().astype(np.int64)
+        place = np.argsort(row * 256 + byte)
+        self.gram = (row * 256 + byte)[place]
+        #: Counts of context and byte, and sums and distinct followers of the context, for allow and block
+        self.counts = [flat.field(v).to_numpy()[place].astype(float) for v in ("allow", "block")]
+        self.total = [np.bincount(row[place], c, len(order)) for c in self.counts]
+        self.kinds = [np.bincount(row[place], c > 0, len(order)) for c in self.counts]
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Mean log likelihood difference per byte of texts, none of them empty."""
+        p = [np.full(len(data), 1 / 256) for _ in range(2)]
+        for at, context, _ in contexts(data, offsets):
+            if not len(self.context):
+                break
+            row = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
+            known = self.context[row] == context
+            at, row = at[known], row[known]
+            if not len(at):
+                break  # no longer context is known either
+            wanted = row * 256 + data[at]
+            place = np.minimum(np.searchsorted(self.gram, wanted), len(self.gram) - 1)
+            hit = self.gram[place] == wanted
+            for v in range(2):
+                total, kinds = self.total[v][row], self.kinds[v][row]
+                # Witten-Bell: the more distinct followers a context has, the more goes to the shorter context
+                own = (np.where(hit, self.counts[v][place], 0) + kinds * p[v][at]) / np.maximum(total + kinds, 1)
+                p[v][at] = np.where(total > 0, own, p[v][at])
+        return np.add.reduceat(np.log(p[1]) - np.log(p[0]), offsets[:-1]) / np.diff(offsets)
+
+
+def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
+    data, offsets = buffers(left.column("url"))
+    table = Table(right)
+    values = [table.scores(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in blocks(offsets)]
+    return pa.table([*[left.column(c) for c in ("url", "n", "verdict")], pa.array(np.concatenate(values))],
+                    names=["url", "n", "verdict", "score"])
+
+
+def scored(decided: DataFrame) -> DataFrame:
+    """``url, n, verdict, score`` of each distinct, filled ``url`` of ``url, verdict``; ``n`` counts its rows.
+
+    The score is the log likelihood difference per byte. The models are made of the rule-decided URLs among them.
     """
-    examples = decided.filter("url IS NOT NULL AND verdict IS NOT NULL")
-    seen = F.crc32(F.col("url").cast("binary")) % FOLDS != 0
-
-    def count(stream):
-        for rows in stream:
-            for verdict in ("allow", "block"):
-                own = [u for u, v in zip(rows.column("url").to_pylist(), rows.column("verdict").to_pylist())
-                       if v == verdict]
-                found, n = np.unique(np.concatenate([cells(u) for u in own] or [np.zeros(0, np.int64)]),
-                                     return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([verdict == "block"] * len(found), pa.bool_()),
-                                                  pa.array(found), pa.array(n)], names=["bad", "cell", "n"])
-
-    sums = (examples.filter(seen).select("url", "verdict").mapInArrow(count, "bad boolean, cell long, n long")
-            .groupBy("bad", "cell").agg(F.sum("n").alias("n")).collect())
-    counts = np.zeros((2, A ** (ORDER + 1)))
-    for r in sums:
-        counts[int(r["bad"]), r["cell"]] = r["n"]
-    difference = (model(counts[1]) - model(counts[0])).astype(np.float32)
+    urls = materialise(decided.filter("url <> ''").groupBy("url", "verdict").agg(F.count(F.lit(1)).alias("n")), "urls")
+    size = urls.agg(F.sum(F.octet_length("url"))).first()[0] or 0
+    # As many batches as there are partitions at least, so that all tasks have some
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = urls.withColumn("batch", F.pmod(F.xxhash64("url"), F.lit(max(parts, -(-size // BATCH_BYTES)))).cast("int"))
+    examples = urls.filter(F.col("verdict").isNotNull() & ~held_out()).select(
+        "url", "n", (F.col("verdict") == "block").alias("bad"))
+    counts = (examples.mapInArrow(_counted, "context long, byte short, allow long, block long")
+              .groupBy("context", "byte").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")))
+    model = (counts.groupBy("context").agg(F.collect_list(F.struct("byte", "allow", "block")).alias("followers"),
+                                           F.sum(F.col("allow") + F.col("block")).alias("n"))
+             .filter(F.col("n") >= SUPPORT).drop("n"))
+    wanted = dealt.select("batch", "url").groupBy("batch").applyInArrow(_wanted, "batch int, context long")
+    # A merge join: both sides grow with the pages, whatever the estimate
+    asked = wanted.join(model.hint("merge"), "context").select("batch", "context", "followers")
+    return materialise(dealt.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(
+        _scored, "url string, n long, verdict string, score double"), "url-scores")
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("url").cast("binary")) % FOLDS == 0
+
+
+def calibrated(scores: DataFrame) -> float:
+    """The threshold by the examples that the models have not seen."""
     step = F.least(F.greatest(F.round((F.col("score") + 3.0) * 100), F.lit(0.0)), F.lit(600.0)).cast("int")
-    tried = (scored(examples.filter(~seen).select("url", "verdict"), difference)
-             .groupBy("verdict", step.alias("step")).count().collect())
+    tried = (scores.filter(F.col("verdict").isNotNull() & held_out())
+             .groupBy("verdict", step.alias("step")).agg(F.sum("n").alias("n")).collect())
     hist = {v: np.zeros(601) for v in ("allow", "block")}
     for r in tried:
-        hist[r["verdict"]][r["step"]] = r["count"]
-    return difference, threshold(hist["allow"], hist["block"])
+        hist[r["verdict"]][r["step"]] = r["n"]
+    return threshold(hist["allow"], hist["block"])
 
 
 def threshold(allow: np.ndarray, block: np.ndarray) -> float:
@@ -124,20 +244,6 @@ def threshold(allow: np.ndarray, block: np.ndarray) -> float:
     return float((GRID[best[0]] + GRID[best[-1]]) / 2 + 0.005)
 
 
-def scored(df: DataFrame, difference: np.ndarray) -> DataFrame:
-    """Add ``score``: the log likelihood difference per character of ``url``; 0 for none."""
-    table = df.sparkSession.sparkContext.broadcast(difference)
-
-    def score(stream):
-        for rows in stream:
-            values = [float(table.value[cells(u)].mean()) if u else 0.0 for u in rows.column("url").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(values, pa.float64())],
-                                             names=[*rows.schema.names, "score"])
-
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
-    return df.mapInArrow(score, fields + "score double")
-
-
 def judge(pages: DataFrame, rules: Sequence[tuple[str, Rule]], key: str = "page_id", url: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` for every row of ``pages``.
 
@@ -151,7 +257,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, Rule]], key: str = "page_
             .withColumn("host", host).withColumn("path", path))
     rule, verdict = decide(rules)
     decided = rows.withColumn("rule", rule).withColumn("verdict", verdict)
-    difference, limit = learn(decided.select("url", "verdict"))
-    out = scored(decided, difference)
+    scores = scored(decided.select("url", "verdict"))
+    limit = calibrated(scores)
+    # Rows without a url have nothing to join with, and could be many
+    filled = F.coalesce(F.col("url") != "", F.lit(False))
+    out = (decided.filter(filled).join(scores.select("url", "score").hint("merge"), "url")
+           .unionByName(decided.filter(~filled).withColumn("score", F.lit(0.0))))
     return out.select("page_id", "host", "path", "rule", F.coalesce(
         "verdict", F.when(F.col("score") > limit, "block").otherwise("allow")).alias("verdict"), "score")

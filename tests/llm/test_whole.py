@@ -1,9 +1,14 @@
 """Parts of the job that were once left out."""
 
 import hashlib
+import math
 import random
+import zlib
 
-from panelcast.llm import line_dedup
+from panelcast.llm import line_dedup, url_filter
+
+#: Context lengths of the URL models
+LADDER = [0, 1, *(m for k in range(1, 12) for m in (2 ** k, 3 * 2 ** (k - 1)))]
 
 
 def paired_chunks(texts):
@@ -57,3 +62,56 @@ def test_pipeline_removes_whole_copies(spark):
                                  "doc_id long, text string, n_chars long")
     out = corpus_pipeline.without_repeated_lines(spark, docs, "")
     assert {x.doc_id for x in out.collect()} == set(range(len(texts)))
+
+
+def url_scores(examples, urls):
+    """Scores by plain Python: counts of every context of a length on the ladder, the begin mark a part of it."""
+    marked = lambda u: [None, *u.encode()]
+    counts = {}
+    for u, n, verdict in examples:
+        for at in range(1, len(marked(u))):
+            for k in (k for k in LADDER if k <= at):
+                own = counts.setdefault(tuple(marked(u)[at - k:at]), {"allow": {}, "block": {}})[verdict]
+                own[marked(u)[at]] = own.get(marked(u)[at], 0) + n
+    out = {}
+    for u in urls:
+        total = 0.0
+        for at in range(1, len(marked(u))):
+            p = {"allow": 1 / 256, "block": 1 / 256}
+            for k in (k for k in LADDER if k <= at):
+                own = counts.get(tuple(marked(u)[at - k:at]))
+                if own is None or sum(sum(c.values()) for c in own.values()) < 2:
+                    continue
+                for v, c in own.items():
+                    if c:
+                        p[v] = (c.get(marked(u)[at], 0) + len(c) * p[v]) / (sum(c.values()) + len(c))
+            total += math.log(p["block"]) - math.log(p["allow"])
+        out[u] = total / len(u.encode())
+    return out
+
+
+def test_url_models_of_any_length(spark):
+    """Models of variable-length contexts over all bytes, against plain Python."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice(["ta", "né", "?q=", "Xi", "um&", "_", "京"]) for _ in range(r.randint(1, 9)))
+    urls = [f"http://h{r.randrange(30)}.{r.choice(['good', 'bad', 'other'])}/{word()}" for _ in range(150)] + ["http://x.good/" + "lo/ng" * 60]
+    urls += urls[:40] + [None, ""]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    rules = [("allow", ("good", "/")), ("block", ("bad", "/"))]
+    rows = {x.page_id: x for x in url_filter.judge(pages, rules).collect()}
+    assert len(rows) == len(urls) and rows[len(urls) - 1].score == rows[len(urls) - 2].score == 0
+    verdict = {u: "allow" if ".good/" in u else "block" for u in urls if u and ".other/" not in u}
+    examples = [(u, urls.count(u), v) for u, v in verdict.items() if zlib.crc32(u.encode()) % url_filter.FOLDS]
+    want = url_scores(examples, {u for u in urls if u})
+    assert all(abs(rows[i].score - want[u]) < 1e-9 for i, u in enumerate(urls) if u)
+
+
+def test_url_models_see_long_contexts_and_all_bytes(spark):
+    """Examples that differ five bytes back, or in bytes beyond ASCII only."""
+    rows = [f"http://h{i}.{host}/{path}" for i in range(40) for host, path in
+            [("good", "a?????z é"), ("good", "b?????y 京"), ("bad", "b?????z ü"), ("bad", "a?????y 東")]]
+    asked = ["http://q.other/a?????z", "http://q.other/b?????z", "http://q.other/é", "http://q.other/ü"]
+    pages = spark.createDataFrame(list(enumerate(rows + asked)), "page_id long, url string")
+    out = {x.page_id: x.score for x in url_filter.judge(pages, [("allow", ("good", "/")), ("block", ("bad", "/"))]).collect()}
+    a, b, c, d = (out[len(rows) + i] for i in range(4))
+    assert a < b and c < d
