@@ -169,10 +169,12 @@ def assign_folds(df: DataFrame, key: str, folds: int, seed: int = 27) -> DataFra
 
 
 def cross_validate(df: DataFrame, target: str, inputs: Sequence[str], categories: Sequence[str] = (), folds: int = 10,
-                   key: str = "id", smoothing: float | None = None, trees: int = 100, depth: int = 5) -> DataFrame:
+                   key: str = "id", smoothing: float | None = None, trees: int = 100, depth: int = 5,
+                   per_split: str = "auto") -> DataFrame:
     """Random-forest cross-validation: RMSE, MAE and R² averaged over the folds.
 
-    Encoders are fitted on the train side of each fold. The loop runs over folds, a fixed small number; every fit
+    Encoders are fitted on the train side of each fold; ``per_split`` says how many inputs a split may choose from, in
+    Spark's terms. The loop runs over folds, a fixed small number; every fit
     and every prediction is a Spark job.
     """
     needed = complete_cases(df, [target, *inputs])
@@ -187,7 +189,8 @@ def cross_validate(df: DataFrame, target: str, inputs: Sequence[str], categories
             table = (mean_encoding(train, c, target) if smoothing is None
                      else smoothed_encoding(train, c, target, smoothing))
             train, test = encode(train, table, c, overall), encode(test, table, c, overall)
-        forest = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=27)
+        forest = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=27,
+                                       featureSubsetStrategy=per_split)
         model = forest.fit(vector.transform(train))
         part = model.transform(vector.transform(test)).select("fold", F.col(target).alias("actual"), "prediction")
         scored = part if scored is None else scored.unionByName(part)
@@ -199,7 +202,7 @@ def cross_validate(df: DataFrame, target: str, inputs: Sequence[str], categories
 
 
 def forward_selection(df: DataFrame, target: str, inputs: Sequence[str], keep: int | None = None, folds: int = 3,
-                      key: str = "id", trees: int = 100, depth: int = 5) -> list[tuple[str, float]]:
+                      key: str = "id", trees: int = 100, depth: int = 5, per_split: str = "auto") -> list[tuple[str, float]]:
     """Add, one at a time, the input that lowers the cross-validated RMSE most; half of the inputs by default.
 
     Returns the inputs in the order chosen with the RMSE reached. The search is over columns, not rows.
@@ -213,7 +216,7 @@ def forward_selection(df: DataFrame, target: str, inputs: Sequence[str], keep: i
         for name in inputs:
             if name not in taken:
                 score = cross_validate(rows, target, [*taken, name], folds=folds, key=key, trees=trees,
-                                       depth=depth).first()["rmse"]
+                                       depth=depth, per_split=per_split).first()["rmse"]
                 tries.append((score, name))
         best, name = min(tries)
         chosen.append((name, best))

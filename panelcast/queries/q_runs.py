@@ -304,23 +304,25 @@ def _(spark, sf):
 
 
 INPUTS = ["longitude", "latitude", "crest_elevation"]
+#: The reference's forests: 100 trees, split on any input, grown in full (Spark allows a depth of 30)
+FOREST = {"trees": 100, "depth": 30, "per_split": "all"}
 
 
 @query("ml01_forest_cv")
 def _(spark, sf):
-    return learn.cross_validate(fx.parts_on_map(spark, sf), "dam_height", INPUTS, folds=5, trees=20)
+    return learn.cross_validate(fx.parts_on_map(spark, sf), "dam_height", INPUTS, folds=10, **FOREST)
 
 
 @query("ml01_forest_cv_encoded")
 def _(spark, sf):
-    return learn.cross_validate(fx.parts_on_map(spark, sf), "dam_height", INPUTS, ["type", "brand"], folds=3, trees=20,
-                                smoothing=10.0)
+    return learn.cross_validate(fx.parts_on_map(spark, sf), "dam_height", INPUTS, ["type", "brand"], folds=5, smoothing=10.0,
+                                **FOREST)
 
 
 @query("ml02_forward_selection")
 def _(spark, sf):
     points = fx.parts_on_map(spark, sf).withColumn("noise", F.pmod(F.xxhash64("id"), F.lit(17)).cast("double"))
-    chosen = learn.forward_selection(points, "dam_height", [*INPUTS, "noise"], keep=2, trees=10)
+    chosen = learn.forward_selection(points, "dam_height", [*INPUTS, "noise"], keep=2, folds=3, **FOREST)
     return spark.createDataFrame([(i, name, rmse) for i, (name, rmse) in enumerate(chosen)],
                                  "step int, input string, rmse double")
 
