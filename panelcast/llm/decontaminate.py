@@ -2,8 +2,10 @@
 
 A seed is a mask over consecutive words: only the words under a 1 are hashed, the others may differ. All seeds of the
 benchmark are held sorted; every place of every text is looked up under each mask. A hit fixes how the two texts lie
-to each other, and the aligned words around it are compared one by one: the best stretch, a matching word counting 1
-and a differing one -2, must hold enough matching words.
+to each other, and the aligned words around it are compared one by one: some stretch of them must hold enough matching
+words, in number and in share. A matching word counts 1 and a differing one -3, so that a stretch scores 0 or more
+exactly if it holds the share; the one with the highest score is reported, or, where that has too few words, the one
+with the most.
 
 The benchmark is worked off in blocks of a bounded number of seeds, which are small enough to send to every task; each
 block meets all texts. A text never leaves its task, so common phrases cause no skew.
@@ -55,14 +57,29 @@ def seeds(values: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
+#: Score of a differing word: a stretch breaks even at the share of equal words
+DIFFERS = -MIN_EQUAL / (1 - MIN_EQUAL)
+
+
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     """Start and end of the stretch with the highest score; the first and longest of equal ones."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, DIFFERS))])
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))
     return int(np.flatnonzero(total[:end + 1] == low[end])[0]), end
 
 
+def fullest_stretch(equal: np.ndarray) -> tuple[int, int]:
+    """Start and end of the stretch with the most equal words of those that hold the share; the first of equal ones."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, DIFFERS))])
+    # The earliest start from which the score isn't negative, for each end
+    start = np.searchsorted(-np.minimum.accumulate(total), -total)
+    same = np.concatenate([[0], np.cumsum(equal)])
+    end = int(np.argmax(same - same[start]))
+    s = int(start[end])
+    return s + int(np.argmax(equal[s:end])) if end > s else s, end
+
+
 class Block:
     """Words and sorted seeds of a part of the benchmark."""
 
@@ -105,6 +122,9 @@ class Block:
             s, e = best_stretch(equal)
             same = int(equal[s:e].sum())
             need = min(MIN_WORDS, math.ceil(MIN_SHARE * (last - first)))
+            if same < need <= int(equal.sum()):
+                s, e = fullest_stretch(equal)
+                same = int(equal[s:e].sum())
             if same >= need and same >= MIN_EQUAL * (e - s):
                 old = best.get(item)
                 found = (-same, a + shift + s, e - s, same, n)

@@ -5,7 +5,11 @@ import math
 import random
 import zlib
 
-from panelcast.llm import line_dedup, url_filter
+import numpy as np
+import pyarrow as pa
+
+from panelcast.llm import decontaminate, line_dedup, url_filter
+from panelcast.llm.common import buffers
 
 #: Context lengths of the URL models
 LADDER = [0, 1, *(m for k in range(1, 12) for m in (2 ** k, 3 * 2 ** (k - 1)))]
@@ -115,3 +119,29 @@ def test_url_models_see_long_contexts_and_all_bytes(spark):
     out = {x.page_id: x.score for x in url_filter.judge(pages, [("allow", ("good", "/")), ("block", ("bad", "/"))]).collect()}
     a, b, c, d = (out[len(rows) + i] for i in range(4))
     assert a < b and c < d
+
+
+def _aligned(pattern):
+    """What is found of an item in a text that differs from it where the pattern has a 0."""
+    item = [f"w{i}" for i in range(len(pattern))]
+    text = " ".join(w if same else f"x{i}" for i, (w, same) in enumerate(zip(item, pattern)))
+    values, bounds = decontaminate.word_values(*buffers(pa.array([text])))
+    return decontaminate.Block([(1, " ".join(item))]).matches(values)
+
+
+def test_passages_beside_weaker_stretches():
+    """A passage that holds the share is found whatever surrounds it."""
+    assert _aligned([1] * 20 + [0, 0, 1, 1, 1, 1, 1] * 25)[0][:4] == (1, 0, 20, 20)
+    # The highest score (11) has too few words; twelve of sixteen hold the share
+    assert _aligned([1] * 11 + [0] * 20 + [1, 1, 1, 0] * 4)[0][0] == 1
+    assert _aligned([1] * 11 + [0] * 20 + [1, 1, 0, 0] * 4) == []
+
+
+def test_stretches_against_all_pairs():
+    r = random.Random(11)
+    for _ in range(300):
+        equal = np.array([r.random() < r.choice([0.5, 0.75, 0.9]) for _ in range(r.randint(1, 40))])
+        most = max((int(equal[a:b].sum()) for a in range(len(equal)) for b in range(a + 1, len(equal) + 1)
+                    if equal[a:b].mean() >= decontaminate.MIN_EQUAL), default=0)
+        s, e = decontaminate.fullest_stretch(equal)
+        assert int(equal[s:e].sum()) == most and (e == s or equal[s:e].mean() >= decontaminate.MIN_EQUAL)
