@@ -106,3 +106,20 @@ def test_rows_of_encoding(spark, steps):
     back = segment.decode(corpus_pipeline.STAGES[-1][1](spark, docs, SF)).collect()
     assert {r.doc_id for r in back if r["rank"] == 1} == set(texts)
     assert all(r.text == texts[r.doc_id] for r in back)
+
+
+def test_segmentation_query_returns_ids(spark):
+    """The sampled ids themselves, and the hash of what decode() makes of them."""
+    import hashlib
+
+    import numpy as np
+
+    from panelcast.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op6_sentencepiece"](spark, SF).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        assert len(r.ids) == r.n_pieces
+        assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest()
+        assert r.exact == (r.decoded_sha256 == plain.sha(texts[r.doc_id].encode())) and r.exact
