@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import (decontaminate, fingerprint, line_dedup, minhash, neighbours, quality, segment,
+from panelcast.llm import (decontaminate, fingerprint, lexical, line_dedup, minhash, neighbours, quality, segment,
                            substring_dedup, suffix_dedup, toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,29 @@ ranked AS (
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 20""")
 def op13(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op12_lexical_search", r"""
+WITH terms AS (
+  SELECT row_number() OVER () AS doc, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+sizes AS (SELECT count(DISTINCT doc) AS n_docs, count(*) AS n_terms FROM terms),
+damped AS (SELECT doc, 100 - 90 + (90 * count(*) * max(n_docs)) // max(n_terms) AS m FROM terms, sizes GROUP BY doc),
+counted AS (SELECT doc, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM terms GROUP BY doc, term),
+weighted AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * max(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counted, sizes GROUP BY term),
+items AS (
+  SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, text, doc, any_value(doc_id) AS doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM items JOIN counted USING (term) JOIN weighted USING (term) JOIN damped USING (doc)
+  GROUP BY item_id, text, doc),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS n
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM ranked WHERE n <= 10""")
+def op12(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
