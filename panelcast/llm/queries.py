@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import (decontaminate, fingerprint, lexical, line_dedup, minhash, neighbours, quality, segment,
-                           substring_dedup, suffix_dedup, toxicity, url_filter)
+from panelcast.llm import (collocations, decontaminate, fingerprint, lexical, line_dedup, minhash, neighbours, quality,
+                           segment, substring_dedup, suffix_dedup, toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,41 @@ ranked AS (
 SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM ranked WHERE n <= 10""")
 def op12(spark, sf_dir):
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_collocations", r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+pieces AS (
+  SELECT lang, list_filter(string_split_regex(unnest(pieces), '[\x20\x09]'), lambda w: w <> '') AS words FROM texts),
+places AS (SELECT lang, words, unnest(generate_series(1, len(words))) AS i FROM pieces WHERE len(words) > 0),
+sizes AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+grams AS MATERIALIZED (
+  SELECT lang, words[i:i + k - 1] AS g, k, count(*) AS f
+  FROM places, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(words)
+  GROUP BY ALL HAVING count(*) >= 30),
+held AS MATERIALIZED (
+  SELECT lang, k, g, max(f) AS longer FROM (
+    SELECT b.lang, s.k, b.g[j:j + s.k - 1] AS g, f
+    FROM grams b, (SELECT unnest([2, 3]) AS k) s, (SELECT unnest([1, 2, 3]) AS j) p
+    WHERE b.k > s.k AND j + s.k - 1 <= b.k)
+  GROUP BY ALL),
+split AS MATERIALIZED (
+  SELECT lang, g, f, cut, array_to_string(g[1:cut], ' ') AS p, array_to_string(g[cut + 1:], ' ') AS q
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM grams WHERE k > 1)),
+counts AS MATERIALIZED (SELECT lang, array_to_string(g, ' ') AS phrase, f FROM grams),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, x.f AS l, y.f AS r, cut, (c.f::HUGEINT * 2000000) // (x.f + y.f) AS score
+  FROM split c JOIN counts x ON x.lang = c.lang AND x.phrase = c.p JOIN counts y ON y.lang = c.lang AND y.phrase = c.q
+  LEFT JOIN held h ON h.lang = c.lang AND h.g = c.g
+  WHERE h.longer IS NULL OR 100 * h.longer < 80 * c.f),
+chosen AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS o FROM cuts),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
+  FROM chosen WHERE o = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000""")
+def op11(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
