@@ -133,14 +133,15 @@ def shard_rows(shard: int, ids: pa.Array, data: np.ndarray, offsets: np.ndarray,
                                        for c, f in zip(columns, ARROW)], schema=ARROW)
 
 
-def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int, int]:
+def build(docs: DataFrame, key: str = "doc_id", text: str = "text",
+          shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int, int]:
     """The written index of all terms of all documents, the number of documents with a term and of all their terms."""
     n_docs, n_terms = sizes(docs, text)
 
     def emit(stream):
         number = TaskContext.get().partitionId() << 32
         for rows in stream:
-            for first, last, data, offsets in slices(rows, "text", SHARD_BYTES):
+            for first, last, data, offsets in slices(rows, "text", shard_bytes):
                 ids = rows.column("doc_id").slice(first, last - first)
                 yield shard_rows(number, ids, data, offsets, n_docs, n_terms)
                 number += 1
@@ -150,7 +151,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text",
-           item: str = "item_id", item_text: str = "text") -> DataFrame:
+           item: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``item_id, rank, doc_id, score``: the ``k`` best documents of every item with a score above 0.
 
     Equal scores come by ascending id, rows without id last. A null or empty text has no term: such a document is
@@ -158,7 +159,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id",
     an id or a whole row repeats. Equal rows of ``items`` count once; an id with several texts is searched with
     each of them, and its ranks count for each text alone. Other columns are not read.
     """
-    index, n_docs, _ = build(docs, key, text)
+    index, n_docs, _ = build(docs, key, text, shard_bytes)
     asked = items.select(F.col(item).alias("item_id"), F.col(item_text).alias("text")).distinct()
     asked = materialise(asked.withColumn("item", F.monotonically_increasing_id()), "items")
     words = asked.select("item", F.explode(F.array_distinct(F.regexp_extract_all(

@@ -322,7 +322,8 @@ def test_queries_and_sql(spark):
 
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries()) and set(ORACLES) <= set(QUERIES)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for name in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, SF)
         got = sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
