@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,8 +85,26 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack_planes(blob), dtype=U)
 
 
+def return_freed_memory() -> None:
+    """Let a Python worker give arrays back as soon as they are freed.
+
+    Workers are reused from task to task. By default the C library keeps what large arrays once took, and Arrow keeps a
+    pool of its own, so a worker would stay as large as its largest task; here arrays of a megabyte and more
+    are mapped one by one. Where the C library has no such switch nothing changes.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        # Parameter numbers of mallopt: -3 sizes from which to map, -1 free memory at the top of the heap to keep
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)
+        libc.mallopt(-1, 4 << 20)
+    except (AttributeError, OSError):
+        pass
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column and the n + 1 offsets of its texts; nulls are empty."""
+    return_freed_memory()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
