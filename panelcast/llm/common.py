@@ -86,18 +86,14 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 
 
 def return_freed_memory() -> None:
-    """Let a Python worker give arrays back as soon as they are freed.
+    """Give back what earlier batches of a Python worker have freed.
 
-    Workers are reused from task to task. By default the C library keeps what large arrays once took, and Arrow keeps a
-    pool of its own, so a worker would stay as large as its largest task; here arrays of a megabyte and more
-    are mapped one by one. Where the C library has no such switch nothing changes.
+    Workers are reused from task to task. By default the C library keeps what arrays once took, and Arrow keeps a pool of
+    its own, so a worker would stay as large as its largest task. Where the C library has no such call nothing changes.
     """
     pa.set_memory_pool(pa.system_memory_pool())
     try:
-        # Parameter numbers of mallopt: -3 sizes from which to map, -1 free memory at the top of the heap to keep
-        libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 20)
-        libc.mallopt(-1, 4 << 20)
+        ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass
 

@@ -21,15 +21,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from panelcast.llm.common import Rolling, U, keyed, mix, restore
+from panelcast.llm.common import Rolling, U, keyed, mix, restore, return_freed_memory
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Weight of a byte of a character that the vocabulary lacks
 BYTE_LOG = -12.0
 #: Characters of one block
-BLOCK = 3 << 17
+BLOCK = 3 << 15
+#: Rows decoded together
+DECODED = 256
 #: No draw is smaller than exp(-37)
 SMALLEST = -37.0
 
@@ -329,14 +332,6 @@ def spell(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     return out
 
 
-def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
-    """The text of a segmentation, without the space put before it."""
-    sizes = vocabulary.sizes[ids]
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(ids) else sizes
-    at = np.repeat(vocabulary.starts[ids] - begin, sizes) + np.arange(int(sizes.sum()))
-    return vocabulary.data[at].tobytes()[1:]
-
-
 def _pieces_of_rows(stream, limit):
     for rows in stream:
         keys, texts = rows.column("key").to_numpy(), rows.column("text").to_pylist()
@@ -350,27 +345,33 @@ def _pieces_of_rows(stream, limit):
             yield keys[first:], texts[first:]
 
 
-def _batch(keys: np.ndarray, texts: list[str], samples: int, vocabulary: Vocabulary, with_ids: bool) -> pa.RecordBatch:
+def _batch(keys: np.ndarray, texts: list[str], samples: int, vocabulary: Vocabulary, names: list[str]) -> pa.RecordBatch:
     """The result rows of one block; its lattice is gone before the next block begins."""
     lattice, found = sample_block(keys, texts, samples, vocabulary)
-    columns = [[] for _ in range(9)]
-    for t, rank, arcs, logp, when, inclusion in found:
-        ids = spell(lattice.ids[arcs], vocabulary) if len(arcs) else np.zeros(0, np.int64)
-        ids = ids.astype(np.int32)
-        exact = decode_ids(ids, vocabulary) == texts[t].encode()
-        digest = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
-        for column, value in zip(columns, (int(keys[t]), rank, len(ids), logp, float(when), inclusion, digest,
-                                           exact, ids)):
-            column.append(value)
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(),
-             pa.bool_(), pa.list_(pa.int32())]
-    size = 9 if with_ids else 8
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:size], kinds)], names=NAMES[:size])
+    none = np.zeros(0, np.int64)
+    ids = [spell(lattice.ids[arcs], vocabulary).astype(np.int32) if len(arcs) else none.astype(np.int32)
+           for _, _, arcs, _, _, _ in found]
+    ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+    # The very lists that are returned are decoded, by what ``decode`` uses
+    back = decode_lists(lists, vocabulary)
+    text, rank, _, logp, when, inclusion = zip(*found)
+    columns = {
+        "key": pa.array(keys[list(text)], pa.int64()), "rank": pa.array(rank, pa.int32()),
+        "n_pieces": pa.array(np.diff(ends), pa.int64()), "log_prob": pa.array(logp, pa.float64()),
+        "log_arrival": pa.array(np.array(when, float), pa.float64()), "log_inclusion": pa.array(inclusion, pa.float64()),
+        "ids_sha256": pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()),
+        "exact": pc.equal(back, pa.array(texts, pa.large_string()).take(pa.array(text))), "ids": lists}
+    if "decoded_sha256" in names:
+        columns["decoded_sha256"] = pa.array([hashlib.sha256(x.as_buffer()).hexdigest()
+                                              for x in back.cast(pa.large_binary())], pa.string())
+    return pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
 
 def encode(docs: DataFrame, samples: int = 2, model: str = MODEL, key: str = "doc_id", text: str = "text",
-           with_ids: bool = True, block: int = BLOCK) -> DataFrame:
-    """``doc_id, rank, n_pieces, log_prob, log_arrival, log_inclusion, ids_sha256, exact`` and, on request, ``ids``.
+           with_ids: bool = True, block: int = BLOCK, with_text_hash: bool = False) -> DataFrame:
+    """``doc_id, rank, n_pieces, log_prob, log_arrival, log_inclusion, ids_sha256, exact`` and, on request, ``ids``
+    and ``decoded_sha256``, the hash of the text that the ids decode to.
 
     ``samples`` distinct segmentations of each whole text in the order of their perturbed probability, fewer where a
     text has fewer. ``log_prob`` is the log probability of the segmentation under the lattice, ``log_inclusion`` the log of
@@ -381,34 +382,71 @@ def encode(docs: DataFrame, samples: int = 2, model: str = MODEL, key: str = "do
     """
     rows, own_ids = keyed(docs, key, text)
     content = load(model)
+    schema = SCHEMA + ["ids array<int>"] * with_ids + ["decoded_sha256 string"] * with_text_hash
+    names = [c.split()[0] for c in schema]
 
     def sampled(stream):
+        return_freed_memory()
         vocabulary = Vocabulary(*content)
         for keys, texts in _pieces_of_rows(stream, block):
-            yield _batch(keys, texts, samples, vocabulary, with_ids)
+            yield _batch(keys, texts, samples, vocabulary, names)
 
-    schema = ", ".join(SCHEMA if with_ids else SCHEMA[:-1])
-    return restore(rows, own_ids, rows.select("key", "text").mapInArrow(sampled, schema))
+    return restore(rows, own_ids, rows.select("key", "text").mapInArrow(sampled, ", ".join(schema)))
 
 
 SCHEMA = ["key long", "rank int", "n_pieces long", "log_prob double", "log_arrival double", "log_inclusion double",
-          "ids_sha256 string", "exact boolean", "ids array<int>"]
-NAMES = [c.split()[0] for c in SCHEMA]
+          "ids_sha256 string", "exact boolean"]
 
 
-def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "text") -> DataFrame:
-    """Replace a column of ids by the text they spell; null ids stay null, no ids are an empty text."""
+def decode_lists(column: pa.Array, vocabulary: Vocabulary) -> pa.Array:
+    """Texts of a column of id lists, all lists at once: no id becomes a Python object."""
+    ids = column.flatten().to_numpy().astype(np.int64)
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = vocabulary.sizes[ids]
+    ends = np.cumsum(sizes)
+    at = np.repeat(vocabulary.starts[ids] - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    body = vocabulary.data[at]
+    cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))]
+    # The first byte of a text is the space put before it
+    kept = np.ones(len(body), bool)
+    kept[cuts[:-1][counts > 0]] = False
+    offsets = np.append(0, np.cumsum(np.diff(cuts) - (counts > 0)))
+    known = column.is_valid()
+    texts = pa.Array.from_buffers(pa.large_binary(), len(column), [
+        None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(body[kept].tobytes())])
+    try:
+        spelt = texts.cast(pa.large_string())
+    except pa.ArrowInvalid:  # ids that no text has
+        spelt = pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.large_string())
+    return pc.if_else(known, spelt, pa.scalar(None, pa.large_string()))
+
+
+def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "text", keep: bool = False) -> DataFrame:
+    """Replace a column of ids by the text they spell; null ids stay null, no ids are an empty text.
+
+    ``keep`` leaves the ids in place. Other columns pass through, whatever their names; one named ``to`` is replaced.
+    """
     content = load(model)
-    others = [c for c in encoded.columns if c not in (ids, to)]
+    names = [c for c in encoded.columns if c != to and (keep or c != ids)]
+    others = [c for c in names if c != ids]
 
     def decoded(stream):
+        return_freed_memory()
         vocabulary = Vocabulary(*content)
         for rows in stream:
-            own = [None if x is None else decode_ids(np.array(x, np.int64), vocabulary).decode("utf-8", "replace")
-                   for x in rows.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in others), pa.array(own, pa.string())],
-                                             names=[*others, to])
-
-    wanted = encoded.select(*[F.col(f"`{c}`") for c in others], F.col(ids).alias("_ids"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wanted.schema.fields[:-1])
-    return wanted.mapInArrow(decoded, f"{fields}`{to}` string")
+            own = rows.column(0)
+            # A few rows at a time: the place of every byte is a number of eight bytes
+            for first in range(0, rows.num_rows, DECODED):
+                part = rows.slice(first, DECODED)
+                yield pa.RecordBatch.from_arrays([*part.columns[0 if keep else 1:], decode_lists(
+                    own.slice(first, DECODED), vocabulary).cast(pa.string())], names=passed + ["text"])
+
+    # Numbered names, so that no name of the input can clash with one used here
+    wanted = encoded.select(F.col(f"`{ids}`").alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    passed = wanted.columns[0 if keep else 1:]
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in wanted.schema.fields if f.name in passed)
+    out = wanted.mapInArrow(decoded, f"{fields}text string")
+    back = {**{f"c{i}": c for i, c in enumerate(others)}, "c": ids}
+    out = out.toDF(*[back[c] for c in passed], to)
+    return out.select(*[f"`{c}`" for c in names], f"`{to}`")
