@@ -26,12 +26,7 @@ BEGIN = U(0xD1B54A32D192ED03)
 #: A context counts once the examples hold it so often; else the next shorter one is used alone
 SUPPORT = 2
 #: Bytes of distinct URLs in a batch, on average
-BATCH_BYTES = 1 << 19
-#: Fixed values of ``cells`` and ``model``, the models of four folded symbols as closed tables; queries don't use them.
-#: The alphabet; any other character counts as the last symbol, and the first stands for the begin
-ALPHABET = "\0abcdefghijklmnopqrstuvwxyz0123456789-./"
-A = len(ALPHABET) + 1
-ORDER = 3
+BATCH_BYTES = 1 << 18
 #: Examples kept out of the counts to calibrate the threshold: crc32(url) modulo this is 0
 FOLDS = 5
 #: Steps of the threshold search, between these differences per character
@@ -57,42 +52,6 @@ def decide(rules: Sequence[tuple[str, Rule]]) -> tuple[Column, Column]:
     return text, verdict
 
 
-def _symbols() -> np.ndarray:
-    table = np.full(256, A - 1)
-    for i, c in enumerate(ALPHABET):
-        table[ord(c)] = i
-    table[65:91] = table[97:123]
-    table[0] = A - 1
-    return table
-
-
-SYMBOLS = _symbols()
-
-
-def cells(url: str) -> np.ndarray:
-    """Number of the last four symbols at each place of a url."""
-    own = np.concatenate([np.zeros(ORDER, np.int64), SYMBOLS[np.frombuffer(url.encode(), np.uint8)]])
-    n = len(own) - ORDER
-    out = np.zeros(n, np.int64)
-    for i in range(ORDER + 1):
-        out = out * A + own[i:i + n]
-    return out
-
-
-def model(counts: np.ndarray) -> np.ndarray:
-    """Log probability of the last symbol given the others, for all symbols; ``counts`` has one cell per four."""
-    counts = counts.reshape((A,) * (ORDER + 1)).astype(float)
-    p = np.full(A, 1.0 / A)
-    for order in range(ORDER + 1):
-        own = counts.sum(axis=tuple(range(ORDER - order))) if order < ORDER else counts
-        kinds = (own > 0).sum(-1, keepdims=True)
-        total = own.sum(-1, keepdims=True)
-        # Witten-Bell: the more distinct followers a context has, the more goes to the shorter context
-        weight = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        p = (1 - weight) * own / np.maximum(total, 1) + weight * p
-    return np.log(p).ravel()
-
-
 def lengths(longest: int) -> Iterator[int]:
     """Context lengths 0, 1, 2, 3, 4, 6, 8, 12, 16, 24, ... up to ``longest``."""
     yield from range(min(longest, 1) + 1)
@@ -203,9 +162,8 @@ def scored(decided: DataFrame) -> DataFrame:
     """
     urls = materialise(decided.filter("url <> ''").groupBy("url", "verdict").agg(F.count(F.lit(1)).alias("n")), "urls")
     size = urls.agg(F.sum(F.octet_length("url"))).first()[0] or 0
-    # As many batches as there are partitions at least, so that all tasks have some
-    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = urls.withColumn("batch", F.pmod(F.xxhash64("url"), F.lit(max(parts, -(-size // BATCH_BYTES)))).cast("int"))
+    # The number of batches follows from the bytes alone, as each batch asks for the common contexts once more
+    dealt = urls.withColumn("batch", F.pmod(F.xxhash64("url"), F.lit(max(1, -(-size // BATCH_BYTES)))).cast("int"))
     examples = urls.filter(F.col("verdict").isNotNull() & ~held_out()).select(
         "url", "n", (F.col("verdict") == "block").alias("bad"))
     counts = (examples.mapInArrow(_counted, "context long, byte short, allow long, block long")

@@ -239,14 +239,6 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0), URL_RULES).collect() == []
 
 
-def test_url_models_are_distributions():
-    counts = np.zeros(url_filter.A ** 4)
-    for url in ("http://a.org/x", "http://b.org/y", "http://b.org/yy"):
-        np.add.at(counts, url_filter.cells(url), 1)
-    p = np.exp(url_filter.model(counts)).reshape(-1, url_filter.A)
-    assert np.allclose(p.sum(1), 1)
-
-
 def test_fingerprints(docs, texts, odd, none):
     rows = by_id(fingerprint.compare_with_next(docs))
     sets = [plain.shingles(t) for t in texts]
