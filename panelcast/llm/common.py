@@ -100,7 +100,6 @@ def return_freed_memory() -> None:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column and the n + 1 offsets of its texts; nulls are empty."""
-    return_freed_memory()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):

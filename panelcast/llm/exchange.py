@@ -19,8 +19,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from panelcast.llm.common import (U, buffers, pack, pack_planes, pack_sorted, unpack, unpack_planes,
-                                  unpack_sorted)
+from panelcast.llm.common import (U, buffers, pack, pack_planes, pack_sorted, return_freed_memory, unpack,
+                                  unpack_planes, unpack_sorted)
 
 #: Text of one batch; a longer text is a batch of its own
 BATCH_BYTES = 24 << 20
@@ -43,6 +43,7 @@ def to_arrow(rows: list[tuple]) -> pa.RecordBatch:
 
 def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list]]:
     """Regroup a task's rows (key, text) into batches of bounded size: keys and (bytes, offsets) pieces."""
+    return_freed_memory()
     keys, pieces, size = [], [], 0
     for rows in stream:
         column = rows.column("text")
@@ -92,6 +93,7 @@ def cuts_of(values: np.ndarray, parts: int) -> np.ndarray:
 
 def _settle(table: pa.Table) -> pa.Table:
     """One hash range of ``shared_hashes``: plain hashes, and entries whose first place matters."""
+    return_freed_memory()
     kinds = table.column("kind").to_numpy()
     plain, first = table.filter(pa.array(kinds == 0)), table.filter(pa.array(kinds != 0))
     tables = [f(t) for f, t in ((shared_of, plain), (settle_firsts, first)) if len(t)]
@@ -173,6 +175,7 @@ def meet(texts: DataFrame, answers: DataFrame, handle: Callable, schema: str) ->
     ``pieces`` are the payload rows in order, ``answers`` the other rows, both as dicts. ``handle`` returns one table.
     """
     def grouped(table: pa.Table) -> pa.Table:
+        return_freed_memory()
         rows = table.to_pylist()
         pieces = sorted((r for r in rows if r["kind"] == 0), key=lambda r: r["part"])
         if not pieces:
