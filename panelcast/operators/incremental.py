@@ -53,20 +53,24 @@ def forecast_with_ledger(spark: SparkSession, panel: DataFrame, capacity: DataFr
                          horizon: int = config.HORIZON) -> tuple[DataFrame, DataFrame]:
     """Forecast only changed entities, append them to the ledger and return all valid forecasts.
 
-    Models that fail are appended to ``forecast_failures``, so an entity none of whose models works isn't fitted again
-    before its series, capacity or models change. The second table counts entities served from the ledger, entities
-    computed now, and entities without any forecast.
+    Forecasts and failures of an entity are rows of one table and of one file, written in one append, so a run that
+    breaks off leaves all of an entity or nothing of it, and is simply repeated. An entity counts as known once each model has
+    forecasts or a recorded failure; one none of whose models works isn't fitted again before its series, capacity or
+    models change. The second table counts entities answered from the ledger, entities computed now, and entities
+    without any forecast.
     """
     digests = cut_lineage(fingerprints(panel, capacity, models, horizon))
-    failed = read_or_empty(spark, f"{path}-failures", schemas.FORECAST_FAILURES)
-    seen = read_or_empty(spark, path, schemas.FORECASTS).select("id", "digest").unionByName(failed.select("id", "digest"))
-    pending = cut_lineage(work_list(digests, seen))
-    every = cut_lineage(run_models(panel.join(pending, "id", "left_semi"), capacity, pick_models(models), horizon))
+    chosen = pick_models(models)
+    pending = cut_lineage(work_list(digests, answered(read_or_empty(spark, path, schemas.FORECASTS), list(chosen))))
+    every = cut_lineage(run_models(panel.join(pending, "id", "left_semi"), capacity, chosen, horizon))
     fresh, failures = split_failures(every, capacity)
-    # Failures first: a run that breaks off between the two is simply repeated
-    append_parquet(failures.join(pending, "id").select("id", "digest", "model", "error"), f"{path}-failures")
-    append_parquet(fresh.join(pending, "id").select("id", "digest", "model", "h", "date", "prediction"), path)
-    valid = stored(digests, read_or_empty(spark, path, schemas.FORECASTS))
+    none = F.lit(None)
+    rows = (fresh.withColumn("error", none.cast("string")).select("id", "model", "h", "date", "prediction", "error")
+            .unionByName(failures.select("id", "model", none.cast("int").alias("h"), none.cast("date").alias("date"),
+                                         none.cast("double").alias("prediction"), "error")))
+    typed = [F.col(c).cast(t).alias(c) for c, t in (field.split() for field in schemas.FORECASTS.split(", "))]
+    append_parquet(rows.join(pending, "id").select(*typed).repartition("id"), path)
+    valid = stored(digests, read_or_empty(spark, path, schemas.FORECASTS)).filter(F.col("error").isNull()).drop("error")
     served = valid.select("id").distinct()
     total = digests.agg(F.count(F.lit(1))).scalar()
     skipped = digests.join(served, "id", "left_anti").agg(F.count(F.lit(1))).scalar()
@@ -75,10 +79,16 @@ def forecast_with_ledger(spark: SparkSession, panel: DataFrame, capacity: DataFr
     return valid, counts
 
 
+def answered(ledger: DataFrame, models: Sequence[str]) -> DataFrame:
+    """(id, digest) pairs of which the ledger knows how each of the models went."""
+    kinds = F.count_distinct(F.when(F.col("model").isin(list(models)), F.col("model")))
+    return ledger.groupBy("id", "digest").agg(kinds.alias("_n")).filter(F.col("_n") == len(models)).drop("_n")
+
+
 def forecast_failures(spark: SparkSession, digests: DataFrame, path: str) -> DataFrame:
     """``id, digest, model, error`` of the models that failed on the present state of an entity."""
-    failed = read_or_empty(spark, f"{path}-failures", schemas.FORECAST_FAILURES)
-    return stored(digests, failed).dropDuplicates(["id", "digest", "model"])
+    failed = read_or_empty(spark, path, schemas.FORECASTS).filter(F.col("error").isNotNull())
+    return stored(digests, failed.select("id", "digest", "model", "error")).dropDuplicates(["id", "digest", "model"])
 
 
 def is_complete(manifest: Column, models: Sequence[str], horizon: int, origins: int,

@@ -6,8 +6,8 @@ DETAILS_RAW = ("CODE string, NAME string, RESERVOIR string, X string, Y string,
                "GOOGLE string, OPENSTREETMAP string, WIKIDATA string, PROVINCE string, AUTONOMOUS_COMMUNITY string, "
                "TYPE string, CREST_ELEVATION string, DAM_HEIGHT string, REPORT string")
 PANEL = "id long, date date, storage double, storage_imputed int"
-FORECASTS = "id long, digest string, model string, h int, date date, prediction double"
-FORECAST_FAILURES = "id long, digest string, model string, error string"
+# A forecast step, or with an error and no step a model that failed
+FORECASTS = "id long, digest string, model string, h int, date date, prediction double, error string"
 METRICS = ("id long, origin int, model string, test_start date, mae double, rmse double, mape double, "
            "nmae_capacity double, nrmse_capacity double, configuration string, split string")
 PREDICTIONS = ("id long, origin int, model string, h int, date date, actual double, prediction double, "

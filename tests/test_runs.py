@@ -52,6 +52,36 @@ def test_failed_forecasts_are_kept_and_not_repeated(spark):
     assert (counts.first().computed, counts.first().from_ledger) == (0, 2)
 
 
+@pytest.mark.parametrize("before", [True, False])
+def test_a_broken_run_loses_no_entity(spark, monkeypatch, before):
+    """Broken before or after the append and then repeated, a run gives what an unbroken one does."""
+    panel = weekly(spark, {1: range(80), 2: range(120), 3: range(20)})
+    cap, models = capacities(spark, {1: 500, 2: 500, 3: 500}), ["seasonal_naive", "sarima"]
+    rows = lambda path: sorted(map(tuple, inc.forecast_with_ledger(spark, panel, cap, path, models)[0].collect()))
+    want = rows(scratch_path(spark, "ledger"))
+    assert {r[0] for r in want} == {1, 2, 3} and {r[0] for r in want if r[2] == "sarima"} == {2}
+    write, path = inc.append_parquet, scratch_path(spark, "ledger")
+
+    def broken(df, target):
+        if not before:
+            write(df, target)
+        raise OSError("lost")
+
+    monkeypatch.setattr(inc, "append_parquet", broken)
+    with pytest.raises(OSError):
+        rows(path)
+    monkeypatch.setattr(inc, "append_parquet", write)
+    assert rows(path) == want
+    _, counts = inc.forecast_with_ledger(spark, panel, cap, path, models)
+    assert tuple(counts.select("computed", "from_ledger", "skipped").first()) == (0, 3, 0)
+
+
+def test_half_known_entities_are_fitted_again(spark):
+    ledger = spark.createDataFrame([(1, "a", "x"), (1, "a", "ensemble"), (2, "b", "x"), (2, "b", "y"), (2, "c", "y")],
+                                   "id long, digest string, model string")
+    assert [tuple(r) for r in inc.answered(ledger, ["x", "y"]).collect()] == [(2, "b")]
+
+
 def test_evaluation_keeps_predictions_failures_and_manifests(spark):
     path = scratch_path(spark, "metrics")
     panel, cap = weekly(spark, {1: range(260), 2: range(156)}), capacities(spark, {1: 500, 2: 500})
