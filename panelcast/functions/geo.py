@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelcast.config import EARTH_RADIUS_KM
 
@@ -22,8 +22,43 @@ FINEST = 22
 
 def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
     """Great-circle distance in kilometres."""
-    return F.expr(f"""{2 * EARTH_RADIUS_KM}D * asin(sqrt(least(1D, pow(sin(radians({lat2} - {lat1}) / 2), 2)
-        + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))""")
+    return F.expr(haversine_sql(lat1, lon1, lat2, lon2))
+
+
+def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    return f"""{2 * EARTH_RADIUS_KM}D * asin(sqrt(least(1D, pow(sin(radians({lat2} - {lat1}) / 2), 2)
+        + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))"""
+
+
+def on_sphere(df: DataFrame, lat: str = "latitude", lon: str = "longitude", prefix: str = "") -> DataFrame:
+    """Adds the point's place on the unit sphere as ``x, y, z``."""
+    return df.withColumns({
+        f"{prefix}x": F.expr(f"cos(radians({lat})) * cos(radians({lon}))"),
+        f"{prefix}y": F.expr(f"cos(radians({lat})) * sin(radians({lon}))"), f"{prefix}z": F.expr(f"sin(radians({lat}))")})
+
+
+def cube_side(level: int) -> str:
+    return f"{TOP_SIDE / 2 ** level!r}D"
+
+
+def box_gap_sql(cell: str, point: str, level: int) -> str:
+    """Straight-line distance from a point ``<point>x, ...`` to a cube of the level; 0 inside."""
+    side = cube_side(level)
+    gaps = [f"pow(greatest(0D, {cell}.{i} * {side} - 1.5D - {point}{i}, {point}{i} - ({cell}.{i} + 1) * {side} + 1.5D), 2)"
+            for i in "xyz"]
+    return f"sqrt({' + '.join(gaps)})"
+
+
+def box_span_sql(a: str, level_a: int, b: str, level_b: int) -> str:
+    """Largest straight-line distance between points of two cubes on the unit sphere."""
+    sa, sb = cube_side(level_a), cube_side(level_b)
+    spans = [f"pow(greatest(({a}.{i} + 1) * {sa} - {b}.{i} * {sb}, ({b}.{i} + 1) * {sb} - {a}.{i} * {sa}), 2)" for i in "xyz"]
+    return f"least(2D, sqrt({' + '.join(spans)}))"
+
+
+def span_sql(a: str, b: str) -> str:
+    """Straight-line distance between two places on the unit sphere."""
+    return "sqrt(" + " + ".join(f"pow({a}{i} - {b}{i}, 2)" for i in "xyz") + ")"
 
 
 def chord(km: float) -> float:

@@ -1,12 +1,11 @@
 """Nearest neighbour, range join and diameter over points, blocked by cube cells instead of cross joins.
 
-Both sides of a cube join are exploded copies of their input. Spark's size estimate does not see that growth, so
-these joins ask for a merge join rather than risk a broadcast many times the allowed size.
+Both sides of the range join are exploded copies of their input. Spark's size estimate does not see that growth, so
+it asks for a merge join rather than risk a broadcast many times the allowed size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,10 +14,11 @@ from panelcast.functions import geo
 from panelcast.session import cut_lineage
 
 EVERY_LEVEL = f"sequence(0, {geo.FINEST})"
-# Levels up to COARSE (cubes of 25 km and more) are salted in the search for occupied cubes
-COARSE = 10
-SALTS = 32
-FEW_POINTS = 2000
+# Levels of the pyramids, from the whole sphere to cubes of a fraction of a millimetre
+LEVELS = (0, 4, 8, 12, 16, 20, 25, 30, 36)
+SPREAD_LEVELS = (0, 3, 6, 9, 12, 15, 18, 22, 26, 30, 34, 38)
+# Rounding of straight-line distances on the unit sphere, and of kilometres to six places
+TOLERANCE = 1e-9
 
 
 def _at_levels(df: DataFrame, levels: str) -> DataFrame:
@@ -26,34 +26,90 @@ def _at_levels(df: DataFrame, levels: str) -> DataFrame:
             .withColumn("_cell", geo.cell("latitude", "longitude", "_level")))
 
 
+def pyramid(points: DataFrame, coarse: int, fine: int, on: Sequence[str] = ()) -> DataFrame:
+    """Occupied cubes of the coarse level with the occupied cubes of the fine level in them.
+
+    ``points`` are distinct and have ``x, y, z`` and ``leaf``. A fine cube tells its number of points ``n`` and one of
+    them. A coarse cube holds at most the fine cubes that the sphere passes through, however many points there are.
+    """
+    side, shift = geo.cube_side(fine), fine - coarse
+    cell = F.struct(*[F.expr(f"CAST(floor(({i} + 1.5D) / {side}) AS BIGINT)").alias(i) for i in "xyz"])
+    cubes = points.groupBy(*on, cell.alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("x", "y", "z", "leaf")).alias("p"))
+    parent = F.struct(*[F.shiftright(f"cell.{i}", shift).alias(i) for i in "xyz"])
+    return cubes.groupBy(*on, parent.alias("_cell")).agg(F.collect_list(F.struct("cell", "n", "p")).alias("_kids"))
+
+
 def nearest(targets: DataFrame, candidates: DataFrame, value: str, id_col: str = "id") -> DataFrame:
     """Nearest candidate of every distinct target point: ``latitude, longitude, km, id, value``.
 
-    Exact. A target looks for the finest cube of its own that holds a candidate; the nearest one is then at most
-    the cube's diagonal away, so it lies in the 27 cubes of twice that side. Candidates and targets are first
-    reduced to distinct points (ties go to the smaller id), so copies of one point cost nothing.
+    Exact, best-first down an occupancy pyramid: a target holds the cubes that may have its nearest candidate. Each
+    step replaces them by the finer cubes in them, measures one candidate of each, and keeps those no farther away than
+    the nearest candidate measured so far. So a target far from a dense cluster looks at the cluster's near edge only. Cubes of one
+    candidate are decided at once. Candidates and targets are first reduced to distinct points (ties go to the smaller
+    id), so copies of one point cost nothing.
     """
-    points = targets.select("latitude", "longitude").distinct()
+    points = geo.on_sphere(targets.select("latitude", "longitude").distinct(), prefix="_t")
     best_of_point = (candidates.groupBy("latitude", "longitude")
                      .agg(F.min(F.struct(F.col(id_col).alias("id"), F.col(value).alias("value"))).alias("_hit")))
-    placed = _at_levels(best_of_point, EVERY_LEVEL)
-    # A coarse cube holds most targets, so its single row is copied once per salt and its targets are spread
-    salts = F.expr(f"IF(_level <= {COARSE}, sequence(0, {SALTS - 1}), array(0))")
-    occupied = placed.select("_level", "_cell").distinct().withColumn("_salt", F.explode(salts))
-    probe = _at_levels(points, EVERY_LEVEL).withColumn("_salt", F.expr(
-        f"IF(_level <= {COARSE}, CAST(pmod(xxhash64(latitude, longitude), {SALTS}) AS INT), 0)"))
-    finest = (probe.join(occupied.hint("merge"), ["_level", "_cell", "_salt"])
-              .groupBy("latitude", "longitude").agg(F.max("_level").alias("_found")))
-    search = (finest.withColumn("_level", F.expr("greatest(_found - 1, 0)"))
-              .withColumn("_own", geo.cell("latitude", "longitude", "_level"))
-              .select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), "_level",
-                      F.explode(geo.touching_cells("_own")).alias("_cell")))
-    km = F.round(geo.haversine_km("_lat", "_lon", "latitude", "longitude"), 6)
-    return (search.join(placed.hint("merge"), ["_level", "_cell"])
-            .select("_lat", "_lon", F.struct(km.alias("km"), F.col("_hit.id").alias("id"),
-                                             F.col("_hit.value").alias("value")).alias("_near"))
-            .groupBy("_lat", "_lon").agg(F.min("_near").alias("_near"))
-            .select(F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"), "_near.*"))
+    placed = cut_lineage(best_of_point)
+    leaves = geo.on_sphere(placed.select("latitude", "longitude", F.struct(
+        F.col("_hit.id").alias("id"), "latitude", "longitude").alias("leaf"))).select("x", "y", "z", "leaf")
+    rows = points.select("*", F.lit(4.0).alias("_bound"), F.lit(None).cast(near_type(placed)).alias("_near"),
+                         F.expr("named_struct('x', 0L, 'y', 0L, 'z', 0L)").alias("_cell"))
+    finished = []
+    for step, (coarse, fine) in enumerate(zip(LEVELS[:-1], LEVELS[1:])):
+        cubes = pyramid(leaves, coarse, fine)
+        # Cubes down to level 8 are bounded by the sphere itself: about 100,000
+        cubes = F.broadcast(cubes) if fine <= 8 else cubes.hint("merge")
+        state = _descend(rows.join(cubes, "_cell"), fine, alone=step == 0)
+        if fine >= 8:
+            state = cut_lineage(state)
+            finished.append(state.filter("size(_open) = 0").select("latitude", "longitude", "_near"))
+        rows = state.withColumn("_cell", F.explode("_open")).drop("_open")
+        if fine >= 8 and rows.isEmpty():
+            break
+    else:
+        # Cubes of the last level are far smaller than the rounding of a distance: any point of one will do
+        finished.append(state.filter("size(_open) > 0").select("latitude", "longitude", F.expr(
+            "array_min(array_append(transform(_last, s -> s.hit), _near))").alias("_near")))
+    found = finished[0]
+    for more in finished[1:]:
+        found = found.unionByName(more)
+    hits = placed.select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.col("_hit.value").alias("value"))
+    return (found.join(hits, (F.col("_near.latitude") == F.col("_lat")) & (F.col("_near.longitude") == F.col("_lon")))
+            .select("latitude", "longitude", F.col("_near.km").alias("km"), F.col("_near.id").alias("id"), "value"))
+
+
+def near_type(placed: DataFrame) -> str:
+    kind = placed.schema["_hit"].dataType["id"].dataType.simpleString()
+    return f"struct<km: double, id: {kind}, latitude: double, longitude: double>"
+
+
+def _descend(rows: DataFrame, level: int, alone: bool) -> DataFrame:
+    """One step of ``nearest``: measure the finer cubes, and keep what may hold the nearest candidate.
+
+    ``alone`` marks the first step, in which a target has one row and nothing is decided yet; else its rows are
+    gathered first.
+    """
+    hit = f"""named_struct('km', round({geo.haversine_sql('latitude', 'longitude', 'k.p.leaf.latitude', 'k.p.leaf.longitude')}, 6),
+        'id', k.p.leaf.id, 'latitude', k.p.leaf.latitude, 'longitude', k.p.leaf.longitude)"""
+    scored = rows.withColumn("_kids", F.expr(f"""transform(_kids, k -> named_struct('low', {geo.box_gap_sql('k.cell', '_t', level)},
+        'high', {geo.span_sql('k.p.', '_t')}, 'cell', k.cell, 'n', k.n, 'hit', {hit}))"""))
+    scored = scored.withColumn("_bound", F.expr("least(_bound, array_min(transform(_kids, s -> s.high)))"))
+    possible = f"filter(_kids, s -> s.low <= _bound + {TOLERANCE!r}D)"
+    scored = scored.withColumn("_kids", F.expr(possible))
+    if not alone:
+        scored = scored.groupBy("latitude", "longitude").agg(
+            *[F.first(c).alias(c) for c in ("_tx", "_ty", "_tz")], F.min("_bound").alias("_bound"),
+            F.min("_near").alias("_near"), F.flatten(F.collect_list("_kids")).alias("_kids"))
+        scored = scored.withColumn("_kids", F.expr(possible))
+    decided = "false" if alone else "s.n = 1"
+    return scored.select(
+        "latitude", "longitude", "_tx", "_ty", "_tz", "_bound",
+        F.expr(f"array_min(array_append(transform(filter(_kids, s -> {decided}), s -> s.hit), _near))").alias("_near"),
+        F.expr(f"transform(filter(_kids, s -> NOT ({decided})), s -> s.cell)").alias("_open"),
+        *([F.expr("filter(_kids, s -> s.n > 1)").alias("_last")] if level == LEVELS[-1] else []))
 
 
 def fill_from_nearest(df: DataFrame, column: str, id_col: str = "id", required: bool = False) -> DataFrame:
@@ -109,31 +165,46 @@ def within_radius(df: DataFrame, latitude: float, longitude: float, radius_km: f
     return df.filter(geo.in_disc(latitude, longitude, radius_km))
 
 
-def diameter_km(df: DataFrame, on: Sequence[str], levels: Sequence[int] = (5, 9, 13, 17)) -> DataFrame:
+def diameter_km(df: DataFrame, on: Sequence[str]) -> DataFrame:
     """Largest distance between two points of each group, exact, without forming all pairs of points.
 
-    Points are gathered into cubes. A cube can hold an end of the farthest pair only if its longest distance to
-    another cube plus both diagonals reaches the best distance seen so far. Surviving cubes are split into finer
-    ones until few points are left; the number of cubes is bounded by the geometry of the sphere, not by the data.
+    Pairs of cubes are refined together. A pair stays while the largest distance its cubes allow reaches the largest
+    distance between two points measured so far in the group; cubes of one point are decided. How many pairs
+    stay depends on how close to farthest they are, not on the number of points, and no key holds more of them
+    than a cube has partners.
     """
     on = list(on)
-    alive = df.select(*on, "latitude", "longitude").distinct()
-    for level in levels:
-        diagonal = math.sqrt(3.0) * geo.TOP_SIDE / 2 ** level
-        placed = alive.withColumn("_cell", geo.cell("latitude", "longitude", str(level)))
-        cubes = cut_lineage(placed.groupBy(*on, "_cell").agg(
-            F.min(F.struct("latitude", "longitude")).alias("_p"), F.count(F.lit(1)).alias("_n")))
-        a = cubes.select(*on, F.col("_cell").alias("_ca"), F.col("_n").alias("_n"), F.col("_p").alias("_pa"))
-        b = cubes.select(*on, F.col("_p").alias("_pb"))
-        km = geo.haversine_km("_pa.latitude", "_pa.longitude", "_pb.latitude", "_pb.longitude")
-        far = a.join(b, on).withColumn("_km", km).withColumn("_span", F.expr(geo.chord_sql("_km")))
-        reach = cut_lineage(far.groupBy(*on, "_ca").agg(F.max("_span").alias("_span"), F.max("_n").alias("_n")))
-        best = reach.groupBy(*on).agg(F.max("_span").alias("_best"))
-        cells = (reach.join(best, on).filter(F.col("_span") + 2 * diagonal >= F.col("_best"))
-                 .select(*on, F.col("_ca").alias("_cell"), "_n"))
-        alive = placed.join(cells.drop("_n"), [*on, "_cell"], "left_semi").drop("_cell")
-        if (cells.agg(F.sum("_n")).first()[0] or 0) <= FEW_POINTS:
+    leaf = F.struct("latitude", "longitude").alias("leaf")
+    points = cut_lineage(geo.on_sphere(df.select(*on, "latitude", "longitude").distinct()).select(*on, "x", "y", "z", leaf))
+    root = F.expr("named_struct('x', 0L, 'y', 0L, 'z', 0L)")
+    alive = points.select(*on).distinct().select(*on, root.alias("_a"), root.alias("_b"), F.lit(0.0).alias("_best"))
+    far = None
+    for coarse, fine in zip(SPREAD_LEVELS[:-1], SPREAD_LEVELS[1:]):
+        # Both pyramids of the step are the same table: one exchange
+        cubes = pyramid(points, coarse, fine, on)
+        left = cubes.select(*on, F.col("_cell").alias("_a"), F.col("_kids").alias("_left"))
+        right = cubes.select(*on, F.col("_cell").alias("_b"), F.col("_kids").alias("_right"))
+        widest = geo.box_span_sql("k.cell", fine, "_b", coarse)
+        half = alive.join(left.hint("merge"), [*on, "_a"]).withColumn("_left", F.expr(
+            f"filter(_left, k -> {widest} >= _best - {TOLERANCE!r}D)")).select(
+            *on, "_a", "_b", "_best", F.explode("_left").alias("_k"))
+        twin = "_a = _b AND (k.cell.x, k.cell.y, k.cell.z) < (_k.cell.x, _k.cell.y, _k.cell.z)"
+        wide = geo.box_span_sql("k.cell", fine, "_k.cell", fine)
+        full = half.join(right.hint("merge"), [*on, "_b"]).withColumn("_right", F.expr(
+            f"filter(_right, k -> {wide} >= _best - {TOLERANCE!r}D AND NOT ({twin}))")).select(
+            *on, "_k", F.explode("_right").alias("_l"))
+        full = cut_lineage(full.select(
+            *on, F.col("_k.cell").alias("_a"), F.col("_l.cell").alias("_b"), (F.col("_k.n") * F.col("_l.n") > 1).alias("_more"),
+            F.expr(geo.span_sql("_k.p.", "_l.p.")).alias("_span"),
+            F.expr(geo.box_span_sql("_k.cell", fine, "_l.cell", fine)).alias("_wide"),
+            F.col("_k.p.leaf").alias("_pa"), F.col("_l.p.leaf").alias("_pb")))
+        best = full.groupBy(*on).agg(F.max(F.struct("_span", "_pa", "_pb")).alias("_far"))
+        if far is not None:
+            best = far.unionByName(best).groupBy(*on).agg(F.max("_far").alias("_far"))
+        far = cut_lineage(best)
+        alive = (full.filter("_more").select(*on, "_a", "_b", "_wide").join(far.select(*on, F.col("_far._span").alias("_best")), on)
+                 .filter(F.col("_wide") >= F.col("_best") - TOLERANCE).drop("_wide"))
+        if alive.isEmpty():
             break
-    a = alive.select(*on, F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"))
-    b = alive.select(*on, F.col("latitude").alias("_lb"), F.col("longitude").alias("_lp"))
-    return a.join(b, on).groupBy(*on).agg(F.max(geo.haversine_km("_la", "_lo", "_lb", "_lp")).alias("diameter_km"))
+    km = geo.haversine_km("_far._pa.latitude", "_far._pa.longitude", "_far._pb.latitude", "_far._pb.longitude")
+    return far.select(*on, km.alias("diameter_km"))

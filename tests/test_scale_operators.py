@@ -81,14 +81,49 @@ def test_pairs_with_own_reach(spark):
     assert got == {(i, j) for i in range(80) for j in range(80) if d[i, j] <= i * 60.0}
 
 
-def test_diameter(spark, monkeypatch):
-    monkeypatch.setattr(sp, "FEW_POINTS", 0)  # go through all levels
+@pytest.mark.parametrize("n,gap", [(2000, 10.0), (300, 0.0)])
+def test_nearest_in_a_far_cluster(spark, monkeypatch, n, gap):
+    """Targets beside a dense cluster of candidates meet its near edge, not all of it."""
+    rng = np.random.default_rng(12)
+    lat, lon = np.r_[rng.normal(46, .5, n), rng.normal(46 - gap, .5, n)], rng.normal(2, .5, 2 * n)
+    value = [None] * n + [f"v{i}" for i in range(n)]
+    met, cut = [], sp.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        if "_open" in out.columns:
+            met.append(out.selectExpr("sum(size(_open))").first()[0])
+        return out
+
+    monkeypatch.setattr(sp, "cut_lineage", counted)
+    df = points(spark, lat, lon, v=value)
+    got = {r.latitude: r.value for r in sp.nearest(df.filter("v IS NULL"), df.filter("v IS NOT NULL"), "v").collect()}
+    for i in range(n):
+        assert got[lat[i]] == f"v{np.argmin(np.round(km(lat[i], lon[i], lat[n:], lon[n:]), 6))}"
+    assert sum(met) < 50 * n
+
+
+def farthest(lat, lon):
+    if len(lat) < 1000:
+        return km(lat[:, None], lon[:, None], lat[None, :], lon[None, :]).max()
+    x = np.stack([np.cos(np.radians(lat)) * np.cos(np.radians(lon)), np.cos(np.radians(lat)) * np.sin(np.radians(lon)),
+                  np.sin(np.radians(lat))], axis=1)
+    low = [(x[i:i + 1000] @ x.T) for i in range(0, len(x), 1000)]
+    at = [np.unravel_index(np.argmin(m), m.shape) for m in low]
+    return max(km(lat[i * 1000 + a], lon[i * 1000 + a], lat[b], lon[b]) for i, (a, b) in enumerate(at))
+
+
+def test_diameter(spark):
     lat, lon = sphere(60, 8)
-    lat2, lon2 = 40 + np.random.default_rng(9).random(60), np.random.default_rng(10).random(60)
-    df = points(spark, np.r_[lat, lat2], np.r_[lon, lon2], region=["a"] * 60 + ["b"] * 60)
+    rng = np.random.default_rng(9)
+    groups = {"a": (lat, lon), "b": (40 + rng.random(60), rng.random(60)), "one": (np.array([5.0]), np.array([6.0])),
+              "same": (np.full(9, 1.5), np.full(9, 2.5)), "close": (1 + rng.random(200) * 1e-7, np.zeros(200)),
+              "circle": (np.zeros(720), np.arange(720) / 2 - 180), "globe": sphere(20_000, 13)}
+    df = points(spark, *(np.concatenate([g[i] for g in groups.values()]) for i in (0, 1)),
+                region=[name for name, g in groups.items() for _ in g[0]])
     got = {r.region: r.diameter_km for r in sp.diameter_km(df, ["region"]).collect()}
-    for region, (a, b) in {"a": (lat, lon), "b": (lat2, lon2)}.items():
-        assert got[region] == pytest.approx(km(a[:, None], b[:, None], a[None, :], b[None, :]).max(), abs=1e-6)
+    for region, (a, b) in groups.items():
+        assert got[region] == pytest.approx(farthest(a, b), abs=2e-6), region
 
 
 def test_within_radius(spark):
