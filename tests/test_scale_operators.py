@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import km
 from panelcast.operators import spatial as sp
@@ -22,19 +23,26 @@ def points(spark, lat, lon, **extra):
     1e6 + np.random.default_rng(3).random(3000) * 1e-3,                  # all in a narrow band
     np.array([5.0]),
 ])
-def test_exact_quantiles(spark, values):
+@pytest.mark.parametrize("part", [1 << 20, 20])
+def test_exact_quantiles(spark, values, part):
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.95, "e": 1.0}
     # Group 0 holds most rows
     rows = [(int(i % 7 == 0), float(v)) for i, v in enumerate(values)] + [(2, None)]
     df = spark.createDataFrame(rows, "g int, v double")
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs).collect()}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs, part).collect()}
     for g in (0, 1):
         mine = values[[i for i in range(len(values)) if int(i % 7 == 0) == g]]
         if len(mine):
             want = np.quantile(mine, list(probs.values()))
             assert np.allclose([got[g][k] for k in probs], want, rtol=1e-12)
     assert 2 not in got
-    whole = exact_quantiles(df, [], "v", probs).first()
+    # A missing key is a group like any other
+    unknown = df.withColumn("g", F.when(F.col("g") == 1, F.col("g")))
+    some = {r.g: r for r in exact_quantiles(unknown, ["g"], "v", probs, part).collect()}
+    others = values[[i for i in range(len(values)) if i % 7]]
+    if len(others):
+        assert np.allclose([some[None][k] for k in probs], np.quantile(others, list(probs.values())), rtol=1e-12)
+    whole = exact_quantiles(df, [], "v", probs, part).first()
     assert np.allclose([whole[k] for k in probs], np.quantile(values, list(probs.values())), rtol=1e-12)
 
 
@@ -73,7 +81,6 @@ def test_pairs_within(spark, radius):
 
 
 def test_pairs_with_own_reach(spark):
-    from pyspark.sql import functions as F
     lat, lon = sphere(80, 7)
     df = points(spark, lat, lon)
     got = {(r.l_id, r.r_id) for r in sp.pairs_within(df, df, F.col("id") * 60.0).collect()}
