@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -13,6 +16,24 @@ from panelcast.operators.features import by_date
 from panelcast.session import cut_lineage
 
 
+#: Fits that are sent to the cluster side by side, and rows of a task of one
+AT_ONCE = 8
+ROWS_OF_TASK = 200_000
+
+
+def side_by_side(df: DataFrame, work: Callable, items: Iterable) -> list:
+    """Results of a few independent Spark programs, in order. A fit is a chain of small jobs, and one chain alone leaves
+    most of a cluster idle between them."""
+    with ThreadPool(AT_ONCE) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(work), list(items), chunksize=1)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """Stored rows in as many tasks as their number asks for: every level of a tree is a job over all of them."""
+    stored = cut_lineage(df)
+    return stored.repartition(max(1, -(-stored.count() // ROWS_OF_TASK)))
+
+
 def mean_encoding(train: DataFrame, category: str, target: str) -> DataFrame:
     """Mean target per category of the train rows."""
     return train.filter(F.col(category).isNotNull()).groupBy(category).agg(F.avg(target).alias(f"{category}_encoded"))
@@ -149,6 +170,7 @@ def boosted(panel: DataFrame, capacity: DataFrame, horizon: int = config.HORIZON
         "id", F.lit(None).cast("int").alias("h"), F.lit(None).cast("date").alias("date"),
         F.lit(None).cast("double").alias("prediction"), F.lit("boosted").alias("model"), why.alias("error"))
     frame = vector.transform(train.withColumn("h", F.col("h").cast("double"))).select("features", "target")
+    frame = packed(frame)
     if frame.isEmpty():
         return failed
     model = GBTRegressor(labelCol="target", maxIter=trees, maxDepth=depth, stepSize=rate, seed=27,
@@ -174,15 +196,14 @@ def cross_validate(df: DataFrame, target: str, inputs: Sequence[str], categories
     """Random-forest cross-validation: RMSE, MAE and R² averaged over the folds.
 
     Encoders are fitted on the train side of each fold; ``per_split`` says how many inputs a split may choose from, in
-    Spark's terms. The loop runs over folds, a fixed small number; every fit
-    and every prediction is a Spark job.
+    Spark's terms. Folds, a fixed small number, are fitted side by side; every fit and every prediction is a Spark job.
     """
     needed = complete_cases(df, [target, *inputs])
-    rows = cut_lineage(assign_folds(needed, key, folds).select(key, "fold", target, *inputs, *categories))
+    rows = packed(assign_folds(needed, key, folds).select(key, "fold", target, *inputs, *categories))
     encoded = [f"{c}_encoded" for c in categories]
     vector = VectorAssembler(inputCols=[*inputs, *encoded], outputCol="features")
-    scored = None
-    for fold in range(folds):
+
+    def held_out(fold: int) -> DataFrame:
         train, test = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
         overall = train.agg(F.avg(target)).scalar()
         for c in categories:
@@ -192,8 +213,9 @@ def cross_validate(df: DataFrame, target: str, inputs: Sequence[str], categories
         forest = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=27,
                                        featureSubsetStrategy=per_split)
         model = forest.fit(vector.transform(train))
-        part = model.transform(vector.transform(test)).select("fold", F.col(target).alias("actual"), "prediction")
-        scored = part if scored is None else scored.unionByName(part)
+        return model.transform(vector.transform(test)).select("fold", F.col(target).alias("actual"), "prediction")
+
+    scored = reduce(DataFrame.unionByName, side_by_side(df, held_out, range(folds)))
     e = F.col("actual") - F.col("prediction")
     per_fold = scored.groupBy("fold").agg(
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
