@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast import config
 from panelcast.functions.columns import bounded_forecast, literal_map
+from panelcast.operators import learn
 
 Forecaster = Callable[[DataFrame, int, Sequence[str]], DataFrame]
 YEAR_DAYS = 365.25
@@ -188,7 +189,29 @@ def sarima(series: DataFrame, horizon: int = config.HORIZON, keys: Sequence[str]
     return _fitted(series, horizon, keys, lambda days, values, future: fit_arima(values, len(future)))
 
 
-MODELS: dict[str, Forecaster] = {"seasonal_naive": seasonal_naive, "sarima": sarima, "trend_seasonal": trend_seasonal}
+def seasonal_mean(series: DataFrame, horizon: int = config.HORIZON, keys: Sequence[str] = ("id",), seasons: int = 2,
+                  lag: int = config.SEASONAL_LAG) -> DataFrame:
+    """Mean of the same week in the last seasons; a series of less than one season repeats its last value."""
+    keys = list(keys)
+    short = seasonal_naive(series, horizon, keys, lag).withColumnRenamed("prediction", "_naive")
+    newest = Window.partitionBy(*keys).orderBy(F.col("date").desc())
+    known = series.filter(F.col("storage").isNotNull())
+    ranked = known.select(*keys, F.col("storage").cast("double").alias("storage"), F.row_number().over(newest).alias("_r"))
+    place = F.lit(lag - 1) - F.pmod(F.col("_r") - 1, F.lit(lag))
+    means = (ranked.filter(F.col("_r") <= seasons * lag).groupBy(*keys, place.alias("_place"))
+             .agg(F.avg("storage").alias("_mean"), F.max("_r").alias("_r")))
+    full = ranked.groupBy(*keys).agg((F.max("_r") >= lag).alias("_full"))
+    joined = (short.withColumn("_place", F.pmod(F.col("h") - 1, F.lit(lag))).join(full, keys, "left")
+              .join(means.drop("_r"), [*keys, "_place"], "left"))
+    return joined.select(*keys, "h", "date", F.when(F.col("_full"), F.col("_mean")).otherwise(F.col("_naive")).alias("prediction"),
+                         "error")
+
+
+MODELS: dict[str, Forecaster] = {
+    "seasonal_naive": seasonal_naive, "sarima": sarima, "trend_seasonal": trend_seasonal, "seasonal_mean": seasonal_mean,
+    "boosted": learn.boosted_series, "linear": learn.linear_series}
+#: The models of a release run
+USUAL = ("seasonal_naive", "sarima", "trend_seasonal")
 
 
 def pick_models(names: Sequence[str]) -> dict[str, Forecaster]:
@@ -221,13 +244,24 @@ def run_models(series: DataFrame, capacity: DataFrame, models: Mapping[str, Fore
 
 def weighted_average(forecasts: DataFrame, weights: Mapping[str, float], keys: Sequence[str] = ("id",),
                      label: str = config.ENSEMBLE_MODEL) -> DataFrame:
-    """Weighted mean over the models present, weights rescaled to those models."""
+    """Weighted mean over the models present, weights rescaled to those models; an unknown model is an error."""
+    pick_models(list(weights))
     weight = F.try_element_at(literal_map(weights), F.col("model"))
     used = forecasts.filter(F.col("prediction").isNotNull()).withColumn("_w", weight).filter(F.col("_w").isNotNull())
     total = F.sum(F.col("_w") * F.col("prediction")) / F.sum("_w")
     return used.groupBy(*keys, "h", "date").agg(total.alias("prediction")).withColumn("model", F.lit(label))
 
 
+def blend(panel: DataFrame, capacity: DataFrame, name: str, horizon: int = config.HORIZON,
+          keys: Sequence[str] = ("id",)) -> DataFrame:
+    """A fixed blend of the configuration: its members' forecasts and their weighted mean.
+
+    Weights are rescaled where a member failed on a series; a member that no registry knows is an error.
+    """
+    every = run_models(panel, capacity, pick_models(list(config.BLENDS[name])), horizon, keys)
+    return with_ensemble(every.filter(F.col("error").isNull()).drop("error"), config.BLENDS[name], keys, name)
+
+
 def with_ensemble(forecasts: DataFrame, weights: Mapping[str, float] = config.ENSEMBLE_WEIGHTS,
                   keys: Sequence[str] = ("id",), label: str = config.ENSEMBLE_MODEL) -> DataFrame:
     """The forecasts plus their weighted mean, in one pass: a group is one step, with a row per model."""
@@ -249,7 +283,7 @@ def split_failures(every: DataFrame, capacity: DataFrame) -> tuple[DataFrame, Da
     return bounded(forecasts, capacity), failures
 
 
-def forecast_panel(panel: DataFrame, capacity: DataFrame, models: Sequence[str] = tuple(MODELS),
+def forecast_panel(panel: DataFrame, capacity: DataFrame, models: Sequence[str] = USUAL,
                    horizon: int = config.HORIZON) -> tuple[DataFrame, DataFrame]:
     """Forecasts of every entity (models and ensemble) and the table of skipped entities with their errors."""
     return split_failures(run_models(panel, capacity, pick_models(models), horizon), capacity)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
+from operator import and_
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
@@ -149,12 +150,12 @@ BOOST_INPUTS = ("level", "seasonal", "h", "week")
 
 
 def boosted(panel: DataFrame, capacity: DataFrame, horizon: int = config.HORIZON, trees: int = 100, depth: int = 6,
-            rate: float = 0.1, step: int = 1) -> DataFrame:
+            rate: float = 0.1, step: int = 1, clip: bool = True) -> DataFrame:
     """Boosted trees over all entities with the horizon as an input, forecasting from each entity's last week.
 
     The last week is shifted to last year's level before prediction and the shift is taken off afterwards. Training
-    uses every week at every horizon; a ``step`` above 1 trains on each such horizon only. An entity that cannot be
-    forecast gives one row with an ``error`` and no prediction.
+    uses every week at every horizon; a ``step`` above 1 trains on each such horizon only. ``clip`` keeps predictions at
+    or below capacity. An entity that cannot be forecast gives one row with an ``error`` and no prediction.
     """
     vector = VectorAssembler(inputCols=list(BOOST_INPUTS), outputCol="features")
     train = horizon_rows(panel, capacity, horizon, step).filter(F.col("target").isNotNull())
@@ -180,11 +181,69 @@ def boosted(panel: DataFrame, capacity: DataFrame, horizon: int = config.HORIZON
     made = model.transform(vector.transform(shifted)).join(capacity.select("id", "capacity"), "id")
     value = (F.col("prediction") - F.col("shift")) * F.col("capacity")
     done = made.select("id", F.col("_h").alias("h"), F.date_add("_end", F.col("_h") * 7).alias("date"),
-                       F.least(value, F.col("capacity")).alias("prediction"), F.lit("boosted").alias("model"),
+                       (F.least(value, F.col("capacity")) if clip else value).alias("prediction"), F.lit("boosted").alias("model"),
                        F.lit(None).cast("string").alias("error"))
     return done.unionByName(failed)
 
 
+def boosted_series(series: DataFrame, horizon: int = config.HORIZON, keys: Sequence[str] = ("id",), **settings) -> DataFrame:
+    """``boosted`` as a forecaster of series: levels are taken relative to the largest value of each.
+
+    One model is shared by the entities. Series that differ in other keys, as the origins of a backtest, overlap in time,
+    so each value of these keys has a model of its own that sees nothing of the others.
+    """
+    others = [k for k in keys if k != "id"]
+    parts = []
+    for group in (series.select(*others).distinct().collect() if others else [None]):
+        own = series if group is None else series.filter(reduce(and_, (F.col(k) == group[k] for k in others)))
+        peak = own.groupBy("id").agg(F.max("storage").alias("capacity"))
+        made = boosted(own.select("id", "date", "storage"), peak, horizon, clip=False, **settings)
+        parts.append(made.select("id", *[F.lit(group[k]).cast(series.schema[k].dataType).alias(k) for k in others],
+                                 "h", "date", "prediction", "error"))
+    if not parts:
+        return series.select(*keys, F.lit(0).alias("h"), "date", F.lit(0.0).alias("prediction"), F.lit("").alias("error"))
+    return reduce(DataFrame.unionByName, parts).select(*keys, "h", "date", "prediction", "error")
+
+
+def linear_series(series: DataFrame, horizon: int = config.HORIZON, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """Direct linear forecast of each series: the value a horizon ahead from the last value, the value one season before
+    the wanted week, and how far ahead it is. Weights come from sums over all weeks and horizons of the series."""
+    keys = list(keys)
+    whole = F.struct(*keys).alias("id")
+    panel = series.filter(F.col("storage").isNotNull()).select(whole, "date", F.col("storage").cast("double").alias("storage"))
+    one = panel.select("id", F.lit(1.0).alias("capacity")).distinct()
+    rows = horizon_rows(panel, one, horizon, 1).withColumn("ahead", F.col("h").cast("double"))
+    inputs = ["level", "seasonal", "ahead"] if horizon > 1 else ["level", "seasonal"]
+    weights = fit_stack(rows, ["id"], "target", inputs)
+    ends = panel.groupBy("id").agg(F.max("date").alias("_end"))
+    ask = rows.join(ends, "id").filter(F.col("date") == F.col("_end"))
+    made = apply_stack(ask, weights, ["id"], inputs).filter(F.col("prediction").isNotNull())
+    done = made.select("id.*", "h", F.date_add("_end", F.col("h") * config.GRID_DAYS).alias("date"), "prediction",
+                       F.lit(None).cast("string").alias("error"))
+    failed = series.select(whole).distinct().join(made.select("id").distinct(), "id", "left_anti").select(
+        "id.*", F.lit(None).cast("int").alias("h"), F.lit(None).cast("date").alias("date"),
+        F.lit(None).cast("double").alias("prediction"), F.lit("too short or too even a series for a linear fit").alias("error"))
+    return done.unionByName(failed)
+
+
+def stack_blocks(blocks: DataFrame, models: Sequence[str], alpha: float = 0.0, label: str = "stacked") -> DataFrame:
+    """Level two on out-of-fold predictions: ``id, origin, h, date, actual, model, prediction``.
+
+    ``blocks`` holds the models' predictions of blocks they were not trained on. The weights for a block are fitted on
+    the entity's predictions dated before the block begins, so the years expand and nothing leaks. The first block of an
+    entity has nothing before it and is not predicted, nor is one whose earlier predictions leave the weights open.
+    """
+    named = [F.max(F.when(F.col("model") == m, F.col("prediction"))).alias(m) for m in models]
+    wide = blocks.groupBy("id", "origin", "h", "date").agg(F.max("actual").alias("actual"), *named)
+    begins = wide.groupBy("id", "origin").agg(F.min("date").alias("_from")).withColumnRenamed("origin", "_for")
+    # An entity has a few blocks, one a year at most
+    train = wide.join(begins, "id").filter(F.col("date") < F.col("_from"))
+    weights = fit_stack(train, ["id", "_for"], "actual", models, alpha)
+    made = apply_stack(wide.withColumn("_for", F.col("origin")), weights, ["id", "_for"], models)
+    return (made.filter(F.col("prediction").isNotNull())
+            .select("id", "origin", "h", "date", "actual", F.lit(label).alias("model"), "prediction"))
+
+
 def assign_folds(df: DataFrame, key: str, folds: int, seed: int = 27) -> DataFrame:
     """Repeatable shuffled folds from a hash of the key."""
     return df.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int"))

@@ -306,7 +306,7 @@ def _(spark, sf):
 @query("fc07_backtest_all_models")
 def _(spark, sf):
     panel, capacity = fx.stored_panel(spark, sf, gaps=False)
-    return ev.rank_models(ev.error_metrics(bt.backtest(panel, capacity, fc.MODELS)[0], capacity))
+    return ev.rank_models(ev.error_metrics(bt.backtest(panel, capacity, fc.pick_models(fc.USUAL))[0], capacity))
 
 
 @query("snk04_decision_record")

@@ -259,6 +259,39 @@ def _(spark, sf):
     return stacked(spark, sf, 1.0)
 
 
+#: Out-of-fold predictions of two models, and weights for each block from the blocks before it
+BLOCKS = """folds AS (SELECT DISTINCT id, n, i, n - 52 * (n // 52) + 52 * (i + 4) AS e FROM numbered,
+ (SELECT unnest(generate_series(0, 30)) AS i) WHERE i + 5 <= n // 52),
+ blocks AS (SELECT f.id, f.i AS origin, t.rn - f.e AS h, t.date, t.storage AS y, p.storage AS x1,
+ (p.storage + q.storage) / 2 AS x2 FROM folds f JOIN numbered t ON t.id = f.id AND t.rn > f.e AND t.rn <= f.e + 52
+ JOIN numbered p ON p.id = f.id AND p.rn = t.rn - 52 JOIN numbered q ON q.id = f.id AND q.rn = t.rn - 104),
+ fit AS (SELECT b.id, b.origin, count(*)::DOUBLE AS c, avg(t.y) AS my, avg(t.x1) AS m1, avg(t.x2) AS m2,
+ covar_pop(t.x1, t.x1) * count(*) + {alpha} AS a11, covar_pop(t.x2, t.x2) * count(*) + {alpha} AS a22,
+ covar_pop(t.x1, t.x2) * count(*) AS a12, covar_pop(t.x1, t.y) * count(*) AS b1, covar_pop(t.x2, t.y) * count(*) AS b2
+ FROM (SELECT id, origin, min(date) AS begins FROM blocks GROUP BY id, origin) b JOIN blocks t ON t.id = b.id AND t.date < b.begins
+ GROUP BY b.id, b.origin), solved AS (SELECT *, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) AS w1,
+ (b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12) AS w2 FROM fit)"""
+BLOCKS_BODY = """SELECT b.id, b.origin, h, date, y AS actual, 'stacked' AS model,
+ (my - w1 * m1 - w2 * m2) + w1 * x1 + w2 * x2 AS prediction FROM blocks b JOIN solved s ON s.id = b.id AND s.origin = b.origin"""
+
+
+def stacked_blocks(spark, sf, alpha):
+    panel, capacity = fx.stored_panel(spark, sf)
+    names = ["seasonal_naive", "seasonal_mean"]
+    made, _ = bt.score(*bt.fold_blocks(panel), capacity.filter(F.lit(False)), fc.pick_models(names), include_ensemble=False)
+    return learn.stack_blocks(made, names, alpha)
+
+
+@query("fc10_stacking_on_predictions", with_ctes([fx.PANEL, NUMBERED, BLOCKS.format(alpha=0)], BLOCKS_BODY, t="date", d="actual prediction"))
+def _(spark, sf):
+    return stacked_blocks(spark, sf, 0.0)
+
+
+@query("fc11_ridge_on_predictions", with_ctes([fx.PANEL, NUMBERED, BLOCKS.format(alpha=1)], BLOCKS_BODY, t="date", d="actual prediction"))
+def _(spark, sf):
+    return stacked_blocks(spark, sf, 1.0)
+
+
 @query("fc13_chronological_split", with_ctes([fx.PANEL, NUMBERED, """lagged AS (SELECT id, date, lag(storage, 52) OVER
  (PARTITION BY id ORDER BY date) AS one_year FROM numbered), ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date)
  AS r, count(*) OVER (PARTITION BY id) AS c FROM lagged WHERE one_year IS NOT NULL)"""], """SELECT id, date, one_year,

@@ -145,3 +145,46 @@ def test_distribution_statistics(spark):
     for r in ev.metric_distribution(metrics).collect():
         assert [r["mean"], r["std"], r["median"], r["p90"], r["p95"], r["maximum"]] == pytest.approx(
             [values.mean(), values.std(ddof=1), *np.quantile(values, [.5, .9, .95]), values.max()])
+
+
+def test_seasonal_mean_and_linear(spark):
+    t = np.arange(160)
+    values = 50 + 0.5 * t + 20 * np.sin(2 * np.pi * t / 52)
+    panel = weekly(spark, {1: values, 2: range(30), 3: [4.0] * 160})
+    mean = {(r.id, r.h): r.prediction for r in fc.seasonal_mean(panel, 60).collect()}
+    for h in (1, 52, 53):
+        assert mean[1, h] == pytest.approx((values[107 + (h - 1) % 52 + 1] + values[55 + (h - 1) % 52 + 1]) / 2)
+    assert mean[2, 9] == 29
+    linear = fc.pick_models(["linear"])["linear"](panel, 10).collect()
+    got = {r.h: r.prediction for r in linear if r.id == 1}
+    assert len(got) == 10 and all(abs(got[h] - (50 + 0.5 * (159 + h) + 20 * np.sin(2 * np.pi * (159 + h) / 52))) < 8 for h in got)
+    assert {r.id for r in linear if r.error} == {2, 3}
+
+
+def test_blends_of_all_members_run(spark, monkeypatch):
+    from panelcast.operators import learn
+    t = np.arange(200)
+    series = {i: 100 + 10 * i + 40 * np.sin(2 * np.pi * t / 52 + i) + np.random.default_rng(i).normal(0, 2, 200) for i in (1, 2)}
+    panel, cap = weekly(spark, series), capacities(spark, {1: 300, 2: 300})
+    monkeypatch.setitem(fc.MODELS, "boosted", lambda *a: learn.boosted_series(*a, trees=4, depth=3, step=13))
+    for name, members in (("three_models", 3), ("four_models", 4)):
+        rows = fc.blend(panel, cap, name, 26).collect()
+        by = {}
+        for r in rows:
+            by.setdefault((r.id, r.h), {})[r.model] = r.prediction
+        assert len(by) == 52 and all(len(v) == members + 1 for v in by.values())
+        weights = fc.config.BLENDS[name]
+        assert all(v[name] == pytest.approx(sum(w * v[m] for m, w in weights.items())) for v in by.values())
+    with pytest.raises(ValueError):
+        fc.weighted_average(fc.seasonal_naive(panel).withColumn("model", fc.F.lit("x")), {"no such model": 1.0})
+
+
+def test_boosted_origins_see_nothing_of_each_other(spark):
+    from panelcast.operators import learn
+    t = np.arange(170)
+    panel = weekly(spark, {1: 100 + 30 * np.sin(2 * np.pi * t / 52)})
+    early = panel.filter("date < '2023-01-01'").withColumn("origin", fc.F.lit(0))
+    both = early.unionByName(panel.withColumn("origin", fc.F.lit(1)))
+    fit = lambda s: {(r.origin, r.h): r.prediction for r in learn.boosted_series(s, 4, ("id", "origin"), trees=3, depth=2).collect()}
+    alone, among = fit(early), fit(both)
+    assert alone and all(among[k] == pytest.approx(v) for k, v in alone.items()) and len(among) == 8
