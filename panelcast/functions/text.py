@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import unicodedata
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from panelcast import config
 
 BLANKS = " \t\n\r\f\v"
+#: Rows that a table function hands over at a time
+BATCH_ROWS = 4096
+#: Characters that the compatibility decomposition leaves as marks on their letters
+MARKS = re.compile("[" + "".join(map(chr, (c for c in range(0x110000) if unicodedata.combining(chr(c))))) + "]+")
 
 
 def strip(c: Column) -> Column:
@@ -48,8 +55,7 @@ def repair_mojibake(c: Column) -> Column:
 @pandas_udf(StringType())
 def _without_marks(values: pd.Series) -> pd.Series:
     # NFKD covers all of Unicode; Spark SQL has no normalisation function
-    return values.str.normalize("NFKD").map(
-        lambda text: None if text is None else "".join(ch for ch in text if not unicodedata.combining(ch)))
+    return values.str.normalize("NFKD").str.replace(MARKS, "", regex=True)
 
 
 def normal_form(c: Column) -> Column:
@@ -102,43 +108,47 @@ def title_case(c: Column) -> Column:
         F.transform(words, lambda word, i: shape(word, i, F.size(words))), " "))
 
 
-def spelling_variants(c: Column) -> Column:
-    """Every spelling with a non-empty subset of n written as ñ; entry m uses the bits of m as the subset.
+def enumerated(df: DataFrame, column: str, texts_of: Callable[[str], Iterator[str]], to: str, number: str) -> DataFrame:
+    """Table function: a row per text that ``texts_of`` yields for the value of a column, numbered from 1.
 
-    The number of spellings is two to the number of n's by definition, so the input is a name, not a text.
+    Rows leave a task a few thousand at a time while the texts are still being made, so a name with millions of them
+    never stands in one row or in memory, and a limit stops the making. A null gives no row. The input column goes.
     """
-    def grow(spellings: Column, letter: Column) -> Column:
-        swapped = F.when(letter == "N", "Ñ").otherwise("ñ")
-        kept = F.transform(spellings, lambda s: F.concat(s, letter))
-        both = F.concat(kept, F.transform(spellings, lambda s: F.concat(s, swapped)))
-        return F.when(F.lower(letter) == "n", both).otherwise(kept)
-
-    letters = F.filter(F.split(c, ""), lambda ch: ch != "")
-    spellings = F.aggregate(letters, F.array(F.lit("")), grow)
-    return F.slice(spellings, F.lit(2), F.size(spellings))
-
-
-def word_queries(c: Column) -> Column:
+    kept = [c for c in df.columns if c != column]
+
+    def run(stream):
+        for rows in stream:
+            passed, values = rows.select(kept), rows.column(column).to_pylist()
+            every = ((i, n, text) for i, value in enumerate(values) if value is not None
+                     for n, text in enumerate(texts_of(value), 1))
+            while some := list(itertools.islice(every, BATCH_ROWS)):
+                at, numbers, texts = zip(*some)
+                yield pa.RecordBatch.from_arrays(
+                    [*passed.take(pa.array(at)).columns, pa.array(numbers, pa.int64()), pa.array(texts, pa.string())],
+                    names=[*kept, number, to])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != column)
+    return df.select(*[F.col(f"`{c}`") for c in kept], column).mapInArrow(run, f"{fields}`{number}` long, `{to}` string")
+
+
+def spelling_variants(name: str) -> Iterator[str]:
+    """Every spelling with a non-empty subset of n written as ñ; spelling m uses the bits of m as the subset."""
+    places = [i for i, c in enumerate(name) if c in "nN"]
+    for mask in range(1, 1 << len(places)):
+        letters = list(name)
+        for k, i in enumerate(places):
+            if mask >> k & 1:
+                letters[i] = "Ñ" if letters[i] == "N" else "ñ"
+        yield "".join(letters)
+
+
+def word_queries(name: str) -> Iterator[str]:
     """Search texts for a long name: single words by length, then ordered word groups by size; one word gives none."""
-    def pick(words: Column, mask: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.getbit(mask, i) == 1)
-
-        def describe(chosen: Column) -> Column:
-            first = F.get(chosen, F.lit(0))
-            alone = F.array(-F.length(F.get(words, first)), first)
-            return F.struct(F.size(chosen).alias("size"),
-                            F.when(F.size(chosen) == 1, alone).otherwise(chosen).alias("rank"),
-                            F.array_join(F.transform(chosen, lambda i: F.get(words, i)), " ").alias("query"))
-
-        return let(places, describe)
-
-    def combine(words: Column) -> Column:
-        masks = F.sequence(F.lit(1), F.pow(F.lit(2.0), F.size(words)).cast("int") - 1)
-        ordered = F.sort_array(F.transform(masks, lambda mask: pick(words, mask)))
-        none = F.array().cast("array<string>")
-        return F.when(F.size(words) > 1, F.transform(ordered, lambda q: q["query"])).otherwise(none)
-
-    return let(F.split(strip(c), r"\s+"), combine)
+    words = re.split(f"[{BLANKS}]+", name.strip(BLANKS))
+    if len(words) > 1:
+        yield from sorted(words, key=len, reverse=True)
+        for size in range(2, len(words) + 1):
+            yield from map(" ".join, itertools.combinations(words, size))
 
 
 def expand_templates(c: Column, templates: Iterable[str]) -> Column:

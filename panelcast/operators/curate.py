@@ -125,11 +125,13 @@ def curate(panel: DataFrame, entities: DataFrame, details: DataFrame, provinces:
            communities: Mapping[str, str] = config.PROVINCE_TO_COMMUNITY) -> dict[str, DataFrame]:
     """The curated tables: ``panel``, ``entities``, ``details`` and ``merged``.
 
-    Raises when two rows of a side end up under one name, when readings have no entity, or when a value is missing
-    that no row can give.
+    Raises when two rows of a side end up under one name, when readings have no entity or no capacity, or when a value
+    is missing that no row can give.
     """
     enforce_empty(name_collisions(entities, details), "names that are not unique after aliasing")
-    enforce_empty(missing_members(panel.select("id").distinct(), entities), "readings without an entity")
+    ids = panel.select("id").distinct()
+    enforce_empty(missing_members(ids, entities), "readings without an entity")
+    enforce_empty(missing_members(ids, entities.filter(F.col("capacity").isNotNull())), "readings without a capacity")
     fresh = fresh_ids(panel)
     merged = keep_listed(join_details(entities, details), fresh)
     merged = fill_missing(merged, "province", provinces)
@@ -145,6 +147,13 @@ def curate(panel: DataFrame, entities: DataFrame, details: DataFrame, provinces:
             "entities": keep_listed(entities, fresh), "details": details, "merged": merged}
 
 
+def final_columns(df: DataFrame, table: str) -> DataFrame:
+    """The published columns of ``merged``, ``entities`` or ``details``, in order; one that is missing is an error."""
+    wanted = config.FINAL_COLUMNS[table]
+    require_columns(df, wanted, table)
+    return df.select(*wanted)
+
+
 def invalid_points(df: DataFrame) -> DataFrame:
     """Rows with a coordinate outside the globe's ranges; missing coordinates are allowed."""
     return df.filter("NOT coalesce(latitude BETWEEN -90 AND 90, true) OR NOT coalesce(longitude BETWEEN -180 AND 180, true)")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast import config
 from panelcast.functions.dates import calendar
+from panelcast.operators import quality as dq
 
 
 def by_date():
@@ -89,6 +90,13 @@ def numbered(panel: DataFrame) -> DataFrame:
     return panel.withColumn("_t", F.row_number().over(by_date()).cast("double"))
 
 
+def require_metadata(panel: DataFrame, entities: DataFrame) -> None:
+    """Stop when the join of readings to entities would repeat a reading or leave one without a capacity."""
+    dq.enforce_empty(dq.duplicate_keys(entities, ["id"]), "entities that repeat an id")
+    known = entities.filter(F.col("capacity").isNotNull()).select("id")
+    dq.enforce_empty(panel.select("id").distinct().join(known, "id", "left_anti"), "readings without a capacity")
+
+
 def join_metadata(panel: DataFrame, entities: DataFrame) -> DataFrame:
     """Left join to the entity table; its clashing columns get the suffix ``_reservoir``."""
     clash = [c for c in entities.columns if c != "id" and c in panel.columns]

@@ -37,12 +37,13 @@ def entity_violations(df: DataFrame) -> DataFrame:
 
 
 def reference_violations(panel: DataFrame, entities: DataFrame) -> DataFrame:
-    """Per id: rows without an entity and rows above the entity's capacity; clean ids do not appear."""
+    """Per id: rows without an entity, rows whose entity has no capacity, and rows above it; clean ids do not appear."""
     known = entities.select("id", "capacity", F.lit(True).alias("_known"))
     return (panel.join(known, "id", "left").groupBy("id")
             .agg(F.count_if(F.col("_known").isNull()).alias("unknown_rows"),
+                 F.count_if(F.col("_known") & F.col("capacity").isNull()).alias("rows_without_capacity"),
                  F.count_if(F.col("storage") > F.col("capacity")).alias("rows_above_capacity"))
-            .filter((F.col("unknown_rows") > 0) | (F.col("rows_above_capacity") > 0)))
+            .filter((F.col("unknown_rows") > 0) | (F.col("rows_without_capacity") > 0) | (F.col("rows_above_capacity") > 0)))
 
 
 def integrality(df: DataFrame, column: str) -> DataFrame:

@@ -15,7 +15,8 @@ from panelcast.operators import clean, curate, evaluation as ev, features as ft,
 from panelcast.operators import transfer as tp
 from panelcast.plans import etl
 from panelcast.session import cut_lineage
-from panelcast.sources.readers import read_details, read_entities, read_observations, read_staged
+from panelcast.sources import schemas
+from panelcast.sources.readers import read_details, read_entities, read_observations, read_staged, table_exists
 from panelcast.sources.writers import append_run, replace_parquet, write_record
 
 LOOKUPS = {
@@ -45,6 +46,13 @@ def run_etl(spark: SparkSession, raw: str, root: str, lookups: dict[str, DataFra
     for name, table in tables.items():
         replace_parquet(table, f"{root}/{name}")
     dq.enforce_empty(curate.invalid_points(read_staged(spark, f"{root}/merged")), "merged coordinates")
+    for name in config.FINAL_COLUMNS:
+        replace_parquet(curate.final_columns(read_staged(spark, f"{root}/{name}"), name), f"{root}/final/{name}")
+    # What an outside lookup should be asked next
+    merged = read_staged(spark, f"{root}/merged")
+    wanted = [curate.to_resolve(merged, column, lookups[table]).withColumn("wanted", F.lit(column))
+              for column, table in (("province", "provinces"), ("latitude", "coordinates"), ("real_name", "real_names"))]
+    replace_parquet(wanted[0].unionByName(wanted[1]).unionByName(wanted[2]), f"{root}/outputs/to_resolve")
     append_run(spark, "curated", root, f"{root}/runs")
 
 
@@ -68,8 +76,10 @@ def load_curated(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 def run_features(spark: SparkSession, root: str) -> None:
     panel, entities = load_curated(spark, root)
     known = entities.select("id", "capacity")
-    etl.check_curated(panel.join(known, "id", "left_semi"), known)
-    replace_parquet(ft.build_features(curate.keep_listed(panel, known), known), f"{root}/outputs/features")
+    listed = curate.keep_listed(panel, known)
+    etl.check_curated(listed, known)
+    ft.require_metadata(listed, known)
+    replace_parquet(ft.build_features(listed, known), f"{root}/outputs/features")
 
 
 def run_forecast(spark: SparkSession, root: str, community: str | None = "andalucia",
@@ -106,6 +116,31 @@ def analyze_validation(spark: SparkSession, root: str, split_ids: DataFrame, mod
     return spark.read.schema(record.schema).json(f"{root}/outputs/validation_decision")
 
 
+def run_test(spark: SparkSession, root: str, split_ids: DataFrame, limit: int = 0) -> DataFrame:
+    """Evaluate the test split with the model that the validation decision selected, and with no other."""
+    decision = f"{root}/outputs/validation_decision"
+    if not table_exists(spark, decision):
+        raise ValueError("the test split waits for a validation decision")
+    chosen = spark.read.schema("selected_model string").json(decision).first()["selected_model"]
+    blend = chosen == config.ENSEMBLE_MODEL
+    models = list(config.ENSEMBLE_WEIGHTS) if blend else [chosen]
+    metrics = run_evaluation(spark, root, split_ids, "test", models, limit, include_ensemble=blend)
+    locked = cut_lineage(metrics.filter(F.col("model") == chosen))
+    replace_parquet(locked, f"{root}/outputs/evaluation_test")
+    return read_staged(spark, f"{root}/outputs/evaluation_test")
+
+
+def run_validation_report(spark: SparkSession, root: str, split: str, models: Sequence[str],
+                          horizon: int = config.HORIZON, origins: int = config.ORIGINS,
+                          include_ensemble: bool = True) -> DataFrame:
+    """The latest origin of each stored evaluation beside the history before it, ready to draw."""
+    panel, _ = load_curated(spark, root)
+    name = inc.configuration_name(models, horizon, origins, include_ensemble)
+    stored = inc.results(spark, f"{root}/ledger/metrics", "predictions", schemas.PREDICTIONS).filter(
+        (F.col("split") == split) & (F.col("configuration") == name))
+    return inc.validation_report(curate.keep_listed(panel, stored.select("id").distinct()), stored)
+
+
 def analyze_test(spark: SparkSession, root: str, split_ids: DataFrame, model: str,
                  origins: int = config.ORIGINS) -> dict[str, DataFrame]:
     """Distribution, per-origin means, worst entities and the comparison with validation of the locked model."""

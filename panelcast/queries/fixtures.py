@@ -67,10 +67,16 @@ def raw_text(spark: SparkSession, sf: str) -> DataFrame:
         F.when(marked, F.lit("n/a")).otherwise(F.col("storage").cast("string")).alias("storage"))
 
 
+#: Parts per supplier at every scale
+PARTS_OF_SUPPLIER = 20
+
+
 def detail(spark: SparkSession, sf: str) -> DataFrame:
-    """Detail rows with unnamed riverbeds and decimal-comma elevations."""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type", "p_size", "p_retailprice")
-    d = dims(spark, sf).join(p, "id")
+    """Detail rows of all parts, twenty at each supplier, with unnamed riverbeds and decimal-comma elevations."""
+    key = F.col("p_partkey")
+    p = table(spark, sf, "part").select(key.alias("id"), F.floor(key / PARTS_OF_SUPPLIER).alias("_at"), "p_name", "p_type",
+                                        "p_size", "p_retailprice")
+    d = p.join(dims(spark, sf).withColumnRenamed("id", "_at").drop("name"), "_at")
     river = (F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 5 == 0, F.lit("Sin Nombre"))
              .otherwise(F.col("p_name")))
     crest = F.when(F.col("id") % 6 != 0, F.replace(F.col("p_retailprice").cast("string"), F.lit("."), F.lit(",")))
@@ -135,11 +141,11 @@ FULLCAP = "fullcap AS (SELECT id, max(storage) * 1.1::DOUBLE AS capacity FROM wk
 LOWCAP = "lowcap AS (SELECT id, max(storage) * 0.8::DOUBLE AS capacity FROM wk GROUP BY id)"
 RAW = """raw_txt AS (SELECT id, strftime(date, '%d/%m/%Y') AS date, CASE WHEN (id + week(date)) % 97 = 0 THEN 'n/a'
  ELSE CAST(storage AS VARCHAR) END AS storage FROM wk)"""
-DETAIL = DIMS + """, detail AS (SELECT d.id, p_name AS name, province, community, latitude, longitude,
- CASE WHEN d.id % 10 = 0 THEN NULL WHEN d.id % 5 = 0 THEN 'Sin Nombre' ELSE p_name END AS riverbed,
- CASE WHEN d.id % 6 <> 0 THEN replace(CAST(p_retailprice AS VARCHAR), '.', ',') END AS crest_elevation,
- CASE WHEN d.id % 4 <> 0 THEN CAST(p_size AS DOUBLE) END AS dam_height, p_type AS type
- FROM dims d JOIN part ON p_partkey = d.id)"""
+DETAIL = DIMS + """, detail AS (SELECT p_partkey AS id, p_name AS name, province, community, latitude, longitude,
+ CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 'Sin Nombre' ELSE p_name END AS riverbed,
+ CASE WHEN p_partkey % 6 <> 0 THEN replace(CAST(p_retailprice AS VARCHAR), '.', ',') END AS crest_elevation,
+ CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size AS DOUBLE) END AS dam_height, p_type AS type
+ FROM part JOIN dims d ON d.id = p_partkey // 20)"""
 POINTS = """points AS (SELECT p_partkey AS id, p_name AS name, p_type AS type, p_brand AS brand,
  CAST(p_size AS DOUBLE) AS dam_height, CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice END AS crest_elevation,
  CASE WHEN p_partkey % 41 <> 0 THEN 36.0::DOUBLE + (p_partkey * 37 % 700) / 100.0::DOUBLE END AS latitude,

@@ -51,12 +51,13 @@ def _(spark, sf):
     return joined.select("id", "date", (F.col("storage") / F.col("capacity")).alias("fraction"))
 
 
-@query("prj11_final_columns", with_ctes([fx.DETAIL], """SELECT name, longitude, latitude, riverbed, province,
- community AS autonomous_community, type, crest_elevation, dam_height FROM detail""", d="longitude latitude"))
+@query("prj11_final_columns", with_ctes([fx.DETAIL], """SELECT name, longitude, latitude, NULL::VARCHAR AS basin, riverbed,
+ NULL::VARCHAR AS google, NULL::VARCHAR AS openstreetmap, NULL::VARCHAR AS wikidata, province,
+ community AS autonomous_community, type, crest_elevation, dam_height, NULL::VARCHAR AS report FROM detail""", d="longitude latitude"))
 def _(spark, sf):
-    return fx.detail(spark, sf).withColumnRenamed("community", "autonomous_community").select(
-        "name", "longitude", "latitude", "riverbed", "province", "autonomous_community", "type", "crest_elevation",
-        "dam_height")
+    unknown = {c: F.lit(None).cast("string") for c in ("basin", "google", "openstreetmap", "wikidata", "report")}
+    rows = fx.detail(spark, sf).withColumnRenamed("community", "autonomous_community").withColumns(unknown)
+    return cu.final_columns(rows, "details")
 
 
 RULES = [(3, 1997), (8, 1998)]
@@ -360,10 +361,12 @@ def _(spark, sf):
 
 
 @query("dq04_reference_violations", with_ctes([fx.WK, fx.LOWCAP], """SELECT wk.id, count(*) FILTER (c.id IS NULL) AS unknown_rows,
- count(*) FILTER (storage > capacity) AS rows_above_capacity FROM wk LEFT JOIN (SELECT * FROM lowcap WHERE id % 9 <> 0) c
- ON c.id = wk.id GROUP BY wk.id HAVING count(*) FILTER (c.id IS NULL) > 0 OR count(*) FILTER (storage > capacity) > 0"""))
+ count(*) FILTER (c.id IS NOT NULL AND capacity IS NULL) AS rows_without_capacity,
+ count(*) FILTER (storage > capacity) AS rows_above_capacity FROM wk LEFT JOIN (SELECT id, CASE WHEN id % 7 <> 0 THEN capacity END
+ AS capacity FROM lowcap WHERE id % 9 <> 0) c ON c.id = wk.id GROUP BY wk.id HAVING count(*) FILTER (c.id IS NULL) > 0
+ OR count(*) FILTER (c.id IS NOT NULL AND capacity IS NULL) > 0 OR count(*) FILTER (storage > capacity) > 0"""))
 def _(spark, sf):
-    cap = fx.capacity(spark, sf, 0.8, gaps=False).filter(F.col("id") % 9 != 0)
+    cap = fx.capacity(spark, sf, 0.8).filter(F.col("id") % 9 != 0)
     return dq.reference_violations(fx.readings(spark, sf), cap)
 
 

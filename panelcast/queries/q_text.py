@@ -105,8 +105,8 @@ LONG = """named AS (SELECT p_partkey, p_name || ' ' || upper(p_type[1:1]) || low
  CASE WHEN lower(name[i:i]) = 'n' AND (m >> length(regexp_replace(name[1:i-1], '[^nN]', '', 'g'))) % 2 = 1
  THEN CASE WHEN name[i:i] = 'N' THEN 'Ñ' ELSE 'ñ' END ELSE name[i:i] END), '') AS spelling FROM masks""")
 def _(spark, sf):
-    return (fx.table(spark, sf, "part").select("p_partkey", F.posexplode(tx.spelling_variants(long_name())))
-            .select("p_partkey", (F.col("pos") + 1).alias("variant"), F.col("col").alias("spelling")))
+    names = fx.table(spark, sf, "part").select("p_partkey", long_name().alias("name"))
+    return tx.enumerated(names, "name", tx.spelling_variants, "spelling", "variant")
 
 
 @query("str08_word_queries", f"""WITH {LONG}, s AS (SELECT p_partkey, string_split(name, ' ') AS w FROM named),
@@ -117,8 +117,8 @@ def _(spark, sf):
  CASE WHEN len(ix) = 1 THEN -length(w[ix[1]]) ELSE 0 END, ix) AS position,
  array_to_string(list_transform(ix, lambda i: w[i]), ' ') AS query FROM picked""")
 def _(spark, sf):
-    return (fx.table(spark, sf, "part").select("p_partkey", F.posexplode(tx.word_queries(long_name())))
-            .select("p_partkey", (F.col("pos") + 1).alias("position"), F.col("col").alias("query")))
+    names = fx.table(spark, sf, "part").select("p_partkey", long_name().alias("name"))
+    return tx.enumerated(names, "name", tx.word_queries, "query", "position")
 
 
 TEMPLATES = config.COORDINATE_QUERY_TEMPLATES + config.NAME_QUERY_TEMPLATES

@@ -1,6 +1,7 @@
 import itertools
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelcast import config
@@ -12,6 +13,15 @@ def apply(spark, values, make):
     return [r[0] for r in df.orderBy("i").select(make(F.col("s"))).collect()]
 
 
+def listed(spark, values, texts_of):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
+    out = [[] for _ in values]
+    for r in tx.enumerated(df, "s", texts_of, "text", "n").collect():
+        out[r.i].append((r.n, r.text))
+    assert all([n for n, _ in own] == list(range(1, len(own) + 1)) for own in out)
+    return [[text for _, text in own] for own in out]
+
+
 def test_name_key(spark):
     assert apply(spark, ["El Grado", "La Presa de la Toba", "San José, del Río/Niño", "Peñarroya-Pueblo", None], tx.name_key) == [
         "grado", "presa toba", "san jose  rio nino", "penarroya pueblo", None]
@@ -47,7 +57,7 @@ def test_spelling_variants(spark):
             out.append("".join(letters))
         return out
 
-    assert apply(spark, names, tx.spelling_variants) == [variants(n) for n in names]
+    assert listed(spark, names, tx.spelling_variants) == [variants(n) for n in names]
 
 
 def test_word_queries(spark):
@@ -60,7 +70,14 @@ def test_word_queries(spark):
         return sorted(words, key=len, reverse=True) + groups
 
     names = ["uno", "uno dos", "los tres rios altos", "a bb a"]
-    assert apply(spark, names, tx.word_queries) == [queries(n) for n in names]
+    assert listed(spark, names, tx.word_queries) == [queries(n) for n in names]
+
+
+@pytest.mark.parametrize("texts_of,name", [(tx.spelling_variants, "n" * 40), (tx.word_queries, " ".join(f"w{i}" for i in range(40)))])
+def test_enumeration_stops_at_a_limit(spark, texts_of, name):
+    df = spark.createDataFrame([(1, None), (2, name)], "i int, s string")
+    rows = tx.enumerated(df, "s", texts_of, "text", "n").limit(9000).collect()
+    assert [(r.i, r.n, r.text) for r in rows] == [(2, n, t) for n, t in enumerate(itertools.islice(texts_of(name), 9000), 1)]
 
 
 def test_prefixes_and_titles(spark):

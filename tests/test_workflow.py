@@ -44,6 +44,26 @@ def test_curated_tables(spark, root):
     assert spark.read.json(f"{root}/runs").count() == 4
 
 
+def test_published_tables_and_work_list(spark, root):
+    from panelcast import config
+    for name, columns in config.FINAL_COLUMNS.items():
+        assert spark.read.parquet(f"{root}/final/{name}").columns == columns
+    assert [len(c) for c in config.FINAL_COLUMNS.values()] == [19, 5, 14]
+    wanted = {(r["name"], r.wanted) for r in spark.read.parquet(f"{root}/outputs/to_resolve").collect()}
+    assert ("sur", "real_name") in wanted and ("norte", "real_name") not in wanted and ("este", "province") not in wanted
+
+
+def test_metadata_must_fit(spark):
+    from panelcast.operators import features as ft
+    panel = spark.createDataFrame([(1, 5.0), (2, 6.0)], "id long, storage double")
+    table = lambda *rows: spark.createDataFrame(rows, "id long, capacity double")
+    ft.require_metadata(panel, table((1, 9.0), (2, 9.0), (3, None)))
+    with pytest.raises(ValueError, match="repeat an id"):
+        ft.require_metadata(panel, table((1, 9.0), (2, 9.0), (2, 8.0)))
+    with pytest.raises(ValueError, match="without a capacity"):
+        ft.require_metadata(panel, table((1, 9.0), (2, None)))
+
+
 def test_features_forecast_and_plan(spark, root):
     wf.run_features(spark, root)
     assert spark.read.parquet(f"{root}/outputs/features").count() == 4 * 260
@@ -73,5 +93,10 @@ def test_evaluation_and_selection(spark, root):
     tables = wf.analyze_test(spark, root, held, "trend_seasonal")
     assert tables["by_origin"].count() == 3 and tables["statistics"].count() == 5
     assert tables["validation_comparison"].filter("test_to_validation_ratio IS NOT NULL").count() == 4
+    report = wf.run_validation_report(spark, root, "validation", models)
+    assert {r.series for r in report.select("series").distinct().collect()} == {"observed", *models, "ensemble"}
+    # The test split is run with the selected model alone
+    locked = wf.run_test(spark, root, held)
+    assert {r.model for r in locked.collect()} == {record.selected_model}
     with pytest.raises(ValueError, match="without metadata"):
         wf.run_evaluation(spark, root, spark.createDataFrame([(99, 0)], "id long, position int"), "test", models)
