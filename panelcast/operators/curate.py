@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelcast import config
 from panelcast.functions.columns import map_value
 from panelcast.operators.clean import best_row_per_key, cap_at_capacity, community_of, unify_province
-from panelcast.operators.quality import duplicate_keys, enforce_empty, require_columns
+from panelcast.operators.quality import conform, duplicate_keys, enforce_empty
 from panelcast.operators.spatial import fill_from_nearest
 
 
@@ -55,7 +55,7 @@ def to_resolve(df: DataFrame, column: str, table: DataFrame, key: str = "name")
 
 def join_lookup(df: DataFrame, lookup: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Many-to-one left join to a stored lookup whose schema is checked here and its key by ``duplicate_keys``."""
-    require_columns(lookup, [key, *columns], "lookup")
+    conform(lookup, "lookup", **dict.fromkeys([key, *columns], "anything"))
     return df.join(lookup.select(key, *columns), key, "left")
 
 
@@ -150,7 +150,7 @@ def curate(panel: DataFrame, entities: DataFrame, details: DataFrame, provinces:
 def final_columns(df: DataFrame, table: str) -> DataFrame:
     """The published columns of ``merged``, ``entities`` or ``details``, in order; one that is missing is an error."""
     wanted = config.FINAL_COLUMNS[table]
-    require_columns(df, wanted, table)
+    conform(df, table, **dict.fromkeys(wanted, "anything"))
     return df.select(*wanted)
 
 

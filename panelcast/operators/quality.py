@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DataType, DateType, NumericType, StringType, TimestampType
 
 
-def require_columns(df: DataFrame, columns: Iterable[str], what: str) -> None:
-    """Stop before any job runs when a table lacks a column that a step reads."""
-    absent = [c for c in columns if c not in df.columns]
-    if absent:
-        raise ValueError(f"{what} has no column {', '.join(absent)}, only {', '.join(df.columns)}")
+#: What a column may be asked to hold
+KINDS = {"anything": DataType, "number": NumericType, "date": (DateType, TimestampType), "text": StringType}
+
+
+def conform(df: DataFrame, what: str, **kinds: str) -> None:
+    """Compare a table's schema with the declared one, ``column="kind"``, before any job runs on it."""
+    held = {field.name: field.dataType for field in df.schema.fields}
+    wrong = [f"{name} should hold {kind} and {f'is {held[name].simpleString()}' if name in held else 'is not there'}"
+             for name, kind in kinds.items() if not isinstance(held.get(name), KINDS[kind])]
+    if wrong:
+        raise ValueError(f"{what}: {'; '.join(wrong)}")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -20,7 +27,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def panel_violations(df: DataFrame) -> DataFrame:
     """Null keys, negative values and surplus rows per (id, date), as one row from one shuffle."""
-    require_columns(df, ["id", "date", "storage"], "panel")
+    conform(df, "panel", id="anything", date="anything", storage="number")
     per_key = df.groupBy("id", "date").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("storage") < 0).alias("neg"))
     unkeyed = F.col("id").isNull() | F.col("date").isNull()
     return per_key.agg(F.coalesce(F.sum(F.when(unkeyed, F.col("n"))), F.lit(0)).alias("null_keys"),
@@ -30,7 +37,7 @@ def panel_violations(df: DataFrame) -> DataFrame:
 
 def entity_violations(df: DataFrame) -> DataFrame:
     """Surplus rows per id and non-positive capacities, as one row."""
-    require_columns(df, ["id", "capacity"], "entities")
+    conform(df, "entities", id="anything", capacity="number")
     per_id = df.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("capacity") <= 0).alias("bad"))
     return per_id.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_ids"),
                       F.coalesce(F.sum("bad"), F.lit(0)).alias("non_positive_capacities"))

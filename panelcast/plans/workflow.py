@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelcast import config
-from panelcast.config import TransferConfig
+from panelcast.config import PlanRules
 from panelcast.operators import clean, curate, evaluation as ev, features as ft, incremental as inc, quality as dq
 from panelcast.operators import transfer as tp
 from panelcast.plans import etl
@@ -152,7 +152,7 @@ def analyze_test(spark: SparkSession, root: str, split_ids: DataFrame, model: st
             "worst_entities": ev.worst_entities(metrics), "validation_comparison": ev.compare_splits(both)}
 
 
-def run_plan(spark: SparkSession, root: str, area: tp.Area = tp.Area(), settings: TransferConfig = TransferConfig(),
+def run_plan(spark: SparkSession, root: str, area: tp.Area = tp.Area(), settings: PlanRules = PlanRules(),
              models: Sequence[str] = ("seasonal_naive", "trend_seasonal"), max_iterations: int = 10) -> None:
     """Select the area first, forecast it through the ledger, then plan transfers inside it."""
     panel, entities = load_curated(spark, root)

@@ -338,7 +338,7 @@ def _(spark, sf):
 @query("dq01_required_columns", with_ctes([fx.WK], "SELECT id, date, storage FROM wk", t="date"))
 def _(spark, sf):
     readings = fx.readings(spark, sf)
-    dq.require_columns(readings, ["id", "date", "storage"], "readings")
+    dq.conform(readings, "readings", id="number", date="date", storage="number")
     return readings
 
 

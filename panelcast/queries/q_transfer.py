@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcast.config import TransferConfig
+from panelcast.config import Limits, PlanRules
 from panelcast.operators import evaluation as ev, transfer as tp
 from panelcast.queries import fixtures as fx
 from panelcast.queries.registry import query, with_ctes
 from panelcast.session import cut_lineage
 
 # Regions are communities; the distance limit is the planner's own option
-NEAR = TransferConfig(max_distance_km=250.0)
+NEAR = PlanRules(limits=Limits(km=250.0))
 
 
 def state(spark, sf):
@@ -70,7 +70,7 @@ def _(spark, sf):
 def _(spark, sf):
     from panelcast.operators.spatial import pairs_within
     s = state(spark, sf).select("region", *tp.PAIR_COLUMNS)
-    limited = TransferConfig(max_transfer_volume=120.0)
+    limited = PlanRules(limits=Limits(volume=120.0))
     pairs = pairs_within(s, s, 250.0, ["region"]).filter("l_id <> r_id")
     return pairs.select(F.col("l_id").alias("donor"), F.col("r_id").alias("receiver"),
                         tp.pair_volume(limited).alias("volume"))

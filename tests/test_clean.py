@@ -44,8 +44,10 @@ def test_duplicates_and_bad_dates_are_rejected(spark):
     bad = spark.createDataFrame([("not a date", 1, "1")], "DATE string, ID long, CURRENT_WATER string")
     with pytest.raises(ValueError, match="not a date"):
         etl.clean_observations(bad)
-    with pytest.raises(ValueError, match="no column storage"):
-        dq.require_columns(bad, ["storage"], "observations")
+    with pytest.raises(ValueError, match="storage should hold number and is not there"):
+        dq.conform(bad, "observations", storage="number")
+    with pytest.raises(ValueError, match="DATE should hold date and is string"):
+        dq.conform(bad, "observations", DATE="date", ID="number", CURRENT_WATER="text")
 
 
 def test_dates_in_several_layouts(spark):
