@@ -15,7 +15,7 @@ from panelcast.session import cut_lineage
 
 EVERY_LEVEL = f"sequence(0, {geo.FINEST})"
 # Levels of the pyramids, from the whole sphere to cubes of a fraction of a millimetre
-LEVELS = (0, 4, 8, 12, 16, 20, 25, 30, 36)
+LEVELS = (0, 4, 8, 13, 20, 28, 36)
 SPREAD_LEVELS = (0, 3, 6, 9, 12, 15, 18, 22, 26, 30, 34, 38)
 # Rounding of straight-line distances on the unit sphere, and of kilometres to six places
 TOLERANCE = 1e-9
@@ -72,7 +72,7 @@ def nearest(targets: DataFrame, candidates: DataFrame, value: str, id_col: str =
     else:
         # Cubes of the last level are far smaller than the rounding of a distance: any point of one will do
         finished.append(state.filter("size(_open) > 0").select("latitude", "longitude", F.expr(
-            "array_min(array_append(transform(_last, s -> s.hit), _near))").alias("_near")))
+            "array_min(array_append(_last, _near))").alias("_near")))
     found = finished[0]
     for more in finished[1:]:
         found = found.unionByName(more)
@@ -92,10 +92,11 @@ def _descend(rows: DataFrame, level: int, alone: bool) -> DataFrame:
     ``alone`` marks the first step, in which a target has one row and nothing is decided yet; else its rows are
     gathered first.
     """
-    hit = f"""named_struct('km', round({geo.haversine_sql('latitude', 'longitude', 'k.p.leaf.latitude', 'k.p.leaf.longitude')}, 6),
-        'id', k.p.leaf.id, 'latitude', k.p.leaf.latitude, 'longitude', k.p.leaf.longitude)"""
+    # Distances in kilometres are worked out for what is left only
+    hit = f"""named_struct('km', round({geo.haversine_sql('latitude', 'longitude', 's.leaf.latitude', 's.leaf.longitude')}, 6),
+        'id', s.leaf.id, 'latitude', s.leaf.latitude, 'longitude', s.leaf.longitude)"""
     scored = rows.withColumn("_kids", F.expr(f"""transform(_kids, k -> named_struct('low', {geo.box_gap_sql('k.cell', '_t', level)},
-        'high', {geo.span_sql('k.p.', '_t')}, 'cell', k.cell, 'n', k.n, 'hit', {hit}))"""))
+        'high', {geo.span_sql('k.p.', '_t')}, 'cell', k.cell, 'n', k.n, 'leaf', k.p.leaf))"""))
     scored = scored.withColumn("_bound", F.expr("least(_bound, array_min(transform(_kids, s -> s.high)))"))
     possible = f"filter(_kids, s -> s.low <= _bound + {TOLERANCE!r}D)"
     scored = scored.withColumn("_kids", F.expr(possible))
@@ -107,9 +108,9 @@ def _descend(rows: DataFrame, level: int, alone: bool) -> DataFrame:
     decided = "false" if alone else "s.n = 1"
     return scored.select(
         "latitude", "longitude", "_tx", "_ty", "_tz", "_bound",
-        F.expr(f"array_min(array_append(transform(filter(_kids, s -> {decided}), s -> s.hit), _near))").alias("_near"),
+        F.expr(f"array_min(array_append(transform(filter(_kids, s -> {decided}), s -> {hit}), _near))").alias("_near"),
         F.expr(f"transform(filter(_kids, s -> NOT ({decided})), s -> s.cell)").alias("_open"),
-        *([F.expr("filter(_kids, s -> s.n > 1)").alias("_last")] if level == LEVELS[-1] else []))
+        *([F.expr(f"transform(filter(_kids, s -> s.n > 1), s -> {hit})").alias("_last")] if level == LEVELS[-1] else []))
 
 
 def fill_from_nearest(df: DataFrame, column: str, id_col: str = "id", required: bool = False) -> DataFrame:
