@@ -77,12 +77,10 @@ def distance_to_mean_columns(value: str, windows: Sequence[int]) -> dict[str, Co
 
 
 def fill_both_ways(value: str) -> Column:
-    """Previous known value, else the next one."""
+    """Previous known value, else the next one: only the rows before the first known value lack a previous one."""
     back = by_date().rowsBetween(Window.unboundedPreceding, 0)
-    newest_first = (Window.partitionBy("id").orderBy(F.col("date").desc())
-                    .rowsBetween(Window.unboundedPreceding, 0))
-    return F.coalesce(F.last(value, ignorenulls=True).over(back),
-                      F.last(value, ignorenulls=True).over(newest_first))
+    whole = by_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.coalesce(F.last(value, ignorenulls=True).over(back), F.first(value, ignorenulls=True).over(whole))
 
 
 def numbered(panel: DataFrame) -> DataFrame:
