@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from panelcast.llm.common import Rolling, U, blocks, buffers, byte_values, mix
+from panelcast.llm.common import Rolling, U, blocks, buffers, byte_values, mix, return_freed_memory
 
 #: The masks
 MASKS = ("111111", "11101011", "110100111", "1011010101", "11001010011")
@@ -173,6 +173,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> list:
 
 def _without(block, position):
     def keep(stream):
+        return_freed_memory()
         seeds_of = Block(block.value)
         for rows in stream:
             data, offsets = buffers(pc.utf8_lower(rows.column(position)))
@@ -187,6 +188,7 @@ def _without(block, position):
 
 def _search(block):
     def search(stream):
+        return_freed_memory()
         seeds_of = Block(block.value)
         for rows in stream:
             ids = rows.column("doc_id").to_pylist()

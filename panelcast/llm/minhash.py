@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelcast.llm.common import (Rolling, U, blocks, buffers, fold_case, keyed, materialise, mix, restore,
-                                  word_hashes, words)
+                                  return_freed_memory, word_hashes, words)
 from panelcast.llm.components import components
 
 SHINGLE = 5
@@ -81,6 +81,7 @@ def _bands(minima: np.ndarray) -> np.ndarray:
 def profiles(rows: DataFrame) -> DataFrame:
     """Set size, set digest, signature and band hashes of each text."""
     def profile(stream):
+        return_freed_memory()
         for batch in stream:
             keys = batch.column("key").to_numpy()
             data, offsets = buffers(batch.column("text"))
@@ -222,6 +223,7 @@ def _sweep(least, percent):
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     def check(stream):
+        return_freed_memory()
         for rows in stream:
             sides = []
             for name in ("x", "y"):

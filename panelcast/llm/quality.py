@@ -13,6 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from panelcast.llm import labelled, logistic
+from panelcast.llm.common import return_freed_memory
 
 #: Bounds of the learning sample: rows per label, pieces per label, characters of a piece, dictionary bytes
 ROWS_PER_LABEL, PIECES, PIECE_CHARS, DICTIONARY = 3000, 2000, 2000, 65536
@@ -90,6 +91,7 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold
     good, bad, weights = learn(docs, labels, target)
 
     def scored(stream):
+        return_freed_memory()
         measured = _measure(good, bad)
         for rows in stream:
             x = np.array([measured(t or "") for t in rows.column("_text").to_pylist()], float).reshape(-1, FEATURES)
