@@ -102,7 +102,7 @@ def weekly_panel(readings: DataFrame, days: int = config.GRID_DAYS) -> DataFrame
     Equal to ``flag_and_backfill(weekly_grid(readings))`` in one pass: a reading and the empty weeks after it take
     the next known value, so a single sort per entity does both steps.
     """
-    first = F.min("date").over(Window.partitionBy("id"))
+    first = F.min("date").over(by_date().rowsBetween(Window.unboundedPreceding, 0))
     spaced = (readings.withColumn("_first", first).filter(F.datediff("date", "_first") % days == 0)
               .withColumns({"_next": F.lead("date").over(by_date()),
                             "_known": F.expr("lead(storage) IGNORE NULLS OVER (PARTITION BY id ORDER BY date)")}))

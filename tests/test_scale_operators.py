@@ -143,3 +143,19 @@ def test_lineage_is_cut_by_a_reliable_checkpoint(spark):
     df = cut_lineage(spark.range(10).selectExpr("id * 2 AS v"))
     assert df.count() == 10 and shared_dir(spark)
     assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weekly_rows_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
+    """Compressed bytes, by which adaptive execution sizes tasks, would put them all into one."""
+    from panelcast import session
+    from panelcast.queries import fixtures as fx
+
+    monkeypatch.setattr(session, "ROWS_OF_TASK", 500)
+    spark.range(12_000).selectExpr(
+        "id % 60 AS l_suppkey", "date_add(DATE '2020-01-06', CAST(id DIV 60 * 7 AS INT)) AS l_shipdate",
+        "CAST(id % 11 AS DOUBLE) AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for made in (fx.panel(spark, str(tmp_path)), fx.stored_panel(spark, str(tmp_path))[0]):
+        assert made.count() == 12_000
+        assert made.rdd.getNumPartitions() == 24
+        # An entity stays in one task
+        assert made.select("id", F.spark_partition_id().alias("p")).distinct().count() == 60
