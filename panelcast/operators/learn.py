@@ -8,13 +8,13 @@ from multiprocessing.pool import ThreadPool
 from operator import and_
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast import config
 from panelcast.operators.features import by_date
-from panelcast.session import cut_lineage
+from panelcast.session import cut_lineage, spread
 
 
 #: Fits that are sent to the cluster side by side, and rows of a task of one
@@ -147,6 +147,36 @@ def horizon_rows(panel: DataFrame, capacity: DataFrame, horizon: int, step: int)
 
 
 BOOST_INPUTS = ("level", "seasonal", "h", "week")
+#: Bins of one input, Spark's own number for trees
+BINS = 32
+
+
+def quantile_bins(df: DataFrame, inputs: Sequence[str]) -> Bucketizer | None:
+    """Bins of about equally many rows per input, told by all rows; an input of few values has a bin for each.
+
+    The binned inputs are named ``<input>_bin``; None where there are no rows.
+    """
+    fine = [i / 1000 for i in range(1001)]
+    found = df.agg(*[F.percentile_approx(c, F.array(*map(F.lit, fine)), 10_000).alias(c) for c in inputs]).first()
+    if any(found[c] is None for c in inputs):
+        return None
+    splits = []
+    for c in inputs:
+        values = sorted(set(found[c]))
+        if len(values) > BINS:
+            values = sorted({found[c][0], *(found[c][round(1000 * i / BINS)] for i in range(1, BINS))})
+        splits.append([-float("inf"), *(values[1:] or values), float("inf")])
+    return Bucketizer(splitsArray=splits, inputCols=list(inputs), outputCols=[f"{c}_bin" for c in inputs])
+
+
+def binned_means(df: DataFrame, bins: Bucketizer, target: str) -> DataFrame:
+    """One row per occupied combination of bins, with its number of ``rows`` and their mean target.
+
+    A tree sees of its inputs the bins only, and the gain of a split does not depend on how targets vary inside a
+    combination. So trees fitted to these weighted rows are those of all rows, and their number has a bound of its own.
+    """
+    return bins.transform(df).groupBy(*bins.getOutputCols()).agg(
+        F.count(F.lit(1)).cast("double").alias("rows"), F.avg(target).alias(target))
 
 
 def boosted(panel: DataFrame, capacity: DataFrame, horizon: int = config.HORIZON, trees: int = 100, depth: int = 6,
@@ -155,9 +185,9 @@ def boosted(panel: DataFrame, capacity: DataFrame, horizon: int = config.HORIZON
 
     The last week is shifted to last year's level before prediction and the shift is taken off afterwards. Training
     uses every week at every horizon; a ``step`` above 1 trains on each such horizon only. ``clip`` keeps predictions at
-    or below capacity. An entity that cannot be forecast gives one row with an ``error`` and no prediction.
+    or below capacity. An entity that cannot be forecast gives one row with an ``error`` and no prediction. The trees are
+    fitted to ``binned_means`` of the rows, of which there are at most 32 to the power of the inputs.
     """
-    vector = VectorAssembler(inputCols=list(BOOST_INPUTS), outputCol="features")
     train = horizon_rows(panel, capacity, horizon, step).filter(F.col("target").isNotNull())
     last = F.max("date").over(Window.partitionBy("id"))
     ask = (horizon_rows(panel, capacity, horizon, 1).withColumn("_end", last)
@@ -170,15 +200,18 @@ def boosted(panel: DataFrame, capacity: DataFrame, horizon: int = config.HORIZON
     failed = known.join(ask.select("id", "date").distinct(), ["id", "date"], "left_anti").select(
         "id", F.lit(None).cast("int").alias("h"), F.lit(None).cast("date").alias("date"),
         F.lit(None).cast("double").alias("prediction"), F.lit("boosted").alias("model"), why.alias("error"))
-    frame = vector.transform(train.withColumn("h", F.col("h").cast("double"))).select("features", "target")
-    frame = packed(frame)
-    if frame.isEmpty():
+    train = train.withColumn("h", F.col("h").cast("double"))
+    bins = quantile_bins(train, BOOST_INPUTS)
+    if bins is None:
         return failed
-    model = GBTRegressor(labelCol="target", maxIter=trees, maxDepth=depth, stepSize=rate, seed=27,
-                         checkpointInterval=10).fit(frame)
+    vector = VectorAssembler(inputCols=bins.getOutputCols(), outputCol="features")
+    cells = cut_lineage(vector.transform(binned_means(train, bins, "target")).select("features", "target", "rows"))
+    # With the square of the bins as its limit, Spark looks for splits in all combinations, not in a sample of them
+    model = GBTRegressor(labelCol="target", weightCol="rows", maxIter=trees, maxDepth=depth, stepSize=rate, seed=27,
+                         maxBins=BINS * BINS, checkpointInterval=10).fit(spread(cells, cells.count()))
     shifted = ask.withColumns({"level": F.col("level") + F.col("shift"), "seasonal": F.col("seasonal") + F.col("shift"),
                                "_h": F.col("h"), "h": F.col("h").cast("double")})
-    made = model.transform(vector.transform(shifted)).join(capacity.select("id", "capacity"), "id")
+    made = model.transform(vector.transform(bins.transform(shifted))).join(capacity.select("id", "capacity"), "id")
     value = (F.col("prediction") - F.col("shift")) * F.col("capacity")
     done = made.select("id", F.col("_h").alias("h"), F.date_add("_end", F.col("_h") * 7).alias("date"),
                        (F.least(value, F.col("capacity")) if clip else value).alias("prediction"), F.lit("boosted").alias("model"),

@@ -189,3 +189,38 @@ def test_boosted_reports_what_it_cannot_forecast(spark):
     errors = {r.id: r.error for r in made.filter("error IS NOT NULL").collect()}
     assert errors == {2: "capacity is missing or zero", 3: "more than 52 observations are needed", 4: "capacity is missing or zero"}
     assert made.filter("error IS NULL").count() == 4
+
+
+def test_boosted_trees_are_fitted_to_occupied_bins(spark, monkeypatch):
+    """Fifty-two rows a week and entity would go through every level of every tree."""
+    seen = []
+
+    class Recorded(learn.GBTRegressor):
+        def fit(self, frame):
+            seen.append(frame.count())
+            return super().fit(frame)
+
+    monkeypatch.setattr(learn, "GBTRegressor", Recorded)
+    panel = weekly(spark, {i: [(w * 7 + i) % 4 for w in range(120)] for i in range(40)})
+    made = learn.boosted(panel, capacities(spark, {i: 10 for i in range(40)}), horizon=4, trees=2, depth=2)
+    assert made.filter("error IS NULL").count() == 160
+    rows = learn.horizon_rows(panel, capacities(spark, {i: 10 for i in range(40)}), 4, 1).filter("target IS NOT NULL")
+    # Four levels, their four seasonal values, four horizons and 32 bins of weeks
+    assert len(seen) == 1 and seen[0] <= 4 * 4 * 4 * 32 < rows.count()
+
+
+def test_binned_means_give_the_trees_of_all_rows(spark):
+    rng = np.random.default_rng(12)
+    a, b = rng.normal(0, 1, 4000), rng.integers(0, 5, 4000)
+    df = spark.createDataFrame([(float(x), float(y), float(np.sin(3 * x) * y + rng.normal(0, .3))) for x, y in zip(a, b)],
+                               "a double, b double, y double")
+    bins = learn.quantile_bins(df, ["a", "b"])
+    assert [len(s) - 1 for s in bins.getSplitsArray()] == [32, 5]
+    vector = learn.VectorAssembler(inputCols=bins.getOutputCols(), outputCol="features")
+    every, cells = vector.transform(bins.transform(df)), vector.transform(learn.binned_means(df, bins, "y"))
+    assert cells.agg(F.sum("rows")).first()[0] == 4000 and cells.count() <= 160
+    gbt = learn.GBTRegressor(labelCol="y", maxIter=8, maxDepth=4, seed=27, maxBins=1024)
+    whole, short = gbt.fit(every), gbt.setWeightCol("rows").fit(cells)
+    for r, s in zip(*[m.transform(every.coalesce(1)).select("prediction").collect() for m in (whole, short)]):
+        assert r.prediction == pytest.approx(s.prediction, abs=1e-9)
+    assert learn.quantile_bins(df.filter("a > 100"), ["a", "b"]) is None
