@@ -88,6 +88,22 @@ def test_pairs_with_own_reach(spark):
     assert got == {(i, j) for i in range(80) for j in range(80) if d[i, j] <= i * 60.0}
 
 
+def test_pairs_of_one_cube_are_dealt(spark):
+    """Points in one cube are no single key, and distances are those of all pairs."""
+    lat, lon = 40 + np.arange(60) * 1e-3, -3 + np.arange(60) % 7 * 1e-3
+    df = points(spark, lat, lon)
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sp.pairs_within(df, df, 3.0).select("l_id", "r_id", "km", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    d = km(lat[:, None], lon[:, None], lat[None, :], lon[None, :])
+    assert {(r.l_id, r.r_id) for r in got} == {(i, j) for i in range(60) for j in range(60) if d[i, j] <= 3.0}
+    assert all(abs(r.km - d[r.l_id, r.r_id]) < 1e-9 for r in got)
+    assert len({r.task for r in got}) > 1
+
+
 @pytest.mark.parametrize("n,gap", [(2000, 10.0), (300, 0.0)])
 def test_nearest_in_a_far_cluster(spark, monkeypatch, n, gap):
     """Targets beside a dense cluster of candidates meet its near edge, not all of it."""
