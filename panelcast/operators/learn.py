@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 from operator import and_
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, inheritable_thread_target
+from pyspark.ml import regression
 from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast import config
@@ -282,32 +286,162 @@ def assign_folds(df: DataFrame, key: str, folds: int, seed: int = 27) -> DataFra
     return df.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int"))
 
 
+def split_inputs(per_split: str, n: int) -> int:
+    """How many of n inputs a split may choose from, by Spark's names."""
+    named = {"all": n, "auto": math.ceil(n / 3), "onethird": math.ceil(n / 3), "sqrt": math.ceil(math.sqrt(n)),
+             "log2": max(1, math.ceil(math.log2(n)))}
+    return named[per_split] if per_split in named else max(1, min(n, int(per_split)))
+
+
+def tree_means(bins: np.ndarray, weight: np.ndarray, total: np.ndarray, asked: np.ndarray, depth: int, choice: int,
+               random: np.random.Generator) -> np.ndarray:
+    """Mean target that one regression tree gives to each asked combination of bins.
+
+    The tree is grown on combinations with their weight and summed target, all nodes of a level at a time, by the
+    largest fall of the squared error over ``choice`` inputs. Nodes that no asked combination reaches are left alone.
+    """
+    out, ask = np.zeros(len(asked)), np.arange(len(asked))
+    node, place = np.zeros(len(bins), np.int64), np.zeros(len(asked), np.int64)
+    for level in range(depth + 1):
+        k = int(place.max()) + 1
+        whole, sums = np.bincount(node, weight, k), np.bincount(node, total, k)
+        gain, by, cut = 1e-9 * (1 + sums ** 2 / whole), np.full(k, -1), np.zeros(k, np.int64)
+        drawn = np.argsort(np.argsort(random.random((k, bins.shape[1])), 1), 1) < choice
+        for f in range(bins.shape[1]) if level < depth else ():
+            width = int(bins[:, f].max()) + 1
+            at = node * width + bins[:, f]
+            w = np.bincount(at, weight, k * width).reshape(k, width).cumsum(1)[:, :-1]
+            s = np.bincount(at, total, k * width).reshape(k, width).cumsum(1)[:, :-1]
+            other = whole[:, None] - w
+            ok = (w > 0.5) & (other > 0.5) & drawn[:, f, None]
+            if not ok.any():
+                continue
+            fall = np.where(ok, s ** 2 / np.where(ok, w, 1) + (sums[:, None] - s) ** 2 / np.where(ok, other, 1), -np.inf)
+            best = fall.argmax(1)
+            value = fall[np.arange(k), best] - sums ** 2 / whole
+            better = value > gain
+            gain[better], by[better], cut[better] = value[better], f, best[better]
+        ends = by[place] < 0
+        out[ask[ends]] = (sums / whole)[place[ends]]
+        ask, asked, place = ask[~ends], asked[~ends], place[~ends]
+        if not len(ask):
+            break
+        place = 2 * place + (asked[np.arange(len(asked)), by[place]] > cut[place])
+        node = np.where(by[node] < 0, -1, 2 * node + (bins[np.arange(len(bins)), by[node]] > cut[node]))
+        reached, place = np.unique(place, return_inverse=True)
+        found = np.minimum(np.searchsorted(reached, node), len(reached) - 1)
+        kept = reached[found] == node
+        bins, weight, total, node = bins[kept], weight[kept], total[kept], found[kept]
+    return out
+
+
+def _distinct(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of a byte matrix and the number of each row among them."""
+    whole = np.ascontiguousarray(bins).view(np.dtype((np.void, bins.shape[1]))).ravel()
+    values, number = np.unique(whole, return_inverse=True)
+    return values.view(np.uint8).reshape(-1, bins.shape[1]), number
+
+
+def forest_means(rows: DataFrame, inputs: Sequence[str], target: str, trees: int, depth: int, per_split: str = "auto",
+                 seed: int = 27) -> DataFrame:
+    """``fold, <inputs>, prediction``: a random forest per fold, at the combinations of bins of its held-out rows.
+
+    ``rows`` have ``fold``, ``held``, inputs that are bins, and the target. A tree sees the bins only, so a task draws
+    for each tree how often each of its rows is taken, and sends sums per combination of bins. A tree is then grown in one
+    task, from as many rows as there are combinations: at most 32 to the power of the inputs, and no more than rows.
+    Trees never leave their tasks; their predictions are averaged.
+    """
+    n = len(inputs)
+
+    def drawn(stream):
+        tables = list(stream)
+        if not tables:
+            return
+        table = pa.Table.from_batches(tables)
+        bins = np.stack([table.column(c).to_numpy().astype(np.uint8) for c in inputs], 1)
+        fold, held, y = (table.column(c).to_numpy() for c in ("fold", "held", target))
+        random = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for own in np.unique(fold).tolist():
+            train, test = (fold == own) & ~held, (fold == own) & held
+            asked = _distinct(bins[test])[0].tobytes()
+            cells, number = _distinct(bins[train])
+            for tree in range(trees):
+                times = random.poisson(1.0, len(number))
+                weight = np.bincount(number, times, len(cells))
+                total = np.bincount(number, times * y[train], len(cells))
+                some = weight > 0
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([tree], pa.int32()), *[
+                    pa.array([x], pa.binary()) for x in (cells[some].tobytes(), weight[some].tobytes(), total[some].tobytes(),
+                                                         asked)]], names=["fold", "tree", "bins", "weight", "total", "asked"])
+
+    def grown(table: pa.Table) -> pa.Table:
+        def joined(name, kind):
+            return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        fold, tree = table.column("fold")[0].as_py(), table.column("tree")[0].as_py()
+        cells, number = _distinct(joined("bins", np.uint8).reshape(-1, n))
+        asked = _distinct(joined("asked", np.uint8).reshape(-1, n))[0]
+        means = np.zeros(0)
+        if len(asked) and len(cells):
+            means = tree_means(cells, np.bincount(number, joined("weight", float)), np.bincount(number, joined("total", float)),
+                               asked, depth, split_inputs(per_split, n), np.random.default_rng([seed, fold, tree]))
+        asked = asked[:len(means)]
+        return pa.table({"fold": pa.array(np.full(len(asked), fold), pa.int32()),
+                         **{c: pa.array(asked[:, i], pa.int32()) for i, c in enumerate(inputs)}, "prediction": means})
+
+    schema = "fold int, tree int, bins binary, weight binary, total binary, asked binary"
+    sent = rows.select("fold", "held", *inputs, target).mapInArrow(drawn, schema)
+    fields = "".join(f"{c} int, " for c in inputs)
+    made = (sent.repartition(trees, "fold", "tree").groupBy("fold", "tree")
+            .applyInArrow(grown, f"fold int, {fields}prediction double"))
+    return made.groupBy("fold", *inputs).agg(F.avg("prediction").alias("prediction"))
+
+
+class RandomForestRegressor(regression.RandomForestRegressor):
+    """A forest of Spark's parameters whose nodes are split inside tasks.
+
+    Spark's own sends sums of each node, input and bin across the cluster for every level and keeps all trees on the
+    driver; trees grown in full have a node for almost every row. ``fit`` takes the rows of ``forest_means`` and returns
+    its predictions; every column that is none of ``fold``, ``held`` and the label is an input.
+    """
+
+    def fit(self, dataset: DataFrame, params: dict | None = None) -> DataFrame:
+        asked = self.copy(params) if params else self
+        label = asked.getLabelCol()
+        return forest_means(dataset, [c for c in dataset.columns if c not in ("fold", "held", label)], label, asked.getNumTrees(),
+                            asked.getMaxDepth(), asked.getFeatureSubsetStrategy(), asked.getSeed())
+
+
 def cross_validate(df: DataFrame, target: str, inputs: Sequence[str], categories: Sequence[str] = (), folds: int = 10,
                    key: str = "id", smoothing: float | None = None, trees: int = 100, depth: int = 5,
                    per_split: str = "auto") -> DataFrame:
     """Random-forest cross-validation: RMSE, MAE and R² averaged over the folds.
 
-    Encoders are fitted on the train side of each fold; ``per_split`` says how many inputs a split may choose from, in
-    Spark's terms. Folds, a fixed small number, are fitted side by side; every fit and every prediction is a Spark job.
+    Encoders and bins are fitted on the train side of each fold; ``per_split`` says how many inputs a split may choose
+    from, in Spark's terms. Folds, a fixed small number, are prepared side by side; the trees of all are grown together.
     """
     needed = complete_cases(df, [target, *inputs])
-    rows = packed(assign_folds(needed, key, folds).select(key, "fold", target, *inputs, *categories))
-    encoded = [f"{c}_encoded" for c in categories]
-    vector = VectorAssembler(inputCols=[*inputs, *encoded], outputCol="features")
+    rows = packed(assign_folds(needed, key, folds).select(key, "fold", F.col(target).cast("double").alias(target), *inputs,
+                                                          *categories))
+    names = [*inputs, *[f"{c}_encoded" for c in categories]]
+    numbered = [f"in{i}" for i in range(len(names))]
 
-    def held_out(fold: int) -> DataFrame:
+    def binned(fold: int) -> DataFrame:
         train, test = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
         overall = train.agg(F.avg(target)).scalar()
         for c in categories:
             table = (mean_encoding(train, c, target) if smoothing is None
                      else smoothed_encoding(train, c, target, smoothing))
             train, test = encode(train, table, c, overall), encode(test, table, c, overall)
-        forest = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=27,
-                                       featureSubsetStrategy=per_split)
-        model = forest.fit(vector.transform(train))
-        return model.transform(vector.transform(test)).select("fold", F.col(target).alias("actual"), "prediction")
-
-    scored = reduce(DataFrame.unionByName, side_by_side(df, held_out, range(folds)))
+        bins = quantile_bins(train, names)
+        if bins is None:
+            raise ValueError("a fold has no rows to train on")
+        both = train.withColumn("held", F.lit(False)).unionByName(test.withColumn("held", F.lit(True)))
+        return bins.transform(both).select(F.lit(fold).alias("fold"), "held", F.col(target).alias("actual"), *[
+            F.col(f"{c}_bin").cast("int").alias(i) for c, i in zip(names, numbered)])
+
+    ready = cut_lineage(reduce(DataFrame.unionByName, side_by_side(df, binned, range(folds))))
+    forest = RandomForestRegressor(labelCol="actual", numTrees=trees, maxDepth=depth, seed=27, featureSubsetStrategy=per_split)
+    scored = ready.filter("held").join(forest.fit(spread(ready, ready.count())), ["fold", *numbered])
     e = F.col("actual") - F.col("prediction")
     per_fold = scored.groupBy("fold").agg(
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),

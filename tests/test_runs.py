@@ -163,6 +163,58 @@ def test_forest_scores_and_selection(spark):
     assert chosen[0][0] == "useful"
 
 
+def plain_tree(rows, place, depth):
+    """Mean target of one tree at a place, split by split. ``rows``: (bins, weight, summed target)."""
+    n, y = sum(w for _, w, _ in rows), sum(s for _, _, s in rows)
+    best = None
+    for f in range(len(place)) if depth else ():
+        for cut in range(max(b[f] for b, _, _ in rows)):
+            low = [r for r in rows if r[0][f] <= cut]
+            a, c = sum(w for _, w, _ in low), sum(s for _, _, s in low)
+            if 0 < a < n:
+                fall = c * c / a + (y - c) ** 2 / (n - a) - y * y / n
+                if fall > 1e-9 * (1 + y * y / n) and (best is None or fall > best[0]):
+                    best = fall, f, cut
+    if best is None:
+        return y / n
+    side = place[best[1]] <= best[2]
+    return plain_tree([r for r in rows if (r[0][best[1]] <= best[2]) == side], place, depth - 1)
+
+
+@pytest.mark.parametrize("depth", [0, 3, 30])
+def test_tree_of_bins(depth):
+    rng = np.random.default_rng(5)
+    bins = learn._distinct(rng.integers(0, 6, (150, 3)).astype(np.uint8))[0]
+    weight, target = rng.integers(1, 5, len(bins)), rng.normal(3, 2, len(bins))
+    asked = rng.integers(0, 7, (60, 3)).astype(np.uint8)
+    got = learn.tree_means(bins, weight, weight * target, asked, depth, 3, rng)
+    rows = [(tuple(b), w, w * t) for b, w, t in zip(bins.tolist(), weight.tolist(), target.tolist())]
+    assert got == pytest.approx([plain_tree(rows, place, depth) for place in asked.tolist()])
+
+
+def test_forest_is_about_as_good_as_sparks(spark):
+    """Rows that share an id and a place, a category, and no node of any tree on the driver."""
+    from pyspark.ml import regression
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(3)
+    rows = [(i // 2, float(a), float(b), f"c{i % 5}", float(3 * a + (b > .5) + i % 5 + rng.normal(0, .5)))
+            for i, (a, b) in enumerate(np.repeat(rng.random((300, 2)), 2, 0))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c string, y double")
+    got = learn.cross_validate(df, "y", ["a", "b"], ["c"], folds=3, trees=30, depth=12, per_split="all", smoothing=10.0).first()
+    errors = []
+    for fold in range(3):
+        marked = learn.assign_folds(df, "id", 3)
+        train = marked.filter(F.col("fold") != fold)
+        means = learn.smoothed_encoding(train, "c", "y")
+        vector = VectorAssembler(inputCols=["a", "b", "c_encoded"], outputCol="features")
+        model = regression.RandomForestRegressor(labelCol="y", numTrees=30, maxDepth=12, featureSubsetStrategy="all", seed=1).fit(
+            vector.transform(learn.encode(train, means, "c")))
+        made = model.transform(vector.transform(learn.encode(marked.filter(F.col("fold") == fold), means, "c")))
+        errors.append(made.agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2))).first()[0])
+    assert got.rmse == pytest.approx(np.mean(errors), rel=0.05)
+
+
 def test_boosted_forecast(spark):
     t = np.arange(180)
     wave = 100 + 50 * np.sin(2 * np.pi * t / 52)
