@@ -145,3 +145,13 @@ def test_stretches_against_all_pairs():
                     if equal[a:b].mean() >= decontaminate.MIN_EQUAL), default=0)
         s, e = decontaminate.fullest_stretch(equal)
         assert int(equal[s:e].sum()) == most and (e == s or equal[s:e].mean() >= decontaminate.MIN_EQUAL)
+
+
+def test_strings_of_one_direction():
+    """Both directions' strings of a stretch can be made apart, so that a batch need not hold both."""
+    from panelcast.llm.suffix_dedup import stretch_strings
+
+    text = bytes(i * 7 % 251 for i in range(3000))
+    both = list(stretch_strings(text, [300, 900, 2000], [1500], 400))
+    apart = [list(stretch_strings(text, [300, 900, 2000], [1500], 400, (way,))) for way in (0, 1)]
+    assert apart[0] + apart[1] == both and {x[1] for x in apart[0]} == {0} and {x[1] for x in apart[1]} == {1}
