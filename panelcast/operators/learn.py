@@ -453,19 +453,19 @@ def forward_selection(df: DataFrame, target: str, inputs: Sequence[str], keep: i
                       key: str = "id", trees: int = 100, depth: int = 5, per_split: str = "auto") -> list[tuple[str, float]]:
     """Add, one at a time, the input that lowers the cross-validated RMSE most; half of the inputs by default.
 
-    Returns the inputs in the order chosen with the RMSE reached. The search is over columns, not rows.
+    Returns the inputs in the order chosen with the RMSE reached. The search is over columns, not rows; the tries of a
+    step are independent and run side by side.
     """
     keep = keep or max(1, len(inputs) // 2)
     rows = cut_lineage(complete_cases(df, [target, *inputs]).select(key, target, *inputs))
     chosen: list[tuple[str, float]] = []
     while len(chosen) < keep:
         taken = [name for name, _ in chosen]
-        tries = []
-        for name in inputs:
-            if name not in taken:
-                score = cross_validate(rows, target, [*taken, name], folds=folds, key=key, trees=trees,
-                                       depth=depth, per_split=per_split).first()["rmse"]
-                tries.append((score, name))
-        best, name = min(tries)
+
+        def scored(name: str) -> tuple[float, str]:
+            made = cross_validate(rows, target, [*taken, name], folds=folds, key=key, trees=trees, depth=depth, per_split=per_split)
+            return made.first()["rmse"], name
+
+        best, name = min(side_by_side(rows, scored, [name for name in inputs if name not in taken]))
         chosen.append((name, best))
     return chosen

@@ -1,5 +1,7 @@
 """Queries that once ran a smaller job than the reference."""
 
+import threading
+
 from panelcast.operators import learn
 from panelcast.queries import QUERIES
 
@@ -38,3 +40,16 @@ def test_forest_grows_in_full(spark, monkeypatch):
     learn.cross_validate(df, "y", ["a", "b"], folds=2, trees=3, depth=9, per_split="all").first()
     learn.forward_selection(df, "y", ["a", "b"], keep=1, folds=2, trees=3, depth=9, per_split="all")
     assert set(made) == {(3, 9, "all")}
+
+
+def test_tries_of_a_step_run_side_by_side(spark, monkeypatch):
+    """A try alone leaves most of a cluster idle; all tries of a step must be under way before one of them ends."""
+    steps = {1: threading.Barrier(3), 2: threading.Barrier(2)}
+
+    def waiting(df, target, inputs, categories=(), **settings):
+        steps[len(inputs)].wait(timeout=30)
+        return spark.createDataFrame([({"a": 3.0, "b": 1.0, "c": 2.0}[inputs[-1]],)], "rmse double")
+
+    monkeypatch.setattr(learn, "cross_validate", waiting)
+    df = spark.createDataFrame([(1, 1.0, 2.0, 3.0, 4.0)], "id long, a double, b double, c double, y double")
+    assert learn.forward_selection(df, "y", ["a", "b", "c"], keep=2) == [("b", 1.0), ("c", 2.0)]
