@@ -18,6 +18,7 @@ All draws are hashes of (row key, number of the path, place), so a row's result
 from __future__ import annotations
 
 import hashlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ BLOCK = 3 << 15
 DECODED = 256
 #: No draw is smaller than exp(-37)
 SMALLEST = -37.0
+#: Log arrival before which the children that go on come, but in rare texts
+SOON = 8.0
 
 
 class Vocabulary:
@@ -114,8 +117,8 @@ class Lattice:
             if not len(at):
                 break
             h = rolling.slices(at, at + size)
-            alive = at[vocabulary.begins[size, (h >> U(46)).astype(np.int64)]]
-            k = vocabulary.slot[(h >> U(44)).astype(np.int64)]
+            alive = at[vocabulary.begins[size, (h >> U(46)).view(np.int64)]]
+            k = vocabulary.slot[(h >> U(44)).view(np.int64)]
             maybe = k != -1
             at, h, k = at[maybe], h[maybe], k[maybe].astype(np.int64)
             several = np.flatnonzero(k < 0)
@@ -144,16 +147,19 @@ class Lattice:
         # Log of the summed weights from each state to its word's end, from the ends backwards
         total = np.zeros(n)
         distance = np.repeat(self.last, sizes + 1) - np.arange(n)
-        by = np.argsort(distance, kind="stable")
-        steps = np.searchsorted(distance[by], np.arange(1, int(sizes.max(initial=0)) + 2))
-        for a, b in zip(steps[:-1].tolist(), steps[1:].tolist()):
-            states = by[a:b]
-            counts = self.ptr[states + 1] - self.ptr[states]
-            begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            arcs = np.repeat(self.ptr[states] - begin, counts) + np.arange(int(counts.sum()))
-            value = logs[arcs] + total[self.dst[arcs]]
+        if len(sizes) and sizes.max() < 1 << 16:
+            distance = distance.astype(np.uint16)  # numbers of two bytes are sorted in linear time
+        by, of_arc = np.argsort(distance, kind="stable"), distance[src]
+        arcs = np.argsort(of_arc, kind="stable")
+        weights, ahead = logs[arcs], self.dst[arcs]
+        steps, ends = (np.cumsum(np.bincount(d, minlength=int(sizes.max(initial=0)) + 1)) for d in (distance, of_arc))
+        counts = np.diff(self.ptr)[by]
+        begins = np.cumsum(counts) - counts
+        for a, b, p, q in zip(steps[:-1].tolist(), steps[1:].tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+            begin = begins[a:b] - p
+            value = weights[p:q] + total[ahead[p:q]]
             top = np.maximum.reduceat(value, begin)
-            total[states] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts)), begin))
+            total[by[a:b]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts[a:b])), begin))
         self.logp = logs + total[self.dst] - total[src]
         cumulated = np.cumsum(np.exp(self.logp))
         before = np.concatenate([[0], cumulated])[self.ptr[src]]
@@ -232,6 +238,15 @@ def _children(lattice, arcs, text_of, step, logp_before, arrival_log, salt):
     return owner, other, logp, np.logaddexp(arrival_log[text_of[owner]], late)
 
 
+def _earliest(when: np.ndarray, first: int, end: int, n: int) -> np.ndarray:
+    """Places of the n smallest values from ``first`` to ``end``, smallest first, equal ones in their order."""
+    own = when[first:end]
+    if len(own) > n:
+        some = np.flatnonzero(own <= np.partition(own, n - 1)[n - 1])
+        return first + some[np.argsort(own[some], kind="stable")[:n]]
+    return first + np.argsort(own, kind="stable")
+
+
 def other_rank(lattice, arcs):
     """Number of an arc among those of its state; it doesn't depend on the block."""
     return (arcs - lattice.ptr[lattice.src[arcs]] + 1).astype(U) * U(0xA0761D6478BD642F)
@@ -267,32 +282,36 @@ def sample_block(keys: np.ndarray, texts: list[str], samples: int, vocabulary: V
         offset = np.array([len(h[0]) if h else 0 for h in heads])
         running = np.concatenate([[0.0], np.cumsum(lattice.logp[arcs])]) if len(arcs) else np.zeros(1)
         total = base + running[cut[1:]] - running[cut[:-1]]
-        # Steps whose other children can matter: the path up to there isn't too improbable
-        far = np.searchsorted(-running, 2 * -SMALLEST + base - running[cut[:-1]], side="left")
-        sizes = np.clip(np.minimum(far, cut[1:]) - cut[:-1], 0, None)
-        text_of = np.repeat(np.arange(n), sizes)
-        inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        near = cut[:-1][text_of] + inner
+        todo = np.flatnonzero(live)
+        # Steps whose other children can matter: the path up to there isn't too improbable. A child further along arrives
+        # after ``late``, so if enough of a text's children arrive before that, the shorter reach has lost none
+        for late in (SOON, -SMALLEST):
+            far = np.searchsorted(-running, late - SMALLEST + base - running[cut[:-1]], side="left")
+            sizes = np.clip(np.minimum(far, cut[1:]) - cut[:-1], 0, None)
+            text_of = np.repeat(np.arange(n), sizes)
+            inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            near = cut[:-1][text_of] + inner
+            few = {}
+            if len(near):
+                step = inner + offset[text_of]
+                owner, other, logp, when = _children(lattice, arcs[near], text_of, step, base[text_of] + running[near]
+                                                     - running[cut[:-1]][text_of], arrival, salt)
+                edge = np.searchsorted(text_of[owner], np.arange(n + 1)).tolist()
+                # More than the samples still to come are never needed
+                few = {t: _earliest(when, edge[t], edge[t + 1], samples - rank) for t in todo.tolist() if edge[t] < edge[t + 1]}
+            short = np.flatnonzero(far < cut[1:]).tolist()
+            if all(t in few and len(few[t]) == samples - rank and when[few[t][-1]] < late for t in short if live[t]):
+                break
         word = wanted[np.searchsorted(ends_of, near, side="right") - 1] if len(near) else near
         begin = np.cumsum(sizes) - sizes
-        todo = np.flatnonzero(live)
         for t in todo.tolist():
             prefix, words_before = heads[t][:2] if heads[t] else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             own_words = word[begin[t]:begin[t] + sizes[t]]
             paths[t].append((np.concatenate([prefix, arcs[cut[t]:cut[t + 1]]]),
                              np.concatenate([words_before, own_words]), total[t], arrival[t]))
-        if len(near):
-            step = inner + offset[text_of]
-            owner, other, logp, when = _children(lattice, arcs[near], text_of, step, base[text_of] + running[near]
-                                                 - running[cut[:-1]][text_of], arrival, salt)
-            # More than the samples still to come are never needed
-            order = np.lexsort((when, text_of[owner]))
-            owner, other, logp, when = owner[order], other[order], logp[order], when[order]
-            edge = np.searchsorted(text_of[owner], np.arange(n + 1))
-            for t in np.unique(text_of[owner]).tolist():
-                few = slice(edge[t], min(edge[t + 1], edge[t] + samples - rank))
-                open_[t] += zip(when[few].tolist(), [rank] * samples, step[owner[few]].tolist(), other[few].tolist(),
-                                logp[few].tolist())
+        for t, own in few.items():
+            open_[t] += zip(when[own].tolist(), [rank] * samples, step[owner[own]].tolist(), other[own].tolist(),
+                            logp[own].tolist())
         for t in todo.tolist():
             if not open_[t]:
                 live[t] = False
@@ -319,17 +338,17 @@ def _log_inclusion(x: float) -> float:
     return float(np.log(-np.expm1(-np.exp(min(x, 50.0))))) if x > -30 else float(x)
 
 
-def spell(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """Arc names to piece ids: characters without a piece become the ids of their bytes."""
+def spell(ids: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Arc names to piece ids, and how many each became: characters without a piece become the ids of their bytes."""
+    sizes = np.ones(len(ids), np.int64)
     rare = np.flatnonzero(ids < 0)
     if not len(rare):
-        return ids
+        return ids.astype(np.int32), sizes
     spelt = [chr(-1 - c).encode() for c in ids[rare].tolist()]
-    sizes = np.ones(len(ids), np.int64)
     sizes[rare] = [len(s) for s in spelt]
     out = np.repeat(ids, sizes)
     out[out < 0] = vocabulary.bytes[np.frombuffer(b"".join(spelt), np.uint8)]
-    return out
+    return out.astype(np.int32), sizes
 
 
 def _pieces_of_rows(stream, limit):
@@ -348,11 +367,11 @@ def _pieces_of_rows(stream, limit):
 def _batch(keys: np.ndarray, texts: list[str], samples: int, vocabulary: Vocabulary, names: list[str]) -> pa.RecordBatch:
     """The result rows of one block; its lattice is gone before the next block begins."""
     lattice, found = sample_block(keys, texts, samples, vocabulary)
-    none = np.zeros(0, np.int64)
-    ids = [spell(lattice.ids[arcs], vocabulary).astype(np.int32) if len(arcs) else none.astype(np.int32)
-           for _, _, arcs, _, _, _ in found]
-    ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+    arcs = np.concatenate([np.zeros(0, np.int64), *[path[2] for path in found]])
+    ids, sizes = spell(lattice.ids[arcs] if len(arcs) else arcs, vocabulary)
+    ends = np.append(0, np.cumsum(sizes))[np.cumsum([0] + [len(path[2]) for path in found])].astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+    little = ids.astype("<i4", copy=False)
     # The very lists that are returned are decoded, by what ``decode`` uses
     back = decode_lists(lists, vocabulary)
     text, rank, _, logp, when, inclusion = zip(*found)
@@ -360,7 +379,7 @@ def _batch(keys: np.ndarray, texts: list[str], samples: int, vocabulary: Vocabul
         "key": pa.array(keys[list(text)], pa.int64()), "rank": pa.array(rank, pa.int32()),
         "n_pieces": pa.array(np.diff(ends), pa.int64()), "log_prob": pa.array(logp, pa.float64()),
         "log_arrival": pa.array(np.array(when, float), pa.float64()), "log_inclusion": pa.array(inclusion, pa.float64()),
-        "ids_sha256": pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()),
+        "ids_sha256": pa.array([hashlib.sha256(little[a:b]).hexdigest() for a, b in pairwise(ends.tolist())], pa.string()),
         "exact": pc.equal(back, pa.array(texts, pa.large_string()).take(pa.array(text))), "ids": lists}
     if "decoded_sha256" in names:
         columns["decoded_sha256"] = pa.array([hashlib.sha256(x.as_buffer()).hexdigest()

@@ -223,6 +223,35 @@ def test_segmentation_draws_without_replacement():
         assert abs(first.get(path, 0) / n - share) < 0.03 and abs(second.get(path, 0) / n - want) < 0.03
 
 
+def test_segmentation_looks_no_further_along_a_path_than_needed(monkeypatch):
+    vocabulary = segment.Vocabulary(*segment.load())
+    texts = ["the quick brown fox jumps over the lazy dog " * 40, "", "of", " 日本", "x" * 3000]
+    keys, children, lowest = np.arange(len(texts)), segment._children, []
+
+    def drawn(samples=3):
+        lattice, out = segment.sample_block(keys, texts, samples, vocabulary)
+        return [(t, rank, lattice.ids[arcs].tolist(), *numbers) for t, rank, arcs, *numbers in out]
+
+    def recorded(lattice, arcs, text_of, step, logp_before, arrival, salt):
+        lowest.append(logp_before.min())
+        return children(lattice, arcs, text_of, step, logp_before, arrival, salt)
+
+    monkeypatch.setattr(segment, "_children", recorded)
+    short = drawn()
+    assert min(lowest) >= segment.SMALLEST - segment.SOON
+    for soon in (-60.0, -segment.SMALLEST):  # too short for any text, and the full reach at once
+        monkeypatch.setattr(segment, "SOON", soon)
+        assert drawn() == short
+    assert min(lowest) < 2 * segment.SMALLEST + 10
+
+
+def test_all_paths_are_spelt_together():
+    vocabulary = segment.Vocabulary(*segment.load())
+    ids, sizes = segment.spell(np.array([5, -1 - ord("é"), 7, -1 - 0x1F600]), vocabulary)
+    spelt = [vocabulary.bytes[b] for b in "é".encode()], [vocabulary.bytes[b] for b in "😀".encode()]
+    assert ids.tolist() == [5, *spelt[0], 7, *spelt[1]] and sizes.tolist() == [1, 2, 1, 4] and ids.dtype == np.int32
+
+
 def test_url_rules(spark):
     urls = [None, "", "no-scheme.net/x", "http://a.NET", "http://www.example.net/en/1?q", "http://example.net/fr",
             "https://m.example.com/de/5#x", "http://example.com/de", "http://x.org/fr/9", "http://badexample.net/en/",
