@@ -50,7 +50,10 @@ class Vocabulary:
         self.logs, self.bytes = logs, bytes_
         known = [i for i in np.flatnonzero(normal).tolist()]
         self.longest = max(len(pieces[i]) for i in known)
-        hashes = np.array([_hash(pieces[i]) for i in known], U)
+        joined = Rolling(mix(_codes("".join(pieces[i] for i in known)).astype(U)))
+        lengths = np.array([len(pieces[i]) for i in known])
+        start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        hashes = joined.slices(start, start + lengths)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(known)[order]
         #: Place of a piece by the first bits of its hash; -1 for none, -2 where several have the same
@@ -60,9 +63,6 @@ class Vocabulary:
         self.slot[first[1:][first[1:] == first[:-1]]] = -2
         #: By length, the first bits of the hashes of all beginnings of longer pieces
         self.begins = np.zeros((self.longest + 1, 1 << 18), bool)
-        joined = Rolling(mix(_codes("".join(pieces[i] for i in known)).astype(U)))
-        lengths = np.array([len(pieces[i]) for i in known])
-        start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         for size in range(1, self.longest):
             own = start[lengths > size]
             self.begins[size, (joined.slices(own, own + size) >> U(46)).astype(np.int64)] = True
@@ -75,11 +75,6 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def _hash(piece: str) -> int:
-    codes = _codes(piece)
-    return int(Rolling(mix(codes.astype(U))).slices(np.array([0]), np.array([len(codes)]))[0])
-
-
 def load(model: str = MODEL) -> tuple:
     """The vocabulary of a SentencePiece model. A merge vocabulary's scores are ranks; a piece weighs 1 / (rank + 2)."""
     import sentencepiece
@@ -119,11 +114,11 @@ class Lattice:
             h = rolling.slices(at, at + size)
             alive = at[vocabulary.begins[size, (h >> U(46)).view(np.int64)]]
             k = vocabulary.slot[(h >> U(44)).view(np.int64)]
-            maybe = k != -1
+            maybe = np.flatnonzero(k != -1)
             at, h, k = at[maybe], h[maybe], k[maybe].astype(np.int64)
             several = np.flatnonzero(k < 0)
             k[several] = np.minimum(np.searchsorted(vocabulary.hashes, h[several]), len(vocabulary.hashes) - 1)
-            hit = vocabulary.hashes[k] == h
+            hit = np.flatnonzero(vocabulary.hashes[k] == h)
             at, piece = at[hit], vocabulary.ids[k[hit]]
             if size == 1:
                 single[at] = True
@@ -182,7 +177,7 @@ class Lattice:
                 below = below[self.upto[arcs[below]] < draw[below]]
             found.append((walkers, np.full(len(walkers), step), arcs))
             states = self.dst[arcs]
-            on = states < ends
+            on = np.flatnonzero(states < ends)
             walkers, states, ends, seeds = walkers[on], states[on], ends[on], seeds[on]
             step += 1
         if not found:
@@ -230,12 +225,13 @@ def _children(lattice, arcs, text_of, step, logp_before, arrival_log, salt):
     counts = lattice.ptr[state + 1] - lattice.ptr[state]
     owner = np.repeat(np.arange(len(arcs)), counts)
     other = np.repeat(lattice.ptr[state] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    real = other != arcs[owner]
+    real = np.flatnonzero(other != arcs[owner])
     owner, other = owner[real], other[real]
     logp = logp_before[owner] + lattice.logp[other]
-    seeds = salt[text_of[owner]] + step[owner].astype(U) * U(0xD1342543DE82EF95) + other_rank(lattice, other)
+    text_of = text_of[owner]
+    seeds = salt[text_of] + step[owner].astype(U) * U(0xD1342543DE82EF95) + other_rank(lattice, other)
     late = np.log(-np.log(uniform(mix(seeds)))) - logp
-    return owner, other, logp, np.logaddexp(arrival_log[text_of[owner]], late)
+    return owner, other, logp, np.logaddexp(arrival_log[text_of], late)
 
 
 def _earliest(when: np.ndarray, first: int, end: int, n: int) -> np.ndarray:
