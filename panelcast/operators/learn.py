@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -293,30 +294,57 @@ def split_inputs(per_split: str, n: int) -> int:
     return named[per_split] if per_split in named else max(1, min(n, int(per_split)))
 
 
+#: Nodes of a level whose sums are held at a time, nodes of a part when there are more, and rows summed at a time
+NODES_AT_ONCE, NODES_OF_PART, ROWS_AT_ONCE = 4096, 256, 1 << 18
+
+
 def tree_means(bins: np.ndarray, weight: np.ndarray, total: np.ndarray, asked: np.ndarray, depth: int, choice: int,
                random: np.random.Generator) -> np.ndarray:
     """Mean target that one regression tree gives to each asked combination of bins.
 
     The tree is grown on combinations with their weight and summed target, all nodes of a level at a time, by the
     largest fall of the squared error over ``choice`` inputs. Nodes that no asked combination reaches are left alone.
+    When a level has many nodes, parts of them are grown to their end one after the other, so the sums held do not
+    grow with the tree.
     """
-    out, ask = np.zeros(len(asked)), np.arange(len(asked))
-    node, place = np.zeros(len(bins), np.int64), np.zeros(len(asked), np.int64)
-    for level in range(depth + 1):
+    out = np.zeros(len(asked))
+    waiting = [(0, bins, weight, total, np.zeros(len(bins), np.int32), np.arange(len(asked), dtype=np.int32), asked,
+                np.zeros(len(asked), np.int32))]
+    del bins, weight, total, asked
+    while waiting:
+        waiting.extend(_grown(out, waiting.pop(), depth, choice, random))
+    return out
+
+
+def _grown(out: np.ndarray, part: tuple, depth: int, choice: int, random: np.random.Generator) -> list[tuple]:
+    """Grow nodes level by level and write the means of their leaves to ``out``; the parts left when there are many nodes."""
+    start, bins, weight, total, node, ask, asked, place = part
+    del part
+    for level in range(start, depth + 1):
+        if not len(place):
+            return []
         k = int(place.max()) + 1
-        whole, sums = np.bincount(node, weight, k), np.bincount(node, total, k)
-        gain, by, cut = 1e-9 * (1 + sums ** 2 / whole), np.full(k, -1), np.zeros(k, np.int64)
+        if k > NODES_AT_ONCE:
+            return _parted(level, bins, weight, total, node, ask, asked, place)
+        blocks = [slice(i, i + ROWS_AT_ONCE) for i in range(0, len(bins), ROWS_AT_ONCE)]
+        whole = sum(np.bincount(node[b], weight[b], k) for b in blocks)
+        sums = sum(np.bincount(node[b], total[b], k) for b in blocks)
+        gain, by, cut = 1e-9 * (1 + sums ** 2 / whole), np.full(k, -1, np.int8), np.zeros(k, np.uint8)
         drawn = np.argsort(np.argsort(random.random((k, bins.shape[1])), 1), 1) < choice
         for f in range(bins.shape[1]) if level < depth else ():
             width = int(bins[:, f].max()) + 1
-            at = node * width + bins[:, f]
-            w = np.bincount(at, weight, k * width).reshape(k, width).cumsum(1)[:, :-1]
-            s = np.bincount(at, total, k * width).reshape(k, width).cumsum(1)[:, :-1]
-            other = whole[:, None] - w
-            ok = (w > 0.5) & (other > 0.5) & drawn[:, f, None]
+            w, s = np.zeros(k * width), np.zeros(k * width)
+            for b in blocks:
+                at = node[b].astype(np.int64) * width + bins[b, f]
+                w += np.bincount(at, weight[b], k * width)
+                s += np.bincount(at, total[b], k * width)
+            w, s = (x.reshape(k, width).cumsum(1)[:, :-1] for x in (w, s))
+            other, rest = whole[:, None] - w, sums[:, None] - s
+            ok = (w > 0.5) & (other > 0.5) & drawn[:, f, None] if choice < bins.shape[1] else (w > 0.5) & (other > 0.5)
             if not ok.any():
                 continue
-            fall = np.where(ok, s ** 2 / np.where(ok, w, 1) + (sums[:, None] - s) ** 2 / np.where(ok, other, 1), -np.inf)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                fall = np.where(ok, s * s / w + rest * rest / other, -np.inf)
             best = fall.argmax(1)
             value = fall[np.arange(k), best] - sums ** 2 / whole
             better = value > gain
@@ -324,36 +352,77 @@ def tree_means(bins: np.ndarray, weight: np.ndarray, total: np.ndarray, asked: n
         ends = by[place] < 0
         out[ask[ends]] = (sums / whole)[place[ends]]
         ask, asked, place = ask[~ends], asked[~ends], place[~ends]
-        if not len(ask):
-            break
         place = 2 * place + (asked[np.arange(len(asked)), by[place]] > cut[place])
-        node = np.where(by[node] < 0, -1, 2 * node + (bins[np.arange(len(bins)), by[node]] > cut[node]))
-        reached, place = np.unique(place, return_inverse=True)
-        found = np.minimum(np.searchsorted(reached, node), len(reached) - 1)
-        kept = reached[found] == node
-        bins, weight, total, node = bins[kept], weight[kept], total[kept], found[kept]
-    return out
+        # Nodes reached are numbered anew; of the others, and of leaves, nothing is kept
+        number = np.full(2 * k, -1, np.int32)
+        number[place] = 0
+        reached = number == 0
+        number[reached] = np.arange(reached.sum())
+        for b in blocks:
+            own = node[b]
+            split = by[own]
+            side = bins[b][np.arange(len(own)), split] > cut[own]
+            node[b] = np.where(split < 0, -1, number[2 * own + side])
+        place, kept = number[place], node >= 0
+        bins, weight, total, node = bins[kept], weight[kept], total[kept], node[kept]
+    return []
+
+
+def _parted(level: int, bins: np.ndarray, weight: np.ndarray, total: np.ndarray, node: np.ndarray, ask: np.ndarray,
+            asked: np.ndarray, place: np.ndarray) -> list[tuple]:
+    """The nodes of a level in parts, last first, each with rows and asked combinations of its own."""
+    order = np.argsort(node // NODES_OF_PART, kind="stable")
+    bins, weight, total, node = bins[order], weight[order], total[order], node[order]
+    order = np.argsort(place // NODES_OF_PART, kind="stable")
+    ask, asked, place = ask[order], asked[order], place[order]
+    firsts = np.arange(0, int(place[-1] // NODES_OF_PART + 1) * NODES_OF_PART, NODES_OF_PART)
+    rows = np.append(np.searchsorted(node // NODES_OF_PART, firsts // NODES_OF_PART), len(node))
+    asks = np.append(np.searchsorted(place // NODES_OF_PART, firsts // NODES_OF_PART), len(place))
+    return [(level, bins[r], weight[r], total[r], node[r] - first, ask[a], asked[a], place[a] - first)
+            for first, r, a in reversed([(firsts[i], slice(rows[i], rows[i + 1]), slice(asks[i], asks[i + 1]))
+                                         for i in range(len(firsts))])]
 
 
 def _distinct(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of a byte matrix and the number of each row among them."""
-    whole = np.ascontiguousarray(bins).view(np.dtype((np.void, bins.shape[1]))).ravel()
-    values, number = np.unique(whole, return_inverse=True)
-    return values.view(np.uint8).reshape(-1, bins.shape[1]), number
+    """Distinct rows of a byte matrix, in order, and the number of each row among them."""
+    n = bins.shape[1]
+    bits = max(1, int(bins.max()).bit_length()) if len(bins) else 1
+    if bits * n > 64:
+        whole = np.ascontiguousarray(bins).view(np.dtype((np.void, n))).ravel()
+        values, number = np.unique(whole, return_inverse=True)
+        return values.view(np.uint8).reshape(-1, n), number.astype(np.int32)
+    code = np.zeros(len(bins), np.uint32 if bits * n <= 32 else np.uint64)
+    for i in range(n):
+        code <<= code.dtype.type(bits)
+        code |= bins[:, i]
+    values, number = np.unique(code), np.empty(len(code), np.int32)
+    for i in range(0, len(code), ROWS_AT_ONCE):
+        number[i:i + ROWS_AT_ONCE] = np.searchsorted(values, code[i:i + ROWS_AT_ONCE])
+    last = values.dtype.type((1 << bits) - 1)
+    return np.stack([(values >> values.dtype.type(bits * (n - 1 - i)) & last).astype(np.uint8) for i in range(n)], 1), number
+
+
+#: Tasks for each core that grow the trees of a forest, and predictions added up at a time
+TASKS_OF_CORE = 4
+ASKED_AT_ONCE = 1 << 16
 
 
 def forest_means(rows: DataFrame, inputs: Sequence[str], target: str, trees: int, depth: int, per_split: str = "auto",
                  seed: int = 27) -> DataFrame:
     """``fold, <inputs>, prediction``: a random forest per fold, at the combinations of bins of its held-out rows.
 
-    ``rows`` have ``fold``, ``held``, inputs that are bins, and the target. A tree sees the bins only, so a task draws
-    for each tree how often each of its rows is taken, and sends sums per combination of bins. A tree is then grown in one
-    task, from as many rows as there are combinations: at most 32 to the power of the inputs, and no more than rows.
-    Trees never leave their tasks; their predictions are averaged.
+    ``rows`` have ``fold``, ``held``, inputs that are bins, and the target. A task grows some of the trees of a fold, one
+    after the other, from the train rows of the fold as a byte a bin and a number. They are sent once per task, not
+    once per tree: how often a tree takes a row is drawn again where the tree grows, from the state that the
+    generator of the row's task had. A tree sees the bins only, so it is grown on sums per combination of bins. Trees never leave
+    their tasks; of their predictions, the sums over a task's trees are sent.
     """
     n = len(inputs)
+    folds = (rows.agg(F.max("fold")).first()[0] or 0) + 1
+    groups = max(1, min(trees, -(-TASKS_OF_CORE * rows.sparkSession.sparkContext.defaultParallelism // folds)))
+    firsts = [trees * g // groups for g in range(groups + 1)]
 
-    def drawn(stream):
+    def dealt(stream):
         tables = list(stream)
         if not tables:
             return
@@ -363,37 +432,70 @@ def forest_means(rows: DataFrame, inputs: Sequence[str], target: str, trees: int
         random = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for own in np.unique(fold).tolist():
             train, test = (fold == own) & ~held, (fold == own) & held
-            asked = _distinct(bins[test])[0].tobytes()
-            cells, number = _distinct(bins[train])
+            states = []
             for tree in range(trees):
-                times = random.poisson(1.0, len(number))
-                weight = np.bincount(number, times, len(cells))
-                total = np.bincount(number, times * y[train], len(cells))
-                some = weight > 0
-                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([tree], pa.int32()), *[
-                    pa.array([x], pa.binary()) for x in (cells[some].tobytes(), weight[some].tobytes(), total[some].tobytes(),
-                                                         asked)]], names=["fold", "tree", "bins", "weight", "total", "asked"])
-
-    def grown(table: pa.Table) -> pa.Table:
-        def joined(name, kind):
-            return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        fold, tree = table.column("fold")[0].as_py(), table.column("tree")[0].as_py()
-        cells, number = _distinct(joined("bins", np.uint8).reshape(-1, n))
-        asked = _distinct(joined("asked", np.uint8).reshape(-1, n))[0]
-        means = np.zeros(0)
-        if len(asked) and len(cells):
-            means = tree_means(cells, np.bincount(number, joined("weight", float)), np.bincount(number, joined("total", float)),
-                               asked, depth, split_inputs(per_split, n), np.random.default_rng([seed, fold, tree]))
-        asked = asked[:len(means)]
-        return pa.table({"fold": pa.array(np.full(len(asked), fold), pa.int32()),
-                         **{c: pa.array(asked[:, i], pa.int32()) for i, c in enumerate(inputs)}, "prediction": means})
-
-    schema = "fold int, tree int, bins binary, weight binary, total binary, asked binary"
-    sent = rows.select("fold", "held", *inputs, target).mapInArrow(drawn, schema)
+                if tree in firsts:
+                    states.append(pickle.dumps(random.bit_generator.state))
+                random.poisson(1.0, int(train.sum()))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([own], pa.int32()), pa.array([states], pa.list_(pa.binary())), *[
+                    pa.array([x.tobytes()], pa.binary()) for x in (bins[train], y[train], _distinct(bins[test])[0])]],
+                names=["fold", "states", "bins", "target", "asked"])
+
+    def grown(stream):
+        parts, first, generators = {"bins": [], "target": [], "asked": []}, None, []
+        for batch in stream:
+            for i in range(batch.num_rows):
+                first = first or (batch.column("fold")[i].as_py(), batch.column("group")[i].as_py())
+                generators.append(np.random.Generator(np.random.PCG64()))
+                generators[-1].bit_generator.state = pickle.loads(batch.column("state")[i].as_py())
+                for name, kind in (("bins", np.uint8), ("target", float), ("asked", np.uint8)):
+                    parts[name].append(np.frombuffer(batch.column(name)[i].as_buffer(), kind))
+        if first is None:
+            return
+        fold, group = first
+        ends = np.cumsum([len(x) for x in parts["target"]])
+        # What was received is let go before the trees are grown
+        bins, asked, y = (np.concatenate(parts.pop(name)) for name in ("bins", "asked", "target"))
+        del batch
+        cells, number = _distinct(bins.reshape(-1, n))
+        del bins
+        asked = _distinct(asked.reshape(-1, n))[0]
+        added, made = np.zeros(len(asked)), 0
+        for tree in range(firsts[group], firsts[group + 1]):
+            weight, total = np.zeros(len(cells), np.float32), np.zeros(len(cells))
+            for end, size, random in zip(ends, np.diff(ends, prepend=0), generators):
+                times, own = random.poisson(1.0, size), slice(end - size, end)
+                np.add.at(weight, number[own], times.astype(np.float32))
+                np.add.at(total, number[own], times * y[own])
+            some = weight > 0
+            weight, total = weight[some], total[some]
+            if len(asked) and len(weight):
+                added += tree_means(cells[some], weight, total, asked, depth, split_inputs(per_split, n),
+                                    np.random.default_rng([seed, fold, tree]))
+                made += 1
+        for block, i in enumerate(range(0, len(asked) if made else 0, ASKED_AT_ONCE)):
+            some = slice(i, i + ASKED_AT_ONCE)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([fold], pa.int32()), pa.array([block], pa.int32()), pa.array([made], pa.int32()), *[
+                    pa.array([x], pa.binary()) for x in (asked[some].tobytes(), added[some].tobytes())]],
+                names=["fold", "block", "trees", "asked", "added"])
+
+    def averaged(table: pa.Table) -> pa.Table:
+        asked = np.frombuffer(table.column("asked")[0].as_buffer(), np.uint8).reshape(-1, n)
+        added = sum(np.frombuffer(x.as_buffer(), float) for x in table.column("added"))
+        return pa.table({"fold": pa.array(np.full(len(asked), table.column("fold")[0].as_py()), pa.int32()),
+                         **{c: pa.array(asked[:, i], pa.int32()) for i, c in enumerate(inputs)},
+                         "prediction": added / sum(table.column("trees").to_pylist())})
+
+    sent = rows.select("fold", "held", *inputs, target).mapInArrow(
+        dealt, "fold int, states array<binary>, bins binary, target binary, asked binary")
+    sent = sent.select("fold", F.posexplode("states").alias("group", "state"), "bins", "target", "asked")
+    # A task for each group of trees: dealt by hash, some tasks would have several and others none
+    own = sent.repartitionById(folds * groups, (F.col("fold") * groups + F.col("group")).cast("int"))
+    made = own.mapInArrow(grown, "fold int, block int, trees int, asked binary, added binary")
     fields = "".join(f"{c} int, " for c in inputs)
-    made = (sent.repartition(trees, "fold", "tree").groupBy("fold", "tree")
-            .applyInArrow(grown, f"fold int, {fields}prediction double"))
-    return made.groupBy("fold", *inputs).agg(F.avg("prediction").alias("prediction"))
+    return made.groupBy("fold", "block").applyInArrow(averaged, f"fold int, {fields}prediction double")
 
 
 class RandomForestRegressor(regression.RandomForestRegressor):

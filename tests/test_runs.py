@@ -1,10 +1,12 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import capacities, weekly
 from panelcast.operators import incremental as inc, learn
-from panelcast.session import scratch_path
+from panelcast.session import cut_lineage, scratch_path
 from panelcast.sources import readers, schemas, writers
 
 
@@ -276,3 +278,50 @@ def test_binned_means_give_the_trees_of_all_rows(spark):
     for r, s in zip(*[m.transform(every.coalesce(1)).select("prediction").collect() for m in (whole, short)]):
         assert r.prediction == pytest.approx(s.prediction, abs=1e-9)
     assert learn.quantile_bins(df.filter("a > 100"), ["a", "b"]) is None
+
+
+def many_cells(n):
+    """Combinations of five inputs with targets that are noise: a tree grown in full has a leaf for almost each."""
+    rng = np.random.default_rng(31)
+    draw = lambda m: np.stack([rng.integers(0, w, m) for w in (32, 32, 32, 6, 25)], 1).astype(np.uint8)
+    cells = learn._distinct(draw(n))[0]
+    weight = rng.integers(1, 4, len(cells)).astype(float)
+    return cells, weight, weight * rng.integers(1, 51, len(cells)), draw(n)
+
+
+def test_tree_holds_sums_of_few_nodes(monkeypatch):
+    """Sums of all nodes of a level, an array for each input, took several times the memory of the rows."""
+    cells, weight, total, asked = many_cells(200_000)
+    held = sum(x.nbytes for x in (cells, weight, total, asked))
+    tracemalloc.start()
+    learn.tree_means(cells, weight, total, asked, 30, 5, np.random.default_rng(1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * held
+    small = [x[:4000] for x in (cells, weight, total, asked)]
+    whole = learn.tree_means(*small, 30, 5, np.random.default_rng(1))
+    for name, value in (("NODES_AT_ONCE", 16), ("NODES_OF_PART", 4), ("ROWS_AT_ONCE", 100)):
+        monkeypatch.setattr(learn, name, value)
+    assert (learn.tree_means(*small, 30, 5, np.random.default_rng(1)) == whole).all()
+
+
+def test_forest_sends_rows_once_per_task(spark, monkeypatch):
+    """Not once per tree, and the trees are the same however they are dealt to tasks."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 3, i % 4 == 0, int(a), int(b), float(a + b)) for i, (a, b) in enumerate(rng.integers(0, 20, (900, 2)))]
+    df = cut_lineage(spark.createDataFrame(rows, "fold int, held boolean, a int, b int, y double"))
+    sent, made, dealt = [], [], type(df).repartitionById
+
+    def counted(self, *a):
+        sent.append(self.selectExpr("sum(length(bins))").first()[0])
+        return dealt(self, *a)
+
+    monkeypatch.setattr(type(df), "repartitionById", counted)
+    for tasks in (1, 100):
+        monkeypatch.setattr(learn, "TASKS_OF_CORE", tasks)
+        made.append({(r.fold, r.a, r.b): r.prediction for r in learn.forest_means(df, ["a", "b"], "y", 24, 9, "all").collect()})
+    train = 2 * sum(not r[1] for r in rows)
+    assert sent == [train * -(-spark.sparkContext.defaultParallelism // 3), train * 24]
+    assert made[0] == pytest.approx(made[1])
+    asked = {(r[0], r[2], r[3]) for r in rows if r[1]}
+    assert set(made[0]) == asked
