@@ -16,6 +16,7 @@ from pyspark.ml import regression
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
 
 from panelcast import config
 from panelcast.operators.features import by_date
@@ -137,18 +138,135 @@ def horizon_rows(panel: DataFrame, capacity: DataFrame, horizon: int, step: int)
     season = config.SEASONAL_LAG
     ahead = by_date().rowsBetween(1, horizon)
     behind = by_date().rowsBetween(-season, 0)
-    joined = panel.join(capacity.filter("capacity > 0").select("id", "capacity"), "id")
-    level = joined.withColumn("level", F.col("storage") / F.col("capacity"))
-    arrays = (level.select("id", "date", "level", F.collect_list("level").over(ahead).alias("_ahead"),
+    arrays = (levels(panel, capacity).select("id", "date", "level", F.collect_list("level").over(ahead).alias("_ahead"),
                            F.collect_list("level").over(behind).alias("_behind"))
               .filter(F.size("_behind") == season + 1))
+    return _steps_ahead(arrays, horizon, step, F.get("_ahead", F.col("h") - 1).alias("target"))
+
+
+def levels(panel: DataFrame, capacity: DataFrame) -> DataFrame:
+    joined = panel.join(capacity.filter("capacity > 0").select("id", "capacity"), "id")
+    return joined.withColumn("level", F.col("storage") / F.col("capacity"))
+
+
+def _steps_ahead(arrays: DataFrame, horizon: int, step: int, *more: Column) -> DataFrame:
+    season = config.SEASONAL_LAG
     # Beyond a season ahead, the seasonal value is that of the same week in the season last observed
     steps = arrays.withColumn("h", F.explode(F.sequence(F.lit(step), F.lit(horizon), F.lit(step))))
     return steps.select(
         "id", "date", "level", "h", F.get("_behind", F.lit(0)).alias("level_year_ago"),
         F.get("_behind", F.pmod(F.col("h") - 1, F.lit(season)) + 1).alias("seasonal"),
-        F.weekofyear(F.date_add("date", F.col("h") * 7)).cast("double").alias("week"),
-        F.get("_ahead", F.col("h") - 1).alias("target"))
+        F.weekofyear(F.date_add("date", F.col("h") * 7)).cast("double").alias("week"), *more)
+
+
+#: Weeks of whole series that are packed into one row
+WEEKS_AT_ONCE = 50_000
+
+
+def stored_series(panel: DataFrame, capacity: DataFrame) -> DataFrame:
+    """Levels as ``horizon_rows`` takes them, some series to a row, stored once.
+
+    ``level``, ``known``, ``day`` and ``first`` are arrays as bytes: the weeks of all series in order, and where each
+    begins. ``ends`` has the last week of each series that a whole season lies behind: ``id, date, _behind``.
+    """
+    season = config.SEASONAL_LAG
+
+    def one_row(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        level = table.column("level").combine_chunks()
+        known = level.is_valid().to_numpy(zero_copy_only=False)
+        level = level.fill_null(0.0).to_numpy()
+        day = table.column("date").combine_chunks().cast(pa.int32()).fill_null(NO_DAY).to_numpy()
+        first = np.flatnonzero(table.column("_n").to_numpy() == 1)
+        base, series = _bases(known, first)
+        if len(base) and (np.isnan(level[known]).any() or (day[base] == NO_DAY).any()):
+            raise ValueError("a week has no date, or its level is no number")
+        last = np.full(len(first), NO_DAY, np.int32)
+        np.maximum.at(last, series, day[base])
+        end = base[day[base] == last[series]]
+        behind = pa.array(level[end[:, None] + np.arange(-season, 1)].ravel())
+        ends = pa.StructArray.from_arrays([
+            table.column("id").combine_chunks().take(pa.array(end)), table.column("date").combine_chunks().take(pa.array(end)),
+            pa.ListArray.from_arrays(pa.array(np.arange(len(end) + 1) * (season + 1), pa.int32()), behind)], ["id", "date", "_behind"])
+        return pa.RecordBatch.from_arrays([
+            *[pa.array([x.tobytes()], pa.binary()) for x in (level, known, day, first)],
+            pa.ListArray.from_arrays(pa.array([0, len(end)], pa.int32()), ends)], ["level", "known", "day", "first", "ends"])
+
+    def packed_rows(stream):
+        held, count = [], 0
+        for batch in stream:
+            held.append(batch)
+            count += batch.num_rows
+            if count < WEEKS_AT_ONCE:
+                continue
+            table = pa.Table.from_batches(held)
+            cut = int(np.flatnonzero(table.column("_n").to_numpy() == 1)[-1])
+            if cut:
+                yield one_row(table.slice(0, cut))
+                held, count = table.slice(cut).to_batches(), count - cut
+        if count:
+            yield one_row(pa.Table.from_batches(held))
+
+    fields = panel.select("id", "date").schema.fields
+    end = StructType([*fields, StructField("_behind", ArrayType(DoubleType()))])
+    schema = StructType([*[StructField(c, BinaryType()) for c in ("level", "known", "day", "first")], StructField("ends", ArrayType(end))])
+    # The window puts the weeks of a series side by side and in order, and numbers them
+    rows = levels(panel, capacity).select("id", "date", F.col("level").cast("double").alias("level"),
+                                          F.row_number().over(by_date()).alias("_n"))
+    return cut_lineage(rows.mapInArrow(packed_rows, schema))
+
+
+NO_DAY = -(1 << 31)
+
+
+def _bases(known: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weeks that a whole season of known ones lies behind, and the number of the series of each."""
+    season, begins = config.SEASONAL_LAG, np.zeros(len(known), np.int64)
+    begins[first[1:]] = 1
+    series = begins.cumsum()
+    upto = np.append(0, known.cumsum())
+    at = np.arange(len(known))
+    base = np.flatnonzero((at - first[series] >= season) & (upto[at + 1] - upto[np.maximum(at - season, 0)] == season + 1))
+    return base, series[base]
+
+
+class _Series:
+    """One row of ``stored_series``: what ``horizon_rows`` says of it, as places in its arrays."""
+
+    def __init__(self, row: dict):
+        self.level, known, self.day, first = (np.frombuffer(row[c], kind) for c, kind in (
+            ("level", float), ("known", bool), ("day", np.int32), ("first", np.int64)))
+        self.base, series = _bases(known, first)
+        self.places, self.rank = np.flatnonzero(known), known.cumsum()[self.base]
+        self.last = np.append(first[1:], len(known))[series] - 1
+        self.lowest = int(self.day[self.base].min()) if len(self.base) else 0
+
+    def steps(self, horizon: int, step: int):
+        """For each horizon: it, the weeks that have a target, their seasonal values, targets and weeks of the year."""
+        season = config.SEASONAL_LAG
+        if not len(self.base):
+            return
+        weeks = iso_week(np.arange(self.lowest, int(self.day[self.base].max()) + 7 * horizon + 1))
+        limit = np.minimum(self.base + horizon, self.last)
+        for h in range(step, horizon + 1, step):
+            number = self.rank + h - 1
+            ahead = self.places[np.minimum(number, len(self.places) - 1)]
+            there = (number < len(self.places)) & (ahead <= limit)
+            at = self.base[there]
+            yield h, at, at - season + (h - 1) % season + 1, ahead[there], weeks[self.day[at] + (7 * h - self.lowest)]
+
+
+def iso_week(day: np.ndarray) -> np.ndarray:
+    """Week of the year of days since 1970, that of the week's Thursday."""
+    thursday = day - (day + 3) % 7 + 3
+    new_year = thursday.astype("M8[D]").astype("M8[Y]").astype("M8[D]").astype(np.int64)
+    return (thursday - new_year) // 7 + 1
+
+
+def _series_of(stream):
+    for batch in stream:
+        for row in batch.to_pylist():
+            yield _Series(row)
 
 
 BOOST_INPUTS = ("level", "seasonal", "h", "week")
@@ -163,9 +281,14 @@ def quantile_bins(df: DataFrame, inputs: Sequence[str]) -> Bucketizer | None:
     """
     fine = [i / 1000 for i in range(1001)]
     found = df.agg(*[F.percentile_approx(c, F.array(*map(F.lit, fine)), 10_000).alias(c) for c in inputs]).first()
-    if any(found[c] is None for c in inputs):
+    return _bins_between({c: found[c] for c in inputs})
+
+
+def _bins_between(found: dict[str, list[float] | None]) -> Bucketizer | None:
+    """Bins told by 1,001 quantiles of each input."""
+    if any(values is None for values in found.values()):
         return None
-    splits = []
+    inputs, splits = list(found), []
     for c in inputs:
         values = sorted(set(found[c]))
         if len(values) > BINS:
@@ -184,6 +307,120 @@ def binned_means(df: DataFrame, bins: Bucketizer, target: str) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("rows"), F.avg(target).alias(target))
 
 
+#: Weighted values that stand for all of an input, and summaries that are put together at a time
+SUMMARY, SUMMARIES_AT_ONCE = 20_000, 32
+
+
+def _summary(value: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order with their weight; of many, as many of equal weight as ``SUMMARY`` says. No rank moves by more
+    than half of such a weight."""
+    value, number = np.unique(value, return_inverse=True)
+    weight = np.bincount(number, weight, len(value))
+    if len(value) <= SUMMARY:
+        return value, weight
+    upto = weight.cumsum()
+    share = upto[-1] / SUMMARY
+    some = np.searchsorted(upto, (np.arange(SUMMARY) + 0.5) * share)
+    # The least value stays itself
+    return np.append(value[0], value[some]), np.append(share * 1e-9, np.full(SUMMARY, share))
+
+
+def _added_up(found: list[dict[str, bytes]]) -> dict[str, bytes]:
+    out = {}
+    for c in BOOST_INPUTS:
+        value, weight = (np.concatenate([np.frombuffer(x[f"{c}_{part}"], float) for x in found]) for part in ("value", "weight"))
+        out[f"{c}_value"], out[f"{c}_weight"] = (x.tobytes() for x in _summary(value, weight))
+    return out
+
+
+def series_bins(series: DataFrame, horizon: int, step: int) -> Bucketizer | None:
+    """``quantile_bins`` of the rows of ``horizon_rows`` that have a target, from ``stored_series``.
+
+    A week is one level of many rows and the seasonal value of many others, so it is counted instead of repeated. Tasks
+    send summaries, of which a few are put together at a time.
+    """
+    names = [f"{c}_{part}" for c in BOOST_INPUTS for part in ("value", "weight")]
+    schema = ", ".join(f"{name} binary" for name in names)
+
+    def counted(stream):
+        found = []
+        for own in _series_of(stream):
+            level, seasonal, weeks, hs = np.zeros(len(own.level)), np.zeros(len(own.level)), np.zeros(54), np.zeros(horizon + 1)
+            for h, at, before, _, week in own.steps(horizon, step):
+                level[at] += 1
+                seasonal[before] += 1
+                weeks += np.bincount(week, minlength=54)
+                hs[h] += len(at)
+            row = {}
+            for c, value, weight in (("level", own.level, level), ("seasonal", own.level, seasonal),
+                                     ("h", np.arange(horizon + 1.0), hs), ("week", np.arange(54.0), weeks)):
+                row[f"{c}_value"], row[f"{c}_weight"] = value[weight > 0].tobytes(), weight[weight > 0].tobytes()
+            found.append(row)
+            if len(found) == SUMMARIES_AT_ONCE:
+                found = [_added_up(found)]
+        if found:
+            yield pa.RecordBatch.from_pylist([_added_up(found)], pa.schema([(name, pa.binary()) for name in names]))
+
+    def together(stream):
+        found = []
+        for batch in stream:
+            for row in batch.to_pylist():
+                found.append(row)
+                if len(found) == SUMMARIES_AT_ONCE:
+                    found = [_added_up(found)]
+        if found:
+            yield pa.RecordBatch.from_pylist([_added_up(found)], pa.schema([(name, pa.binary()) for name in names]))
+
+    tasks, summaries = series.rdd.getNumPartitions(), series.drop("ends").mapInArrow(counted, schema)
+    while tasks > SUMMARIES_AT_ONCE:
+        tasks = -(-tasks // SUMMARIES_AT_ONCE)
+        summaries = summaries.repartition(tasks).mapInArrow(together, schema)
+    found = [r.asDict() for r in summaries.collect()]
+    whole = _added_up(found) if found else {}
+    if not whole or not whole["level_value"]:
+        return None
+    quantiles = {}
+    for c in BOOST_INPUTS:
+        value, upto = np.frombuffer(whole[f"{c}_value"], float), np.frombuffer(whole[f"{c}_weight"], float).cumsum()
+        ranks = np.ceil(np.arange(1001) / 1000 * upto[-1] - 1e-6)
+        quantiles[c] = value[np.minimum(np.searchsorted(upto, np.maximum(ranks, 0.5) - 1e-6), len(value) - 1)].tolist()
+    return _bins_between(quantiles)
+
+
+def series_means(series: DataFrame, bins: Bucketizer, horizon: int, step: int) -> DataFrame:
+    """``binned_means`` of the rows of ``horizon_rows`` that have a target, from ``stored_series``.
+
+    A task adds up all its rows in arrays with a place for each combination of bins, so no row of a horizon is made.
+    """
+    inner = {c: np.array(splits[1:-1]) for c, splits in zip(bins.getInputCols(), bins.getSplitsArray())}
+    n = [len(inner[c]) + 1 for c in BOOST_INPUTS]
+
+    def added(stream):
+        # By horizon first: its weeks have one bin there
+        rows, total = np.zeros((n[2], n[0] * n[1] * n[3])), np.zeros((n[2], n[0] * n[1] * n[3]))
+        week_bin = np.searchsorted(inner["week"], np.arange(54.0), "right")
+        for own in _series_of(stream):
+            high = np.searchsorted(inner["level"], own.level, "right") * (n[1] * n[3])
+            middle = np.searchsorted(inner["seasonal"], own.level, "right") * n[3]
+            for h, at, before, ahead, week in own.steps(horizon, step):
+                cell = high[at] + middle[before] + week_bin[week]
+                slot = np.searchsorted(inner["h"], float(h), "right")
+                rows[slot] += np.bincount(cell, minlength=rows.shape[1])
+                total[slot] += np.bincount(cell, own.level[ahead], rows.shape[1])
+        some = np.flatnonzero(rows.ravel())
+        for i in range(0, len(some), 1 << 16):
+            own = some[i:i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(rows.ravel()[own]), pa.array(total.ravel()[own])],
+                                             ["cell", "rows", "total"])
+
+    tasks = min(series.rdd.getNumPartitions(), 2 * series.sparkSession.sparkContext.defaultParallelism)
+    sums = (series.drop("ends").coalesce(max(1, tasks)).mapInArrow(added, "cell long, rows double, total double")
+            .groupBy("cell").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total")))
+    parts = {"h": (n[0] * n[1] * n[3], n[2]), "level": (n[1] * n[3], n[0]), "seasonal": (n[3], n[1]), "week": (1, n[3])}
+    return sums.select(*[F.expr(f"CAST(cell DIV {parts[c][0]} % {parts[c][1]} AS DOUBLE)").alias(f"{c}_bin") for c in BOOST_INPUTS],
+                       "rows", (F.col("total") / F.col("rows")).alias("target"))
+
+
 def boosted(panel: DataFrame, capacity: DataFrame, horizon: int = config.HORIZON, trees: int = 100, depth: int = 6,
             rate: float = 0.1, step: int = 1, clip: bool = True) -> DataFrame:
     """Boosted trees over all entities with the horizon as an input, forecasting from each entity's last week.
@@ -191,26 +428,25 @@ def boosted(panel: DataFrame, capacity: DataFrame, horizon: int = config.HORIZON
     The last week is shifted to last year's level before prediction and the shift is taken off afterwards. Training
     uses every week at every horizon; a ``step`` above 1 trains on each such horizon only. ``clip`` keeps predictions at
     or below capacity. An entity that cannot be forecast gives one row with an ``error`` and no prediction. The trees are
-    fitted to ``binned_means`` of the rows, of which there are at most 32 to the power of the inputs.
+    fitted to means of the rows per combination of bins (``binned_means``), of which there are at most 32 to the power of the inputs.
     """
-    train = horizon_rows(panel, capacity, horizon, step).filter(F.col("target").isNotNull())
-    last = F.max("date").over(Window.partitionBy("id"))
-    ask = (horizon_rows(panel, capacity, horizon, 1).withColumn("_end", last)
-           .filter(F.col("date") == F.col("_end")).withColumn("shift", F.col("level_year_ago") - F.col("level")))
+    season = config.SEASONAL_LAG
+    series = stored_series(panel, capacity)
+    asked = series.select(F.inline("ends")).withColumn("level", F.get("_behind", F.lit(season)))
+    ask = _steps_ahead(asked, horizon, 1, F.col("date").alias("_end")).withColumn("shift", F.col("level_year_ago") - F.col("level"))
     ends = panel.groupBy("id").agg(F.count("storage").alias("_n"), F.max("date").alias("date"))
     known = ends.join(capacity.select("id", "capacity"), "id", "left")
     why = (F.when(~F.coalesce(F.col("capacity") > 0, F.lit(False)), "capacity is missing or zero")
            .when(F.col("_n") <= config.SEASONAL_LAG, f"more than {config.SEASONAL_LAG} observations are needed")
            .otherwise("the last season has a gap"))
-    failed = known.join(ask.select("id", "date").distinct(), ["id", "date"], "left_anti").select(
+    failed = known.join(asked.select("id", "date").distinct(), ["id", "date"], "left_anti").select(
         "id", F.lit(None).cast("int").alias("h"), F.lit(None).cast("date").alias("date"),
         F.lit(None).cast("double").alias("prediction"), F.lit("boosted").alias("model"), why.alias("error"))
-    train = train.withColumn("h", F.col("h").cast("double"))
-    bins = quantile_bins(train, BOOST_INPUTS)
+    bins = series_bins(series, horizon, step)
     if bins is None:
         return failed
     vector = VectorAssembler(inputCols=bins.getOutputCols(), outputCol="features")
-    cells = cut_lineage(vector.transform(binned_means(train, bins, "target")).select("features", "target", "rows"))
+    cells = cut_lineage(vector.transform(series_means(series, bins, horizon, step)).select("features", "target", "rows"))
     # With the square of the bins as its limit, Spark looks for splits in all combinations, not in a sample of them
     model = GBTRegressor(labelCol="target", weightCol="rows", maxIter=trees, maxDepth=depth, stepSize=rate, seed=27,
                          maxBins=BINS * BINS, checkpointInterval=10).fit(spread(cells, cells.count()))

@@ -325,3 +325,42 @@ def test_forest_sends_rows_once_per_task(spark, monkeypatch):
     assert made[0] == pytest.approx(made[1])
     asked = {(r[0], r[2], r[3]) for r in rows if r[1]}
     assert set(made[0]) == asked
+
+
+def test_boosted_rows_are_counted_not_made(spark, monkeypatch):
+    """A row per week and horizon, of which there were fifty-two times as many as weeks, went through sorts and sums."""
+    rng = np.random.default_rng(14)
+    panel = weekly(spark, {i: [None if i == 5 and rng.random() < .04 else float(x) for x in rng.integers(1, 90, 50 + 9 * i)] for i in range(9)})
+    panel = panel.unionByName(panel.filter("id = 7 AND date > '2021-12-01'"))  # weeks that come twice
+    cap = capacities(spark, {i: None if i == 3 else 100 + i for i in range(9)})
+    monkeypatch.setattr(learn, "WEEKS_AT_ONCE", 70)
+    stored = learn.stored_series(panel.filter("id <> 7"), cap)
+    for horizon, step in ((5, 1), (60, 20)):
+        rows = learn.horizon_rows(panel.filter("id <> 7"), cap, horizon, step).filter("target IS NOT NULL").withColumn("h", F.col("h").cast("double"))
+        bins = learn.quantile_bins(rows, learn.BOOST_INPUTS)
+        assert learn.series_bins(stored, horizon, step).getSplitsArray() == bins.getSplitsArray()
+        want, got = ({tuple(r[f"{c}_bin"] for c in learn.BOOST_INPUTS): (r.rows, r.target) for r in made.collect()} for made in (
+            learn.binned_means(rows, bins, "target"), learn.series_means(stored, bins, horizon, step)))
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    asked = learn.horizon_rows(panel, cap, 4, 1).groupBy("id").agg(F.max("date")).collect()
+    monkeypatch.setattr(learn, "horizon_rows", None)
+    made = learn.boosted(panel, cap, horizon=4, trees=2, depth=2).filter("error IS NULL")
+    assert {(r.id, r.h) for r in made.collect()} == {(r.id, h) for r in asked for h in range(1, 5)}
+
+
+def test_summaries_keep_ranks():
+    rng = np.random.default_rng(3)
+    value, weight = rng.lognormal(0, 2, 300_000), rng.integers(1, 53, 300_000).astype(float)
+    parts = [learn._summary(value[i::6], weight[i::6]) for i in range(6)]
+    got, share = learn._summary(*(np.concatenate(x) for x in zip(*parts)))
+    order = np.argsort(value)
+    upto = weight[order].cumsum() / weight.sum()
+    true = upto[np.searchsorted(value[order], got, "right") - 1]
+    assert len(got) <= learn.SUMMARY + 1 and got[0] == value.min()
+    assert np.abs(true - (share.cumsum() - share / 2) / share.sum()).max() < 1e-4
+
+
+def test_iso_week():
+    days = np.arange(-20_000, 40_000, 3)
+    want = [d.isocalendar().week for d in days.astype("M8[D]").astype(object)]
+    assert learn.iso_week(days).tolist() == want
