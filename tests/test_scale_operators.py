@@ -104,6 +104,43 @@ def test_pairs_of_one_cube_are_dealt(spark):
     assert len({r.task for r in got}) > 1
 
 
+def test_pairs_send_few_bytes(spark, monkeypatch):
+    """Rows went to all 27 cubes around theirs, occupied or not, with seven derived numbers and a cube of three."""
+    lat, lon = 40 + np.arange(50) * 1e-3, -3 + np.arange(50) % 7 * 1e-3
+    df, sent, dealt = points(spark, lat, lon), [], type(spark.range(1)).repartition
+
+    def counted(self, *a):
+        sent.append((self.columns, self.count()))
+        return dealt(self, *a)
+
+    monkeypatch.setattr(type(df), "repartition", counted)
+    got = {(r.l_id, r.r_id) for r in sp.pairs_within(df, df, 250.0).collect()}
+    assert got == {(i, j) for i in range(50) for j in range(50)}
+    (left, n), (right, m) = sent
+    assert left == ["_cell", "l_id", "l_latitude", "l_longitude"] and right == ["_cell", "r_id", "r_latitude", "r_longitude"]
+    assert n == 50 and m == 50 * sp.DEALS
+
+
+@pytest.mark.parametrize("radius", [-1.0, 0.0, 0.002, 1.0, 250.0])
+def test_pairs_of_near_points_and_groups(spark, radius):
+    """Points that repeat or are metres apart, at the date line and a pole, some without a place; two groups."""
+    rng = np.random.default_rng(17)
+    lat = np.r_[np.round(rng.uniform(10, 10.0001, 30), 6), rng.uniform(89.99, 90, 15), rng.uniform(-1, 1, 15)]
+    lon = np.r_[np.round(rng.uniform(20, 20.0001, 30), 6), rng.uniform(-180, 180, 15), np.where(rng.random(15) < .5, -179.9, 179.9)]
+    lat[:4], lon[:4] = 10, 20
+    df = points(spark, lat, lon, g=[f"g{i % 2}" for i in range(60)])
+    lost = spark.createDataFrame([(99, None, 1.0, "g0"), (98, 1.0, None, "g1")], df.schema)
+    all_ = df.unionByName(lost)
+    got = sp.pairs_within(all_, all_.drop("g").withColumn("g", F.col("id") % 2).selectExpr(
+        "id", "latitude", "longitude", "concat('g', g) AS g"), radius, ["g"]).select("g", "l_id", "r_id", "km").collect()
+    d = km(lat[:, None], lon[:, None], lat[None, :], lon[None, :])
+    want = {(i, j) for i in range(60) for j in range(60) if d[i, j] <= radius and i % 2 == j % 2}
+    edge = {(i, j) for i in range(60) for j in range(60) if abs(d[i, j] - radius) < 1e-6}
+    assert len(got) == len({(r.l_id, r.r_id) for r in got})
+    assert {(r.l_id, r.r_id) for r in got} - edge == want - edge
+    assert all(abs(r.km - d[r.l_id, r.r_id]) < 1e-6 for r in got)
+
+
 @pytest.mark.parametrize("n,gap", [(2000, 10.0), (300, 0.0)])
 def test_nearest_in_a_far_cluster(spark, monkeypatch, n, gap):
     """Targets beside a dense cluster of candidates meet its near edge, not all of it."""
