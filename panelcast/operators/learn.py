@@ -145,7 +145,8 @@ def horizon_rows(panel: DataFrame, capacity: DataFrame, horizon: int, step: int)
 
 
 def levels(panel: DataFrame, capacity: DataFrame) -> DataFrame:
-    joined = panel.join(capacity.filter("capacity > 0").select("id", "capacity"), "id")
+    # A row an entity: a merge join would sort all weeks by the entity alone, before the window sorts them again
+    joined = panel.join(capacity.filter("capacity > 0").select("id", "capacity").hint("shuffle_hash"), "id")
     return joined.withColumn("level", F.col("storage") / F.col("capacity"))
 
 
